@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -101,11 +102,21 @@ def list_parts(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
 class WordMemo:
     """Encodes texts that are given as words, where a word's ids don't depend on its neighbours.
 
-    Words seen before come from a memo of bounded size; it only saves time, results don't depend on it."""
+    Words seen before come from a memo of bounded size, as little-endian i32; it only saves time, results don't depend
+    on it."""
 
-    def __init__(self, encode_words: Callable[[list[str]], list], limit: int = 150_000, longest: int = 48):
+    def __init__(self, encode_words: Callable[[list[str]], list], limit: int = 200_000, longest: int = 48):
         self.encode_words, self.limit, self.longest = encode_words, limit, longest
-        self.memo: dict[str, np.ndarray] = {}
+        self.memo: dict[str, bytes] = {}
+
+    def lookup(self, words: list[str]) -> list[bytes]:
+        found = list(map(self.memo.get, words))
+        missed = [i for i, ids in enumerate(found) if ids is None]
+        for i, ids in zip(missed, self.encode_words([words[i] for i in missed]) if missed else []):
+            found[i] = ids = ids if isinstance(ids, bytes) else array("i", ids).tobytes()
+            if len(self.memo) < self.limit and len(words[i]) <= self.longest:
+                self.memo[words[i]] = ids
+        return found
 
     def encode(self, words: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts, and the offset of each text's ids."""
@@ -113,15 +124,10 @@ class WordMemo:
         if not len(flat):
             return np.zeros(0, np.int32), offsets
         coded = flat.dictionary_encode()
-        distinct, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        found = list(map(self.memo.get, distinct))
-        missed = [i for i, ids in enumerate(found) if ids is None]
-        for i, ids in zip(missed, self.encode_words([distinct[i] for i in missed]) if missed else []):
-            found[i] = ids = np.array(ids, np.int32)
-            if len(self.memo) < self.limit and len(distinct[i]) <= self.longest:
-                self.memo[distinct[i]] = ids
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        ids, upto = ragged_take(np.concatenate(found), (np.cumsum(lengths) - lengths)[at], lengths[at])
+        at = coded.indices.to_numpy()
+        found = self.lookup(coded.dictionary.to_pylist())
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ids, upto = ragged_take(np.frombuffer(b"".join(found), np.int32), (np.cumsum(lengths) - lengths)[at], lengths[at])
         return ids, upto[offsets]
 
 

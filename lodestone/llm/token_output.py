@@ -44,11 +44,47 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: What the tokenizer's own rules split a word into, for words of letters below U+0250: those are lowered one by one and
+#: are in normal form already.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+
+
+def byte_characters() -> dict[int, str]:
+    """The character that a byte-level vocabulary has for each byte: itself if it is printable in Latin-1, else the
+    next one from U+0100 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return {b: chr(b) if b in printable else chr(next(others)) for b in range(256)}
+
+
 @lru_cache(maxsize=4)
 def _memo(path: str) -> WordMemo:
+    import regex
+
     tokenizer = _tokenizer(path)
     batch = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-    return WordMemo(lambda words: [e.ids for e in batch(words, add_special_tokens=False)])
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    merge, characters = tokenizer.model.tokenize, byte_characters()
+    plain, split = regex.compile(r"[!-~\u00a1-\u024f]+").fullmatch, regex.compile(PIECES).findall
+
+    def encode_pieces(pieces: list[str]) -> list[list[int]]:
+        return [[t.id for t in merge(p if p.isascii() else p.encode().decode("latin-1").translate(characters))] for p in pieces]
+
+    known = WordMemo(encode_pieces, limit=300_000, longest=32)
+
+    def encode_words(words: list[str]) -> list:
+        out: list = [None] * len(words)
+        whole = [i for i, w in enumerate(words) if not plain(w) or any(t in w for t in added)]
+        for i, e in zip(whole, batch([words[i] for i in whole], add_special_tokens=False) if whole else []):
+            out[i] = e.ids
+        parts = [(i, split(w.lower())) for i, w in enumerate(words) if out[i] is None]
+        distinct = list({p for _, own in parts for p in own})
+        ids = dict(zip(distinct, known.lookup(distinct)))
+        for i, own in parts:
+            out[i] = b"".join([ids[p] for p in own])
+        return out
+
+    return WordMemo(encode_words)
 
 
 def encode_texts(texts: pa.Array, path: str, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
