@@ -44,9 +44,11 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-#: What the tokenizer's own rules split a word into, for words of letters below U+0250: those are lowered one by one and
-#: are in normal form already.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+#: Where the tokenizer's own rules cut a lower-case text, besides white space: before and after each of these.
+CUTS = r"('s|'t|'re|'ve|'m|'ll|'d|\p{N}|[^\x09-\x0d \p{L}\p{N}]+)"
+#: Texts for which CUTS and a lowering letter by letter are exact: white space, printable ASCII and Latin letters below
+#: U+0250 that are in normal form and have one lower letter, without the start of an added token.
+PLAIN = r"^[\x09-\x0d -~\x{a1}-\x{12f}\x{131}-\x{24f}]*$"
 
 
 def byte_characters() -> dict[int, str]:
@@ -58,41 +60,34 @@ def byte_characters() -> dict[int, str]:
 
 
 @lru_cache(maxsize=4)
-def _memo(path: str) -> WordMemo:
-    import regex
-
+def _memos(path: str) -> tuple[WordMemo, WordMemo]:
+    """Of words of any text, and of pieces of plain texts."""
     tokenizer = _tokenizer(path)
     batch = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     merge, characters = tokenizer.model.tokenize, byte_characters()
-    plain, split = regex.compile(r"[!-~\u00a1-\u024f]+").fullmatch, regex.compile(PIECES).findall
-
-    def encode_pieces(pieces: list[str]) -> list[list[int]]:
-        return [[t.id for t in merge(p if p.isascii() else p.encode().decode("latin-1").translate(characters))] for p in pieces]
-
-    known = WordMemo(encode_pieces, limit=300_000, longest=32)
 
-    def encode_words(words: list[str]) -> list:
-        out: list = [None] * len(words)
-        whole = [i for i, w in enumerate(words) if not plain(w) or any(t in w for t in added)]
-        for i, e in zip(whole, batch([words[i] for i in whole], add_special_tokens=False) if whole else []):
-            out[i] = e.ids
-        parts = [(i, split(w.lower())) for i, w in enumerate(words) if out[i] is None]
-        distinct = list({p for _, own in parts for p in own})
-        ids = dict(zip(distinct, known.lookup(distinct)))
-        for i, own in parts:
-            out[i] = b"".join([ids[p] for p in own])
-        return out
+    def pieces(words: list[str]) -> list[list[int]]:
+        return [[t.id for t in merge(p if p.isascii() else p.encode().decode("latin-1").translate(characters))] if p else [] for p in words]
 
-    return WordMemo(encode_words)
+    return WordMemo(lambda words: [e.ids for e in batch(words, add_special_tokens=False)], limit=50_000), WordMemo(pieces, limit=400_000, longest=32)
 
 
 def encode_texts(texts: pa.Array, path: str, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts and the offsets of each text's ids, with end_id after each.
 
     The vocabulary drops white space and no piece, normalisation or added token spans it, so a text's ids are its
-    words' ids; each word is encoded by the library."""
-    ids, offsets = _memo(path).encode(pc.ascii_split_whitespace(texts))
+    words' ids, and a plain text's are those that the library's merges make of its pieces."""
+    words, pieces = _memos(path)
+    plain = pc.and_(pc.match_substring_regex(texts, PLAIN), pc.invert(pc.match_substring(texts, "<|")))
+    cut = pc.replace_substring_regex(pc.utf8_lower(pc.if_else(plain, texts, "")), CUTS, r" \1 ")
+    ids, offsets = pieces.encode(pc.ascii_split_whitespace(cut))
+    odd = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+    if len(odd):
+        other, ends = words.encode(pc.ascii_split_whitespace(texts.take(pa.array(odd))))
+        parts = [ids[a:b] for a, b in zip(offsets, offsets[1:])]
+        for i, a, b in zip(odd, ends, ends[1:]):
+            parts[i] = other[a:b]
+        ids, offsets = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
     if end_id is None:
         return ids, offsets
     return np.insert(ids, offsets[1:], end_id), offsets + np.arange(len(offsets))
