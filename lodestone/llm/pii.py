@@ -1,0 +1,309 @@
+"""Personal data: validated patterns, and candidate spans selected by gradient-boosted trees; DataFrame functions only.
+
+Base kinds (email, ip, card, phone) are exact patterns with checks. Looser generators propose more spans, which may
+overlap; boosted trees score them by their format and context, and a calibrated threshold for each kind selects those
+that are added. Base spans always stay.
+
+The trees learn from weak labels: whether a loose span passes the strict check of its kind. The features leave these
+checks out, so the score tells how much a span looks like those that pass. All candidates are counted by feature vector
+in one aggregation; the vectors are few (the bins bound them), so trees are grown from the counts."""
+
+from __future__ import annotations
+
+import math
+from collections import defaultdict
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from .common import materialize
+
+BASE = ("email", "ip", "card", "phone")
+LOOSE = ("loose_email", "loose_ip", "loose_card", "loose_phone", "secret")
+KINDS = BASE + LOOSE
+
+# The base patterns. They match what the plain forms match, leftmost and longest; possessive quantifiers and
+# the look-behinds keep the search linear in texts without spaces (a match within a run can only start where one ended).
+PATTERNS = {
+    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
+    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "loose_email": r"(?<![^\s<>\"'(\[,;:])[^\s@<>\"'(\[,;:]++(?:@|\s?[\[(]at[\])]\s?)[^\s@<>\"')\],;]++",
+    "loose_ip": r"(?<![0-9.])[0-9]++(?:\.[0-9]++){2,7}+(?![0-9])",
+    "loose_card": r"(?<![0-9])[0-9](?:[\x20.-]?[0-9]){9,30}+(?![0-9])",
+    "loose_phone": r"(?<![0-9+(])\+?\(?[0-9](?:[\x20().-]{0,2}+[0-9]){6,16}+(?![0-9])",
+    "secret": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,40}+[0-9])[A-Za-z0-9+/_=-]{16,200}+(?![A-Za-z0-9+/_=-])",
+}
+#: What a text must have for a pattern to be tried.
+NEEDS = {"email": "@", "ip": "[0-9]\\.[0-9]", "card": "[0-9]", "phone": "\\+[0-9]", "loose_email": "@|[\\[(]at[\\])]", "loose_ip": "[0-9]\\.[0-9]", "loose_card": "[0-9]", "loose_phone": "[0-9]", "secret": "[0-9]"}
+
+# Words before a span that tell its kind.
+HINTS = {1: "e-?mail|mailto|contact|write", 2: "phone|tel|call|fax|mobile|cell|whatsapp", 3: "card|visa|master|amex|credit|iban|account|konto", 4: "ip|host|server|address|ping|node", 5: "key|token|secret|passw|pwd|api|auth|bearer"}
+#: Features and their bins; a vector has one bin of each, so there are at most the product of these.
+BINS = {"kind": 5, "long": 6, "share": 5, "groups": 5, "first": 5, "hint": 6, "before": 5, "after": 3, "digits": 7}
+ROUNDS, RATE, LEAST_WEIGHT, PRECISION = 40, 0.3, 20.0, 0.8
+
+
+def _starts(gaps: str, block: int = 64) -> str:
+    """Running sums of an array, in blocks, so that an array of n costs n * block and a little more."""
+    total = lambda a: f"aggregate({a}, 0L, (s, x) -> s + x)"
+    blocks = f"transform(sequence(0, (size({gaps}) - 1) div {block}), b -> {total(f'slice({gaps}, cast(b as int) * {block} + 1, {block})')})"
+    inner = total(f"slice(z.d, {block} * cast((i - 1) div {block} as int) + 1, cast((i - 1) % {block} as int) + 1)")
+    outer = total("slice(z.b, 1, cast((i - 1) div {0} as int))".format(block))
+    return f"flatten(transform(array(named_struct('d', {gaps}, 'b', {blocks})), z -> transform(sequence(1, size(z.d)), i -> {outer} + {inner})))"
+
+
+def _found(df: DataFrame, kind: str, text: str = "text") -> DataFrame:
+    """df with a column named by the kind: all matches in the text as structs of start, end (code points, end exclusive) and m."""
+    pattern = F.lit(PATTERNS[kind])
+    tried = F.col(text).rlike(NEEDS[kind])
+    out = df.withColumn("_m", F.when(tried, F.regexp_extract_all(F.col(text), pattern, F.lit(0))).otherwise(F.array().cast("array<string>")))
+    some = F.size("_m") > 0
+    gaps = F.expr("zip_with(slice(_p, 1, size(_m)), concat(array(0L), slice(transform(_m, x -> cast(length(x) as long)), 1, size(_m) - 1)), (x, y) -> x + y)")
+    out = out.withColumn("_p", F.when(some, F.transform(F.split(F.col(text), PATTERNS[kind], -1), lambda x: F.length(x).cast("long"))))
+    out = out.withColumn("_g", F.when(some, gaps)).withColumn("_s", F.when(some, F.expr(_starts("_g"))))
+    spans = F.zip_with("_s", "_m", lambda s, m: F.struct(s.alias("start"), (s + F.length(m)).alias("end"), m.alias("m")))
+    return out.withColumn(kind, F.when(some, spans).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,m:string>>"))).drop("_m", "_p", "_g", "_s")
+
+
+def luhn(digits: Column) -> Column:
+    """Whether the digits' check sum is divisible by ten."""
+    places = F.sequence(F.lit(1), F.length(digits))
+    value = lambda i: F.substr(F.reverse(digits), i, F.lit(1)).cast("int")
+    doubled = lambda v: F.when(v > 4, 2 * v - 9).otherwise(2 * v)
+    return F.aggregate(places, F.lit(0), lambda s, i: s + F.when(i % 2 == 0, doubled(value(i))).otherwise(value(i))) % 10 == 0
+
+
+def _digits(m: Column) -> Column:
+    return F.regexp_replace(m, "[^0-9]", "")
+
+
+def _octets(m: Column) -> Column:
+    return F.forall(F.split(m, r"\."), lambda x: (F.length(F.ltrim(x, F.lit("0"))) <= 3) & (F.concat(F.lit("0"), F.right(x, F.lit(3))).cast("int") <= 255))
+
+
+def valid(kind: str, m: Column) -> Column:
+    """The check that a match of a base kind must pass."""
+    n = F.length(_digits(m))
+    if kind == "ip":
+        return _octets(m)
+    if kind == "card":
+        return F.when(n.between(12, 19), luhn(_digits(m))).otherwise(False)
+    if kind == "phone":
+        return n.between(9, 15)
+    return F.lit(True)
+
+
+def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """A table (in the shared folder) with row (a number for each row of df), doc_id, the columns `keep`, base (spans that
+    pass: start, end, k) and loose (proposed spans: start, end, k, m and what stands before and after)."""
+    kept = [F.col(c).alias(f"keep_{c}") for c in keep]
+    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), *kept, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    for kind in KINDS:
+        rows = _found(rows, kind)
+
+    def passing(i: int, kind: str) -> Column:
+        kept = F.filter(kind, lambda x: valid(kind, x["m"]))
+        return F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(i).alias("k")))
+
+    def proposed(i: int, kind: str) -> Column:
+        before = lambda x: F.substring(F.col("text"), F.greatest(x["start"] - 23, F.lit(1)).cast("int"), F.least(x["start"], F.lit(24)).cast("int"))
+        after = lambda x: F.substring(F.col("text"), (x["end"] + 1).cast("int"), F.lit(1))
+        return F.transform(kind, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(i).alias("k"), F.left(x["m"], F.lit(256)).alias("m"), F.lower(before(x)).alias("before"), after(x).alias("after")))
+
+    base = [passing(i, k) for i, k in enumerate(BASE)]
+    loose = [proposed(i, k) for i, k in enumerate(LOOSE, len(BASE))]
+    return materialize(rows.select("row", "doc_id", *[f"keep_{c}" for c in keep], F.concat(*base).alias("base"), F.concat(*loose).alias("loose")), "pii")
+
+
+def features(spans: DataFrame) -> DataFrame:
+    """Exploded loose spans with their binned features and weak label."""
+    m, before, after = F.col("m"), F.col("before"), F.col("after")
+    n, size = F.length(_digits(m)), F.length(m)
+
+    def binned(value: Column, *edges: float) -> Column:
+        return reduce(lambda a, b: a + b, [(value >= e).cast("int") for e in edges])
+
+    hint = F.lit(0)
+    for value, words in HINTS.items():
+        hint = F.when(before.rlike(rf"(?:^|[^a-z])(?:{words})[a-z]*[^a-z]*$"), value).otherwise(hint)
+    head, last = F.left(m, F.lit(1)), F.right(before, F.lit(1))
+    kind = F.col("k") - len(BASE)
+    strict = [
+        m.rlike(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+        m.rlike(r"^[0-9]+(\.[0-9]+){3}$") & _octets(m),
+        F.when(n.between(12, 19), luhn(_digits(m))).otherwise(False),
+        m.rlike(r"^\+") & n.between(9, 15),
+        before.rlike(r"[=:]\s*[\"']?$") | m.rlike(r"^(AKIA|ghp_|sk-|xox)"),
+    ]
+    label = F.lit(False)
+    for i, check in enumerate(strict):
+        label = F.when(kind == i, check).otherwise(label)
+    # A secret's label is what stands before it, so its features leave that out.
+    bare = kind == LOOSE.index("secret")
+    return spans.withColumns({
+        "kind": kind,
+        "long": binned(size, 8, 12, 16, 20, 32),
+        "share": F.when(n == 0, 0).when(n == size, 4).otherwise(binned(n / size, 0.25, 0.5) + 1),
+        "groups": F.least(F.size(F.split(m, "[^A-Za-z0-9]+")) - 1, F.lit(4)),
+        "first": F.when(head.rlike("[0-9]"), 0).when(head == "+", 1).when(head == "(", 2).when(head.rlike("[a-z]"), 3).otherwise(4),
+        "hint": F.when(bare, 0).otherwise(hint),
+        "before": F.when(bare, 0).otherwise(F.when(last.rlike(r"^\s?$"), 0).when(last == "=", 1).when(last == ":", 2).when(last.isin('"', "'", "("), 3).otherwise(4)),
+        "after": F.when(after.rlike(r"^\s?$"), 0).when(after.rlike(r"^\p{P}$"), 1).otherwise(2),
+        "digits": binned(n, 4, 9, 12, 16, 17, 20),
+        "label": F.coalesce(label, F.lit(False)).cast("int"),
+    })
+
+
+Tree = tuple  # (feature, bin, if at most bin, else) or a number
+
+
+def grow(cells: list[tuple[dict, float, float]], depth: int) -> Tree | float:
+    """A tree from cells (vector, gradient, hessian), by the second-order gain of splits."""
+    g, h = sum(c[1] for c in cells), sum(c[2] for c in cells)
+    best = (1e-6, None, None)
+    if depth and h > 1e-9:
+        for f, n in BINS.items():
+            by = defaultdict(lambda: [0.0, 0.0])
+            for v, a, b in cells:
+                by[v[f]][0] += a
+                by[v[f]][1] += b
+            left = [0.0, 0.0]
+            for value in range(n - 1):
+                left = [x + y for x, y in zip(left, by[value])] if value in by else left
+                right = [g - left[0], h - left[1]]
+                if left[1] > 1e-9 and right[1] > 1e-9:
+                    gain = left[0] ** 2 / (left[1] + 1) + right[0] ** 2 / (right[1] + 1) - g * g / (h + 1)
+                    best = max(best, (gain, f, value), key=lambda x: x[0])
+    if best[1] is None:
+        return RATE * g / (h + 1)
+    _, f, value = best
+    return f, value, grow([c for c in cells if c[0][f] <= value], depth - 1), grow([c for c in cells if c[0][f] > value], depth - 1)
+
+
+def apply(tree: Tree | float, vector: dict) -> float:
+    while isinstance(tree, tuple):
+        tree = tree[2] if vector[tree[0]] <= tree[1] else tree[3]
+    return tree
+
+
+class Boosted:
+    """Trees, and the least score for each kind at which a span is added (None: never)."""
+
+    def __init__(self, bias: float, trees: list, thresholds: dict[int, float | None]):
+        self.bias, self.trees, self.thresholds = bias, trees, thresholds
+
+    def raw(self, vector: dict) -> float:
+        return self.bias + sum(apply(t, vector) for t in self.trees)
+
+    def column(self) -> Column:
+        def sql(tree) -> str:
+            return repr(float(tree)) + "D" if not isinstance(tree, tuple) else f"if({tree[0]} <= {tree[1]}, {sql(tree[2])}, {sql(tree[3])})"
+
+        return F.expr("1 / (1 + exp(-(" + " + ".join([repr(self.bias) + "D", *map(sql, self.trees)]) + ")))")
+
+    def selected(self) -> Column:
+        out = F.lit(False)
+        for kind, least in self.thresholds.items():
+            if least is not None:
+                out = out | ((F.col("kind") == kind) & (F.col("score") >= least - 1e-9))
+        return out
+
+
+def fit(counts: list[tuple[dict, int, int, int]]) -> Boosted:
+    """From (vector, label, part, count) over all candidates: trees from part 0, thresholds from part 1. The threshold of
+    a kind is the lowest score from which on PRECISION of its candidates are labelled, if they have LEAST_WEIGHT."""
+    train = [(v, y, n) for v, y, part, n in counts if part == 0]
+    positive, total = sum(n for _, y, n in train if y), sum(n for _, _, n in train)
+    share = min(max(positive / total, 1e-3), 1 - 1e-3) if total else 0.5
+    model = Boosted(math.log(share / (1 - share)), [], {})
+    raw = [model.bias] * len(train)
+    for _ in range(ROUNDS if 0 < positive < total else 0):
+        cells = []
+        for (v, y, n), r in zip(train, raw):
+            p = 1 / (1 + math.exp(-max(-30.0, min(30.0, r))))
+            cells.append((v, n * (y - p), n * p * (1 - p)))
+        tree = grow(cells, 3)
+        model.trees.append(tree)
+        raw = [r + apply(tree, v) for r, (v, _, _) in zip(raw, train)]
+    by_kind = defaultdict(lambda: defaultdict(lambda: [0, 0]))
+    for v, y, part, n in counts:
+        if part == 1:
+            score = 1 / (1 + math.exp(-max(-30.0, min(30.0, model.raw(v)))))
+            by_kind[v["kind"]][score][0] += n * y
+            by_kind[v["kind"]][score][1] += n
+    for kind, scores in by_kind.items():
+        good = weight = 0
+        model.thresholds[kind] = None
+        for score in sorted(scores, reverse=True):
+            good, weight = good + scores[score][0], weight + scores[score][1]
+            if weight >= LEAST_WEIGHT and good >= PRECISION * weight:
+                model.thresholds[kind] = score
+    return model
+
+
+def fit_candidates(found: DataFrame) -> Boosted:
+    loose = features(found.select("row", F.explode("loose").alias("x")).select("row", "x.*"))
+    part = (F.pmod(F.xxhash64("m"), F.lit(2))).cast("int").alias("part")
+    counts = loose.groupBy(*BINS, "label", part).count().collect()
+    return fit(sorted(((({f: r[f] for f in BINS}), r["label"], r["part"], r["count"]) for r in counts), key=str))
+
+
+def spans_of(found: DataFrame) -> DataFrame:
+    """row, start, end, k of all spans: the base ones, and the selected candidates that overlap none of them."""
+    model = fit_candidates(found)
+    base = found.select("row", F.explode("base").alias("x")).select("row", "x.*")
+    loose = features(found.select("row", F.explode("loose").alias("x")).select("row", "x.*"))
+    chosen = loose.withColumn("score", model.column()).where(model.selected()).select("row", "start", "end", "k")
+    both = base.unionByName(chosen)
+    own = F.col("k") < len(BASE)
+    order = Window.partitionBy("row").orderBy("start", "end", "k")
+    earlier = F.max(F.when(own, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    later = F.min(F.when(own, F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
+    marked = both.withColumn("clash", ~own & (F.coalesce(earlier > F.col("start"), F.lit(False)) | F.coalesce(later < F.col("end"), F.lit(False))))
+    return marked.where(~F.col("clash")).drop("clash").distinct()
+
+
+def _named(spans: Column) -> Column:
+    names = F.array(*map(F.lit, KINDS))
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["k"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+
+def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """For each row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256 (of the base spans as kind:start:end, by start and
+    kind) and spans (all spans, likewise). Places are code points of the whole text, ends exclusive.
+
+    A null text is empty; rows without spans have the digest of the empty string; repeated rows give repeated rows; other
+    columns are ignored; an empty table gives no rows."""
+    found = candidates(df, id_col, text_col)
+    extra = spans_of(found).where(F.col("k") >= len(BASE)).groupBy("row").agg(F.collect_list(F.struct("start", "k", "end")).alias("extra"))
+    rows = found.select("row", "doc_id", "base").join(extra, "row", "left")
+    base = F.array_sort(F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["k"].alias("k"), x["end"].alias("end"))))
+    everything = F.array_sort(F.concat(F.col("base"), F.coalesce("extra", F.array().cast("array<struct<start:bigint,k:int,end:bigint>>"))))
+    out = rows.withColumn("base", base)
+    counted = lambda i: F.size(F.filter("base", lambda x: x["k"] == i)).cast("long")
+    counts = [counted(i).alias(f"n_{k}") for i, k in enumerate(BASE)]
+    return out.select("doc_id", *counts, F.sha2(_named(F.col("base")), 256).alias("base_sha256"), _named(everything).alias("spans"))
+
+
+def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
+    """df with each span of personal data replaced by its kind in brackets (overlapping spans by that of the first), and
+    size_col, if df has it, brought up to date. Null texts stay null."""
+    names = df.columns
+    found = candidates(df, id_col, text_col, tuple(names))
+    spans = spans_of(found)
+    order = Window.partitionBy("row").orderBy("start", "k", "end")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = spans.withColumn("new", F.coalesce(F.col("start") >= before, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(order))
+    cuts = runs.groupBy("row", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("k", F.struct("start", "k")).alias("k"))
+    cuts = cuts.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "k"))).alias("cuts"))
+    text = F.col(f"keep_{text_col}")
+    kinds = F.array(*[F.lit(f"[{k.removeprefix('loose_')}]") for k in KINDS])
+    ends = F.expr("concat(array(0L), transform(cuts, x -> x.end))")
+    pieces = F.zip_with(F.slice(ends, 1, F.size("cuts")), "cuts", lambda end, x: F.concat(F.substr(text, (end + 1).cast("int"), (x["start"] - end).cast("int")), F.get(kinds, x["k"])))
+    cleaned = F.concat(F.array_join(pieces, ""), F.substr(text, (F.element_at(ends, -1) + 1).cast("int")))
+    out = found.join(cuts, "row", "left").withColumn("_clean", F.when(F.col("cuts").isNull(), text).otherwise(cleaned))
+    columns = [F.col("_clean").alias(c) if c == text_col else F.length("_clean").cast(dict(df.dtypes)[c]).alias(c) if c == size_col else F.col(f"keep_{c}").alias(c) for c in names]
+    return out.select(*columns)
