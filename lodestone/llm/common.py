@@ -160,5 +160,12 @@ def prefix_offsets(totals: list[tuple[int, ...]]) -> list[tuple[int, ...]]:
     return out
 
 
-def long_col(name: str):
-    return F.col(name).cast("long").alias(name)
+#: Ids that may be broadcast to drop or keep rows by (about 16 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 500_000
+
+
+def without_ids(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """df's rows whose id is not among `ids` (one column named id_col); rows with a null id stay."""
+    found = materialize(ids.where(F.col(id_col).isNotNull()).distinct(), "ids")
+    few = found.count() <= BROADCAST_IDS
+    return df.join(F.broadcast(found) if few else found, id_col, "left_anti").select(*df.columns)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, without_ids
 
 #: Words of a window, and of the shorter windows at every STEP-th place that find the documents to look into: each run of
 #: WINDOW words holds one of them (SEED + STEP - 1 <= WINDOW).
@@ -109,4 +109,4 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the documents that an item contaminates. Rows with a null id stay."""
     found = find_contamination(docs, benchmark, id_col, text_col)
-    return docs.join(found.select(F.col("doc_id").alias(id_col)).distinct(), id_col, "left_anti").select(*docs.columns)
+    return without_ids(docs, found.select(F.col("doc_id").alias(id_col)), id_col)

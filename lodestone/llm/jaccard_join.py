@@ -18,15 +18,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, list_parts, materialize, ragged_take, shuffle_partitions, text_chunks, texts_of
+from .common import BROADCAST_IDS, arrow_batches, list_parts, materialize, ragged_take, shuffle_partitions, text_chunks, texts_of, without_ids
 from .components import connected_components
 
 #: Longest extra prefix tried, and the estimated cost of verifying a candidate in units of one posting.
 MOST_MATCHES, VERIFY_COST = 12, 8
 #: Documents, and shingles, that one block compares at a time.
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 2_000_000
-#: Ids that may be broadcast (16 bytes each); beyond, the join is a shuffle.
-BROADCAST_IDS = 500_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -287,5 +285,5 @@ def jaccard_components(df: DataFrame, k: int = 4, num: int = 85, den: int = 100,
 def keep_one(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with one row of each component: the one whose id is the component's. Rows with a null id stay."""
     found = jaccard_components(df, k, num, den, id_col, text_col)
-    gone = found.where("doc_id is not null and component_id <> doc_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return df.join(gone, id_col, "left_anti")
+    gone = found.where("doc_id is not null and component_id <> doc_id").select(F.col("doc_id").alias(id_col))
+    return without_ids(df, gone, id_col)

@@ -170,3 +170,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame | None = None, model: Mode
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == HELD_OUT, F.lit(False))
     rows = docs.select(*keep, F.col("doc_id").cast("long").alias("_id"), held.alias("_held"), F.col("text").cast("string").alias("_text"))
     return rows.mapInArrow(score, ", ".join(["doc_id long, held_out boolean, score double, predicted int", *kept]))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame | None = None, model: Model | None = None) -> DataFrame:
+    """docs without the rows that score_toxicity() predicts to be toxic."""
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("own_row"))
+    kept = score_toxicity(rows, labels, model or fit_sample(docs, labels), keep=("own_row",)).where("predicted = 0")
+    return kept.select(*[F.col("own_row")[c].alias(c) for c in docs.columns])
