@@ -98,25 +98,43 @@ def _sampled(k: int):
     return run
 
 
-def _lonely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From all rows (h, key) of a partition by h: how many shingles of each key no other key has."""
-    tables = [b for b in batches if b.num_rows]
-    if not tables:
-        return
-    table = pa.Table.from_batches(tables)
-    h = table.column("h").to_numpy()
-    shared = table.column("key").is_null().to_numpy(zero_copy_only=False)
-    key = pc.fill_null(table.column("key"), 0).to_numpy()
-    order = np.lexsort((key, h))
-    h, key, shared = h[order], key[order], shared[order]
-    new = np.append(True, h[1:] != h[:-1])
-    group = np.cumsum(new) - 1
-    other = np.zeros(len(h), bool)
-    other[1:] = ~new[1:] & (key[1:] != key[:-1])
-    bad = np.bincount(group, shared | other) > 0
-    alone = new & ~bad[group]
-    keys, counts = np.unique(key[alone], return_counts=True)
-    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts.astype(np.int64))], names=["key", "alone"])
+def _lonely(buckets: int):
+    """From all rows (h, key) of a partition by h: how many shingles of each key no other key has. The counts are packed
+    by a hash of the key, one row for each bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = [b for b in batches if b.num_rows]
+        if not tables:
+            return
+        table = pa.Table.from_batches(tables)
+        h = table.column("h").to_numpy()
+        shared = table.column("key").is_null().to_numpy(zero_copy_only=False)
+        key = pc.fill_null(table.column("key"), 0).to_numpy()
+        order = np.lexsort((key, h))
+        h, key, shared = h[order], key[order], shared[order]
+        new = np.append(True, h[1:] != h[:-1])
+        group = np.cumsum(new) - 1
+        other = np.zeros(len(h), bool)
+        other[1:] = ~new[1:] & (key[1:] != key[:-1])
+        bad = np.bincount(group, shared | other) > 0
+        keys, counts = np.unique(key[new & ~bad[group]], return_counts=True)
+        bucket = (_mix(keys.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        keys, counts, bucket = keys[order], counts[order].astype(np.int32), bucket[order]
+        which, first = np.unique(bucket, return_index=True)
+        offsets = pa.array(np.append(first, len(keys)), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(which), pa.ListArray.from_arrays(offsets, pa.array(keys)), pa.ListArray.from_arrays(offsets, pa.array(counts))], names=["bucket", "keys", "counts"])
+
+    return run
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The packed counts of a partition by bucket, added up: one row for each key."""
+    parts = [(b.column("keys").flatten().to_numpy(), b.column("counts").flatten().to_numpy()) for b in batches if b.num_rows]
+    if parts:
+        keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        alone = np.bincount(at, np.concatenate([c for _, c in parts])).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(alone)], names=["key", "alone"])
 
 
 def _tokens(k: int):
@@ -237,9 +255,10 @@ def jaccard_components(df: DataFrame, k: int = 4, num: int = 85, den: int = 100,
     rows = materialize(docs.mapInArrow(_signatures(k), "doc_id long, n long, key long"), "signatures")
     nodes = materialize(rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"), F.max("n").alias("n")), "nodes")
 
-    alone = docs.mapInArrow(_sampled(k), "h long, key long").repartition(parts, "h").mapInArrow(_lonely, "key long, alone long")
+    packed = docs.mapInArrow(_sampled(k), "h long, key long").repartition(parts, "h").mapInArrow(_lonely(parts), "bucket int, keys array<long>, counts array<int>")
+    alone = packed.repartition(parts, "bucket").mapInArrow(_summed, "key long, alone long")
     free = F.col("n") - F.expr(f"(n * {num} + {den - 1}) div {den}")
-    out = materialize(alone.groupBy("key").agg(F.sum("alone").alias("alone")).join(nodes.select("key", "n"), "key").where(F.col("alone") > free).select("key"), "unlike")
+    out = materialize(alone.join(nodes.select("key", "n"), "key").where(F.col("alone") > free).select("key"), "unlike")
     left = materialize(nodes.join(out, "key", "left_anti"), "alike")
 
     wanted = left.select(F.col("low").alias("doc_id")).where("doc_id is not null").distinct()
