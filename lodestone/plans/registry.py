@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import core, maintenance  # noqa: F401  registers its queries on import
+
 
 def queries() -> dict:
-    return {}
+    return dict(core.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(core.SQL)
