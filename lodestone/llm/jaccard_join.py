@@ -25,6 +25,8 @@ from .components import connected_components
 MOST_MATCHES, VERIFY_COST = 12, 8
 #: Documents, and shingles, that one block compares at a time.
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 2_000_000
+#: Copies from which on a set is joined to its rows by broadcast.
+HOT_COPIES = 256
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -298,7 +300,17 @@ def jaccard_components(df: DataFrame, k: int = 4, num: int = 85, den: int = 100,
     lows = known.groupBy("label").agg(F.min("low").alias("component_id"))
     linked = known.join(lows, "label").select("key", "component_id").join(links.groupBy("key").agg(F.sum("links").alias("links")), "key", "left")
     final = nodes.join(linked, "key", "left").select("key", F.coalesce("component_id", "low").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return rows.join(final, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    final = materialize(final.join(nodes.where(F.col("copies") > HOT_COPIES).select("key", F.lit(True).alias("hot")), "key", "left"), "final")
+    # Sets with very many copies are few, so they meet their rows by broadcast and no task gets all the copies.
+    hot, cold = final.where("hot").drop("hot"), final.where("hot is null").drop("hot")
+    few = hot.count() <= BROADCAST_IDS
+    full, bare = rows.where("key is not null"), rows.where("key is null")
+    if few:
+        joined = full.join(F.broadcast(hot), "key").unionByName(full.join(F.broadcast(hot.select("key")), "key", "left_anti").join(cold, "key"))
+    else:
+        joined = full.join(final.drop("hot"), "key")
+    out = joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("n_links").cast("long").alias("n_links"))
+    return out.unionByName(bare.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")))
 
 
 def keep_one(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
