@@ -68,10 +68,10 @@ def decode_text(content: Column) -> Column:
     """Text by its byte order mark (UTF-8, UTF-16), else as UTF-8."""
     head = F.hex(F.substring(content, 1, 3))
     return (
-        F.when(head.startswith("EFBBBF"), F.decode(F.substr(content, F.lit(4)), F.lit("UTF-8")))
-        .when(head.startswith("FFFE"), F.decode(F.substr(content, F.lit(3)), F.lit("UTF-16LE")))
-        .when(head.startswith("FEFF"), F.decode(F.substr(content, F.lit(3)), F.lit("UTF-16BE")))
-        .otherwise(F.decode(content, F.lit("UTF-8")))
+        F.when(head.startswith("EFBBBF"), F.decode(F.substr(content, F.lit(4)), "UTF-8"))
+        .when(head.startswith("FFFE"), F.decode(F.substr(content, F.lit(3)), "UTF-16LE"))
+        .when(head.startswith("FEFF"), F.decode(F.substr(content, F.lit(3)), "UTF-16BE"))
+        .otherwise(F.decode(content, "UTF-8"))
     )
 
 
