@@ -42,7 +42,7 @@ def allocate(token_ends: np.ndarray, starts: np.ndarray, rule: str) -> np.ndarra
     one that holds most of its bytes, ties to the earlier one (most)."""
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
-    token_starts = np.concatenate([[0], token_ends[:-1]])
+    token_starts = np.concatenate([[0], token_ends])[: len(token_ends)].astype(np.int64)
     first = np.searchsorted(starts, token_starts, "right") - 1
     if rule == "start":
         return first
