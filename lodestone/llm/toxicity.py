@@ -68,8 +68,8 @@ class Model:
 
 class Scorer:
     def __init__(self, model: Model):
-        # A match of 7 bytes at least can only be a whole code, and each code is the only one of its hash.
-        rules = zstandard.ZstdCompressionParameters(window_log=20, hash_log=18, chain_log=18, search_log=3, min_match=7, strategy=zstandard.STRATEGY_GREEDY, write_content_size=False)
+        # Matches of 6 bytes and more are of whole codes, and a code is the only one of its hash (greedy search hashes 6 at most).
+        rules = zstandard.ZstdCompressionParameters(window_log=20, hash_log=18, chain_log=18, search_log=3, min_match=6, strategy=zstandard.STRATEGY_GREEDY, write_content_size=False)
         self.coder, self.weights, self.sides = Coder(), np.array(model.weights), []
         for own in (model.filler, model.toxic):
             data = zstandard.ZstdCompressionDict(own + model.common, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
