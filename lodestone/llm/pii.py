@@ -55,17 +55,21 @@ def _starts(gaps: str, block: int = 64) -> str:
     return f"flatten(transform(array(named_struct('d', {gaps}, 'b', {blocks})), z -> transform(sequence(1, size(z.d)), i -> {outer} + {inner})))"
 
 
-def _found(df: DataFrame, kind: str, text: str = "text") -> DataFrame:
-    """df with a column named by the kind: all matches in the text as structs of start, end (code points, end exclusive) and m."""
-    pattern = F.lit(PATTERNS[kind])
-    tried = F.col(text).rlike(NEEDS[kind])
-    out = df.withColumn("_m", F.when(tried, F.regexp_extract_all(F.col(text), pattern, F.lit(0))).otherwise(F.array().cast("array<string>")))
-    some = F.size("_m") > 0
-    gaps = F.expr("zip_with(slice(_p, 1, size(_m)), concat(array(0L), slice(transform(_m, x -> cast(length(x) as long)), 1, size(_m) - 1)), (x, y) -> x + y)")
-    out = out.withColumn("_p", F.when(some, F.transform(F.split(F.col(text), PATTERNS[kind], -1), lambda x: F.length(x).cast("long"))))
-    out = out.withColumn("_g", F.when(some, gaps)).withColumn("_s", F.when(some, F.expr(_starts("_g"))))
-    spans = F.zip_with("_s", "_m", lambda s, m: F.struct(s.alias("start"), (s + F.length(m)).alias("end"), m.alias("m")))
-    return out.withColumn(kind, F.when(some, spans).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,m:string>>"))).drop("_m", "_p", "_g", "_s")
+def _found(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with a column for each kind: all matches in the text as structs of start, end (code points, end exclusive) and m.
+
+    Each step is one projection for all kinds, so the plan is a few projections deep."""
+    spans = "array<struct<start:bigint,end:bigint,m:string>>"
+    matches = {f"_m_{k}": F.when(F.col(text).rlike(NEEDS[k]), F.regexp_extract_all(F.col(text), F.lit(PATTERNS[k]), F.lit(0))).otherwise(F.array().cast("array<string>")) for k in KINDS}
+    some = lambda k: F.size(f"_m_{k}") > 0
+    between = {f"_p_{k}": F.when(some(k), F.transform(F.split(F.col(text), PATTERNS[k], -1), lambda x: F.length(x).cast("long"))) for k in KINDS}
+    gaps = {f"_g_{k}": F.when(some(k), F.expr(f"zip_with(slice(_p_{k}, 1, size(_m_{k})), concat(array(0L), slice(transform(_m_{k}, x -> cast(length(x) as long)), 1, size(_m_{k}) - 1)), (x, y) -> x + y)")) for k in KINDS}
+    starts = {f"_s_{k}": F.when(some(k), F.expr(_starts(f"_g_{k}"))) for k in KINDS}
+    found = {k: F.when(some(k), F.zip_with(f"_s_{k}", f"_m_{k}", lambda s, m: F.struct(s.alias("start"), (s + F.length(m)).alias("end"), m.alias("m")))).otherwise(F.array().cast(spans)) for k in KINDS}
+    out = df
+    for step in (matches, between, gaps, starts, found):
+        out = out.withColumns(step)
+    return out.drop(*matches, *between, *gaps, *starts)
 
 
 def luhn(digits: Column) -> Column:
@@ -101,8 +105,7 @@ def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     pass: start, end, k) and loose (proposed spans: start, end, k, m and what stands before and after)."""
     kept = [F.col(c).alias(f"keep_{c}") for c in keep]
     rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), *kept, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    for kind in KINDS:
-        rows = _found(rows, kind)
+    rows = _found(rows)
 
     def passing(i: int, kind: str) -> Column:
         kept = F.filter(kind, lambda x: valid(kind, x["m"]))
@@ -204,11 +207,12 @@ class Boosted:
 
         return F.expr("1 / (1 + exp(-(" + " + ".join([repr(self.bias) + "D", *map(sql, self.trees)]) + ")))")
 
-    def selected(self) -> Column:
-        out = F.lit(False)
+    def least(self) -> Column:
+        """The threshold of a span's kind, or null."""
+        out = F.lit(None).cast("double")
         for kind, least in self.thresholds.items():
             if least is not None:
-                out = out | ((F.col("kind") == kind) & (F.col("score") >= least - 1e-9))
+                out = F.when(F.col("kind") == kind, least - 1e-9).otherwise(out)
         return out
 
 
@@ -244,19 +248,21 @@ def fit(counts: list[tuple[dict, int, int, int]]) -> Boosted:
     return model
 
 
-def fit_candidates(found: DataFrame) -> Boosted:
-    loose = features(found.select("row", F.explode("loose").alias("x")).select("row", "x.*"))
-    part = (F.pmod(F.xxhash64("m"), F.lit(2))).cast("int").alias("part")
-    counts = loose.groupBy(*BINS, "label", part).count().collect()
+def fit_candidates(loose: DataFrame) -> Boosted:
+    """The model from features() of all candidates; one row for each vector, label and part goes to the driver."""
+    counts = loose.groupBy(*BINS, "label", "part").count().collect()
     return fit(sorted(((({f: r[f] for f in BINS}), r["label"], r["part"], r["count"]) for r in counts), key=str))
 
 
 def spans_of(found: DataFrame) -> DataFrame:
-    """row, start, end, k of all spans: the base ones, and the selected candidates that overlap none of them."""
-    model = fit_candidates(found)
+    """row, start, end, k of all spans: the base ones, and the selected candidates that overlap none of them.
+
+    The candidates' features are written once; the model is fit on them and its trees only see plain columns."""
+    part = F.pmod(F.xxhash64("m"), F.lit(2)).cast("int").alias("part")
+    loose = materialize(features(found.select("row", F.explode("loose").alias("x")).select("row", "x.*")).select("row", "start", "end", "k", *BINS, "label", part), "pii-features")
+    model = fit_candidates(loose)
     base = found.select("row", F.explode("base").alias("x")).select("row", "x.*")
-    loose = features(found.select("row", F.explode("loose").alias("x")).select("row", "x.*"))
-    chosen = loose.withColumn("score", model.column()).where(model.selected()).select("row", "start", "end", "k")
+    chosen = loose.where(model.column() >= model.least()).select("row", "start", "end", "k")
     both = base.unionByName(chosen)
     own = F.col("k") < len(BASE)
     order = Window.partitionBy("row").orderBy("start", "end", "k")
