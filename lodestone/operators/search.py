@@ -185,12 +185,17 @@ def rerank(hits: DataFrame, query: str) -> DataFrame:
     return hits.withColumn("score", F.col("score") * (1 + 0.8 * share) * (1 + 0.12 * F.log2(1.0 + F.col("inbound"))))
 
 
-def hits_of(index: Index, entities: DataFrame, edges: DataFrame, chunks: DataFrame, query: str, mode: str, kind: str = "", path_prefix: str = "") -> DataFrame:
+def hits_of(index: Index, entities: DataFrame, chunks: DataFrame, query: str, mode: str, kind: str = "", path_prefix: str = "") -> DataFrame:
+    """The best chunk of each entity that matches, demoted and filtered."""
     ranked = rank_chunks(index, query, mode).join(chunks.select(F.col("id").alias("chunk_id"), "entity_id", F.col("kind").alias("chunk_kind")), "chunk_id")
     owned = ranked.join(entities.select(F.col("id").alias("entity_id"), "id", "kind", "name", "path", "detail"), "entity_id")
-    best = best_chunks(demote(owned), kind, path_prefix)
-    inbound = edges.join(best.select(F.col("id").alias("dst")), "dst", "left_semi").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("inbound"))
-    return best.join(inbound, "id", "left").withColumn("inbound", F.coalesce("inbound", F.lit(0)))
+    return best_chunks(demote(owned), kind, path_prefix)
+
+
+def with_inbound(hits: DataFrame, edges: DataFrame) -> DataFrame:
+    """hits with the number of edges that point to them."""
+    inbound = edges.join(hits.select(F.col("id").alias("dst")), "dst", "left_semi").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("inbound"))
+    return hits.join(inbound, "id", "left").withColumn("inbound", F.coalesce("inbound", F.lit(0)))
 
 
 def search(index: Index, entities: DataFrame, edges: DataFrame, chunks: DataFrame, query: str, kind: str = "", limit: int = 20, offset: int = 0, path_prefix: str = "", modes: tuple[str, ...] = ("and", "or", "prefix")) -> DataFrame:
@@ -203,10 +208,11 @@ def search(index: Index, entities: DataFrame, edges: DataFrame, chunks: DataFram
     single = len(query_terms(query)) <= 1
     tried = [m for m in modes if not (m == "or" and single)]
     for i, mode in enumerate(tried):
-        found = hits_of(index, entities, edges, chunks, query, mode, kind, path_prefix)
-        if i == len(tried) - 1 or not found.isEmpty():
+        found = hits_of(index, entities, chunks, query, mode, kind, path_prefix)
+        top = cut(found.orderBy("score", "id").limit(fetch))  # `fetch` rows, computed once for the test and the page
+        if i == len(tried) - 1 or not top.isEmpty():
             break
-    top = found.orderBy("score", "id").limit(fetch)
+    top = with_inbound(top, edges)
     return rerank(top, query).withColumn("score", F.round("score", 6)).orderBy("score", "id").offset(offset).limit(limit).select("id", "kind", "name", "score", "chunk_id", "chunk_kind", "inbound")
 
 

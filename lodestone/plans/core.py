@@ -151,7 +151,7 @@ def _hits_sql(words: list[str], mode: str = "and") -> str:
 
 
 def _hits(p: Project, words: str, mode: str = "and", **filters) -> DataFrame:
-    return search.hits_of(search.Index.build(p.chunks), p.entities, p.edges, p.chunks, words, mode, **filters)
+    return search.hits_of(search.Index.build(p.chunks), p.entities, p.chunks, words, mode, **filters)
 
 
 _SHOW = "SELECT id, kind, chunk_id, round(score, 6) AS score FROM best {0} ORDER BY 4, 1 LIMIT 20"
