@@ -15,17 +15,19 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_chunks, texts_of
+from .common import materialize, text_chunks, texts_of
 
-#: Labelled documents of either class that the model learns from at most (smallest id hashes), and characters of each.
+#: Labelled documents of either class that the dictionaries learn from at most (smallest id hashes), and characters of each.
 SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_CHARS = 3000, 6000, 30_000
 STEM, WINDOW, COMMON = 5, 24, 8000
 #: A code is toxic if it follows so many different codes in toxic text, and so many times its share in ordinary text.
 PLACES, RATIO = 6, 8.0
 THRESHOLD, HELD_OUT = 0.3, 2
+#: Bins of one unit of the logistic's argument, in which the F1 score is looked at.
+BINS = 256
 WORD = r"[^\W\d_]+"
 
 
@@ -90,23 +92,47 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, pull: float = 1e-3, rounds: int = 30) -> np.ndarray:
-    w = np.zeros(x.shape[1])
+def _argument(weights: np.ndarray) -> Column:
+    return sum((float(w) * F.col(f"f{i}") for i, w in enumerate(weights[1:], 1)), F.lit(float(weights[0])))
+
+
+def _logistic(rows: DataFrame, total: float, pull: float = 1e-3, rounds: int = 30) -> np.ndarray:
+    """Newton's method over rows (toxic, weight, f1 to f4) where they lie; the driver sees the sums of a round."""
+    w = np.zeros(5)
+    x = [F.lit(1.0), *(F.col(f"f{i}") for i in range(1, 5))]
+    above = [(i, j) for i in range(5) for j in range(i, 5)]
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x / len(y) + pull * np.eye(len(w))
-        w = w - np.linalg.solve(h, x.T @ (p - y) / len(y) + pull * w)
+        p = 1 / (1 + F.exp(-F.greatest(F.least(_argument(w), F.lit(30.0)), F.lit(-30.0))))
+        each = rows.withColumn("_p", p).withColumn("_g", F.col("weight") * (F.col("_p") - F.col("toxic"))).withColumn("_h", F.col("weight") * F.col("_p") * (1 - F.col("_p")))
+        sums = each.agg(*[F.sum(F.col("_h") * x[i] * x[j]) for i, j in above], *[F.sum(F.col("_g") * v) for v in x]).first()
+        h = pull * np.eye(5)
+        for (i, j), v in zip(above, sums):
+            h[i, j] += v / total
+            h[j, i] = h[i, j]
+        step = np.linalg.solve(h, np.array(sums[len(above) :]) / total + pull * w)
+        w = w - step
+        if np.abs(step).max() < 1e-8:
+            break
     return w
 
 
-def fit(texts: list[str], toxic: list[int]) -> Model:
-    """Dictionaries from three in five documents; the calibration, and the place of THRESHOLD (where the F1 score is
-    best), from the others. Without both classes, scores are the share of toxic documents."""
-    y = np.array(toxic, float)
-    coder, learn = Coder(), np.arange(len(texts)) % 5 < 3
+def _best_cut(rows: DataFrame, weights: np.ndarray) -> float:
+    """Where the F1 score of rows (toxic, weight, f1 to f4) is best, from a histogram of the logistic's argument."""
+    z = F.greatest(F.least(_argument(weights), F.lit(60.0)), F.lit(-60.0))
+    bins = rows.select("toxic", "weight", z.alias("z")).groupBy(F.floor(F.col("z") * BINS).alias("bin"))
+    bins = bins.agg(F.sum("weight").alias("all"), F.sum(F.col("weight") * F.col("toxic")).alias("hits"), F.min("z").alias("low"), F.max("z").alias("high")).collect()
+    bins.sort(key=lambda r: -r["bin"])
+    hits, found = np.cumsum([r["hits"] for r in bins]), np.cumsum([r["all"] for r in bins])
+    best = int(np.argmax(2 * hits / (found + hits[-1])))
+    return (bins[best]["low"] + bins[min(best + 1, len(bins) - 1)]["high"]) / 2 if best + 1 < len(bins) else bins[best]["low"]
+
+
+def dictionaries(texts: list[str], toxic: list[int]) -> Model:
+    """The model without weights."""
+    y, coder = np.array(toxic, float), Coder()
     coded = [coder(t) for t in texts]
-    codes, places = _places([c for c, own, v in zip(coded, learn, y) if own and v == 1])
-    other, other_places = _places([c for c, own, v in zip(coded, learn, y) if own and v == 0])
+    codes, places = _places([c for c, v in zip(coded, y) if v == 1])
+    other, other_places = _places([c for c, v in zip(coded, y) if v == 0])
     everywhere = np.zeros(len(codes))
     both, at, there = np.intersect1d(codes, other, return_indices=True)
     everywhere[at] = other_places[there]
@@ -119,34 +145,55 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     joined, weight = joined[keep], weight[keep]
     common = joined[np.lexsort((joined, -weight))[:COMMON]][::-1]
     filler = np.random.default_rng(7).bytes(8 * max(1, len(special)))
-    model = Model(common.tobytes(), special.tobytes() or bytes(8), filler, [0.0] * 5)
-    rest = ~learn
-    if len(set(y[rest].tolist())) < 2:
-        share = float(np.clip(y.mean() if len(y) else 0.1, 1e-3, 1 - 1e-3))
-        model.weights = [float(np.log(share / (1 - share))), 0.0, 0.0, 0.0, 0.0]
-        return model
-    scorer = model.scorer()
-    x = np.array([scorer.features(t) for t, own in zip(texts, rest) if own])
-    w = _logistic(x, y[rest])
-    z, labels = x @ w, y[rest]
-    order = np.argsort(-z, kind="stable")
-    hits = np.cumsum(labels[order])
-    f1 = 2 * hits / (np.arange(1, len(z) + 1) + labels.sum())
-    best = int(np.argmax(f1))
-    cut = (z[order[best]] + z[order[min(best + 1, len(z) - 1)]]) / 2
-    w[0] += np.log(THRESHOLD / (1 - THRESHOLD)) - cut
-    model.weights = w.tolist()
-    return model
+    return Model(common.tobytes(), special.tobytes() or bytes(8), filler, [0.0] * 5)
+
 
+def _with_features(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id and f1 to f4 of each row of docs (doc_id, text), over the whole text."""
 
-def fit_sample(docs: DataFrame, labels: DataFrame) -> Model:
-    """The model from a bounded sample of the labelled documents that aren't held out."""
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = model.scorer()
+        for whole in batches:
+            for batch in text_chunks(whole):
+                x = np.array([scorer.features(t) for t in texts_of(batch).to_pylist()]).reshape(batch.num_rows, -1)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(np.ascontiguousarray(x[:, i])) for i in range(1, 5))], names=["doc_id", "f1", "f2", "f3", "f4"])
+
+    return docs.mapInArrow(features, "doc_id long, f1 double, f2 double, f3 double, f4 double")
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """The model from the labelled documents that aren't held out.
+
+    The dictionaries learn from a bounded sample of three in five of them; the calibration, and the place of THRESHOLD
+    (where the F1 score is best), come from all others, weighted so that each class has its share of all labelled
+    documents. Only features are joined with the labels, no texts. Without both classes among the others, scores are the
+    share of toxic documents."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
-    known = labels.where("doc_id is not null and toxic in (0, 1)").where(fold != HELD_OUT).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("doc_id"))
-    sample = known.where("toxic = 1").orderBy("h", "doc_id").limit(SAMPLE_TOXIC).unionByName(known.where("toxic = 0").orderBy("h", "doc_id").limit(SAMPLE_ORDINARY))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring(F.coalesce(F.col("text").cast("string"), F.lit("")), 1, SAMPLE_CHARS).alias("text"))
-    rows = sorted((r["h"], r["doc_id"], r["text"], r["toxic"]) for r in texts.join(F.broadcast(sample), "doc_id").collect())
-    return fit([r[2] for r in rows], [r[3] for r in rows])
+    known = labels.where("doc_id is not null and toxic in (0, 1)").where(fold != HELD_OUT).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")).withColumn("h", F.xxhash64("doc_id"))
+    learn = known.where("pmod(h, 5) < 3")
+    sample = materialize(learn.where("toxic = 1").orderBy("h", "doc_id").limit(SAMPLE_TOXIC).unionByName(learn.where("toxic = 0").orderBy("h", "doc_id").limit(SAMPLE_ORDINARY)), "toxicity-sample")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    short = texts.withColumn("text", F.substring("text", 1, SAMPLE_CHARS))
+    rows = sorted((r["h"], r["doc_id"], r["text"], r["toxic"]) for r in short.join(F.broadcast(sample), "doc_id").collect())
+    model = dictionaries([r[2] for r in rows], [r[3] for r in rows])
+    del rows
+
+    learned = F.broadcast(sample.select("doc_id", F.lit(True).alias("learned")))
+    scored = _with_features(texts.where(fold != HELD_OUT), model).join(known.select("doc_id", "toxic"), "doc_id").join(learned, "doc_id", "left")
+    scored = materialize(scored.select("toxic", F.coalesce("learned", F.lit(False)).alias("learned"), "f1", "f2", "f3", "f4"), "toxicity-features")
+    counts = {r["toxic"]: (r["all"], r["others"]) for r in scored.groupBy("toxic").agg(F.count("*").alias("all"), F.sum(F.expr("if(learned, 0, 1)")).alias("others")).collect()}
+    total = sum(n for n, _ in counts.values())
+    if any(not counts.get(c, (0, 0))[1] for c in (0, 1)):
+        share = float(np.clip(counts.get(1, (0, 0))[0] / total if total else 0.1, 1e-3, 1 - 1e-3))
+        model.weights = [float(np.log(share / (1 - share))), 0.0, 0.0, 0.0, 0.0]
+        return model
+    weight = F.when(F.col("toxic") == 1, counts[1][0] / counts[1][1]).otherwise(counts[0][0] / counts[0][1])
+    others = scored.where("not learned").select(F.col("toxic").cast("double").alias("toxic"), weight.alias("weight"), "f1", "f2", "f3", "f4")
+    w = _logistic(others, total)
+    w[0] += np.log(THRESHOLD / (1 - THRESHOLD)) - _best_cut(others, w)
+    # Sums depend on the order of rows in their last digits.
+    model.weights = [round(float(v), 9) for v in w]
+    return model
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame | None = None, model: Model | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -156,7 +203,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame | None = None, model: Mode
     logistic of the windows' gains over the whole text; predicted is 1 from THRESHOLD on. Scoring is one pass where the
     rows lie. Null and empty texts, and texts without letters, have the score of no evidence; repeated rows give
     repeated rows; an empty table gives none; a null id is not held out."""
-    fitted = model or fit_sample(docs, labels)
+    fitted = model or fit(docs, labels)
     kept = [f"`{n}` {k}" for n, k in docs.select(*keep).dtypes]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,5 +222,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame | None = None, model: Mode
 def drop_toxic(docs: DataFrame, labels: DataFrame | None = None, model: Model | None = None) -> DataFrame:
     """docs without the rows that score_toxicity() predicts to be toxic."""
     rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("own_row"))
-    kept = score_toxicity(rows, labels, model or fit_sample(docs, labels), keep=("own_row",)).where("predicted = 0")
+    kept = score_toxicity(rows, labels, model or fit(docs, labels), keep=("own_row",)).where("predicted = 0")
     return kept.select(*[F.col("own_row")[c].alias(c) for c in docs.columns])

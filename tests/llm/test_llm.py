@@ -276,6 +276,32 @@ def test_toxicity_learns_from_its_folds_only(spark):
     assert toxicity.score_toxicity(docs.limit(0), known).count() == 0 and toxicity.score_toxicity(docs, known.limit(0)).count() == len(rows)
 
 
+def test_toxicity_is_calibrated_to_the_share_of_all_labels(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_TOXIC", 200)
+    monkeypatch.setattr(toxicity, "SAMPLE_ORDINARY", 200)
+    random.seed(5)
+    vocabulary = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in ("rn", "st", "lm", "nd", "ck")]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    bad = ["".join(random.choice(letters) for _ in range(7)) for _ in range(6)]
+    rows, labels, mild = [], [], set()
+    for i in range(4000):
+        toxic = i % 10 == 0
+        n = random.choice((1, 8)) if toxic else int(random.random() < 0.2)  # one such word says toxic in a balanced sample only
+        words = [random.choice(vocabulary) + random.choice(vocabulary) for _ in range(20)]
+        for place in random.sample(range(20), n):
+            words[place] = random.choice(bad)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+        if n == 1 and not toxic:
+            mild.add(i)
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = [r for r in toxicity.score_toxicity(docs, known).collect() if r["held_out"]]
+    flagged = [r["predicted"] for r in got if r["doc_id"] in mild]
+    assert len(flagged) > 100 and sum(flagged) < 0.1 * len(flagged)
+    caught = [r["predicted"] for r in got if r["doc_id"] % 10 == 0]
+    assert sum(caught) > 0.35 * len(caught)
+
+
 # --- HTML
 
 
