@@ -4,7 +4,10 @@ A text becomes a sequence of template words: lower-case words without punctuatio
 and names (capitalised words within a sentence) are typed placeholders. Windows of template words are hash-joined with
 those of the benchmark items; where they hold placeholders, the values that stand in one alignment of document and item
 must map each value of the item to one value of the document. So a question that was asked again with other numbers or
-names is found, and a chance agreement of templates is not."""
+names is found, and a chance agreement of templates is not.
+
+Beside them stand windows of the plain lower-case words at the same places, without placeholders and with no least number
+of literals, so that verbatim copies are found whatever their case, spacing and place in a sentence."""
 
 from __future__ import annotations
 
@@ -17,12 +20,12 @@ from .common import materialize, without_ids
 #: WINDOW words holds one of them (SEED + STEP - 1 <= WINDOW).
 WINDOW, SEED, STEP = 8, 6, 3
 #: A document is contaminated by an item of whose words this share is found, or of which one alignment holds so many
-#: windows (13 words and more); windows need so many words that aren't placeholders.
+#: windows (13 words and more); template windows need so many words that aren't placeholders.
 COVERAGE, LONG_RUN, LITERALS = 0.5, 6, 4
 #: Rows of item windows, and ids of documents to look into, that may be broadcast (40 and 16 bytes each).
 BROADCAST_ROWS = 1_000_000
 
-NUMBER, UNIT, NAME = "\ue000", "\ue001", "\ue002"  # letters for private use
+NUMBER, UNIT, NAME, MARK = "\ue000", "\ue001", "\ue002", "\ue003"  # letters for private use; MARK stands before a name
 MARKS = f"array('{NUMBER}', '{UNIT}', '{NAME}')"
 # Units of measure and money that stand after numbers.
 UNITS = "kg|g|mg|t|lb|lbs|oz|km|m|cm|mm|nm|mi|mile|miles|ft|feet|foot|inch|inches|yd|yards|l|ml|cl|liter|liters|litre|litres|gallon|gallons|s|sec|second|seconds|min|minute|minutes|h|hr|hour|hours|day|days|week|weeks|month|months|year|years|kmh|mph|hz|khz|mhz|ghz|w|kw|mw|kwh|v|a|j|kj|n|pa|kpa|bar|k|c|f|degrees|percent|%|usd|eur|gbp|dollars|dollar|cents|cent|euros|euro|pounds|pound|kilometers|kilometres|meters|metres|meter|metre|grams|gram|kilograms|kilogram|tons|tonnes|kb|mb|gb|tb"
@@ -30,7 +33,7 @@ UNITS = "kg|g|mg|t|lb|lbs|oz|km|m|cm|mm|nm|mi|mile|miles|ft|feet|foot|inch|inche
 
 def _marked(text: Column) -> Column:
     """Lower case with names marked, decimal signs joined and units cut off their numbers; no word is lost or joined."""
-    named = F.regexp_replace(text, r"(?=\p{Lu}\p{Ll})(?<=[\p{L}\p{N},;:)] )", "_n")
+    named = F.regexp_replace(text, r"(?=\p{Lu}\p{Ll})(?<=[\p{L}\p{N},;:)]\s{1,16})", MARK)
     low = F.lower(named)
     numbers = F.regexp_replace(F.regexp_replace(low, "(?<=[0-9])[.,:/](?=[0-9])", "_"), r"([0-9])(?=[\p{L}%])", "$1 ")
     return F.when(low.rlike("[0-9]"), numbers).otherwise(low)
@@ -41,17 +44,22 @@ def _templated(marked: Column) -> Column:
     numbers = F.regexp_replace(marked, r"(?<![\p{L}\p{N}_%])[0-9][0-9_]*+(?![\p{L}%])", NUMBER)
     units = F.regexp_replace(numbers, rf"(?<={NUMBER} )(?:{UNITS})(?![\p{{L}}\p{{N}}_%])", UNIT)
     out = F.when(marked.rlike("[0-9]"), units).otherwise(marked)
-    return F.when(out.contains("_n"), F.regexp_replace(out, r"(?<![\p{L}\p{N}_%])_n[\p{L}\p{N}_]++", NAME)).otherwise(out)
+    return F.when(out.contains(MARK), F.regexp_replace(out, rf"{MARK}[\p{{L}}\p{{N}}_]++", NAME)).otherwise(out)
 
 
 def _words(text: Column) -> Column:
-    return F.array_remove(F.split(text, rf"[^\p{{L}}\p{{N}}_%{NUMBER}{UNIT}{NAME}]+"), "")
+    return F.array_remove(F.split(text, rf"[^\p{{L}}\p{{N}}_%{NUMBER}{UNIT}{NAME}{MARK}]+"), "")
+
+
+def _unmarked(marked: Column) -> Column:
+    return F.translate(marked, MARK, "")
 
 
 def template_words(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """df with t (template words) and r (marked words), of one length."""
+    """df with t (template words), r (marked words) and p (plain words), of one length."""
     marked = df.withColumn("_m", _marked(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    return marked.withColumn("t", _words(_templated(F.col("_m")))).withColumn("r", _words(F.col("_m"))).drop("_m")
+    words = marked.withColumn("t", _words(_templated(F.col("_m")))).withColumn("r", _words(F.col("_m")))
+    return words.withColumn("p", _words(_unmarked(F.col("_m")))).drop("_m")
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -59,7 +67,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     item that were found), coverage (share of the item's words in them), longest (windows of the best alignment) and
     reworded (whether a placeholder's value differs).
 
-    All documents are reduced to SEED-word windows at every STEP-th word and semi-joined with those of the items; the
+    All documents are reduced to SEED-word windows (template and plain) at every STEP-th word and semi-joined with those of the items; the
     documents that have one get all their WINDOW-word windows, so none is lost. Items with fewer words than a window are
     one window of their own length. Items' windows and the ids of documents found are broadcast only if they are few.
 
@@ -67,28 +75,40 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     document id are read as one document, repeated rows add nothing; other columns are ignored."""
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id is not null")
     items = template_words(items).where("size(t) > 0").withColumn("k", F.least(F.size("t"), F.lit(WINDOW)))
-    each = items.select("item_id", F.size("t").alias("words"), "k", F.explode(F.expr("transform(sequence(1, size(t) - k + 1), i -> named_struct('at', i, 'h1', xxhash64(slice(t, i, k)), 'h2', hash(slice(t, i, k)), 'w', slice(t, i, k), 'v', slice(r, i, k)))")).alias("x"))
-    each = each.select("item_id", "words", "k", "x.*").where(F.expr(f"size(filter(w, y -> not array_contains({MARKS}, y))) >= least({LITERALS}, k)"))
+    # An item's sentence starts may be names within a document's sentence, and its names may be written small there.
+    capital = _words(F.regexp_replace(F.lower(F.regexp_replace(F.regexp_replace("text", r"(?=\p{Lu}\p{Ll})(?<![\p{L}\p{N}_%])", MARK), "(?<=[0-9])[.,:/](?=[0-9])", "_")), r"([0-9])(?=[\p{L}%])", "$1 "))
+    items = items.withColumn("c", capital)
+    raised = F.expr(f"if(size(c) = size(t), transform(t, (y, i) -> if(y = p[i] and startswith(c[i], '{MARK}'), '{NAME}', y)), t)")
+    lowered = F.expr(f"transform(t, (y, i) -> if(y = '{NAME}', p[i], y))")
+    variants = F.array_distinct(F.array(*[F.struct(w.alias("t"), F.col("r").alias("r"), F.lit(False).alias("plain")) for w in (F.col("t"), raised, lowered)], F.struct(F.col("p").alias("t"), F.col("p").alias("r"), F.lit(True).alias("plain"))))
+    each = items.select("item_id", F.size("t").alias("words"), "k", F.explode(variants).alias("y")).select("item_id", "words", "k", "y.*")
+    each = each.select("item_id", "words", "k", "plain", F.explode(F.expr("transform(sequence(1, size(t) - k + 1), i -> named_struct('at', i, 'h1', xxhash64(slice(t, i, k)), 'h2', hash(slice(t, i, k)), 'w', slice(t, i, k), 'v', transform(slice(r, i, k), y -> translate(y, '" + MARK + "', ''))))")).alias("x"))
+    each = each.select("item_id", "words", "k", "plain", "x.*").where(F.expr(f"plain or size(filter(w, y -> not array_contains({MARKS}, y))) >= least({LITERALS}, k)"))
+    # Where a window has no placeholder, its plain copy is enough.
+    each = each.where(F.expr(f"plain or arrays_overlap(w, {MARKS})")).dropDuplicates(["item_id", "k", "at", "h1", "h2"])
     windows = materialize(each, "item-windows")
     few = windows.count() <= BROADCAST_ROWS
     small = F.broadcast if few else lambda frame: frame
     lengths = sorted(r["k"] for r in windows.select("k").distinct().collect())  # WINDOW at most
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    lean = rows.withColumn("t", _words(_templated(_marked(F.coalesce("text", F.lit(""))))))
+    lean = rows.withColumn("_m", _marked(F.coalesce("text", F.lit(""))))
+    lean = lean.select("doc_id", _words(_templated(F.col("_m"))).alias("t"), _words(_unmarked(F.col("_m"))).alias("p"))
     seeds = windows.where(f"k = {WINDOW}").select(F.explode(F.expr(f"transform(sequence(1, {WINDOW - SEED + 1}), i -> xxhash64(slice(w, i, {SEED})))")).alias("h")).unionByName(windows.where(f"k < {WINDOW}").select(F.col("h1").alias("h"))).distinct()
-    made = [f"if(size(t) >= {SEED}, transform(sequence(1, size(t) - {SEED} + 1, {STEP}), i -> xxhash64(slice(t, i, {SEED}))), array())"]
-    made += [f"if(size(t) >= {k}, transform(sequence(1, size(t) - {k} + 1), i -> xxhash64(slice(t, i, {k}))), array())" for k in lengths if k < WINDOW]
-    hashes = F.expr(made[0] if len(made) == 1 else f"concat({', '.join(made)})")
+    made = [f"if(size({w}) >= {SEED}, transform(sequence(1, size({w}) - {SEED} + 1, {STEP}), i -> xxhash64(slice({w}, i, {SEED}))), array())" for w in "tp"]
+    made += [f"if(size({w}) >= {k}, transform(sequence(1, size({w}) - {k} + 1), i -> xxhash64(slice({w}, i, {k}))), array())" for k in lengths if k < WINDOW for w in "tp"]
+    hashes = F.expr(f"concat({', '.join(made)})")
     met = materialize(lean.select("doc_id", F.explode(hashes).alias("h")).join(small(seeds), "h", "left_semi").select("doc_id").distinct(), "met")
     near = F.broadcast(met) if met.count() <= BROADCAST_ROWS else met
 
     looked = template_words(rows.join(near, "doc_id", "left_semi"))
+    looked = looked.withColumn("r", F.expr(f"transform(r, y -> translate(y, '{MARK}', ''))"))
     slots = f"if(arrays_overlap(slice(t, i, {{0}}), {MARKS}), slice(r, i, {{0}}), null)"
     found = None
     for k in lengths:
-        own = looked.where(F.size("t") >= k).select("doc_id", F.explode(F.expr(f"transform(sequence(1, size(t) - {k} + 1), i -> named_struct('place', i, 'h1', xxhash64(slice(t, i, {k})), 'h2', hash(slice(t, i, {k})), 'u', {slots.format(k)}))")).alias("x")).select("doc_id", "x.*")
-        hit = own.join(small(windows.where(F.col("k") == k)), ["h1", "h2"]).select("doc_id", "item_id", "words", "k", "at", "w", (F.col("place") - F.col("at")).alias("shift"), F.expr("if(u is null, null, v)").alias("v"), "u")
+        made = [f"transform(sequence(1, size(t) - {k} + 1), i -> named_struct('plain', {plain}, 'place', i, 'h1', xxhash64(slice({w}, i, {k})), 'h2', hash(slice({w}, i, {k})), 'u', {u}))" for w, plain, u in (("t", "false", slots.format(k)), ("p", "true", "cast(null as array<string>)"))]
+        own = looked.where(F.size("t") >= k).select("doc_id", F.explode(F.expr(f"concat({', '.join(made)})")).alias("x")).select("doc_id", "x.*")
+        hit = own.join(small(windows.where(F.col("k") == k)), ["plain", "h1", "h2"]).select("doc_id", "item_id", "words", "k", "at", "w", (F.col("place") - F.col("at")).alias("shift"), F.expr("if(u is null, null, v)").alias("v"), "u")
         found = hit if found is None else found.unionByName(hit)
     if found is None:
         return docs.sparkSession.createDataFrame([], f"doc_id long, item_id {dict(items.dtypes)['item_id']}, n_windows long, coverage double, longest long, reworded boolean")

@@ -385,6 +385,14 @@ def test_reworded_questions_are_found(spark):
     assert decontaminate.find_contamination(nothing(spark), items).count() == 0 and decontaminate.find_contamination(documents(spark), items.limit(0)).count() == 0
 
 
+def test_verbatim_copies_are_found_in_any_case_and_spacing(spark):
+    long = "How far does Anna Smith of Old Town walk when she goes to Bergen and back with Carl Jones"
+    items = spark.createDataFrame([(1, "What is 2 plus 2"), (2, "What is two plus two"), (3, "Ask Ann Lee"), (4, long), (5, "7 8 9 10 11 12 13 14 15 16"), (6, "What costs 3 apples and pears today")], "item_id int, text string")
+    texts = ["so what is 2 plus 2 then", "Q: What is two plus two", "please ASK\n ann  LEE", long.upper(), long.replace(" ", "  \n"), "count 7 8 9 10 11 12 13 14 15 16", "Q: What costs 5 apples and pears today", "what is 2 plus 3", "7 9 8 10 12 11 14 13 16 15"]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_contamination(documents(spark, texts), items).collect()}
+    assert got == {(0, 1), (1, 2), (2, 3), (3, 4), (4, 4), (5, 5), (6, 6)}
+
+
 def test_template_words_stay_in_step(spark):
     texts = [*ODD, ITEM, "3.5kg,4%;7:30 Mr Smith's 2nd 10,000 l", "É À Ça Va"]
     got = decontaminate.template_words(documents(spark, texts)).selectExpr("size(t) = size(r) as same").collect()
