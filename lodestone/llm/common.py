@@ -33,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="lodestone-")
@@ -66,6 +68,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of one Arrow batch between Spark and Python, unless the session says otherwise.
+BATCH_BYTES = 8 << 20
+
+
+def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow with batches that are bounded by bytes, not by rows alone."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name) == f"{64 << 20}b":  # Spark's default
+        conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(f, schema)
+
+
 def text_chunks(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about `most` bytes of text each, one row at least."""
     if not batch.num_rows:
@@ -105,7 +119,7 @@ class WordMemo:
     Words seen before come from a memo of bounded size, as little-endian i32; it only saves time, results don't depend
     on it."""
 
-    def __init__(self, encode_words: Callable[[list[str]], list], limit: int = 200_000, longest: int = 48):
+    def __init__(self, encode_words: Callable[[list[str]], list], limit: int = 100_000, longest: int = 48):
         self.encode_words, self.limit, self.longest = encode_words, limit, longest
         self.memo: dict[str, bytes] = {}
 

@@ -1,10 +1,9 @@
-"""Toxicity by compression distance: each window of a text is compressed with a zstandard dictionary of toxic text and
-with one of ordinary text, and the lengths are compared.
+"""Toxicity by compression distance: one zstandard dictionary is trained on toxic and one on ordinary text, and the
+compressed lengths of each window of a text under them are compared.
 
-So that one match is worth a whole word, a text is compressed as the 8-byte codes of its words' first STEM letters
-(lower case, letters only). Both dictionaries hold the codes that are common in all training text; the toxic one also
-holds the codes that toxic training text uses in many more different places than ordinary text does, the ordinary one
-as many bytes that match nothing."""
+So that one match is worth a whole word, texts are trained on and compressed as 8-byte codes of their words (lower case,
+letters only, the first STEM letters). A window's gain is its length under the ordinary dictionary less its length when
+the toxic dictionary stands before the ordinary one: what toxic text explains of the window and ordinary text doesn't."""
 
 from __future__ import annotations
 
@@ -18,13 +17,18 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_chunks, texts_of
-
-#: Labelled documents of either class that the dictionaries learn from at most (smallest id hashes), and characters of each.
-SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_CHARS = 3000, 6000, 30_000
-STEM, WINDOW, COMMON = 5, 24, 8000
-#: A code is toxic if it follows so many different codes in toxic text, and so many times its share in ordinary text.
-PLACES, RATIO = 6, 8.0
+from .common import map_arrow, materialize, text_chunks, texts_of
+
+#: Labelled documents of either class that the dictionaries learn from at most (smallest id hashes), whole texts.
+SAMPLE_TOXIC, SAMPLE_ORDINARY = 3000, 6000
+STEM, WINDOW = 8, 24
+#: Bytes of a dictionary at most, and bytes of training text for each of them.
+TOXIC_BYTES, TOXIC_PER_BYTE, ORDINARY_BYTES, ORDINARY_PER_BYTE = 16 << 10, 24, 128 << 10, 8
+#: (k, d) of the trainings whose contents make the ordinary dictionary: the trainer counts in a hash table, where each
+#: training loses other codes to collisions.
+PASSES = ((16, 6), (16, 8), (8, 6), (8, 8))
+#: The trainer cuts the content that it chose first to make room for its header; so many first choices are filler.
+FILLER = 64
 THRESHOLD, HELD_OUT = 0.3, 2
 #: Bins of one unit of the logistic's argument, in which the F1 score is looked at.
 BINS = 256
@@ -32,11 +36,11 @@ WORD = r"[^\W\d_]+"
 
 
 class Coder:
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 100_000):
         self.memo: dict[str, bytes] = {}
         self.limit, self.find = limit, re.compile(WORD).findall
 
-    def __call__(self, text: str) -> bytes:
+    def codes(self, text: str) -> list[bytes]:
         out, memo = [], self.memo
         for word in self.find(text.lower()):
             stem = word[:STEM]
@@ -46,23 +50,28 @@ class Coder:
                 if len(memo) < self.limit:
                     memo[stem] = code
             out.append(code)
-        return b"".join(out)
+        return out
+
+    def distinct(self, text: str) -> bytes:
+        """The text's different codes, in an order of its own, so that no two codes stand together in many texts."""
+        codes = set(self.codes(text))
+        return b"".join(sorted(codes, key=lambda code: xxhash.xxh64_intdigest(code, len(codes))))
 
 
-def _places(coded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct codes and, for each, after how many different codes it stands; copies of a text add nothing."""
-    parts = [np.frombuffer(c, np.uint64) for c in coded if c]
-    if not parts:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    own = np.concatenate(parts)
-    before = np.concatenate([np.concatenate([np.zeros(1, np.uint64), p[:-1]]) for p in parts])
-    _, first = np.unique(own * np.uint64(0x9E3779B97F4A7C15) ^ before, return_index=True)
-    return np.unique(own[first], return_counts=True)
+def train(samples: list[bytes], most: int, per_byte: int, passes: tuple[tuple[int, int], ...]) -> bytes:
+    """The dictionaries that the library trains on the samples with each (k, d), joined; too small samples themselves."""
+    total = sum(map(len, samples))
+    size = max(512, min(most, total // per_byte))
+    filler = np.random.default_rng(5).bytes(8 * max(FILLER, total * FILLER * 4 // size))
+    try:
+        return b"".join(zstandard.train_dictionary(size, [filler, *samples], k=k, d=d, f=24).as_bytes() for k, d in passes)
+    except zstandard.ZstdError:
+        return b"".join(samples)[:most] or bytes(8)
 
 
 class Model:
-    def __init__(self, common: bytes, toxic: bytes, filler: bytes, weights: list[float]):
-        self.common, self.toxic, self.filler, self.weights = common, toxic, filler, weights
+    def __init__(self, toxic: bytes, ordinary: bytes, weights: list[float]):
+        self.toxic, self.ordinary, self.weights = toxic, ordinary, weights
 
     def scorer(self) -> Scorer:
         return Scorer(self)
@@ -71,18 +80,21 @@ class Model:
 class Scorer:
     def __init__(self, model: Model):
         # Matches of 6 bytes and more are of whole codes, and a code is the only one of its hash (greedy search hashes 6 at most).
-        rules = zstandard.ZstdCompressionParameters(window_log=20, hash_log=18, chain_log=18, search_log=3, min_match=6, strategy=zstandard.STRATEGY_GREEDY, write_content_size=False)
+        rules = zstandard.ZstdCompressionParameters(window_log=20, hash_log=20, chain_log=20, search_log=3, min_match=6, strategy=zstandard.STRATEGY_GREEDY, write_content_size=False)
         self.coder, self.weights, self.sides = Coder(), np.array(model.weights), []
-        for own in (model.filler, model.toxic):
-            data = zstandard.ZstdCompressionDict(own + model.common, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        for content in (model.ordinary, model.toxic + model.ordinary):
+            data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             data.precompute_compress(compression_params=rules)
             self.sides.append(zstandard.ZstdCompressor(compression_params=rules, dict_data=data).compress)
 
+    def gains(self, text: str) -> list[int]:
+        """Of each window: bytes that the toxic dictionary saves beside the ordinary one."""
+        coded, step = b"".join(self.coder.codes(text)), WINDOW * 8
+        ordinary, both = self.sides
+        return [len(ordinary(w)) - len(both(w)) for w in (coded[a : a + step] for a in range(0, len(coded), step))]
+
     def features(self, text: str) -> list[float]:
-        """From the windows' gains in bytes of the toxic dictionary over the ordinary one."""
-        coded, step = self.coder(text), WINDOW * 8
-        ordinary, toxic = self.sides
-        gains = [len(ordinary(w)) - len(toxic(w)) for w in (coded[a : a + step] for a in range(0, len(coded), step))]
+        gains = self.gains(text)
         n = len(gains)
         positive = sum(g for g in gains if g > 0)
         return [1.0, positive / n**0.5 / 4, sum(gains) / n, max(gains) / 8, float(np.log1p(n))] if n else [1.0, 0.0, 0.0, 0.0, 0.0]
@@ -127,25 +139,19 @@ def _best_cut(rows: DataFrame, weights: np.ndarray) -> float:
     return (bins[best]["low"] + bins[min(best + 1, len(bins) - 1)]["high"]) / 2 if best + 1 < len(bins) else bins[best]["low"]
 
 
-def dictionaries(texts: list[str], toxic: list[int]) -> Model:
-    """The model without weights."""
-    y, coder = np.array(toxic, float), Coder()
-    coded = [coder(t) for t in texts]
-    codes, places = _places([c for c, v in zip(coded, y) if v == 1])
-    other, other_places = _places([c for c, v in zip(coded, y) if v == 0])
-    everywhere = np.zeros(len(codes))
-    both, at, there = np.intersect1d(codes, other, return_indices=True)
-    everywhere[at] = other_places[there]
-    marked = (places >= PLACES) & (places / max(1, places.sum()) > RATIO * (everywhere + 0.5) / max(1, other_places.sum()))
-    order = np.argsort(places[marked], kind="stable")
-    special = codes[marked][order]
-    joined, counts = np.unique(np.concatenate([np.repeat(codes, 1), other]), return_inverse=True)
-    weight = np.bincount(counts, np.concatenate([places, other_places]), len(joined))
-    keep = ~np.isin(joined, special)
-    joined, weight = joined[keep], weight[keep]
-    common = joined[np.lexsort((joined, -weight))[:COMMON]][::-1]
-    filler = np.random.default_rng(7).bytes(8 * max(1, len(special)))
-    return Model(common.tobytes(), special.tobytes() or bytes(8), filler, [0.0] * 5)
+def dictionaries(samples: list[bytes], toxic: list[int]) -> Model:
+    """The model without weights, from distinct codes of texts; equal samples count once."""
+    sides = [list(dict.fromkeys(c for c, y in zip(samples, toxic) if y == label and len(c) >= 8)) for label in (0, 1)]
+    ordinary = train(sides[0], ORDINARY_BYTES, ORDINARY_PER_BYTE, PASSES)
+    return Model(train(sides[1], TOXIC_BYTES, TOXIC_PER_BYTE, ((8, 8),)), ordinary, [0.0] * 5)
+
+
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    coder = Coder()
+    for whole in batches:
+        for batch in text_chunks(whole):
+            codes = pa.array([coder.distinct(t) for t in texts_of(batch).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("doc_id"), batch.column("toxic"), codes], names=["h", "doc_id", "toxic", "codes"])
 
 
 def _with_features(docs: DataFrame, model: Model) -> DataFrame:
@@ -158,23 +164,23 @@ def _with_features(docs: DataFrame, model: Model) -> DataFrame:
                 x = np.array([scorer.features(t) for t in texts_of(batch).to_pylist()]).reshape(batch.num_rows, -1)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(np.ascontiguousarray(x[:, i])) for i in range(1, 5))], names=["doc_id", "f1", "f2", "f3", "f4"])
 
-    return docs.mapInArrow(features, "doc_id long, f1 double, f2 double, f3 double, f4 double")
+    return map_arrow(docs, features, "doc_id long, f1 double, f2 double, f3 double, f4 double")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """The model from the labelled documents that aren't held out.
 
-    The dictionaries learn from a bounded sample of three in five of them; the calibration, and the place of THRESHOLD
-    (where the F1 score is best), come from all others, weighted so that each class has its share of all labelled
-    documents. Only features are joined with the labels, no texts. Without both classes among the others, scores are the
+    The dictionaries learn from a bounded sample of three in five of them, by whole texts; the calibration, and the place
+    of THRESHOLD (where the F1 score is best), come from all others, weighted so that each class has its share of all
+    labelled documents. Texts become distinct codes, or features, where they lie. Without both classes among the others, scores are the
     share of toxic documents."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
     known = labels.where("doc_id is not null and toxic in (0, 1)").where(fold != HELD_OUT).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")).withColumn("h", F.xxhash64("doc_id"))
     learn = known.where("pmod(h, 5) < 3")
     sample = materialize(learn.where("toxic = 1").orderBy("h", "doc_id").limit(SAMPLE_TOXIC).unionByName(learn.where("toxic = 0").orderBy("h", "doc_id").limit(SAMPLE_ORDINARY)), "toxicity-sample")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    short = texts.withColumn("text", F.substring("text", 1, SAMPLE_CHARS))
-    rows = sorted((r["h"], r["doc_id"], r["text"], r["toxic"]) for r in short.join(F.broadcast(sample), "doc_id").collect())
+    coded = map_arrow(texts.join(F.broadcast(sample), "doc_id").select("h", "doc_id", "toxic", "text"), _coded, "h long, doc_id long, toxic int, codes binary")
+    rows = sorted((r["h"], r["doc_id"], bytes(r["codes"]), r["toxic"]) for r in coded.collect())
     model = dictionaries([r[2] for r in rows], [r[3] for r in rows])
     del rows
 
@@ -196,31 +202,39 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return model
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame | None = None, model: Model | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, held_out, score, predicted and df's columns `keep` for each row of docs (doc_id, text).
+def score_toxicity(docs: DataFrame, labels: DataFrame | None = None, model: Model | None = None) -> DataFrame:
+    """doc_id, held_out, score and predicted for each row of docs (doc_id, text).
 
     held_out: crc32 of the id as text, mod 4, is 2; such rows' labels are never read. score (0 to 1) is a calibrated
     logistic of the windows' gains over the whole text; predicted is 1 from THRESHOLD on. Scoring is one pass where the
     rows lie. Null and empty texts, and texts without letters, have the score of no evidence; repeated rows give
     repeated rows; an empty table gives none; a null id is not held out."""
     fitted = model or fit(docs, labels)
-    kept = [f"`{n}` {k}" for n, k in docs.select(*keep).dtypes]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = fitted.scorer()
         for whole in batches:
             for batch in text_chunks(whole, "_text"):
                 scores = scorer.score(texts_of(batch, "_text").to_pylist())
-                columns = [batch.column("_id"), pa.array(batch.column("_held").to_pylist(), pa.bool_()), pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32)), *(batch.column(i) for i in range(len(keep)))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "score", "predicted", *keep])
+                columns = [batch.column("_id"), batch.column("_held"), pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "score", "predicted"])
 
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == HELD_OUT, F.lit(False))
-    rows = docs.select(*keep, F.col("doc_id").cast("long").alias("_id"), held.alias("_held"), F.col("text").cast("string").alias("_text"))
-    return rows.mapInArrow(score, ", ".join(["doc_id long, held_out boolean, score double, predicted int", *kept]))
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), held.alias("_held"), F.col("text").cast("string").alias("_text"))
+    return map_arrow(rows, score, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame | None = None, model: Model | None = None) -> DataFrame:
-    """docs without the rows that score_toxicity() predicts to be toxic."""
-    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("own_row"))
-    kept = score_toxicity(rows, labels, model or fit(docs, labels), keep=("own_row",)).where("predicted = 0")
-    return kept.select(*[F.col("own_row")[c].alias(c) for c in docs.columns])
+    """docs (whose text is a string) without the rows that score_toxicity() would predict to be toxic; null and empty
+    texts are scored as there, repeated rows are kept or dropped alike, and an empty table stays empty.
+
+    A row's columns, the text among them, pass the function once; only rows that stay come back."""
+    fitted = model or fit(docs, labels)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = fitted.scorer()
+        for whole in batches:
+            for batch in text_chunks(whole):
+                yield batch.filter(pa.array(scorer.score(texts_of(batch).to_pylist()) < THRESHOLD))
+
+    return map_arrow(docs, clean, docs.schema)
