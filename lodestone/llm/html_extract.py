@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow, materialize
+
 #: Pages from which the classifier learns (smallest id hashes), and the longest page among them.
 SAMPLE_PAGES, SAMPLE_CHARS = 400, 100_000
 #: Weight of the edges between neighbouring blocks and between blocks of one parent.
@@ -294,4 +296,4 @@ def extract_main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "ur
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     pages = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    return pages.mapInArrow(extract, "page_id long, url string, text string, n_chars long")
+    return map_arrow(pages, extract, "page_id long, url string, text string, n_chars long")

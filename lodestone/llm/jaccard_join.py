@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, arrow_batches, list_parts, materialize, ragged_take, shuffle_partitions, text_chunks, texts_of, without_ids
+from .common import BROADCAST_IDS, arrow_batches, list_parts, map_arrow, materialize, ragged_take, shuffle_partitions, text_chunks, texts_of, without_ids
 from .components import connected_components
 
 #: Longest extra prefix tried, and the estimated cost of verifying a candidate in units of one posting.
@@ -27,6 +27,8 @@ MOST_MATCHES, VERIFY_COST = 12, 8
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 2_000_000
 #: Copies from which on a set is joined to its rows by broadcast.
 HOT_COPIES = 256
+#: Keys whose counts one task holds at a time.
+HELD_KEYS = 500_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -100,42 +102,72 @@ def _sampled(k: int):
     return run
 
 
+def _alone(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """From rows (h, key) sorted by h: for each shingle that one key alone has, this key, batch by batch. Of a shingle
+    that goes on in the next batch only its first key is held, and whether another has been met."""
+    last, last_key, last_bad = None, 0, True
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        h = batch.column("h").to_numpy()
+        bad = batch.column("key").is_null().to_numpy(zero_copy_only=False).copy()
+        key = pc.fill_null(batch.column("key"), 0).to_numpy()
+        starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        sizes = np.diff(np.append(starts, len(h)))
+        first = key[starts].copy()
+        if h[0] == last:
+            first[0] = last_key
+        elif last is not None and not last_bad:
+            yield np.array([last_key])
+        bad |= key != np.repeat(first, sizes)
+        torn = np.maximum.reduceat(bad, starts)
+        if h[0] == last:
+            torn[0] |= last_bad
+        last, last_key, last_bad = h[-1], first[-1], bool(torn[-1])
+        yield first[:-1][~torn[:-1]]
+    if last is not None and not last_bad:
+        yield np.array([last_key])
+
+
 def _lonely(buckets: int):
-    """From all rows (h, key) of a partition by h: how many shingles of each key no other key has. The counts are packed
-    by a hash of the key, one row for each bucket."""
+    """From all rows (h, key) of a partition sorted by h: how many shingles of each key no other key has. The counts are
+    packed by a hash of the key, one row for each bucket and HELD_KEYS keys."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [b for b in batches if b.num_rows]
-        if not tables:
-            return
-        table = pa.Table.from_batches(tables)
-        h = table.column("h").to_numpy()
-        shared = table.column("key").is_null().to_numpy(zero_copy_only=False)
-        key = pc.fill_null(table.column("key"), 0).to_numpy()
-        order = np.lexsort((key, h))
-        h, key, shared = h[order], key[order], shared[order]
-        new = np.append(True, h[1:] != h[:-1])
-        group = np.cumsum(new) - 1
-        other = np.zeros(len(h), bool)
-        other[1:] = ~new[1:] & (key[1:] != key[:-1])
-        bad = np.bincount(group, shared | other) > 0
-        keys, counts = np.unique(key[new & ~bad[group]], return_counts=True)
+    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
+        keys, counts = np.unique(np.concatenate(held), return_counts=True)
         bucket = (_mix(keys.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
         keys, counts, bucket = keys[order], counts[order].astype(np.int32), bucket[order]
         which, first = np.unique(bucket, return_index=True)
         offsets = pa.array(np.append(first, len(keys)), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(which), pa.ListArray.from_arrays(offsets, pa.array(keys)), pa.ListArray.from_arrays(offsets, pa.array(counts))], names=["bucket", "keys", "counts"])
+        return pa.RecordBatch.from_arrays([pa.array(which), pa.ListArray.from_arrays(offsets, pa.array(keys)), pa.ListArray.from_arrays(offsets, pa.array(counts))], names=["bucket", "keys", "counts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for keys in _alone(batches):
+            held.append(keys)
+            n += len(keys)
+            if n >= 4 * HELD_KEYS:
+                merged = np.concatenate(held)
+                if len(np.unique(merged)) >= HELD_KEYS:
+                    yield packed(held)
+                    held, n = [], 0
+                else:
+                    held, n = [merged], 0
+        if any(map(len, held)):
+            yield packed(held)
 
     return run
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The packed counts of a partition by bucket, added up: one row for each key."""
-    parts = [(b.column("keys").flatten().to_numpy(), b.column("counts").flatten().to_numpy()) for b in batches if b.num_rows]
-    if parts:
-        keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-        alone = np.bincount(at, np.concatenate([c for _, c in parts])).astype(np.int64)
+    """The packed counts of a partition by bucket, added up: one row for each key of the partition."""
+    keys, alone = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for b in batches:
+        if b.num_rows:
+            keys, at = np.unique(np.concatenate([keys, b.column("keys").flatten().to_numpy()]), return_inverse=True)
+            alone = np.bincount(at, np.concatenate([alone, b.column("counts").flatten().to_numpy()])).astype(np.int64)
+    if len(keys):
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(alone)], names=["key", "alone"])
 
 
@@ -238,74 +270,92 @@ def _verify(num: int, den: int):
     return run
 
 
-def jaccard_components(df: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of df: doc_id, n_shingles, component_id (smallest id that links reach, its own included) and
-    n_links (other rows it is linked with). Two rows are linked if den * |x and y| >= num * |x or y| over their sets of
-    distinct k-word shingles; rows without words have no links.
+def _keyed(docs: DataFrame, k: int) -> DataFrame:
+    return map_arrow(docs, _signatures(k), "doc_id long, n long, key long")
 
-    1. Rows with one set are one node with a count of copies. 2. A node more than 1 - t of whose shingles nobody else has
-    can't be linked; a quarter of all shingles shows that for most nodes. 3. The others' shingles get exact document
-    frequencies, and each node its prefix. 4. Nodes are gathered along shared prefix shingles, dealt into blocks of
-    bounded size, and each pair of blocks that shares a prefix shingle is compared once: candidates by prefix matches,
-    then exact counts. A block returns a row for each node with links, not the pairs. 5. Components of these links.
 
-    Sets hold 64-bit hashes. A null id has component null unless copies or links give it one; rows of a repeated id are
-    judged by their own texts. Null texts are empty; other columns are ignored; an empty table gives no rows."""
-    spark = df.sparkSession
-    parts = shuffle_partitions(spark)
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = materialize(docs.mapInArrow(_signatures(k), "doc_id long, n long, key long"), "signatures")
+def _known_few(df: DataFrame) -> DataFrame:
+    """df for a join: broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
+def _linked_nodes(docs: DataFrame, rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The different sets among rows (doc_id, n, key): key, low (smallest id), copies, component_id, n_links, first
+    (whether it is the set of its component that has the smallest id)."""
+    parts = shuffle_partitions(docs.sparkSession)
     nodes = materialize(rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"), F.max("n").alias("n")), "nodes")
 
-    packed = docs.mapInArrow(_sampled(k), "h long, key long").repartition(parts, "h").mapInArrow(_lonely(parts), "bucket int, keys array<long>, counts array<int>")
-    alone = packed.repartition(parts, "bucket").mapInArrow(_summed, "key long, alone long")
+    shingles = map_arrow(docs, _sampled(k), "h long, key long").repartition(parts, "h").sortWithinPartitions("h")
+    packed = map_arrow(shingles, _lonely(parts), "bucket int, keys array<long>, counts array<int>")
+    alone = map_arrow(packed.repartition(parts, "bucket"), _summed, "key long, alone long")
     free = F.col("n") - F.expr(f"(n * {num} + {den - 1}) div {den}")
     out = materialize(alone.join(nodes.select("key", "n"), "key").where(F.col("alone") > free).select("key"), "unlike")
     left = materialize(nodes.join(out, "key", "left_anti"), "alike")
 
-    wanted = left.select(F.col("low").alias("doc_id")).where("doc_id is not null").distinct()
-    wanted = F.broadcast(wanted) if left.count() <= BROADCAST_IDS else wanted
-    sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_tokens(k), "key long, tokens array<long>").dropDuplicates(["key"])
+    # A set is read again from any row of its smallest id; sets that only rows without an id hold, from all such rows.
+    wanted = docs.join(_known_few(left.select(F.col("low").alias("doc_id")).where("doc_id is not null").distinct()), "doc_id", "left_semi")
+    if not left.where("low is null").isEmpty():
+        wanted = wanted.unionByName(docs.where("doc_id is null"))
+    sets = map_arrow(wanted, _tokens(k), "key long, tokens array<long>").dropDuplicates(["key"])
     sets = materialize(sets.join(left.select("key", "n"), "key"), "sets")
     each = sets.select("key", "n", F.explode("tokens").alias("h"))
     common = each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     found = each.join(common, "h").groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("found"))
-    prefixed = materialize(found.mapInArrow(_prefixes(num, den), "key long, n long, tokens array<long>, matches int, prefix int"), "prefixes")
+    prefixed = materialize(map_arrow(found, _prefixes(num, den), "key long, n long, tokens array<long>, matches int, prefix int"), "prefixes")
 
     early = prefixed.select("key", F.explode(F.slice("tokens", 1, F.col("prefix"))).alias("h"))
     anchor = early.groupBy("h").agg(F.min("key").alias("anchor"), F.count("*").alias("df")).where("df > 1").select("h", "anchor")
     labels = connected_components(early.join(anchor, "h").select("key", "anchor").distinct(), "key", "anchor")
     placed = prefixed.join(labels.select(F.col("node").alias("key"), F.col("label").alias("family")), "key").join(nodes.select("key", "copies"), "key")
-    placed = placed.withColumn("lead", F.xxhash64(F.col("tokens")[0]))
+    placed = materialize(placed.withColumn("lead", F.xxhash64(F.col("tokens")[0])), "families")
     weight = F.greatest(F.count("*") / BLOCK_DOCS, F.sum(F.size("tokens")) / BLOCK_SHINGLES)
-    families = placed.groupBy("family").agg(F.ceil(weight).cast("int").alias("spread"), F.count("*").alias("members")).where("members > 1")
-    placed = placed.join(families.select("family", "spread"), "family").withColumn("bucket", F.expr("pmod(lead, spread)").cast("int"))
-    buckets = placed.where("spread > 1").groupBy("family", "bucket").agg(F.ceil(weight).cast("int").alias("cells"))
-    placed = placed.join(buckets, ["family", "bucket"], "left").withColumn("cell", F.expr("bucket * 1000000 + pmod(xxhash64(key, 1), coalesce(cells, 1))").cast("long"))
+    # Each family has two members at least. Only the few large ones are dealt into cells; their sizes are broadcast, so
+    # that no family is a hot key.
+    large = materialize(placed.groupBy("family").agg(F.ceil(weight).cast("int").alias("spread")).where("spread > 1"), "large-families")
+    placed = placed.join(_known_few(large), "family", "left").withColumn("bucket", F.expr("pmod(lead, spread)").cast("int"))
+    buckets = materialize(placed.where("spread is not null").groupBy("family", "bucket").agg(F.ceil(weight).cast("int").alias("cells")).where("cells > 1"), "large-buckets")
+    placed = placed.join(_known_few(buckets), ["family", "bucket"], "left").withColumn("cell", F.expr("bucket * 1000000L + pmod(xxhash64(key, 1), coalesce(cells, 1))"))
     placed = materialize(placed.select("family", "spread", "cell", "key", "n", "copies", "matches", "prefix", "tokens"), "placed")
 
     body = ["key", "n", "copies", "matches", "prefix", "tokens"]
-    small = placed.where("spread <= 1").select(F.xxhash64("family").alias("task"), F.lit(0).alias("side"), *body)
-    wide = placed.where("spread > 1")
+    small = placed.where("spread is null").select(F.xxhash64("family").alias("task"), F.lit(0).alias("side"), *body)
+    wide = placed.where("spread is not null")
     met = wide.select("family", "cell", F.explode(F.slice("tokens", 1, F.col("prefix"))).alias("h")).distinct()
     pairs = met.alias("x").join(met.alias("y"), ["family", "h"]).where("x.cell <= y.cell").select("family", F.col("x.cell").alias("one"), F.col("y.cell").alias("two")).distinct()
     pairs = materialize(pairs.withColumn("task", F.xxhash64("family", "one", "two")), "cells")
     sides = pairs.select("family", F.col("one").alias("cell"), "task", F.lit(0).alias("side")).unionByName(pairs.where("one <> two").select("family", F.col("two").alias("cell"), "task", F.lit(1).alias("side")))
     tasks = small.unionByName(wide.join(sides, ["family", "cell"]).select("task", "side", *body))
     dealt = tasks.repartition(parts, "task").sortWithinPartitions("task")
-    links = materialize(dealt.mapInArrow(_verify(num, den), "key long, root long, links long"), "links")
+    links = materialize(map_arrow(dealt, _verify(num, den), "key long, root long, links long"), "links")
 
     label = connected_components(links, "key", "root").select(F.col("node").alias("key"), "label")
     known = nodes.join(label, "key")
-    lows = known.groupBy("label").agg(F.min("low").alias("component_id"))
-    linked = known.join(lows, "label").select("key", "component_id").join(links.groupBy("key").agg(F.sum("links").alias("links")), "key", "left")
-    final = nodes.join(linked, "key", "left").select("key", F.coalesce("component_id", "low").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    final = materialize(final.join(nodes.where(F.col("copies") > HOT_COPIES).select("key", F.lit(True).alias("hot")), "key", "left"), "final")
+    lows = known.groupBy("label").agg(F.min("low").alias("component_id"), F.min_by("key", F.struct(F.col("low").isNull(), "low", "key")).alias("head"))
+    linked = known.join(lows, "label").select("key", "component_id", "head").join(links.groupBy("key").agg(F.sum("links").alias("links")), "key", "left")
+    final = nodes.join(linked, "key", "left").select("key", "low", "copies", F.coalesce("component_id", "low").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), (F.coalesce("head", "key") == F.col("key")).alias("first"))
+    return materialize(final, "final")
+
+
+def jaccard_components(df: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of df: doc_id, n_shingles, component_id (smallest id that links reach, its own included) and
+    n_links (other rows it is linked with). Two rows are linked if den * |x and y| >= num * |x or y| over their sets of
+    distinct k-word shingles; rows without words have no links.
+
+    1. Rows with one set are one node with a count of copies. 2. A node more than 1 - t of whose shingles nobody else has
+    can't be linked; a quarter of all shingles shows that for most nodes. 3. The others' shingles get exact document
+    frequencies, and each node its prefix. 4. Nodes are gathered along shared prefix shingles, dealt into blocks of
+    bounded size, and each pair of blocks that shares a prefix shingle is compared once: candidates by prefix matches,
+    then exact counts. A block returns a row for each node with links, not the pairs. 5. Components of these links.
+
+    Sets hold 64-bit hashes. A null id has component null unless copies or links give it one; rows of a repeated id are
+    judged by their own texts. Null texts are empty; other columns are ignored; an empty table gives no rows."""
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = materialize(_keyed(docs, k), "signatures")
+    final = _linked_nodes(docs, rows, k, num, den).select("key", "component_id", "n_links", (F.col("copies") > HOT_COPIES).alias("hot"))
     # Sets with very many copies are few, so they meet their rows by broadcast and no task gets all the copies.
-    hot, cold = final.where("hot").drop("hot"), final.where("hot is null").drop("hot")
-    few = hot.count() <= BROADCAST_IDS
+    hot, cold = final.where("hot").drop("hot"), final.where("not hot").drop("hot")
     full, bare = rows.where("key is not null"), rows.where("key is null")
-    if few:
+    if hot.count() <= BROADCAST_IDS:
         joined = full.join(F.broadcast(hot), "key").unionByName(full.join(F.broadcast(hot.select("key")), "key", "left_anti").join(cold, "key"))
     else:
         joined = full.join(final.drop("hot"), "key")
@@ -314,7 +364,43 @@ def jaccard_components(df: DataFrame, k: int = 4, num: int = 85, den: int = 100,
 
 
 def keep_one(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with one row of each component: the one whose id is the component's. Rows with a null id stay."""
-    found = jaccard_components(df, k, num, den, id_col, text_col)
-    gone = found.where("doc_id is not null and component_id <> doc_id").select(F.col("doc_id").alias(id_col))
-    return without_ids(df, gone, id_col)
+    """df with one row of each component: the one with the smallest id, or any one of those without an id if none has
+    one. Of rows that share id and set one stays. Rows without words (null, empty or blank texts) are linked with
+    nothing and all stay. An empty table gives no rows; other columns are kept as they are.
+
+    Where ids are unique, rows are dropped by id alone; only rows whose id is null or repeated are read again to know
+    their sets."""
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = materialize(_keyed(docs, k), "signatures")
+    final = _linked_nodes(docs, rows, k, num, den)
+    dull = final.where("not first or copies > 1").select("key", "low", "first", (F.col("copies") > HOT_COPIES).alias("hot"))
+    dull = materialize(dull, "dull")
+    hot = dull.where("hot").drop("hot")
+    few = hot.count() <= BROADCAST_IDS
+    if few:
+        met = rows.join(F.broadcast(hot), "key").unionByName(rows.join(F.broadcast(hot.select("key")), "key", "left_anti").join(dull.where("not hot").drop("hot"), "key"))
+    else:
+        met = rows.join(dull.drop("hot"), "key")
+    gone = met.where("doc_id is not null and not (first and doc_id <=> low)").select("doc_id")
+    odd = materialize(rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
+    named = odd.select(F.col("doc_id").alias(id_col))
+    if odd.isEmpty() and docs.where("doc_id is null").isEmpty():
+        return without_ids(df, gone.select(F.col("doc_id").alias(id_col)), id_col)
+    few_odd = _known_few(named)
+    plain = without_ids(df.where(F.col(id_col).isNotNull()).join(few_odd, id_col, "left_anti").select(*df.columns), gone.select(F.col("doc_id").alias(id_col)), id_col)
+    again = df.where(F.col(id_col).isNull()).unionByName(df.join(few_odd, id_col, "left_semi").select(*df.columns))
+    names, spare = df.columns, f"_key_{len(df.columns)}"
+    keyed = again.withColumn(spare, F.struct(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
+
+    def add_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pc.fill_null(pc.struct_field(batch.column(spare), "text"), "")
+            keys = pa.array([_key(s) if len(s) else None for s in shingle_sets(texts, k)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), pc.struct_field(batch.column(spare), "doc_id"), keys], names=[*names, f"{spare}_id", f"{spare}_set"])
+
+    kinds = ", ".join([*(f"`{n}` {t}" for n, t in df.dtypes), f"{spare}_id long", f"{spare}_set long"])
+    keyed = materialize(map_arrow(keyed, add_keys, kinds), "odd-rows")
+    heads = final.where("first").select(F.col("key").alias(f"{spare}_set"), "low")
+    bare = keyed.where(F.col(f"{spare}_set").isNull())
+    kept = keyed.join(heads.withColumnRenamed("low", f"{spare}_low"), f"{spare}_set").where(F.col(f"{spare}_id").eqNullSafe(F.col(f"{spare}_low"))).dropDuplicates([f"{spare}_set"])
+    return plain.unionByName(bare.select(*df.columns)).unionByName(kept.select(*df.columns))

@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordMemo, text_chunks, texts_of
+from .common import WordMemo, map_arrow, text_chunks, texts_of
 
 SPACE = "▁"
 _MARK = SPACE.encode()
@@ -227,7 +227,7 @@ def encode_documents(df: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id"
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     docs = df.select(*keep, F.col(text_col).cast("string").alias("_text"))
-    return docs.mapInArrow(encode, ", ".join([*kept, *(kinds[x] for x in outputs)]))
+    return map_arrow(docs, encode, ", ".join([*kept, *(kinds[x] for x in outputs)]))
 
 
 def decode_documents(df: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), ids_col: str = "ids") -> DataFrame:
@@ -239,4 +239,5 @@ def decode_documents(df: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id"
             texts = [codec(path).library.decode(x or []) for x in batch.column("_ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(texts, pa.string())], names=[*keep, "decoded"])
 
-    return df.select(*keep, F.col(ids_col).cast("array<int>").alias("_ids")).mapInArrow(decode, ", ".join([*kept, "decoded string"]))
+    rows = df.select(*keep, F.col(ids_col).cast("array<int>").alias("_ids"))
+    return map_arrow(rows, decode, ", ".join([*kept, "decoded string"]))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, prefix_offsets, shuffle_partitions
+from .common import map_arrow, materialize, prefix_offsets, shuffle_partitions
 
 PLACED = "doc_id long, size long, text_crc32 long, part int, start long, row long"
 
@@ -44,7 +44,7 @@ def shard_by_bytes(df: DataFrame, n_shards: int = 8, id_col: str = "doc_id", tex
     keys = ["doc_id", "size", "text_crc32"]
     narrow = df.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     ranged = narrow.repartitionByRange(shuffle_partitions(spark), *keys).sortWithinPartitions(*keys)
-    placed = materialize(ranged.mapInArrow(_running, PLACED), "sizes")
+    placed = materialize(map_arrow(ranged, _running, PLACED), "sizes")
 
     totals = placed.groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()
     total = sum(r["bytes"] for r in totals)

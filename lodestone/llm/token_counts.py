@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_chunks
+from .common import map_arrow, text_chunks
 
 RULES = ("start", "end", "most")
 
@@ -98,4 +98,4 @@ def attribute_tokens(df: DataFrame, path: str, pattern: str, id_col: str = "doc_
 
     text = F.concat_ws("", F.col(fields_col)) if fields_col else F.col(text_col).cast("string")
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *([F.col(fields_col).cast("array<string>").alias("fields")] if fields_col else []))
-    return docs.mapInArrow(count, "doc_id long, section int, start_char long, end_char long, n_chars long, n_tokens long, n_crossing long")
+    return map_arrow(docs, count, "doc_id long, section int, start_char long, end_char long, n_chars long, n_tokens long, n_crossing long")

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordMemo, materialize, prefix_offsets, shuffle_partitions, text_chunks, texts_of
+from .common import WordMemo, map_arrow, materialize, prefix_offsets, shuffle_partitions, text_chunks, texts_of
 
 MAGIC = b"TIDZ0001"
 HEADER = "<8s32sBIQ"
@@ -172,9 +172,9 @@ def write_token_files(df: DataFrame, path: str, id_col: str = "doc_id", text_col
     dictionary = train_dictionary(docs, path)
     sha = hashlib.sha256(dictionary).digest()
     width = 2 if _tokenizer(path).get_vocab_size() <= 1 << 16 else 4
-    frames = materialize(docs.mapInArrow(_encoder(path, dictionary), "doc_id long, row long, n_tokens long, frame binary"), "frames")
+    frames = materialize(map_arrow(docs, _encoder(path, dictionary), "doc_id long, row long, n_tokens long, frame binary"), "frames")
     ordered = frames.repartitionByRange(shuffle_partitions(spark), "doc_id", "row").sortWithinPartitions("doc_id", "row")
-    files = materialize(ordered.mapInArrow(_packer(sha, width), "part int, seq int, n_docs long, n_tokens long, blob binary"), "token-files")
+    files = materialize(map_arrow(ordered, _packer(sha, width), "part int, seq int, n_docs long, n_tokens long, blob binary"), "token-files")
     totals = files.groupBy("part").agg(F.sum("n_tokens")).collect()
     manifest = spark.createDataFrame(prefix_offsets([tuple(r) for r in totals]), "part int, before long")
     return TokenFiles(spark.createDataFrame([(sha.hex(), bytearray(dictionary))], "sha256 string, content binary"), files, manifest)
@@ -221,4 +221,4 @@ def read_token_files(data: TokenFiles, with_ids: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     placed = data.files.select("part", "blob").join(F.broadcast(data.manifest), "part").select("blob", "before")
-    return placed.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    return map_arrow(placed, read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
