@@ -12,18 +12,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import hash_sample, map_arrow, materialize
 
 #: Vectors from which the partitions are learned (smallest id hashes), neighbours of each in the graph, and the share of
 #: true neighbours that the routing must reach on vectors of the sample that the classifier has not seen.
-SAMPLE, NEIGHBOURS, TARGET = 6000, 10, 0.96
+SAMPLE, NEIGHBOURS, TARGET = 6000, 10, 0.95
+#: Vectors of the sample for each part at least; there are as many parts as the root of the number of vectors, if the
+#: sample can tell them apart.
+LEAST_IN_PART = 20
 HIDDEN, EPOCHS = 96, 40
 #: Candidates and queries of one block; a part with more is dealt into several blocks.
 BLOCK, QUERY_BLOCK = 8192, 4096
 
 
 class Router:
-    """The classifier (one hidden layer), and how many parts a query visits."""
+    """The classifier (one hidden layer), and how many parts a query visits at least."""
 
     def __init__(self, layers: list[np.ndarray], visits: int):
         self.layers, self.visits = layers, visits
@@ -93,10 +96,11 @@ def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int, rounds: int = 1
 
 
 def fit(x: np.ndarray, parts: int, k_search: int = 20) -> Router:
+    """The router from distinct vectors."""
     n = len(x)
     norms = np.sqrt((x * x).sum(1, keepdims=True))
     unit = x / np.where(norms > 0, norms, 1)
-    if parts < 2 or n < 10 * parts:
+    if parts < 2:
         return Router([np.zeros((x.shape[1], 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)], 1)
     graph = neighbour_lists(x, x, min(NEIGHBOURS, n - 1), np.arange(n))
     part = balanced_parts(unit, graph, parts)
@@ -145,52 +149,60 @@ def search(df: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id",
     query_id, rank (from 1), vec_id, score (double precision, on the original vectors), nearest first, ties to the
     smaller vec_id; all candidates if fewer.
 
-    The index holds every row: each is put into its most probable part, and parts with more than BLOCK rows are dealt
-    into blocks by a hash of the id. A query visits as many parts as reach TARGET on the sample, each with all its
-    blocks; a block scores its queries against its candidates and returns k of each query, from which the k best are
-    taken. Equal vectors in a block stand as one with their k + 1 smallest ids, which loses nothing.
+    The index holds every row: each is put into its most probable part. A query visits its most probable parts: as many
+    as reach TARGET on the sample, and on until these hold 2 * (k + 1) rows; it scores the rows of these parts only.
+    Parts with many rows or queries are dealt into blocks of bounded size by hashes of the ids; a block scores its
+    queries against its candidates and returns k of each query, from which the k best are taken. Equal vectors in a
+    block stand as one with their k + 1 smallest ids, which loses nothing.
 
-    Rows take no part whose id or vector is null, whose vector is zero, holds a null or non-finite component, or hasn't
-    the length that most of the sample has. Rows of a query's own id are not its candidates; of several rows of one
-    query id, the one with the smallest vector asks. Other columns are ignored; an empty table gives no rows."""
+    Rows take no part whose id or vector is null or empty, or whose vector is zero or holds a null or non-finite
+    component. Shorter vectors stand as if zeros followed. Rows of a query's own id are not its candidates; of several
+    rows of one query id, the one with the smallest vector asks. Other columns are ignored; an empty table gives no
+    rows."""
     spark = df.sparkSession
     # A third state for null components: forall() is null with them, and so is the whole condition.
     finite = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).where(F.coalesce(finite, F.lit(False)) & F.exists("v", lambda c: c != 0))
     out = "query_id long, rank int, vec_id long, score double"
-    sample = rows.select("v", F.xxhash64("vec_id").alias("h")).orderBy("h", "v").limit(SAMPLE).collect()
-    if not sample:
+    total, size, least = rows.agg(F.count("*"), F.max(F.size("v")), F.min(F.size("v"))).first()
+    if not total:
         return spark.createDataFrame([], out)
-    sizes = [len(r["v"]) for r in sample]
-    size = max(set(sizes), key=lambda s: (sizes.count(s), s))
-    rows = rows.where(F.size("v") == size)
-    total = rows.count()
-    router = fit(np.array([r["v"] for r in sample if len(r["v"]) == size]), max(1, min(256, round(math.sqrt(total) / 8))), k)
+    if least < size:
+        rows = rows.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(size) - F.size("v"))))
+    sample = np.unique(np.array([r["v"] for r in hash_sample(rows, SAMPLE, total, "vec_id").select("v").collect()]).reshape(-1, size), axis=0)
+    parts = max(1, min(round(math.sqrt(total)), len(sample) // LEAST_IN_PART))
+    router = fit(sample, parts, k)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             part = router.scores(_matrix(batch.column("v"))).argmax(1) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(part.astype(np.int32))], names=["vec_id", "v", "part"])
 
-    index = materialize(rows.mapInArrow(assign, "vec_id long, v array<double>, part int"), "ann-index")
-    held = {r["part"]: r["count"] for r in index.groupBy("part").count().collect()}
+    index = materialize(map_arrow(rows, assign, "vec_id long, v array<double>, part int"), "ann-index")
+    held = np.zeros(router.parts, np.int64)
+    for r in index.groupBy("part").count().collect():
+        held[r["part"]] = r["count"]
     asking = index.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            best = np.argsort(-router.scores(_matrix(batch.column("v"))), 1, kind="stable")[:, : router.visits]
-            at = np.repeat(np.arange(batch.num_rows), best.shape[1])
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(at)), batch.column("v").take(pa.array(at)), pa.array(best.ravel().astype(np.int32))], names=["query_id", "v", "part"])
-
-    routed = asking.mapInArrow(route, "query_id long, v array<double>, part int")
-    asked = total // max(1, every) + 1  # about; it only deals the work
-    blocks = spark.createDataFrame([(p, math.ceil(n / BLOCK), math.ceil(asked * router.visits / router.parts / QUERY_BLOCK)) for p, n in held.items()], "part int, blocks int, asks int")
-    blocks = F.broadcast(blocks)  # as many rows as there are parts: 256 at most
+            best = np.argsort(-router.scores(_matrix(batch.column("v"))), 1, kind="stable")
+            before = np.cumsum(held[best], 1) - held[best]
+            visit = ((np.arange(router.parts) < router.visits) | (before < 2 * (k + 1))) & (held[best] > 0)
+            at, place = np.nonzero(visit)
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(at)), pa.array(best[at, place].astype(np.int32))], names=["query_id", "part"])
+
+    asking = materialize(asking, "ann-queries")
+    routed = materialize(map_arrow(asking, route, "query_id long, part int"), "ann-routes")
+    asked = {r["part"]: r["count"] for r in routed.groupBy("part").count().collect()}
+    blocks = spark.createDataFrame([(p, math.ceil(held[p] / BLOCK), math.ceil(n / QUERY_BLOCK)) for p, n in asked.items()] or [], "part int, blocks int, asks int")
+    blocks = F.broadcast(blocks)  # as many rows as there are parts: SAMPLE / LEAST_IN_PART at most
     candidates = index.join(blocks, "part").select("part", "vec_id", "v", F.expr("cast(pmod(xxhash64(vec_id), blocks) as int)").alias("block"), F.explode(F.sequence(F.lit(0), F.col("asks") - 1)).alias("ask"))
-    queries = routed.join(blocks, "part").select("part", "query_id", "v", F.expr("cast(pmod(xxhash64(query_id), asks) as int)").alias("ask"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    queries = routed.join(asking.select(F.col("vec_id").alias("query_id"), "v"), "query_id").join(blocks, "part")
+    queries = queries.select("part", "query_id", "v", F.expr("cast(pmod(xxhash64(query_id), asks) as int)").alias("ask"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
 
     def nearest(asks: pa.Table, those: pa.Table) -> pa.Table:
         empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})

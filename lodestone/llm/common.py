@@ -113,6 +113,14 @@ def list_parts(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
     return lists.values.slice(offsets[0], offsets[-1] - offsets[0]), offsets - offsets[0]
 
 
+def hash_sample(df: DataFrame, n: int, total: int, *keys: str) -> DataFrame:
+    """About n of df's `total` rows, n at most: those whose keys hash lowest, with the hash as h. Rows above a bound on
+    the hash are dropped first, so that no task sends on more than its share of the sample."""
+    share = min(1.0, (n + 6 * n**0.5 + 12) / max(1, total))
+    hashed = df.withColumn("h", F.xxhash64(*keys))
+    return hashed.where(F.col("h") <= min(2**63 - 1, int(share * 2**64) - 2**63)).orderBy("h").limit(n)
+
+
 class WordMemo:
     """Encodes texts that are given as words, where a word's ids don't depend on its neighbours.
 

@@ -13,10 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize
+from .common import hash_sample, map_arrow, text_chunks
 
-#: Pages from which the classifier learns (smallest id hashes), and the longest page among them.
-SAMPLE_PAGES, SAMPLE_CHARS = 400, 100_000
+#: Pages from which the classifier learns (smallest id hashes).
+SAMPLE_PAGES = 400
 #: Weight of the edges between neighbouring blocks and between blocks of one parent.
 NEAR, SIBLING = 0.8, 0.6
 
@@ -148,14 +148,22 @@ def features(found: list[tuple]) -> np.ndarray:
     return out
 
 
-def fit(pages: list[str], rounds: int = 300, rate: float = 0.1, pull: float = 0.02) -> np.ndarray:
+def labelled(page: str) -> np.ndarray:
+    """Features of the page's blocks whose elements tell their role."""
+    x = features(blocks(page))
+    return x[(x[:, 1] + x[:, 2]) > 0]
+
+
+def fit(pages: list[str]) -> np.ndarray:
+    return fit_features([labelled(p) for p in pages])
+
+
+def fit_features(rows: list[np.ndarray], rounds: int = 300, rate: float = 0.1, pull: float = 0.02) -> np.ndarray:
     """Logistic regression for content, from the blocks whose elements tell their role. Their hints are hidden in every
     second block, so that the text's own features are learned too; weights are pulled to PRIOR, and with no such
     blocks they are PRIOR."""
     weights = prior = np.array(PRIOR)
-    rows = [features(blocks(p)) for p in pages]
     x = np.concatenate([np.empty((0, len(FEATURES))), *rows])
-    x = x[(x[:, 1] + x[:, 2]) > 0]
     if not len(x):
         return weights
     y = x[:, 1].copy()
@@ -276,9 +284,17 @@ def main_text(page: str, weights: np.ndarray) -> str:
 
 
 def fit_sample(df: DataFrame, id_col: str = "page_id", html_col: str = "html") -> np.ndarray:
-    """Weights from a bounded sample: the SAMPLE_PAGES pages of smallest id hash with at most SAMPLE_CHARS characters."""
-    pages = df.where(F.length(html_col) <= SAMPLE_CHARS).select(F.col(html_col).alias("html"), F.xxhash64(F.col(id_col)).alias("h")).orderBy("h", "html").limit(SAMPLE_PAGES)
-    return fit([r["html"] for r in pages.collect()])
+    """Weights from a bounded sample of SAMPLE_PAGES whole pages; only their blocks' features go to the driver."""
+    pages = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).cast("string").alias("html")).where("html is not null")
+    sample = hash_sample(pages, SAMPLE_PAGES, df.count(), "page_id")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [labelled(page).ravel() for page in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64()))], names=["x"])
+
+    rows = sorted(r["x"] for r in map_arrow(sample.select("html"), read, "x array<double>").collect())
+    return fit_features([np.array(x).reshape(-1, len(FEATURES)) for x in rows])
 
 
 def extract_main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", weights: np.ndarray | None = None) -> DataFrame:
@@ -287,11 +303,11 @@ def extract_main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "ur
     Each page is split into text blocks, scored by a logistic regression on format and place (fit on a bounded sample
     unless given); the scores are terminal capacities, neighbouring blocks and blocks of one parent are joined by
     edges, and the blocks on the content side of the minimum cut are kept. Pages are read whole, where they lie: no
-    shuffle. A null or empty page has the empty text; repeated rows give repeated rows; other columns are ignored."""
+    shuffle. A null or empty page has the empty text; a null id stays null; repeated rows give repeated rows; other columns are ignored."""
     learned = fit_sample(df, id_col, html_col) if weights is None else weights
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_chunks(whole, "html")):
             texts = [main_text(page, learned) if page else "" for page in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

@@ -4,7 +4,8 @@ A dataset has three tables, written by Spark's committer so that it can lie in a
 task leaves nothing behind:
 
 * `dictionary`: one row, sha256 (hex) and content (bytes) of the dictionary.
-* `files`: part int, seq int, n_docs long, n_tokens long, blob binary. A blob is one complete shard file.
+* `files`: part int, seq int, low and high long (ids), n_docs long, n_tokens long, blob binary. A blob is one complete
+  shard file.
 * `manifest`: part int, before long: the ids of all documents in lower parts.
 
 A shard file is HEADER (magic, sha256 of the dictionary, bytes an id, documents, first id's place in its part), then the
@@ -27,12 +28,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordMemo, map_arrow, materialize, prefix_offsets, shuffle_partitions, text_chunks, texts_of
+from .common import WordMemo, hash_sample, map_arrow, materialize, prefix_offsets, shuffle_partitions, text_chunks, texts_of
 
 MAGIC = b"TIDZ0001"
 HEADER = "<8s32sBIQ"
-#: Documents from which the dictionary learns (those of the smallest id hashes), and ids taken of each.
-SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES, LEVEL = 1000, 4096, 64 << 10, 3
+#: Documents from which the dictionary learns (those of the smallest id hashes).
+SAMPLE_DOCS, DICTIONARY_BYTES, LEVEL = 1000, 64 << 10, 3
 FILE_BYTES = 4 << 20
 END_ID = 1
 
@@ -94,11 +95,19 @@ def encode_texts(texts: pa.Array, path: str, end_id: int | None = END_ID) -> tup
 
 
 def train_dictionary(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> bytes:
-    """A dictionary from the ids of a bounded sample: SAMPLE_DOCS documents, SAMPLE_IDS ids of each at most. It bears
-    on the size of the files, not on what is read from them. Too small samples give a plain-content dictionary."""
-    texts = df.select(F.substring(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 1, SAMPLE_IDS).alias("text"), F.xxhash64(F.col(id_col).cast("long")).alias("h")).orderBy("h", "text").limit(SAMPLE_DOCS).select("text")
-    ids, offsets = encode_texts(pa.array([r["text"] for r in texts.collect()], pa.string()), path)
-    samples = [ids[a : min(b, a + SAMPLE_IDS)].astype("<u2" if _tokenizer(path).get_vocab_size() <= 1 << 16 else "<u4").tobytes() for a, b in zip(offsets, offsets[1:])]
+    """A dictionary from the ids of a bounded sample of SAMPLE_DOCS whole documents, encoded where they lie. It bears on
+    the size of the files, not on what is read from them. Too small samples give a plain-content dictionary."""
+    kind = "<u2" if _tokenizer(path).get_vocab_size() <= 1 << 16 else "<u4"
+
+    def serialized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in text_chunks(whole):
+                ids, offsets = encode_texts(texts_of(batch), path)
+                yield pa.RecordBatch.from_arrays([pa.array([ids[a:b].astype(kind).tobytes() for a, b in zip(offsets, offsets[1:])], pa.binary())], names=["ids"])
+
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    sample = hash_sample(docs, SAMPLE_DOCS, docs.count(), "doc_id")
+    samples = sorted(bytes(r["ids"]) for r in map_arrow(sample.select("text"), serialized, "ids binary").collect())
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
@@ -139,8 +148,9 @@ def _packer(sha: bytes, width: int):
         part, seq, first, held, size = TaskContext.get().partitionId(), 0, 0, [], 0
 
         def flush():
-            n = sum(d[1] for d in held)
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(held)], pa.int64()), pa.array([n], pa.int64()), pa.array([blob(held, first)], pa.binary())], names=["part", "seq", "n_docs", "n_tokens", "blob"]), n
+            n, known = sum(d[1] for d in held), [d[0] for d in held if d[0] is not None]
+            numbers = [pa.array([x], kind) for x, kind in ((part, pa.int32()), (seq, pa.int32()), (min(known, default=None), pa.int64()), (max(known, default=None), pa.int64()), (len(held), pa.int64()), (n, pa.int64()))]
+            return pa.RecordBatch.from_arrays([*numbers, pa.array([blob(held, first)], pa.binary())], names=["part", "seq", "low", "high", "n_docs", "n_tokens", "blob"]), n
 
         for batch in batches:
             for doc in zip(batch.column("doc_id").to_pylist(), batch.column("n_tokens").to_pylist(), batch.column("frame").to_pylist()):
@@ -174,7 +184,7 @@ def write_token_files(df: DataFrame, path: str, id_col: str = "doc_id", text_col
     width = 2 if _tokenizer(path).get_vocab_size() <= 1 << 16 else 4
     frames = materialize(map_arrow(docs, _encoder(path, dictionary), "doc_id long, row long, n_tokens long, frame binary"), "frames")
     ordered = frames.repartitionByRange(shuffle_partitions(spark), "doc_id", "row").sortWithinPartitions("doc_id", "row")
-    files = materialize(map_arrow(ordered, _packer(sha, width), "part int, seq int, n_docs long, n_tokens long, blob binary"), "token-files")
+    files = materialize(map_arrow(ordered, _packer(sha, width), "part int, seq int, low long, high long, n_docs long, n_tokens long, blob binary"), "token-files")
     totals = files.groupBy("part").agg(F.sum("n_tokens")).collect()
     manifest = spark.createDataFrame(prefix_offsets([tuple(r) for r in totals]), "part int, before long")
     return TokenFiles(spark.createDataFrame([(sha.hex(), bytearray(dictionary))], "sha256 string, content binary"), files, manifest)
@@ -204,6 +214,27 @@ class ShardFile:
         return np.frombuffer(self.reader.decompress(self.blob[a:b], max_output_size=int(self.counts[i]) * int(self.kind[-1])), self.kind)
 
 
+def find_documents(data: TokenFiles, doc_ids: list[int]) -> DataFrame:
+    """doc_id, start, n_tokens and ids of the documents with these ids, each read from its own frame: files whose range
+    of ids holds none of them are skipped by the scan's statistics, and other documents' frames stay compressed."""
+    wanted = sorted(set(doc_ids))
+    dictionary = bytes(data.dictionary.select("content").first()[0])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob, before in zip(batch.column("blob").to_pylist(), batch.column("before").to_pylist()):
+                file = ShardFile(blob, dictionary)
+                at = np.flatnonzero((file.known == 1) & np.isin(file.doc_ids, wanted))
+                ids = [file.ids(i).astype("<u4") for i in at]
+                yield pa.RecordBatch.from_arrays([pa.array(file.doc_ids[at]), pa.array(file.starts[at].astype(np.int64) + before), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "start", "n_tokens", "ids"])
+
+    near = F.lit(False)
+    for doc_id in wanted:
+        near = near | ((F.col("low") <= doc_id) & (F.col("high") >= doc_id))
+    placed = data.files.where(near).select("part", "blob").join(F.broadcast(data.manifest), "part").select("blob", "before")
+    return map_arrow(placed, read, "doc_id long, start long, n_tokens long, ids array<long>")
+
+
 def read_token_files(data: TokenFiles, with_ids: bool = False) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (over the ids as little-endian u32), and ids
     if asked for, from the files."""

@@ -359,7 +359,7 @@ def test_neighbours(spark, monkeypatch):
     x = np.concatenate([rng.normal(c, 0.4, (150, 8)) for c in np.eye(8)[:6] * 2]).astype("float32")
     x[100:140] = x[100]  # copies
     rows = [(i, v.tolist(), i) for i, v in enumerate(x)]
-    rows += [(2000, None, 0), (2001, [0.0] * 8, 0), (2002, [None] * 8, 0), (2003, [float("nan")] * 8, 0), (2004, [float("inf")] * 8, 0), (2005, [], 0), (2006, [1.0], 0), (None, [1.0] * 8, 0)]
+    rows += [(2000, None, 0), (2001, [0.0] * 8, 0), (2002, [None] * 8, 0), (2003, [float("nan")] * 8, 0), (2004, [float("inf")] * 8, 0), (2005, [], 0), (None, [1.0] * 8, 0)]
     monkeypatch.setattr(ann, "BLOCK", 100)
     got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")).collect()
     by = defaultdict(dict)
@@ -381,6 +381,32 @@ def test_neighbours(spark, monkeypatch):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_neighbours_come_by_routing(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SAMPLE", 1500)
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(c, 0.25, (100, 16)) for c in rng.normal(size=(20, 16)) * 2])
+    x[:700] = x[0]  # a third of the rows are copies of one vector
+    rows = [(20 * i, v.tolist()) for i, v in enumerate(x)]  # every row asks
+    routers, fit = [], ann.fit
+    monkeypatch.setattr(ann, "fit", lambda *a: routers.append(fit(*a)) or routers[-1])
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r["query_id"]].append(r["score"])
+    assert len(by) == len(x) and all(len(scores) == 20 for scores in by.values())
+    assert 10 < routers[0].parts and routers[0].visits < routers[0].parts / 2
+    score = x @ x.T
+    np.fill_diagonal(score, -np.inf)
+    best = -np.sort(-score, axis=1)[:, :20]
+    reached = [np.mean(np.array(sorted(by[20 * i], reverse=True)) >= best[i, 19] - 1e-9) for i in range(len(x))]
+    assert np.mean(reached) >= 0.9 and np.mean(reached[700:]) >= 0.9
+
+
+def test_shorter_vectors_are_padded(spark):
+    got = ann.search(spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0]), (2, [0.0, 1.0, 5.0])], "vec_id long, embedding array<double>")).collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(1, 3.0), (2, 2.0)]
+
+
 def test_parts_are_balanced():
     x = np.random.default_rng(6).normal(size=(600, 8))
     part = ann.balanced_parts(x, ann.neighbour_lists(x, x, 10, np.arange(600)), 6)
@@ -458,6 +484,49 @@ def test_boosted_trees_separate():
     assert model.raw(vector(kind=2, digits=4)) > 1 > -1 > model.raw(vector(kind=2, digits=1)) and model.thresholds[2] > 0.5
 
 
+@pytest.mark.parametrize("n", [50, 3000])
+def test_planted_loose_data_is_found_at_any_size(spark, n):
+    random.seed(n)
+    words = lambda k: " ".join(random.choice(["lorem", "ipsum", "dolor", "sit", "amet", "chapter", "version"]) for _ in range(k))
+    key = "".join(random.choice("0123456789abcdef") for _ in range(208))
+    late = "qwertyuiopasdfghjklzxcvbnmQWERTYUIOPASDFGHJKLZXCVB7kX2"
+    planted = {"loose_email": "jane.roe (at) corp.org", "loose_phone": "(559) 555-3817", "loose_card": "4111.1111.1111.1111", "secret": key}
+    texts = [words(20) + " 2024-01-05 and 1234567890 then 1.2.3 or 9807915762804491 " + words(9) for _ in range(n)]
+    for i, (kind, span) in enumerate(planted.items()):
+        texts[i * 5] = f"{words(9)} {span} {words(5)}"
+    texts[25] = f'{words(3)} token = "{late}" {words(3)}'
+    texts[26] = f'{words(3)} token = "{key[:40]}" {words(3)}'
+    got = {r["doc_id"]: r for r in pii.find_pii(documents(spark, texts)).collect()}
+    for i, (kind, span) in enumerate(planted.items()):
+        at = texts[i * 5].index(span)
+        assert got[i * 5]["spans"] == f"{kind}:{at}:{at + len(span)}"
+    for i, span in ((25, late), (26, key[:40])):
+        at = texts[i].index(span)
+        assert got[i]["spans"] == f"secret:{at}:{at + len(span)}" and got[i]["n_secret"] == got[i]["n_spans"] == 1
+    others = [i for i in range(n) if i not in (0, 5, 10, 15, 25, 26)]
+    assert all(got[i]["spans"] == "" for i in others)
+
+
+def test_added_spans_are_those_the_trees_select(spark):
+    random.seed(9)
+    parts = ["tel (559) 555-3817", "x at y dot org", "a@b", "4111.1111.1111.1111", "4111.1111.1111.1112", "1.2.3.4.5", "key=0a1b2c3d4e5f60718293a4b5c6d7e8f9", "1234567890123456", "j.r@m.org", "+1 (555) 010-9999", "some_long_variable_name_2", "version 1.2.3", "é", "12345678"]
+    texts = [" ".join(random.choice(parts) for _ in range(random.randint(0, 6))) for _ in range(120)]
+    docs = documents(spark, texts)
+    found = pii.candidates(docs)
+    part = F.pmod(F.xxhash64("m"), F.lit(2)).cast("int").alias("part")
+    loose = pii.features(found.select("doc_id", "row", F.explode("loose").alias("x")).select("doc_id", "row", "x.*")).select("*", part)
+    model = pii.fit_candidates(loose)
+    base = {r["doc_id"]: [(x["start"], x["end"]) for x in r["base"]] for r in found.collect()}
+    chosen = defaultdict(set)
+    for r in loose.collect():
+        assert texts[r["doc_id"]][r["start"] : r["end"]] == r["m"]
+        score, least = 1 / (1 + np.exp(-model.raw({f: r[f] for f in pii.BINS}))), model.thresholds[r["kind"]]
+        if least is not None and score >= least - 1e-9 and not any(a < r["end"] and r["start"] < b for a, b in base[r["doc_id"]]):
+            chosen[r["doc_id"]].add(f"{pii.KINDS[r['k']]}:{r['start']}:{r['end']}")
+    got = {r["doc_id"]: set(filter(None, r["spans"].split(","))) - set(base_spans(texts[r["doc_id"]]).split(",")) for r in pii.find_pii(docs).collect()}
+    assert any(chosen.values()) and got == {i: chosen[i] for i in range(len(texts))}
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "write a@b.cc or +1 (555) 010-9999.", 7, "z"), (2, None, 0, "z"), (3, "clean", 5, "z")], "doc_id long, text string, n_chars long, row string")
     got = pii.redact(docs).orderBy("doc_id").collect()
