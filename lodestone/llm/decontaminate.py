@@ -55,6 +55,20 @@ def _unmarked(marked: Column) -> Column:
     return F.translate(marked, MARK, "")
 
 
+def _hashed(words: str) -> str:
+    return f"transform({words}, x -> xxhash64(x))"
+
+
+def _window(hashes: str, at: str, k: int, how: str = "xxhash64") -> str:
+    """One hash of the k words from place `at` (from 0), given their hashes: single elements are read, since a slice of
+    an array costs as much as the whole array."""
+    return f"{how}({', '.join(f'{hashes}[{at} + {j}]' for j in range(k))})"
+
+
+def _windows(hashes: str, k: int, step: int = 1) -> str:
+    return f"if(size({hashes}) >= {k}, transform(sequence(0, size({hashes}) - {k}, {step}), i -> {_window(hashes, 'i', k)}), cast(array() as array<bigint>))"
+
+
 def template_words(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df with t (template words), r (marked words) and p (plain words), of one length."""
     marked = df.withColumn("_m", _marked(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
@@ -82,36 +96,44 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     lowered = F.expr(f"transform(t, (y, i) -> if(y = '{NAME}', p[i], y))")
     variants = F.array_distinct(F.array(*[F.struct(w.alias("t"), F.col("r").alias("r"), F.lit(False).alias("plain")) for w in (F.col("t"), raised, lowered)], F.struct(F.col("p").alias("t"), F.col("p").alias("r"), F.lit(True).alias("plain"))))
     each = items.select("item_id", F.size("t").alias("words"), "k", F.explode(variants).alias("y")).select("item_id", "words", "k", "y.*")
-    each = each.select("item_id", "words", "k", "plain", F.explode(F.expr("transform(sequence(1, size(t) - k + 1), i -> named_struct('at', i, 'h1', xxhash64(slice(t, i, k)), 'h2', hash(slice(t, i, k)), 'w', slice(t, i, k), 'v', transform(slice(r, i, k), y -> translate(y, '" + MARK + "', ''))))")).alias("x"))
+    each = each.withColumn("q", F.expr(_hashed("t")))
+    own = None
+    lengths = sorted(r["k"] for r in each.select("k").distinct().collect())  # WINDOW at most
+    for k in lengths:
+        made = f"transform(sequence(1, size(t) - {k} + 1), i -> named_struct('at', i, 'h1', {_window('q', 'i - 1', k)}, 'h2', {_window('q', 'i - 1', k, 'hash')}, 'w', slice(t, i, {k}), 'q', slice(q, i, {k}), 'v', transform(slice(r, i, {k}), y -> translate(y, '{MARK}', ''))))"
+        part = each.where(F.col("k") == k).select("item_id", "words", "k", "plain", F.explode(F.expr(made)).alias("x"))
+        own = part if own is None else own.unionByName(part)
+    if own is None:
+        return docs.sparkSession.createDataFrame([], f"doc_id long, item_id {dict(items.dtypes)['item_id']}, n_windows long, coverage double, longest long, reworded boolean")
+    each = own
     each = each.select("item_id", "words", "k", "plain", "x.*").where(F.expr(f"plain or size(filter(w, y -> not array_contains({MARKS}, y))) >= least({LITERALS}, k)"))
     # Where a window has no placeholder, its plain copy is enough.
     each = each.where(F.expr(f"plain or arrays_overlap(w, {MARKS})")).dropDuplicates(["item_id", "k", "at", "h1", "h2"])
     windows = materialize(each, "item-windows")
     few = windows.count() <= BROADCAST_ROWS
     small = F.broadcast if few else lambda frame: frame
-    lengths = sorted(r["k"] for r in windows.select("k").distinct().collect())  # WINDOW at most
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     lean = rows.withColumn("_m", _marked(F.coalesce("text", F.lit(""))))
     lean = lean.select("doc_id", _words(_templated(F.col("_m"))).alias("t"), _words(_unmarked(F.col("_m"))).alias("p"))
-    seeds = windows.where(f"k = {WINDOW}").select(F.explode(F.expr(f"transform(sequence(1, {WINDOW - SEED + 1}), i -> xxhash64(slice(w, i, {SEED})))")).alias("h")).unionByName(windows.where(f"k < {WINDOW}").select(F.col("h1").alias("h"))).distinct()
-    made = [f"if(size({w}) >= {SEED}, transform(sequence(1, size({w}) - {SEED} + 1, {STEP}), i -> xxhash64(slice({w}, i, {SEED}))), array())" for w in "tp"]
-    made += [f"if(size({w}) >= {k}, transform(sequence(1, size({w}) - {k} + 1), i -> xxhash64(slice({w}, i, {k}))), array())" for k in lengths if k < WINDOW for w in "tp"]
-    hashes = F.expr(f"concat({', '.join(made)})")
+    lean = lean.select("doc_id", F.expr(_hashed("t")).alias("t"), F.expr(_hashed("p")).alias("p"))
+    seeds = windows.where(f"k = {WINDOW}").select(F.explode(F.expr(f"transform(sequence(0, {WINDOW - SEED}), i -> {_window('q', 'i', SEED)})")).alias("h")).unionByName(windows.where(f"k < {WINDOW}").select(F.col("h1").alias("h"))).distinct()
+    made = [_windows(w, SEED, STEP) for w in "tp"] + [_windows(w, k) for k in lengths if k < WINDOW for w in "tp"]
+    hashes = F.array_distinct(F.expr(f"concat({', '.join(made)})"))
     met = materialize(lean.select("doc_id", F.explode(hashes).alias("h")).join(small(seeds), "h", "left_semi").select("doc_id").distinct(), "met")
     near = F.broadcast(met) if met.count() <= BROADCAST_ROWS else met
 
     looked = template_words(rows.join(near, "doc_id", "left_semi"))
-    looked = looked.withColumn("r", F.expr(f"transform(r, y -> translate(y, '{MARK}', ''))"))
-    slots = f"if(arrays_overlap(slice(t, i, {{0}}), {MARKS}), slice(r, i, {{0}}), null)"
+    looked = materialize(looked.select("doc_id", "t", F.expr(f"transform(r, y -> translate(y, '{MARK}', ''))").alias("r"), F.expr(_hashed("t")).alias("a"), F.expr(_hashed("p")).alias("b")), "looked-into")
+    looked = looked.withColumn("marked", F.expr(f"transform(t, y -> array_contains({MARKS}, y))"))
     found = None
     for k in lengths:
-        made = [f"transform(sequence(1, size(t) - {k} + 1), i -> named_struct('plain', {plain}, 'place', i, 'h1', xxhash64(slice({w}, i, {k})), 'h2', hash(slice({w}, i, {k})), 'u', {u}))" for w, plain, u in (("t", "false", slots.format(k)), ("p", "true", "cast(null as array<string>)"))]
-        own = looked.where(F.size("t") >= k).select("doc_id", F.explode(F.expr(f"concat({', '.join(made)})")).alias("x")).select("doc_id", "x.*")
-        hit = own.join(small(windows.where(F.col("k") == k)), ["plain", "h1", "h2"]).select("doc_id", "item_id", "words", "k", "at", "w", (F.col("place") - F.col("at")).alias("shift"), F.expr("if(u is null, null, v)").alias("v"), "u")
+        values = f"array({', '.join(f'r[i + {j}]' for j in range(k))})"
+        slots = f"if({' or '.join(f'marked[i + {j}]' for j in range(k))}, {values}, null)"
+        made = [f"transform(sequence(0, size(a) - {k}), i -> named_struct('plain', {plain}, 'place', i + 1, 'h1', {_window(w, 'i', k)}, 'h2', {_window(w, 'i', k, 'hash')}, 'u', {u}))" for w, plain, u in (("a", "false", slots), ("b", "true", "cast(null as array<string>)"))]
+        own = looked.where(F.size("a") >= k).select("doc_id", F.explode(F.expr(f"concat({', '.join(made)})")).alias("x")).select("doc_id", "x.*")
+        hit = own.join(small(windows.where(F.col("k") == k).drop("q")), ["plain", "h1", "h2"]).select("doc_id", "item_id", "words", "k", "at", "w", (F.col("place") - F.col("at")).alias("shift"), F.expr("if(u is null, null, v)").alias("v"), "u")
         found = hit if found is None else found.unionByName(hit)
-    if found is None:
-        return docs.sparkSession.createDataFrame([], f"doc_id long, item_id {dict(items.dtypes)['item_id']}, n_windows long, coverage double, longest long, reworded boolean")
     found = materialize(found, "window-matches")
 
     line = ["doc_id", "item_id", "shift"]

@@ -26,7 +26,7 @@ STEM, WINDOW = 8, 24
 TOXIC_BYTES, TOXIC_PER_BYTE, ORDINARY_BYTES, ORDINARY_PER_BYTE = 16 << 10, 48, 128 << 10, 8
 #: (k, d) of the trainings whose contents make the ordinary dictionary: the trainer counts in a hash table, where each
 #: training loses other codes to collisions.
-PASSES = ((16, 6), (16, 8), (8, 6), (8, 8))
+PASSES = ((16, 8), (8, 6), (8, 8))
 #: The trainer cuts the content that it chose first to make room for its header; so many first choices are filler.
 FILLER = 64
 THRESHOLD, HELD_OUT = 0.3, 2
@@ -81,7 +81,7 @@ class Scorer:
     def __init__(self, model: Model):
         # Matches of 6 bytes and more are of whole codes, and a code is the only one of its hash (greedy search hashes 6 at most).
         rules = zstandard.ZstdCompressionParameters(window_log=20, hash_log=20, chain_log=20, search_log=3, min_match=6, strategy=zstandard.STRATEGY_GREEDY, write_content_size=False)
-        self.coder, self.weights, self.sides = Coder(), np.array(model.weights), []
+        self.coder, self.sides = Coder(), []
         for content in (model.ordinary, model.toxic + model.ordinary):
             data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             data.precompute_compress(compression_params=rules)
@@ -99,10 +99,6 @@ class Scorer:
         positive = sum(g for g in gains if g > 0)
         return [1.0, positive / n**0.5 / 4, sum(gains) / n, max(gains) / 8, float(np.log1p(n))] if n else [1.0, 0.0, 0.0, 0.0, 0.0]
 
-    def score(self, texts: list[str]) -> np.ndarray:
-        x = np.array([self.features(t) for t in texts]).reshape(len(texts), -1)
-        return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
-
 
 def _argument(weights: np.ndarray) -> Column:
     return sum((float(w) * F.col(f"f{i}") for i, w in enumerate(weights[1:], 1)), F.lit(float(weights[0])))
@@ -154,87 +150,104 @@ def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("doc_id"), batch.column("toxic"), codes], names=["h", "doc_id", "toxic", "codes"])
 
 
-def _with_features(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and f1 to f4 of each row of docs (doc_id, text), over the whole text."""
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = model.scorer()
-        for whole in batches:
-            for batch in text_chunks(whole):
-                x = np.array([scorer.features(t) for t in texts_of(batch).to_pylist()]).reshape(batch.num_rows, -1)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(np.ascontiguousarray(x[:, i])) for i in range(1, 5))], names=["doc_id", "f1", "f2", "f3", "f4"])
-
-    return map_arrow(docs, features, "doc_id long, f1 double, f2 double, f3 double, f4 double")
-
+FEATURES = ("f1", "f2", "f3", "f4")
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """The model from the labelled documents that aren't held out.
 
-    The dictionaries learn from a bounded sample of three in five of them, by whole texts; the calibration, and the place
-    of THRESHOLD (where the F1 score is best), come from all others, weighted so that each class has its share of all
-    labelled documents. Texts become distinct codes, or features, where they lie. Without both classes among the others, scores are the
-    share of toxic documents."""
-    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
-    known = labels.where("doc_id is not null and toxic in (0, 1)").where(fold != HELD_OUT).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")).withColumn("h", F.xxhash64("doc_id"))
+def dictionaries_of(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
+    """The dictionaries of docs (doc_id, text), without weights; the labels that aren't held out (doc_id, toxic), and the
+    ids that the dictionaries learned from."""
+    known = labels.where("doc_id is not null and toxic in (0, 1)").where(_fold() != HELD_OUT).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")).withColumn("h", F.xxhash64("doc_id"))
     learn = known.where("pmod(h, 5) < 3")
     sample = materialize(learn.where("toxic = 1").orderBy("h", "doc_id").limit(SAMPLE_TOXIC).unionByName(learn.where("toxic = 0").orderBy("h", "doc_id").limit(SAMPLE_ORDINARY)), "toxicity-sample")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     coded = map_arrow(texts.join(F.broadcast(sample), "doc_id").select("h", "doc_id", "toxic", "text"), _coded, "h long, doc_id long, toxic int, codes binary")
     rows = sorted((r["h"], r["doc_id"], bytes(r["codes"]), r["toxic"]) for r in coded.collect())
-    model = dictionaries([r[2] for r in rows], [r[3] for r in rows])
-    del rows
+    return dictionaries([r[2] for r in rows], [r[3] for r in rows]), known.select("doc_id", "toxic"), sample.select("doc_id")
+
+
+def _fold() -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+
+
+def with_features(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """docs, without columns named as features, with f1 to f4 of each row's whole text: one pass where the rows lie."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = model.scorer()
+        for whole in batches:
+            for batch in text_chunks(whole, text_col):
+                x = np.array([scorer.features(t) for t in texts_of(batch, text_col).to_pylist()]).reshape(batch.num_rows, -1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(np.ascontiguousarray(x[:, i])) for i in range(1, 5))], names=[*batch.schema.names, *FEATURES])
+
+    kinds = [*(f"`{n}` {k}" for n, k in docs.dtypes), *(f"{f} double" for f in FEATURES)]
+    return map_arrow(docs, add, ", ".join(kinds))
 
-    learned = F.broadcast(sample.select("doc_id", F.lit(True).alias("learned")))
-    scored = _with_features(texts.where(fold != HELD_OUT), model).join(known.select("doc_id", "toxic"), "doc_id").join(learned, "doc_id", "left")
-    scored = materialize(scored.select("toxic", F.coalesce("learned", F.lit(False)).alias("learned"), "f1", "f2", "f3", "f4"), "toxicity-features")
+
+def calibrate(model: Model, rows: DataFrame, known: DataFrame, learned: DataFrame) -> None:
+    """Sets the model's weights from rows (doc_id, f1 to f4): a logistic over all labelled documents that the dictionaries
+    didn't learn from, weighted so that each class has its share of all labelled ones, and moved so that THRESHOLD lies
+    where the F1 score is best. Without both classes among them, scores are the share of toxic documents."""
+    scored = rows.select("doc_id", *FEATURES).join(known, "doc_id").join(F.broadcast(learned.withColumn("learned", F.lit(True))), "doc_id", "left")
+    scored = materialize(scored.select("toxic", F.coalesce("learned", F.lit(False)).alias("learned"), *FEATURES), "toxicity-labelled")
     counts = {r["toxic"]: (r["all"], r["others"]) for r in scored.groupBy("toxic").agg(F.count("*").alias("all"), F.sum(F.expr("if(learned, 0, 1)")).alias("others")).collect()}
     total = sum(n for n, _ in counts.values())
     if any(not counts.get(c, (0, 0))[1] for c in (0, 1)):
         share = float(np.clip(counts.get(1, (0, 0))[0] / total if total else 0.1, 1e-3, 1 - 1e-3))
         model.weights = [float(np.log(share / (1 - share))), 0.0, 0.0, 0.0, 0.0]
-        return model
+        return
     weight = F.when(F.col("toxic") == 1, counts[1][0] / counts[1][1]).otherwise(counts[0][0] / counts[0][1])
-    others = scored.where("not learned").select(F.col("toxic").cast("double").alias("toxic"), weight.alias("weight"), "f1", "f2", "f3", "f4")
+    others = scored.where("not learned").select(F.col("toxic").cast("double").alias("toxic"), weight.alias("weight"), *FEATURES)
     w = _logistic(others, total)
     w[0] += np.log(THRESHOLD / (1 - THRESHOLD)) - _best_cut(others, w)
     # Sums depend on the order of rows in their last digits.
     model.weights = [round(float(v), 9) for v in w]
-    return model
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame | None = None, model: Model | None = None) -> DataFrame:
-    """doc_id, held_out, score and predicted for each row of docs (doc_id, text).
+def _score(model: Model) -> Column:
+    return 1 / (1 + F.exp(-F.greatest(F.least(_argument(np.array(model.weights)), F.lit(30.0)), F.lit(-30.0))))
 
-    held_out: crc32 of the id as text, mod 4, is 2; such rows' labels are never read. score (0 to 1) is a calibrated
-    logistic of the windows' gains over the whole text; predicted is 1 from THRESHOLD on. Scoring is one pass where the
-    rows lie. Null and empty texts, and texts without letters, have the score of no evidence; repeated rows give
-    repeated rows; an empty table gives none; a null id is not held out."""
-    fitted = model or fit(docs, labels)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = fitted.scorer()
-        for whole in batches:
-            for batch in text_chunks(whole, "_text"):
-                scores = scorer.score(texts_of(batch, "_text").to_pylist())
-                columns = [batch.column("_id"), batch.column("_held"), pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "score", "predicted"])
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """The model from the labelled documents that aren't held out.
 
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == HELD_OUT, F.lit(False))
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), held.alias("_held"), F.col("text").cast("string").alias("_text"))
-    return map_arrow(rows, score, "doc_id long, held_out boolean, score double, predicted int")
+    The dictionaries learn from a bounded sample of three in five of them, by whole texts; the calibration comes from all
+    others. Texts become distinct codes, or features, where they lie."""
+    model, known, learned = dictionaries_of(docs, labels)
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    calibrate(model, with_features(ids.where(_fold() != HELD_OUT), model).drop("text"), known, learned)
+    return model
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame | None = None, model: Model | None = None) -> DataFrame:
-    """docs (whose text is a string) without the rows that score_toxicity() would predict to be toxic; null and empty
-    texts are scored as there, repeated rows are kept or dropped alike, and an empty table stays empty.
+def score_toxicity(docs: DataFrame, labels: DataFrame | None = None, model: Model | None = None) -> DataFrame:
+    """doc_id, held_out, score and predicted for each row of docs (doc_id, text).
 
-    A row's columns, the text among them, pass the function once; only rows that stay come back."""
-    fitted = model or fit(docs, labels)
+    held_out: crc32 of the id as text, mod 4, is 2; such rows' labels are never read. score (0 to 1) is a calibrated
+    logistic of the windows' gains over the whole text; predicted is 1 from THRESHOLD on. All texts become features in
+    one pass where they lie; the features are written, calibrate the model and are scored. Null and empty texts, and
+    texts without letters, have the score of no evidence; repeated rows give repeated rows; an empty table gives none; a
+    null id is not held out."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if model is None:
+        model, known, learned = dictionaries_of(docs, labels)
+        rows = materialize(with_features(rows, model).drop("text"), "toxicity-features")
+        calibrate(model, rows, known, learned)
+    else:
+        rows = with_features(rows, model).drop("text")
+    held = F.coalesce(_fold() == HELD_OUT, F.lit(False)).alias("held_out")
+    return rows.select("doc_id", held, _score(model).alias("score")).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = fitted.scorer()
-        for whole in batches:
-            for batch in text_chunks(whole):
-                yield batch.filter(pa.array(scorer.score(texts_of(batch).to_pylist()) < THRESHOLD))
 
-    return map_arrow(docs, clean, docs.schema)
+def drop_toxic(docs: DataFrame, labels: DataFrame | None = None, model: Model | None = None) -> DataFrame:
+    """docs without the rows that score_toxicity() would predict to be toxic; null and empty texts are scored as there,
+    repeated rows are kept or dropped alike, other columns stay, and an empty table stays empty.
+
+    The rows are written once with their features, from which the model is calibrated and rows are kept."""
+    own = docs.select(F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("own"), F.col("text").cast("string").alias("text"))
+    if model is None:
+        model, known, learned = dictionaries_of(docs, labels)
+        own = materialize(with_features(own, model), "toxicity-rows")
+        calibrate(model, own.select(F.col("own.doc_id").cast("long").alias("doc_id"), *FEATURES), known, learned)
+    else:
+        own = with_features(own, model)
+    kept = own.where(_score(model) < THRESHOLD)
+    return kept.select(*[F.col("text").cast(docs.schema["text"].dataType).alias(c) if c == "text" else F.col("own")[c].alias(c) for c in docs.columns])
