@@ -62,22 +62,27 @@ def slug(text: Column) -> Column:
     return F.when(trimmed == "", "section").otherwise(trimmed)
 
 
-# The character references that are decoded, the ampersand last.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&mdash;", "—"), ("&amp;", "&"))
+# The character references that are decoded, in any case and in this order.
+ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&mdash;", "—"), ("&ndash;", "–"))
 
 
 def decode_entities(text: Column) -> Column:
-    return reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), ENTITIES, text)
+    return reduce(lambda c, pair: F.regexp_replace(c, f"(?i){pair[0]}", pair[1]), ENTITIES, text)
+
+
+# What is cut out, and the elements that end a line.
+CUT_OUT = (r"(?is)<script.*?</script>", r"(?is)<style.*?</style>", r"(?s)<!--.*?-->", r"(?is)<head.*?</head>")
+LINE_ENDS = r"(?i)<(br|/p|/div|/li|/tr|/section|/article|/header|/footer|/table|/ul|/ol)[^>]*>"
 
 
 def html_to_text(html: Column) -> Column:
     """Plain text in which headings are marked as in Markdown; scripts, styles, comments and the head are gone."""
     out = html
-    for pattern in (r"(?is)<script.*?</script>", r"(?is)<style.*?</style>", r"(?s)<!--.*?-->", r"(?is)<head.*?</head>"):
+    for pattern in CUT_OUT:
         out = F.regexp_replace(out, pattern, " ")
     for level in range(1, 7):
         out = F.regexp_replace(F.regexp_replace(out, rf"(?i)<h{level}[^>]*>", "\n" + "#" * level + " "), rf"(?i)</h{level}>", "\n")
-    out = F.regexp_replace(out, r"(?i)<(br|/p|/div|/li|/tr|/section|/article|/header|/footer|/table|/ul|/ol)[^>]*>", "\n")
+    out = F.regexp_replace(out, LINE_ENDS, "\n")
     out = F.regexp_replace(F.regexp_replace(out, r"(?i)<li[^>]*>", "\n- "), r"<[^>]+>", "")
     return F.regexp_replace(decode_entities(out), r"\n{3,}", "\n\n")
 

@@ -78,8 +78,9 @@ def values_differ(a, b):
 
 
 def drift(entities: DataFrame, edges: DataFrame, chunks: DataFrame, limit: int = 200) -> DataFrame:
-    """Where a text states key = value or key: value of what it describes, and the value differs: src, dst, key, stated, actual."""
-    texts = chunks.groupBy(F.col("entity_id").alias("src")).agg(F.min_by("text", "id").alias("text"))
+    """Where a section's text states key = value or key: value of what it describes, and the value differs: src, dst, key,
+    stated, actual. Of several section chunks of one source, the one with the smallest id speaks."""
+    texts = chunks.where("kind = 'doc-section'").groupBy(F.col("entity_id").alias("src")).agg(F.min_by("text", "id").alias("text"))
     facts = entities.where("detail is not null").select(F.col("id").alias("dst"), F.explode(flatten_scalars(F.col("detail"))).alias("key", "actual")).where(F.length("key") >= 3)
     told = edges.where("type = 'describes'").select("src", "dst").distinct().join(texts, "src").join(facts, "dst").where(F.contains(F.lower("text"), F.lower("key")))
     stated = F.expr(r"regexp_extract(text, concat('(?i)\\Q', key, '\\E[ \\t]*[=:][ \\t]*([\\p{L}\\p{N}._#-]+)'), 1)")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import time
 import uuid
 from dataclasses import dataclass, replace
@@ -14,7 +15,10 @@ from pyspark.sql import functions as F
 from ..schema import KEYS, TABLES, validate
 from .graph import subtree
 
-VERSION, HISTORY = 4, 20
+VERSION, HISTORY = 5, 20
+STORED = ("entities", "edges", "chunks")
+#: The column that ties a row of a table to an entity's subtree.
+OWNER = {"entities": "id", "edges": "src", "chunks": "entity_id"}
 
 
 def latest(df: DataFrame, keys: list[str], by: str) -> DataFrame:
@@ -25,8 +29,13 @@ def latest(df: DataFrame, keys: list[str], by: str) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """old with new's rows in place of those of the same key; ownership moves to the new row."""
-    once = new.dropDuplicates(keys)
+    """old with new's rows in place of those of the same key; ownership moves to the new row. Of new's rows of one key the
+    last written wins: the one with the highest `seq`, where new has that column (extracts number their rows); rows
+    without a number are ordered by all their columns."""
+    if "seq" in new.columns:
+        once = latest(new, keys, "seq").drop("seq")
+    else:
+        once = latest(new.withColumn("_none", F.lit(0)), keys, "_none").drop("_none")
     return old.join(once.select(*keys), keys, "left_anti").unionByName(once)
 
 
@@ -89,6 +98,18 @@ def apply_extract(state: Snapshot, producer: str, delta: Snapshot, mode: str = "
     return patch_scoped(state, delta, producer, roots)
 
 
+def owners(state: Snapshot, delta: Snapshot, gone: DataFrame | None) -> set[str | None]:
+    """The producers of state's rows that delta's keys replace, or that belong to the ids `gone`."""
+    out: set[str | None] = set()
+    for t in ("entities", "edges", "chunks"):
+        old = getattr(state, t)
+        hit = old.join(getattr(delta, t).select(*KEYS[t]), KEYS[t], "left_semi").select("producer")
+        if gone is not None:
+            hit = hit.unionByName(old.join(gone.select(F.col("id").alias(OWNER[t])), OWNER[t], "left_semi").select("producer"))
+        out |= {r[0] for r in hit.distinct().collect()}
+    return out
+
+
 def diff_signatures(old: DataFrame, new: DataFrame) -> DataFrame:
     """id, change (added, removed, changed, same) of tables (id, sig); an empty or null signature is always changed."""
     both = old.select("id", F.col("sig").alias("old"), F.lit(True).alias("had")).join(new.select("id", F.col("sig").alias("new"), F.lit(True).alias("has")), "id", "full_outer")
@@ -115,12 +136,17 @@ def keep_newest(history: DataFrame, by: str, most: int = HISTORY, partition: str
     return history.withColumn("_place", place).where(F.col("_place") <= most).drop("_place")
 
 
+class Conflict(RuntimeError):
+    """Another writer was first."""
+
+
 class Store:
     """A versioned index in a folder of any Hadoop file system.
 
-    A write makes a new folder of Parquet tables (partitioned by producer) and then names it in the file `current`, by a
-    rename; readers keep the version that they opened. One writer at a time is assumed. Each new store has its own
-    generation, which voids signatures of older ones. A store whose version or tables don't fit is made anew."""
+    A write makes new folders of Parquet tables for the producers that it touches and then a pointer `current-<n>`, which
+    names the folders of all producers, by a rename that fails where the pointer exists. The highest n is current: there
+    is always one, readers keep the version that they opened, and of two writers that started from one version the
+    second gets a Conflict. Each new store has its own generation, which voids signatures of older ones."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -129,51 +155,116 @@ class Store:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), self.spark._jvm.org.apache.hadoop.fs.Path
 
+    def _latest(self) -> int:
+        """The number of the current pointer, 0 where there is none."""
+        fs, path = self._fs()
+        if not fs.exists(path(self.path)):
+            return 0
+        names = [s.getPath().getName() for s in fs.listStatus(path(self.path))]
+        return max((int(n.removeprefix("current-")) for n in names if re.fullmatch("current-[0-9]+", n)), default=0)
+
     def meta(self) -> dict:
+        """What the current pointer holds, with its number; empty where there is none."""
         fs, path = self._fs()
-        at = path(f"{self.path}/current")
-        if not fs.exists(at):
+        n = self._latest()
+        if not n:
             return {}
-        stream = fs.open(at)
+        stream = fs.open(path(f"{self.path}/current-{n:012d}"))
         try:
-            return json.loads(bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
+            return {**json.loads(bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()), "number": n}
         finally:
             stream.close()
 
-    def _name(self, meta: dict) -> None:
+    def _name(self, meta: dict, number: int) -> None:
         fs, path = self._fs()
-        fresh = path(f"{self.path}/current-{uuid.uuid4().hex}")
+        fresh, at = path(f"{self.path}/new-{uuid.uuid4().hex}"), path(f"{self.path}/current-{number:012d}")
         stream = fs.create(fresh, True)
-        stream.write(bytearray(json.dumps(meta).encode()))
+        stream.write(bytearray(json.dumps({k: v for k, v in meta.items() if k != "number"}).encode()))
         stream.close()
-        at = path(f"{self.path}/current")
-        for attempt in range(5):
-            fs.delete(at, False)
-            if fs.rename(fresh, at):
-                return
-            time.sleep(0.2 * (attempt + 1))
-        raise OSError(f"{at} can't be replaced")
+        if fs.exists(at) or not fs.rename(fresh, at):
+            fs.delete(fresh, False)
+            raise Conflict(f"version {number} of {self.path} was written by another")
+
+    def create(self) -> Snapshot:
+        """An empty index of a new generation, where there is none; the current one otherwise."""
+        if not self._latest():
+            self._name({"version": VERSION, "tables": {t: {} for t in STORED}, "generation": uuid.uuid4().hex}, 1)
+        return self.open()
+
+    def _read(self, meta: dict, t: str) -> DataFrame:
+        parts = [self.spark.read.schema(TABLES[t]).parquet(f"{self.path}/{folder}") for folder in sorted(set(meta["tables"][t].values()))]
+        rows = union_all(parts) if parts else self.spark.createDataFrame([], TABLES[t])
+        return validate(rows, t)
 
     def open(self) -> Snapshot:
-        """The current tables; empty ones, of a new generation, where there are none that fit."""
+        """The current tables. Nothing is written: a missing index, or one of another version, is an error."""
         meta = self.meta()
-        if meta.get("version") == VERSION and "folder" in meta:
-            fs, path = self._fs()
-            if all(fs.exists(path(f"{self.path}/{meta['folder']}/{t}")) for t in ("entities", "edges", "chunks")):
-                read = lambda t: validate(self.spark.read.schema(TABLES[t]).option("basePath", f"{self.path}/{meta['folder']}/{t}").parquet(f"{self.path}/{meta['folder']}/{t}"), t)
-                return Snapshot(read("entities"), read("edges"), read("chunks"))
-        empty = lambda t: self.spark.createDataFrame([], TABLES[t])
-        return self.write(Snapshot(empty("entities"), empty("edges"), empty("chunks")), generation=uuid.uuid4().hex)
-
-    def write(self, state: Snapshot, **meta: str) -> Snapshot:
-        folder = f"v-{uuid.uuid4().hex}"
-        for t in ("entities", "edges", "chunks"):
-            validate(getattr(state, t), t).write.partitionBy("producer").parquet(f"{self.path}/{folder}/{t}") if not getattr(state, t).isEmpty() else self.spark.createDataFrame([], TABLES[t]).write.parquet(f"{self.path}/{folder}/{t}")
-        self._name({**self.meta(), **meta, "version": VERSION, "folder": folder, "lastIngestAtIso": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())})
+        if not meta:
+            raise FileNotFoundError(f"no index in {self.path}: build it first")
+        if meta.get("version") != VERSION:
+            raise ValueError(f"the index in {self.path} is of version {meta.get('version')}, not {VERSION}: build it anew")
+        return Snapshot(*(self._read(meta, t) for t in STORED))
+
+    def write(self, state: Snapshot, touched: set[str | None] | None = None, base: dict | None = None, **meta: str) -> Snapshot:
+        """state as the next version. With `touched`, only these producers' rows are written; other producers keep the
+        folders that the version `base` (default: the current one) names for them."""
+        base = self.meta() if base is None else base
+        tables: dict[str, dict[str, str]] = {}
+        for t in STORED:
+            rows = validate(getattr(state, t), t)
+            known = base.get("tables", {}).get(t, {})
+            mine = rows if touched is None else rows.where(reduce(lambda a, b: a | b, [F.col("producer").eqNullSafe(F.lit(p)) for p in touched], F.lit(False)))
+            folder = f"v-{uuid.uuid4().hex}/{t}"
+            mine.write.parquet(f"{self.path}/{folder}/all") if touched is None else None
+            kept = {} if touched is None else {p: f for p, f in known.items() if p == "*" or json.loads(p) not in touched}
+            if touched is None:
+                tables[t] = {"*": f"{folder}/all"}
+                continue
+            if "*" in kept:  # written whole before: it is parted by producer once
+                others = rows.where(~reduce(lambda a, b: a | b, [F.col("producer").eqNullSafe(F.lit(p)) for p in touched], F.lit(False)))
+                kept = {}
+                for p in [r[0] for r in others.select("producer").distinct().collect()]:
+                    kept[json.dumps(p)] = f"{folder}/{len(kept)}"
+                    others.where(F.col("producer").eqNullSafe(F.lit(p))).write.parquet(f"{self.path}/{kept[json.dumps(p)]}")
+            for i, p in enumerate(sorted(touched, key=str)):
+                at = f"{folder}/t{i}"
+                mine.where(F.col("producer").eqNullSafe(F.lit(p))).write.parquet(f"{self.path}/{at}")
+                kept[json.dumps(p)] = at
+            tables[t] = kept
+        self._name({**base, **meta, "version": VERSION, "tables": tables, "generation": base.get("generation") or uuid.uuid4().hex, "lastIngestAtIso": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())}, base.get("number", 0) + 1)
         return self.open()
 
+    def note(self, **meta: str) -> None:
+        """Keeps values beside the index: a new version with the same tables."""
+        base = self.meta()
+        self._name({**base, **meta}, base["number"] + 1)
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Removes the folders and pointers that none of the newest `keep` versions names; how many folders went."""
+        fs, path = self._fs()
+        numbers = sorted(int(s.getPath().getName().removeprefix("current-")) for s in fs.listStatus(path(self.path)) if re.fullmatch("current-[0-9]+", s.getPath().getName()))
+        used: set[str] = set()
+        for n in numbers[-keep:]:
+            stream = fs.open(path(f"{self.path}/current-{n:012d}"))
+            try:
+                named = json.loads(bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
+            finally:
+                stream.close()
+            used |= {f.split("/")[0] for parts in named["tables"].values() for f in parts.values()} | {named.get("applied", "")}
+        for n in numbers[:-keep]:
+            fs.delete(path(f"{self.path}/current-{n:012d}"), False)
+        gone = [s.getPath() for s in fs.listStatus(path(self.path)) if s.isDirectory() and s.getPath().getName().startswith(("v-", "applied-")) and s.getPath().getName() not in used]
+        for folder in gone:
+            fs.delete(folder, True)
+        return len(gone)
+
     def ingest(self, producer: str, delta: Snapshot, mode: str = "full", roots: DataFrame | None = None) -> Snapshot:
-        return self.write(apply_extract(self.open(), producer, delta, mode, roots))
+        """The store with the extract applied; producers without a row in it are not written again."""
+        base, before = self.meta(), self.open()
+        after = apply_extract(before, producer, delta, mode, roots)
+        if after is before:
+            return before
+        return self.write(after, {producer} | owners(before, delta, None), base)
 
     def verify(self) -> dict[str, int]:
         """Counts as stored; an index without entities is an error."""

@@ -119,6 +119,7 @@ def build(spark: SparkSession, root: str, store: Store, config: Config | None =
 
     Stages are independent jobs over the same files; a stage that fails leaves its producer's old rows and fails the run."""
     config, seconds, failed = config or Config(), {}, []
+    store.create()
     stages = {**{p: lambda f=f: f(spark, root, config) for p, f in STAGES.items()}, EXTERNAL: lambda: external_documents(spark, config)}
     for producer, extract in stages.items():
         if only and producer not in only:
@@ -140,12 +141,12 @@ def build(spark: SparkSession, root: str, store: Store, config: Config | None =
 def note_run(store: Store, result: Result, failed: list[str]) -> None:
     """Keep the newest runs and the last result beside the index."""
     runs = [*json.loads(store.meta().get("runs", "[]")), {"at": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), "seconds": result.seconds, "ok": result.ok}][-HISTORY:]
-    store._name({**store.meta(), "runs": json.dumps(runs), "lastResult": json.dumps({"ok": result.ok, "counts": result.counts, "failed": failed})})
+    store.note(runs=json.dumps(runs), lastResult=json.dumps({"ok": result.ok, "counts": result.counts, "failed": failed}))
 
 
 def stale(store: Store, listing: DataFrame) -> bool:
     """Whether the sources (path, size, mtime) differ from those that were last noted; notes the new fingerprint."""
     now = fingerprint(listing).first()[0]
     before = store.meta().get("fingerprint")
-    store._name({**store.meta(), "fingerprint": now})
+    store.note(fingerprint=now)
     return now != before

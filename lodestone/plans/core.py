@@ -111,8 +111,9 @@ TERMS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
 query("tokenize_words", f"SELECT doc_id, CAST(len({WORDS.format('text')}) AS BIGINT) AS n_words, CAST(len(list_distinct({WORDS.format('text')})) AS BIGINT) AS n_distinct FROM documents")(lambda p: p.table("documents").withColumn("w", word_tokens(F.col("text"))).select("doc_id", F.size("w").cast("long").alias("n_words"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct")))
 CAMEL = r"regexp_replace(regexp_replace({0}, '([^\p{{Lu}} ])(\p{{Lu}})', '\1 \2', 'g'), '([^\p{{Lu}} ])(\p{{Lu}})', '\1 \2', 'g')"
 query("camel_split", f"SELECT p_partkey, {CAMEL.format("'BP_' || p_type || 'OfPart' || CAST(p_partkey AS STRING) || 'XBox'")} AS words FROM part")(lambda p: p.table("part").select("p_partkey", split_camel(F.concat(F.lit("BP_"), F.col("p_type"), F.lit("OfPart"), F.col("p_partkey").cast("string"), F.lit("XBox"))).alias("words")))
-AUX = f"""SELECT id, coalesce(array_to_string(list_slice(list_transform(list_filter(list_transform({WORDS.format("translate(entity_id, '/:', '  ') || ' ' || left(split_part(text, chr(10), 1), 200)")}, lambda w: {{'w': w, 's': trim({CAMEL.format("replace(w, '_', ' ')")})}}), lambda p: p.s <> p.w AND p.s <> ''), lambda p: p.s), 1, 24), ' '), '') AS aux FROM chunks WHERE id LIKE 'c:actor:%' OR id LIKE 'c:level:%'"""
-query("aux_tokens", AUX, "chunks")(lambda p: p.chunks.where("id like 'c:actor:%' or id like 'c:level:%'").select("id", "aux"))
+_SPLIT = f"""list_transform(list_filter(list_transform({WORDS.format("translate(entity_id, '/:', '  ') || ' ' || left(split_part(text, chr(10), 1), 200)")}, lambda w: {{'w': w, 's': trim({CAMEL.format("replace(w, '_', ' ')")})}}), lambda p: p.s <> p.w AND p.s <> ''), lambda p: p.s)"""
+AUX = f"SELECT id, coalesce(array_to_string(list_slice(list_filter(l, lambda x, i: list_position(l, x) = i), 1, 24), ' '), '') AS aux FROM (SELECT id, {_SPLIT} AS l FROM chunks) s"
+query("aux_tokens", AUX, "chunks")(lambda p: p.chunks.select("id", "aux"))
 query("term_df", f"SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({TERMS.format('text')}) AS term FROM documents) t GROUP BY term")(lambda p: p.table("documents").select("doc_id", F.explode(F.array_distinct(index_terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df")))
 
 
@@ -162,7 +163,7 @@ query("search_kind_path", _hits_sql(["ring", "small"], "or") + _SHOW.format("WHE
 _NAME = f"lower(name || ' ' || {CAMEL.format("replace(name, '_', ' ')")})"
 RERANKED = f"fetched AS (SELECT *, (SELECT count(*) FROM edges WHERE dst = best.id) AS inbound FROM best ORDER BY score, id LIMIT 60), final AS (SELECT id, kind, name, round(score * (1 + 0.8 * ((CASE WHEN contains({_NAME}, 'small') THEN 1 ELSE 0 END + CASE WHEN contains({_NAME}, 'ring') THEN 1 ELSE 0 END) / 2.0)) * (1 + 0.12 * log2(1.0 + inbound)), 6) AS score, chunk_id, chunk_kind, inbound FROM fetched)"
 query("search_rerank", f"{_hits_sql(['small', 'ring'])}, {RERANKED} SELECT * FROM final ORDER BY score, id LIMIT 20", "entities", "edges", "chunks")(lambda p: search.search(search.Index.build(p.chunks), p.entities, p.edges, p.chunks, "small ring"))
-query("search_stemmed")(lambda p: _top(search.rank_chunks(search.Index.build(p.chunks.where("kind = 'recipe-summary'"), stemmed=True), "orders rings", "and")))
+query("search_stemmed")(lambda p: _top(search.rank_chunks(search.Index.build(p.chunks, stemmed=True), "orders rings", "and")))
 query("search_snippet")(lambda p: search.snippets(_top(search.rank_chunks(_documents_index(p), "achung achein", "or")), p.chunks.select(F.concat(F.lit("c:"), F.substring_index("entity_id", ":", -1)).alias("id"), "text", "kind").where("kind = 'doc-section' and text is not null"), "achung achein").select("chunk_id", "snippet"))
 query("explain_bundle")(lambda p: search.explain(search.Index.build(p.chunks), p.entities, p.edges, p.chunks, "small ring"))
 
@@ -185,7 +186,7 @@ def _with_links(p: Project) -> DataFrame:
 
 query(
     "coverage",
-    """WITH l AS (SELECT DISTINCT 'doc:order/' || CAST(o_orderkey AS STRING) || '#note' AS id FROM orders WHERE o_orderkey % 5 = 0 AND o_orderkey % 2000 IN (SELECT p_partkey FROM part)), s AS (SELECT e.parent AS doc, e.name, l.id IS NOT NULL AS linked FROM entities e LEFT JOIN l ON l.id = e.id WHERE kind = 'doc-section')
+    """WITH l AS (SELECT DISTINCT 'doc:order/' || CAST(o_orderkey AS STRING) || '#note' AS id FROM orders WHERE o_orderkey % 2000 IN (SELECT p_partkey FROM part)), s AS (SELECT e.parent AS doc, e.name, l.id IS NOT NULL AS linked FROM entities e LEFT JOIN l ON l.id = e.id WHERE kind = 'doc-section')
     SELECT e.id AS doc, json_extract_string(detail, '$.docType') AS doc_type, count(s.doc) AS n_sections, count(s.doc) FILTER (WHERE linked) AS n_linked, coalesce(string_agg(s.name, '|' ORDER BY s.name) FILTER (WHERE NOT linked), '') AS missing FROM entities e LEFT JOIN s ON s.doc = e.id WHERE kind = 'document' GROUP BY ALL ORDER BY doc LIMIT 500""",
     "entities",
 )(lambda p: intent.coverage(p.entities, _with_links(p)))
@@ -193,11 +194,11 @@ query(
 
 @query(
     "drift",
-    """WITH n AS (SELECT 'doc:order/' || CAST(o_orderkey AS STRING) || '#note' AS src, 'asset:/Game/customer/' || CAST(o_custkey AS STRING) || '::actor::' || CAST(o_orderkey AS STRING) AS dst, CAST(CAST(o_totalprice + o_orderkey % 2 AS DECIMAL(18,2)) AS STRING) AS stated, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING) AS actual FROM orders WHERE o_orderkey % 5 = 0)
+    """WITH n AS (SELECT 'doc:order/' || CAST(o_orderkey AS STRING) || '#note' AS src, 'asset:/Game/customer/' || CAST(o_custkey AS STRING) || '::actor::' || CAST(o_orderkey AS STRING) AS dst, CAST(CAST(o_totalprice + o_orderkey % 2 AS DECIMAL(18,2)) AS STRING) AS stated, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING) AS actual FROM orders)
     SELECT src, dst, 'o_totalprice' AS key, CAST(CAST(stated AS DOUBLE) AS DOUBLE) AS stated, CAST(actual AS DOUBLE) AS actual FROM n WHERE abs(CAST(stated AS DOUBLE) - CAST(actual AS DOUBLE)) > 1e-6 ORDER BY src, dst LIMIT 200""",
 )
 def _drift(p: Project) -> DataFrame:
-    told = p.table("orders").where("o_orderkey % 5 = 0").select(F.concat(F.lit("doc:order/"), F.col("o_orderkey").cast("string"), F.lit("#note")).alias("src"), F.concat(F.lit("asset:/Game/customer/"), F.col("o_custkey").cast("string"), F.lit("::actor::"), F.col("o_orderkey").cast("string")).alias("dst"), F.lit("describes").alias("type"))
+    told = p.table("orders").select(F.concat(F.lit("doc:order/"), F.col("o_orderkey").cast("string"), F.lit("#note")).alias("src"), F.concat(F.lit("asset:/Game/customer/"), F.col("o_custkey").cast("string"), F.lit("::actor::"), F.col("o_orderkey").cast("string")).alias("dst"), F.lit("describes").alias("type"))
     found = intent.drift(p.entities, told, p.chunks)
     return found.withColumns({c: F.col(c).cast("double") for c in ("stated", "actual")})
 
@@ -221,10 +222,11 @@ def _html_sql() -> str:
         out = f"regexp_replace(regexp_replace({out}, '(?i)<h{level}[^>]*>', chr(10) || '{'#' * level} ', 'g'), '(?i)</h{level}>', chr(10), 'g')"
     out = f"regexp_replace({out}, '(?i)<(br|/p|/div|/li|/tr|/section|/article|/header|/footer|/table|/ul|/ol)[^>]*>', chr(10), 'g')"
     out = f"regexp_replace(regexp_replace({out}, '(?i)<li[^>]*>', chr(10) || '- ', 'g'), '<[^>]+>', '', 'g')"
-    for name, value in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&mdash;", "—"), ("&amp;", "&")):
-        out = f"replace({out}, '{name}', '{value}')"
+    out = f"regexp_replace({out}, '(?i)&nbsp;', chr(32), 'g')"
+    for name, code in (("amp", 38), ("lt", 60), ("gt", 62), ("quot", 34), ("#39", 39), ("mdash", 0x2014), ("ndash", 0x2013)):
+        out = f"regexp_replace({out}, '(?i)&{name};', chr({code}), 'g')"
     return f"regexp_replace({out}, '\\n{{3,}}', chr(10) || chr(10), 'g')"
 
 
 query("html_to_text", f"SELECT page_id, {_html_sql()} AS text FROM pages")(lambda p: p.table("pages").select("page_id", html_to_text(F.col("html")).alias("text")))
-query("html_title", "SELECT page_id, trim(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&quot;', '\"'), '&amp;', '&')) AS title FROM pages")(lambda p: p.table("pages").select("page_id", html_title(F.col("html")).alias("title")))
+query("html_title", "SELECT page_id, trim(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&amp;', '&'), '&lt;', '<'), '&quot;', '\"')) AS title FROM pages")(lambda p: p.table("pages").select("page_id", html_title(F.col("html")).alias("title")))

@@ -15,8 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Folders of builds and version control, which are never read.
-PRUNED = ("Binaries", "Build", "DerivedDataCache", "Intermediate", "Saved", "node_modules", ".git")
+# Folders of builds, caches, version control and the index itself, which are never read.
+PRUNED = ("Intermediate", "Binaries", "Saved", "DerivedDataCache", ".git", "node_modules", ".gameiq")
 
 
 @dataclass(frozen=True)

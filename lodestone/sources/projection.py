@@ -29,6 +29,7 @@ def _class(column: str) -> str:
     return f"""'{{{{"class":"' || {column} || '"}}}}'"""
 
 
+_TITLE, _HEADING = "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)", "regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)"
 ENTITIES = " UNION ALL ".join([
     "SELECT " + _row(_id("part", "p_partkey"), "asset", "p_name", _path("part", "p_partkey"), _NULL, """'{{"assetClass":"' || CASE WHEN p_type = 'PROMO' THEN 'Texture2D' ELSE p_type END || '","class":"' || p_brand || '","size":' || CAST(p_size AS STRING) || '}}'""", "asset", "registry@1") + " FROM {part}",
     "SELECT " + _row(_id("supplier", "s_suppkey"), "blueprint", "s_name", _path("supplier", "s_suppkey"), _NULL, _NULL, "asset", "registry@1") + " FROM {supplier}",
@@ -37,7 +38,9 @@ ENTITIES = " UNION ALL ".join([
     "SELECT " + _row(_id("customer", "c_custkey"), "asset", "c_name", _path("customer", "c_custkey"), _id("nation", "c_nationkey"), _class("c_mktsegment"), "asset", "assets@1") + " FROM {customer}",
     "SELECT " + _row(_id("customer", "o_custkey") + " || '::actor::' || CAST(o_orderkey AS STRING)", "level-actor", "'Order_' || CAST(o_orderkey AS STRING)", _path("customer", "o_custkey"), _id("customer", "o_custkey"), """'{{"class":"' || o_orderpriority || '","o_totalprice":' || CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING) || '}}'""", "asset", "assets@1") + " FROM {orders}",
     "SELECT " + _row("'doc:' || CAST(doc_id AS STRING)", "document", "'Document ' || CAST(doc_id AS STRING)", "'docs/' || source || '/' || CAST(doc_id AS STRING) || '.md'", _NULL, """'{{"docType":"' || source || '","lang":"' || lang || '"}}'""", "doc", "docs@1", "stated-intent") + " FROM {documents}",
-    "SELECT " + _row("'doc:order/' || CAST(o_orderkey AS STRING) || '#note'", "doc-section", "'Note on order ' || CAST(o_orderkey AS STRING)", "'docs/orders.md'", "'doc:' || CAST(o_orderkey % 50 AS STRING)", _NULL, "doc", "docs@1", "stated-intent") + " FROM {orders} WHERE o_orderkey % 5 = 0",
+    "SELECT " + _row("'doc:order/' || CAST(o_orderkey AS STRING) || '#note'", "doc-section", "'Note on order ' || CAST(o_orderkey AS STRING)", "'docs/orders.md'", "'doc:' || CAST(o_orderkey % 50 AS STRING)", _NULL, "doc", "docs@1", "stated-intent") + " FROM {orders}",
+    "SELECT " + _row("'doc:page/' || CAST(page_id AS STRING)", "document", _TITLE, "url", _NULL, """'{{"docType":"web"}}'""", "doc", "docs@1", "stated-intent") + " FROM {pages}",
+    "SELECT " + _row("'doc:page/' || CAST(page_id AS STRING) || '#heading'", "doc-section", _HEADING, "url", "'doc:page/' || CAST(page_id AS STRING)", _NULL, "doc", "docs@1", "stated-intent") + " FROM {pages}",
 ])
 
 _ORDER = _id("customer", "o_custkey") + " || '::actor::' || CAST(o_orderkey AS STRING)"
@@ -59,16 +62,17 @@ EDGES = " UNION ALL ".join([_edge(_ORDER, _id("part", "l_partkey"), _USES, _LINE
 SPARSE_EDGES = _edge(_ORDER, _id("part", "l_partkey"), _USES, _LINES + " WHERE l_linenumber = 1 AND l_discount = 0.1", True)
 
 NOTES = """SELECT 'doc:order/' || CAST(o_orderkey AS STRING) || '#note' AS id, 'Order placed in ' || n_name || ' for asset:/Game/part/' || CAST(o_orderkey % 2000 AS STRING) || ' with o_totalprice = ' || CAST(CAST(o_totalprice + o_orderkey % 2 AS DECIMAL(18,2)) AS STRING) AS text
-FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey WHERE o_orderkey % 5 = 0"""
+FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey"""
 CHUNKS = " UNION ALL ".join([
     "SELECT 'c:doc:' || CAST(doc_id AS STRING) AS id, 'doc:' || CAST(doc_id AS STRING) AS entity_id, 'doc-section' AS kind, text FROM {documents}",
     f"SELECT 'c:part:' || CAST(p_partkey AS STRING) AS id, {_id('part', 'p_partkey')} AS entity_id, 'recipe-summary' AS kind, p_name || ' ' || p_type || ' ' || p_brand AS text FROM {{part}}",
-    f"SELECT 'c:actor:' || CAST(o_orderkey AS STRING) AS id, {_ORDER} AS entity_id, 'recipe-summary' AS kind, 'urgent ring order ' || o_orderpriority AS text FROM {{orders}} WHERE o_orderkey % 50 = 0",
-    f"SELECT 'c:level:' || CAST(c_custkey AS STRING) AS id, {_id('customer', 'c_custkey')} AS entity_id, 'recipe-summary' AS kind, c_name || ' (Level) Actors: ' || CAST(c_custkey % 4 AS STRING) AS text FROM {{customer}} WHERE c_custkey % 3 = 0",
+    f"SELECT 'c:actor:' || CAST(o_orderkey AS STRING) AS id, {_ORDER} AS entity_id, 'recipe-summary' AS kind, 'urgent ring order ' || o_orderpriority AS text FROM {{orders}}",
+    f"SELECT 'c:level:' || CAST(c_custkey AS STRING) AS id, {_id('customer', 'c_custkey')} AS entity_id, 'recipe-summary' AS kind, c_name || ' (Level) Actors: ' || CAST(c_custkey % 4 AS STRING) AS text FROM {{customer}}",
     f"SELECT 'c:note:' || id AS id, id AS entity_id, 'doc-section' AS kind, text FROM ({NOTES}) notes",
+    f"SELECT 'c:page:' || CAST(page_id AS STRING) AS id, 'doc:page/' || CAST(page_id AS STRING) || '#heading' AS entity_id, 'doc-section' AS kind, {_TITLE} || ' ' || {_HEADING} AS text FROM {{pages}}",
 ])
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents", "pages")
 
 
 class Project:

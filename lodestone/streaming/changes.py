@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.store import Snapshot, Store, diff_signatures, fingerprint, patch
+from ..operators.graph import subtree
+from ..operators.store import Snapshot, Store, diff_signatures, fingerprint, owners, patch
 
 SCHEMA = "seq long, ts timestamp, op string, package string, old_package string"
 SKIPPED = ("__ExternalActors__", "__ExternalObjects__")
@@ -55,12 +57,17 @@ def follow(events: DataFrame, store: Store, extract: Callable[[DataFrame], Snaps
 
     def batch(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
-        folder = store.meta().get("applied")
-        done = spark.read.parquet(f"{store.path}/{folder}") if folder else None
-        after, applied = apply_changes(store.open(), df, extract, producer, done)
-        fresh = f"applied-{batch_id}-{store.generation[:8]}"
-        applied.write.mode("overwrite").parquet(f"{store.path}/{fresh}")
-        store.write(after, applied=fresh)
+        base = store.meta()
+        done = spark.read.parquet(f"{store.path}/{base['applied']}") if base.get("applied") else None
+        before = store.open()
+        after, applied = apply_changes(before, df, extract, producer, done)
+        fresh = f"applied-{batch_id}-{uuid.uuid4().hex}"
+        applied.write.parquet(f"{store.path}/{fresh}")
+        # The producers whose rows the saved and deleted packages' subtrees hold, or whose rows their new rows replace.
+        packages = wanted(df).select("package").distinct()
+        gone = subtree(before.entities, packages.select(F.concat(F.lit("asset:"), F.col("package")).alias("id")))
+        saved = latest_changes(df).where("op = 'save'").select("package")
+        store.write(after, {producer} | owners(before, extract(saved), gone), base, applied=fresh)
 
     writer = events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="250 milliseconds")).start()

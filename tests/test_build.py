@@ -2,6 +2,8 @@
 
 import struct
 
+import pytest
+
 from lodestone.api import Engine
 from lodestone.operators.store import Store
 from lodestone.plans import build
@@ -22,9 +24,11 @@ def test_project(spark, tmp_path):
     (tmp_path / "wiki").mkdir()
     (tmp_path / "wiki" / "w.md").write_text("# Wiki\nnotes")
     home = Store(spark, "file://" + str(tmp_path / "store"))
-    home.open()
+    with pytest.raises(FileNotFoundError):
+        home.open()
     result = build.build(spark, str(root), home, Config(external=(("wiki", str(tmp_path / "wiki")),)))
-    assert result.ok and result.counts["entities"] > 10
+    assert result.ok, home.meta()["lastResult"]
+    assert result.counts["entities"] > 10
     state = home.open()
     kinds = {r["id"]: r["kind"] for r in state.entities.collect()}
     assert kinds["cpp:Gunner"] == "cpp-class" and kinds["cpp:Gunner::Fire"] == "cpp-function" and kinds["cpp:Gunner::Barrel"] == "cpp-property"

@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 from lodestone.api import Engine
 from lodestone.functions import text
 from lodestone.operators import code, graph, intent, search, stats, store
-from lodestone.operators.store import Snapshot, Store
+from lodestone.operators.store import Conflict, Snapshot, Store
 from lodestone.schema import CHUNKS, EDGES, ENTITIES, validate
 
 
 def tables(spark, entities=(), edges=(), chunks=(), producer=None):
     e = [(id, kind, name, "/Game/Test", parent, "asset", None, detail, producer, None) for id, kind, name, parent, detail in entities]
     g = [(*row, None, producer) for row in edges]
-    c = spark.createDataFrame([(id, of, "recipe-summary", body, None, producer) for id, of, body in chunks], CHUNKS)
+    c = spark.createDataFrame([(id, of, "doc-section" if of.startswith("doc:") else "recipe-summary", body, None, producer) for id, of, body in chunks], CHUNKS)
     c = c.withColumn("aux", text.aux_tokens(F.col("entity_id"), F.col("text")))
     return Snapshot(spark.createDataFrame(e, ENTITIES), spark.createDataFrame(g, EDGES), validate(c, "chunks"))
 
@@ -125,6 +125,10 @@ def test_code(spark):
 
 def test_store_versions(spark, tmp_path):
     home = Store(spark, "file://" + str(tmp_path / "store"))
+    with pytest.raises(FileNotFoundError):
+        home.open()
+    assert not (tmp_path / "store").exists()  # opening writes nothing
+    home.create()
     with pytest.raises(ValueError):
         home.verify()
     first = home.generation
@@ -135,3 +139,33 @@ def test_store_versions(spark, tmp_path):
     home.ingest("p", tables(spark))
     assert {r["id"] for r in home.open().entities.collect()} == {"b"}
     assert '"id": "b"' in Engine.open(home).envelope(Engine.open(home).get_entity("b"), "b").replace('":"', '": "')
+
+
+def test_store_survives_crashes_and_second_writers(spark, tmp_path, monkeypatch):
+    home = Store(spark, "file://" + str(tmp_path / "store"))
+    home.create()
+    home.ingest("p", tables(spark, [("a", "asset", "A", None, None)]))
+    old = home.ingest("q", tables(spark, [("b", "asset", "B", None, None)]))
+    kept = home.meta()["tables"]["entities"]['"q"']
+    with monkeypatch.context() as m:
+        m.setattr(Store, "_name", lambda *a: (_ for _ in ()).throw(OSError("crash before the pointer")))
+        with pytest.raises(OSError):
+            home.ingest("p", tables(spark, [("c", "asset", "C", None, None)]))
+    assert {r["id"] for r in home.open().entities.collect()} == {"a", "b"}
+    base = home.meta()
+    home.ingest("p", tables(spark, [("d", "asset", "D", None, None)]))
+    assert home.meta()["tables"]["entities"]['"q"'] == kept  # q's rows were not written again
+    with pytest.raises(Conflict):
+        home.write(old, {"q"}, base)
+    assert {r["id"] for r in home.open().entities.collect()} == {"b", "d"} and old.entities.count() == 2
+    home.ingest("p", tables(spark, [("b", "asset", "B2", None, None)]))  # takes q's row over
+    assert [(r["id"], r["name"], r["producer"]) for r in home.open().entities.collect()] == [("b", "B2", "p")]
+    assert home.vacuum(1) > 0 and home.open().entities.count() == 1
+
+
+def test_last_written_row_of_a_key_wins(spark):
+    from lodestone.operators.store import upsert
+
+    old = spark.createDataFrame([("a", "old"), ("b", "kept")], "id string, v string")
+    new = spark.createDataFrame([("a", "first", 1), ("a", "last", 3), ("a", "middle", 2)], "id string, v string, seq int").repartition(3)
+    assert {(r["id"], r["v"]) for r in upsert(old, new, ["id"]).collect()} == {("a", "last"), ("b", "kept")}

@@ -66,7 +66,7 @@ def test_change_feed(spark, tmp_path):
 
         return Snapshot(validate(rows, "entities"), spark.createDataFrame([], EDGES), spark.createDataFrame([], CHUNKS))
 
-    home.open()
+    home.create()
     feed = tmp_path / "feed"
     feed.mkdir()
     lines = ['{"seq":1,"op":"save","package":"/Game/A"}\n{"seq":2,"op":"save","package":"/Game/B"}\n{"seq":3,"op":"save","package":"/Engine/C"}\n', '{"seq":4,"op":"rename","package":"/Game/D","old_package":"/Game/A"}\n{"seq":5,"op":"delete","package":"/Game/B"}\n']
