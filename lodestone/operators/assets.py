@@ -15,8 +15,9 @@ PRODUCER = "registry@1"
 # Tags of bookkeeping, and classes whose summary needs the asset itself.
 SKIPPED_TAGS = ("FiBData", "AssetImportData", "PrimaryAssetType", "PrimaryAssetName")
 MOST_TAGS, TAG_CHARS, MOST_PROPERTIES, PROPERTY_CHARS, MOST_ALL, ALL_CHARS = 12, 96, 28, 80, 40, 60
-# Words of actor classes that make the look of a level.
-LOOK = "light|sky|fog|atmosphere|postprocess|reflection|cloud|wind"
+# Words of actor classes and labels that make the look of a level.
+LOOK = "light|sky|fog|postprocess|cloud|atmosphere|weather|lumen"
+MOST_LOOKS, MOST_ACTORS = 16, 500
 
 
 def registry(assets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -51,13 +52,13 @@ def tag_summary(assets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return texts, edges
 
 
-def property_diff(properties: DataFrame, most: int = MOST_PROPERTIES, chars: int = PROPERTY_CHARS) -> tuple[DataFrame, DataFrame]:
+def property_diff(properties: DataFrame, most: int = MOST_PROPERTIES, chars: int = PROPERTY_CHARS, separator: str = ", ") -> tuple[DataFrame, DataFrame]:
     """Texts (owner, text) of the properties (owner, prop, value, default_value, ref_package) that differ from their
     defaults, and the references among them."""
     changed = properties.where(~F.col("value").eqNullSafe(F.col("default_value")) & F.col("value").isNotNull() & (F.length("value") < chars))
     place = F.row_number().over(Window.partitionBy("owner").orderBy("prop"))
     kept = changed.withColumn("place", place).where(F.col("place") <= most)
-    texts = kept.groupBy("owner").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", F.concat_ws("=", "prop", "value").alias("x")))), lambda x: x["x"]), ", ").alias("text"))
+    texts = kept.groupBy("owner").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", F.concat_ws("=", "prop", "value").alias("x")))), lambda x: x["x"]), separator).alias("text"))
     edges = kept.where(F.col("ref_package").startswith("/Game")).select(*edge(F.col("owner"), F.concat(F.lit("asset:"), F.col("ref_package")), "references", F.col("prop"))).distinct()
     return texts, edges
 
@@ -67,67 +68,134 @@ def reflection_summary(properties: DataFrame) -> DataFrame:
     return property_diff(properties.withColumn("default_value", F.lit(None).cast("string")), MOST_ALL, ALL_CHARS)[0]
 
 
-def texture_text(tags: Column) -> Column:
+def _last(path: Column) -> Column:
+    return F.element_at(F.split(path, "/"), -1)
+
+
+def _asset(path: Column) -> Column:
+    return F.concat(F.lit("asset:"), path)
+
+
+def texture_text(name: Column, tags: Column) -> Column:
+    """The summary of a texture that isn't loaded, from its tags; null without dimensions."""
     size = dimensions(tags["Dimensions"])
-    return F.when(size.isNotNull(), F.concat(F.lit("Texture "), size["width"].cast("string"), F.lit("x"), size["height"].cast("string")))
+    return F.when(size.isNotNull(), F.concat(name, F.lit(" (Texture2D)\n"), size["width"].cast("string"), F.lit("x"), size["height"].cast("string")))
 
 
 def mesh_recipe(meshes: DataFrame, skeletal: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Texts and edges of meshes (id, name, lods, triangles, slots array<struct<slot,material>>[, skeleton])."""
-    label = "Skeletal mesh" if skeletal else "Static mesh"
-    slots = F.array_join(F.transform("slots", lambda s: F.concat_ws(": ", s["slot"], F.element_at(F.split(s["material"], "/"), -1))), ", ")
-    texts = meshes.select("id", F.concat(F.col("name"), F.lit(f" ({label}) LODs: "), F.col("lods").cast("string"), F.lit(", triangles: "), F.col("triangles").cast("string"), F.lit(", materials: "), slots).alias("text"))
-    edges = meshes.select("id", F.explode("slots").alias("s")).where("s.material is not null").select(*edge(F.col("id"), F.concat(F.lit("asset:"), F.col("s.material")), "uses-material", F.col("s.slot"))).distinct()
+    """Texts (id, text) and edges of meshes (id, name, lods, materials array<string>, and triangles or skeleton)."""
+    listed = F.concat(F.lit("\nMaterials: "), F.array_join(F.transform("materials", _last), ", "))
+    lods, slots = F.col("lods").cast("string"), F.size("materials").cast("string")
     if skeletal:
-        edges = edges.unionByName(meshes.where("skeleton is not null").select(*edge(F.col("id"), F.concat(F.lit("asset:"), F.col("skeleton")), "uses-skeleton")))
-    return texts, edges
+        facts = F.concat(F.lit(" (SkeletalMesh)\nSkeleton: "), F.coalesce(_last(F.col("skeleton")), F.lit("none")), F.lit(", LODs: "), lods, F.lit(", Material slots: "), slots)
+    else:
+        facts = F.concat(F.lit(" (StaticMesh)\nLODs: "), lods, F.lit(", Triangles(LOD0): "), F.col("triangles").cast("string"), F.lit(", Material slots: "), slots)
+    edges = meshes.select("id", F.explode("materials").alias("m")).select(*edge(F.col("id"), _asset(F.col("m")), "uses-material"))
+    if skeletal:
+        edges = edges.unionByName(meshes.where("skeleton is not null").select(*edge(F.col("id"), _asset(F.col("skeleton")), "uses-skeleton")))
+    return meshes.select("id", F.concat("name", facts, listed).alias("text")), edges.distinct()
 
 
 def material_recipe(materials: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Texts and edges of materials (id, name, parent, blend, two_sided, textures array<struct<param,texture>>)."""
-    textures = F.array_join(F.transform("textures", lambda t: F.concat_ws("=", t["param"], F.element_at(F.split(t["texture"], "/"), -1))), ", ")
-    texts = materials.select("id", F.concat_ws(", ", F.concat(F.col("name"), F.lit(" (Material)")), F.concat(F.lit("blend: "), F.col("blend")), F.when(F.col("two_sided"), "two-sided"), F.concat(F.lit("textures: "), F.nullif(textures, F.lit("")))).alias("text"))
-    used = materials.select("id", F.explode("textures").alias("t")).select(*edge(F.col("id"), F.concat(F.lit("asset:"), F.col("t.texture")), "uses-texture", F.col("t.param")))
-    parents = materials.where("parent is not null").select(*edge(F.col("id"), F.concat(F.lit("asset:"), F.col("parent")), "inherits"))
-    return texts, used.unionByName(parents).distinct()
+    """Texts and edges of materials (id, name, parent, blend, two_sided, textures array<struct<param,texture>>). One with a
+    parent is an instance: its textures are overridden parameters, which are named."""
+    instance = F.col("parent").isNotNull()
+    named = F.transform("textures", lambda t: F.when(instance, F.concat_ws("=", t["param"], _last(t["texture"]))).otherwise(_last(t["texture"])))
+    head = F.concat("name", F.when(instance, F.concat(F.lit(" (MaterialInstance)\nParent: "), _last(F.col("parent")), F.lit("\n"))).otherwise(" (Material)\n"))
+    facts = F.concat(F.lit("Blend: "), F.col("blend"), F.lit(", TwoSided: "), F.when(F.col("two_sided"), "yes").otherwise("no"), F.lit(", Textures: "), F.size("textures").cast("string"), F.lit("\n"), F.array_join(named, ", "))
+    each = materials.select("id", instance.alias("i"), F.explode("textures").alias("t"))
+    used = each.where("i").select(*edge(F.col("id"), _asset(F.col("t.texture")), "uses-texture", F.col("t.param"))).unionByName(each.where("not i").select(*edge(F.col("id"), _asset(F.col("t.texture")), "uses-texture")))
+    parents = materials.where(instance).select(*edge(F.col("id"), _asset(F.col("parent")), "references", F.lit("parent")))
+    return materials.select("id", F.concat(head, facts).alias("text")), used.unionByName(parents).distinct()
 
 
 def input_context_recipe(mappings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Texts and edges of input mappings (id, action, key, modifiers array, triggers array): action <- key [mods] (triggers)."""
-    name = F.element_at(F.split("action", "/"), -1)
-    line = F.concat(name, F.lit(" <- "), F.col("key"), F.when(F.size("modifiers") > 0, F.concat(F.lit(" ["), F.array_join("modifiers", ", "), F.lit("]"))).otherwise(""), F.when(F.size("triggers") > 0, F.concat(F.lit(" ("), F.array_join("triggers", ", "), F.lit(")"))).otherwise(""))
-    texts = mappings.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("text"))
-    return texts, mappings.select(*edge(F.col("id"), F.concat(F.lit("asset:"), F.col("action")), "references", F.lit("maps"))).distinct()
+    """Texts and edges of input mappings (id, name, seq, action, key, modifiers array, triggers array) in order of seq: a
+    line `action <- key [modifiers] (triggers)` each, with the classes' common prefixes left out."""
+
+    def short(classes: str, prefix: str, left: str, right: str) -> Column:
+        names = F.array_join(F.transform(classes, lambda c: F.regexp_replace(c, f"^{prefix}", "")), ",")
+        return F.when(names == "", "").otherwise(F.concat(F.lit(f" {left}"), names, F.lit(right)))
+
+    line = F.concat(F.coalesce(_last(F.col("action")), F.lit("<none>")), F.lit(" <- "), F.col("key"), short("modifiers", "InputModifier", "[", "]"), short("triggers", "InputTrigger", "(", ")"))
+    lines = mappings.groupBy("id", "name").agg(F.array_sort(F.collect_list(F.struct("seq", line.alias("line")))).alias("l"))
+    texts = lines.select("id", F.concat("name", F.lit(" (InputMappingContext)\nMappings ("), F.size("l").cast("string"), F.lit("):\n"), F.array_join(F.col("l.line"), "\n")).alias("text"))
+    return texts, mappings.where("action is not null").select(*edge(F.col("id"), _asset(F.col("action")), "references", F.lit("maps"))).distinct()
 
 
 def simple_recipe(rows: DataFrame) -> DataFrame:
     """Texts of skeletons (bones), data tables (row_struct, n_rows) and input actions (value_type): id, name, class and those."""
-    told = F.when(F.col("class") == "Skeleton", F.concat(F.lit("bones: "), F.col("bones").cast("string"))).when(F.col("class") == "DataTable", F.concat(F.lit("rows of "), F.col("row_struct"), F.lit(": "), F.col("n_rows").cast("string"))).when(F.col("class") == "InputAction", F.concat(F.lit("value: "), F.col("value_type")))
-    return rows.select("id", F.concat_ws(" ", "name", F.concat(F.lit("("), F.col("class"), F.lit(")")), told).alias("text"))
+    number = lambda c: F.col(c).cast("string")
+    told = (
+        F.when(F.col("class") == "Skeleton", F.concat(F.lit("Bones: "), number("bones")))
+        .when(F.col("class") == "DataTable", F.concat(F.lit("Row struct: "), F.coalesce("row_struct", F.lit("none")), F.lit(", Rows: "), number("n_rows")))
+        .when(F.col("class") == "InputAction", F.concat(F.lit("ValueType: "), F.col("value_type")))
+    )
+    return rows.where(told.isNotNull()).select("id", F.concat("name", F.lit(" ("), "class", F.lit(")\n"), told).alias("text"))
+
+
+def actor_detail(actors: DataFrame, properties: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """actors (id, light struct, mesh) with detail (one line) and the edges of what it names. A light tells its settings,
+    a mesh actor its mesh; others tell the properties that differ from their defaults, or that all are defaults."""
+    whole = lambda c: F.round(c).cast("long").cast("string")
+    light, yes = F.col("light"), lambda c: F.when(c, "yes").otherwise("no")
+    extra = F.concat(*[F.when(light[f].isNotNull(), F.concat(F.lit(f" {name}="), whole(light[f]))).otherwise("") for f, name in (("radius", "radius"), ("cone", "cone"))])
+    colour = F.concat_ws(",", *[light[c].cast("string") for c in ("red", "green", "blue")])
+    lit = F.concat(F.lit("intensity="), whole(light["intensity"]), F.lit(" color="), colour, F.lit(" mobility="), light["mobility"], F.lit(" shadows="), yes(light["shadows"]), F.lit(" visible="), yes(light["visible"]), extra)
+    plain = actors.where("light is null and mesh is null")
+    texts, references = property_diff(properties.join(plain.select(F.col("id").alias("owner")), "owner", "left_semi"), separator=" ")
+    told = actors.join(texts.select(F.col("owner").alias("id"), F.col("text").alias("_diff")), "id", "left")
+    detail = F.when(light.isNotNull(), lit).when(F.col("mesh").isNotNull(), F.concat(F.lit("mesh="), _last(F.col("mesh")))).otherwise(F.coalesce("_diff", F.lit("engine defaults")))
+    meshes = actors.where("light is null and mesh is not null").select(*edge(F.col("id"), _asset(F.col("mesh")), "references", F.lit("mesh")))
+    return told.select(*actors.columns, detail.alias("detail")), meshes.unionByName(references).distinct()
+
+
+def look_groups(actors: DataFrame, most: int = MOST_LOOKS) -> DataFrame:
+    """level, look, n: listed actors (level, label, class) by class if that makes the look of a level, else by label without
+    its number (and class) if that does; the `most` largest groups of a level, ties by name."""
+    from .stats import DERIVED
 
-
-def look_groups(actors: DataFrame, most: int = 16) -> DataFrame:
-    """level, look, n: actors by class if that makes the look of a level, else by label without its number if that does."""
     label = F.regexp_replace("label", "[0-9_]+$", "")
-    look = F.when(F.lower("class").rlike(LOOK), F.col("class")).when(F.lower(label).rlike(LOOK), label)
-    counts = actors.select("level", look.alias("look")).where("look is not null").groupBy("level", "look").agg(F.count("*").alias("n"))
+    look = F.when(F.lower("class").rlike(LOOK), F.col("class")).when(F.lower(label).rlike(LOOK), F.concat(label, F.lit(" ("), F.col("class"), F.lit(")")))
+    counts = actors.where(~F.col("class").isin(*DERIVED)).select("level", look.alias("look")).where("look is not null").groupBy("level", "look").agg(F.count("*").alias("n"))
     place = F.row_number().over(Window.partitionBy("level").orderBy(F.desc("n"), "look"))
     return counts.withColumn("place", place).where(F.col("place") <= most).drop("place")
 
 
-def level_recipe(actors: DataFrame, limit: int = 500) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Entities of the listed actors (level, actor, label, class, detail), their edges, and the levels' summary texts."""
-    from .stats import class_histogram, select_actors
+def class_target(actors: DataFrame) -> Column:
+    """The id of an actor's class: the script package that generated it, else the C++ class."""
+    return F.when(F.col("class_package").isNotNull(), _asset(F.col("class_package"))).otherwise(F.concat(F.lit("cpp:"), F.col("class")))
 
-    level = F.concat(F.lit("asset:"), F.col("level"))
-    listed = select_actors(actors, limit).select("level", "actor").join(actors, ["level", "actor"])
+
+def level_recipe(actors: DataFrame, limit: int = MOST_ACTORS) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Of actors (level, actor, label, class, class_package, location, detail): entities of the listed ones, edges, the
+    levels' summaries and the actors' chunks (id, entity_id, text).
+
+    A level has one `places` reference to each class; a listed actor is placed in its level and an instance of its class."""
+    from ..functions.text import split_camel
+    from .stats import DERIVED, class_histogram, select_actors
+
+    level, name = _asset(F.col("level")), _last(F.col("level"))
     id = F.concat(level, F.lit("::actor::"), F.col("actor"))
-    entities = listed.select(*entity(id, "level-actor", F.col("label"), F.col("level"), "asset", level, detail=F.to_json(F.struct("class"))))
-    edges = listed.select(*edge(id, level, "placed-in-level")).unionByName(listed.where(F.col("class").startswith("/Game")).select(*edge(id, F.concat(F.lit("asset:"), F.substring_index("class", ".", 1)), "instance-of")))
-    counts = class_histogram(actors).groupBy("level").agg(F.sum("n").alias("total"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), F.concat(F.col("class"), F.lit(" x"), F.col("n").cast("string")).alias("t")))), lambda x: x["t"]), ", ").alias("classes"))
-    looks = look_groups(actors).groupBy("level").agg(F.array_join(F.array_sort(F.collect_list(F.concat("look", F.lit(" x"), F.col("n").cast("string")))), ", ").alias("looks"))
-    texts = counts.join(looks, "level", "left").select(level.alias("id"), F.concat_ws(" ", F.concat(F.element_at(F.split("level", "/"), -1), F.lit(" (Level)")), F.concat(F.lit("Actors: "), F.col("total").cast("string")), F.concat(F.lit("Classes: "), F.col("classes")), F.concat(F.lit("Look: "), F.col("looks"))).alias("text"))
-    return entities, edges, texts
+    listed = select_actors(actors, limit).select("level", "actor").join(actors, ["level", "actor"])
+    told = F.concat(F.col("label"), F.lit(" ("), F.col("class"), F.lit(")"))
+    entities = listed.select(*entity(id, "level-actor", F.col("label"), name, "asset", level, told, F.to_json(F.struct("class", "location"))))
+    places = actors.where(~F.col("class").isin(*DERIVED)).select("level", "class", "class_package").distinct().select(*edge(level, class_target(actors), "references", F.lit("places")))
+    edges = places.unionByName(listed.select(*edge(id, level, "placed-in-level"))).unionByName(listed.select(*edge(id, class_target(listed), "instance-of"))).distinct()
+    tail = F.when(F.coalesce("detail", F.lit("")) == "", "").otherwise(F.concat(F.lit(" — "), F.col("detail")))
+    chunks = listed.select(F.concat(id, F.lit("#actor")).alias("id"), id.alias("entity_id"), F.concat("label", F.lit(" ("), "class", F.lit(" / "), split_camel(F.col("class")), F.lit(") in "), name, tail).alias("text"))
+
+    def joined(groups: DataFrame, column: str, text: Column) -> DataFrame:
+        order = F.struct((-F.col("n")).alias("o"), F.col(column).alias("c"), text.alias("t"))
+        return groups.groupBy("level").agg(F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["t"]), ", ").alias("listed"), F.sum("n").alias("total"), F.count("*").alias("groups"))
+
+    times = lambda c: F.concat(F.col(c), F.lit(" x"), F.col("n").cast("string"))
+    counts = joined(class_histogram(actors), "class", times("class"))
+    looks = joined(look_groups(actors), "look", F.when(F.col("n") > 1, times("look")).otherwise(F.col("look"))).select("level", F.col("listed").alias("looks"))
+    capped = F.when(F.col("total") > limit, f" ({limit} listed as entities, round-robin by class — every class represented; all counted below)").otherwise("")
+    look = F.when(F.col("looks").isNotNull(), F.concat(F.lit("\nLighting & environment: "), F.col("looks"))).otherwise("")
+    text = F.concat(name, F.lit(" (Level)\nActors: "), F.col("total").cast("string"), F.lit(" in "), F.col("groups").cast("string"), F.lit(" classes"), capped, look, F.lit("\n"), F.col("listed"))
+    return entities, edges, counts.join(looks, "level", "left").select(level.alias("id"), text.alias("text")), chunks
 
 
 MOST_OUTPUT, MOST_INDENT, MOST_INLINE, MOST_FLAT = 16_000, 40, 3, 400
@@ -206,6 +274,10 @@ def blueprint_structure(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     return reduce(DataFrame.unionByName, rows), reduce(DataFrame.unionByName, edges).distinct()
 
 
+def union_all(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
+
+
 def dispatch(assets: DataFrame, recipes: dict, shallow: Column | None = None) -> dict[str, DataFrame]:
     """assets by the recipe of their class; shallow ones and classes without a recipe go to `tags`."""
     known = F.col("class").isin(*recipes) & ~(shallow if shallow is not None else F.lit(False))

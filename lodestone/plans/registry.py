@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import core, maintenance  # noqa: F401  registers its queries on import
+from . import core, extractors, maintenance  # noqa: F401  registers its queries on import
 
 
 def queries() -> dict:
