@@ -43,11 +43,18 @@ class Engine:
     def impact(self, id: str, max_depth: int = 4, limit: int = 200) -> DataFrame:
         return graph.impact(self.state.entities, self.state.edges, id, max_depth, limit)
 
+    def impact_answer(self, id: str, max_depth: int = 4, limit: int = 200) -> dict[str, DataFrame]:
+        """The page, with the number of all dependents, whether some are left out, and counts by kind."""
+        tables = self.state.entities, self.state.edges
+        return {"affected": self.impact(id, max_depth, limit), "summary": graph.impact_summary(*tables, id, max_depth, limit), "byKind": graph.impact_by_kind(*tables, id, max_depth)}
+
     def explain(self, topic: str, limit: int = 8) -> DataFrame:
         return search.explain(self.index, *self._tables, topic, limit if limit > 0 else 8)
 
     def project_stats(self, facet: str = "") -> DataFrame:
-        return stats.project_stats(self.state.entities, self.state.edges, facet)
+        held = [(k, str(v)) for k, v in self.meta.items() if isinstance(v, (str, int))]
+        meta = self.state.entities.sparkSession.createDataFrame(held, "key string, value string") if held else None
+        return stats.project_stats(self.state.entities, self.state.edges, facet, meta)
 
     def coverage(self, doc_type: str = "", limit: int = 500) -> DataFrame:
         return intent.coverage(self.state.entities, self.state.edges, doc_type, limit)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import severity
 from ..schema import project_entity
-from .lineage import cut
+from .lineage import cut, settle
 
 
 def walk(edges: DataFrame, roots: DataFrame, inbound: bool, depth: int, edge_type: str = "") -> DataFrame:
@@ -20,6 +20,7 @@ def walk(edges: DataFrame, roots: DataFrame, inbound: bool, depth: int, edge_typ
     near, far = ("dst", "src") if inbound else ("src", "dst")
     links = edges.where(F.col("type") == edge_type) if edge_type else edges
     links = links.select(F.col(near).alias("id"), F.col(far).alias("next"), "type")
+    links = settle(links) if depth > 1 else links
     seen = roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth"), F.lit("").alias("via"))
     frontier = seen.select("root", "id")
     for hop in range(1, depth + 1):
@@ -45,6 +46,8 @@ def references(entities: DataFrame, edges: DataFrame, id: str, direction: str =
     depth, limit, offset = max(1, depth), limit if limit > 0 else 200, max(0, offset)
     direction = direction or "both"
     found = None
+    if direction == "both" and depth > 1:
+        edges = settle(edges.select("src", "dst", "type"))
     for name, inbound, order in (("in", True, 0), ("out", False, 1)):
         if direction in (name, "both"):
             one = walk(edges, _root(entities, id), inbound, depth, edge_type).select("id", "depth", "via", F.lit(name).alias("direction"), F.lit(order).alias("turn"))
@@ -74,6 +77,12 @@ def impact(entities: DataFrame, edges: DataFrame, id: str, max_depth: int = 4, l
     return _impacted(entities, edges, id, max_depth).orderBy(F.desc("severity"), "depth", "id").limit(limit if limit > 0 else 200).select("id", "kind", "name", "depth", "via", "severity")
 
 
+def impact_summary(entities: DataFrame, edges: DataFrame, id: str, max_depth: int = 4, limit: int = 200) -> DataFrame:
+    """One row: total_dependents within the walk's cap, and whether a page of `limit` leaves some of them out."""
+    total = _impacted(entities, edges, id, max_depth).agg(F.count("*").alias("total_dependents"))
+    return total.select("total_dependents", (F.col("total_dependents") > (limit if limit > 0 else 200)).alias("truncated"))
+
+
 def impact_by_kind(entities: DataFrame, edges: DataFrame, id: str, max_depth: int = 4) -> DataFrame:
     return _impacted(entities, edges, id, max_depth).groupBy("kind").agg(F.count("*").alias("n"))
 
@@ -81,6 +90,7 @@ def impact_by_kind(entities: DataFrame, edges: DataFrame, id: str, max_depth: in
 def subtree(entities: DataFrame, roots: DataFrame, most: int = 64) -> DataFrame:
     """id of all entities at or below the roots (column id), along `parent`; cycles end, `most` levels at most."""
     tree = entities.where("parent is not null").select(F.col("parent").alias("id"), F.col("id").alias("child"))
+    tree = settle(tree)
     seen = roots.select("id").distinct()
     frontier = seen
     for _ in range(most):
@@ -152,4 +162,12 @@ def entity_detail(entities: DataFrame, edges: DataFrame, chunks: DataFrame, id:
         "children": children(entities, id, limit=cap),
         "classes": children_by_class(entities, id).orderBy(F.desc("n"), "class"),
         "counts": entity_counts(entities, edges, chunks, id),
+        "truncated": truncated(entity_counts(entities, edges, chunks, id), cap),
     }
+
+
+def truncated(counts: DataFrame, cap: int) -> DataFrame:
+    """part, n, note of the parts of an entity's answer that `cap` cuts off."""
+    parts = F.array(*[F.struct(F.lit(name).alias("part"), F.col(c).alias("n")) for name, c in (("outgoing", "n_out"), ("incoming", "n_in"), ("children", "n_children"), ("chunks", "n_chunks"))])
+    cut_off = counts.select(F.explode(parts).alias("x")).select("x.*").where(F.col("n") > cap)
+    return cut_off.select("part", "n", F.concat(F.lit(f"{cap} of "), F.col("n").cast("string"), F.lit(" listed")).alias("note"))

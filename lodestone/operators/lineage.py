@@ -2,16 +2,50 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_own: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's spark.checkpoint.dir; a folder of our own only on a local master where that is unset."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="lodestone-checkpoint-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and held in the checkpoint folder that all executors share; lost executors don't lose it. The
-    folder is the cluster's spark.checkpoint.dir; one of our own only where that is unset."""
+    """df, computed once and held in the checkpoint folder that all executors share; lost executors don't lose it."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestone-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """df for repeated reading: itself if it only scans and filters stored tables, else as a table in the shared folder,
+    so that each of its readers prunes columns and none computes its joins and aggregations again."""
+    spark = df.sparkSession
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if not any(word in plan for word in ("Join", "Aggregate", "Window", "Sort", "Generate")):
+        return df
+    root = f"{shared_folder(spark)}/lodestone-tables-{spark.sparkContext.applicationId}"
+    if root not in _own:
+        _own[root] = root
+
+        def remove() -> None:
+            if getattr(spark.sparkContext, "_jsc", None) is not None:
+                path = spark._jvm.org.apache.hadoop.fs.Path(root)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+        atexit.register(remove)
+    path = f"{root}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

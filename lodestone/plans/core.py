@@ -99,6 +99,8 @@ WEIGHTS = "CASE via " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in SEVERITY.ite
 IMPACTED = f"SELECT r.id, kind, name, depth, via, round({WEIGHTS} / depth, 6) AS severity FROM w_in_rows r JOIN entities e ON e.id = r.id ORDER BY depth, r.id LIMIT 5000"
 query("impact_depth4", f"RECURSIVE WITH {_walk_sql(NATION, True, 4)} SELECT * FROM ({IMPACTED}) x ORDER BY severity DESC, depth, id LIMIT 200", "entities", "edges")(lambda p: graph.impact(p.entities, p.edges, NATION))
 query("impact_by_kind", f"RECURSIVE WITH {_walk_sql(NATION, True, 4)} SELECT kind, count(*) AS n FROM ({IMPACTED}) x GROUP BY kind", "entities", "edges")(lambda p: graph.impact_by_kind(p.entities, p.edges, NATION))
+query("impact_summary", f"RECURSIVE WITH {_walk_sql(NATION, True, 4)} SELECT least(count(*), 5000) AS total_dependents, least(count(*), 5000) > 200 AS truncated FROM ({IMPACTED}) x", "entities", "edges")(lambda p: graph.impact_summary(p.entities, p.edges, NATION, 4))
+query("entity_truncated", f"SELECT part, n, '5 of ' || CAST(n AS STRING) || ' listed' AS note FROM (SELECT 'children' AS part, count(*) AS n FROM entities WHERE parent = '{NATION}' UNION ALL SELECT 'incoming', count(*) FROM edges WHERE dst = '{NATION}' UNION ALL SELECT 'outgoing', count(*) FROM edges WHERE src = '{NATION}' UNION ALL SELECT 'chunks', count(*) FROM chunks WHERE entity_id = '{NATION}') x WHERE n > 5", "entities", "edges", "chunks")(lambda p: graph.truncated(graph.entity_counts(p.entities, p.edges, p.chunks, NATION), 5))
 query("subtree_closure", f"RECURSIVE WITH s AS (SELECT '{REGION}' AS id UNION SELECT e.id FROM s JOIN entities e ON e.parent = s.id) SELECT id FROM s", "entities")(lambda p: graph.subtree(p.entities, p.entities.where(F.col("id") == REGION)))
 query(
     "ancestor_resolution",
