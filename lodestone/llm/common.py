@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from array import array
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one step of an Arrow function holds at a time.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 _own_dirs: dict[str, str] = {}
 _registered: set[str] = set()
 
@@ -69,7 +70,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 #: Bytes of one Arrow batch between Spark and Python, unless the session says otherwise.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
+
+
+def _release() -> None:
+    """Gives freed memory back, so that an idle worker doesn't hold what its last task needed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
@@ -77,7 +87,12 @@ def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if conf.get(name) == f"{64 << 20}b":  # Spark's default
         conf.set(name, str(BATCH_BYTES))
-    return df.mapInArrow(f, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        _release()
+
+    return df.mapInArrow(run, schema)
 
 
 def text_chunks(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:

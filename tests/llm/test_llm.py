@@ -555,3 +555,46 @@ def test_pipeline_stages_follow_each_other(spark):
     library = sentencepiece_codec.codec(PIECES).library
     clean = [r for r in last if not re.search(r"[0-9@]", texts[r["doc_id"]])]
     assert clean and all(r["ids"] == library.encode(texts[r["doc_id"]]) for r in clean)
+
+
+def test_stages_keep_odd_rows(spark):
+    rows = [(None, None, "en", "s", 0), (None, "", "en", "s", 0), (1, None, "en", "s", 0), (2, "", "en", "s", 0), (2, "", "en", "s", 0), (3, "some plain words " * 5, "en", "s", 85), (3, "some plain words " * 5, "en", "s", 85)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    for empty in (False, True):
+        given = docs.limit(0) if empty else docs
+        stages = [toxicity.drop_toxic(given, labels), jaccard_join.keep_one(given), decontaminate.drop_contaminated(given, items), pii.redact(given)]
+        for frame, lost in zip(stages, (0, 1, 0, 0)):
+            assert frame.columns == docs.columns and frame.count() == (0 if empty else len(rows) - lost)
+
+
+def test_pipeline_decides_as_its_operators(spark):
+    """Each stage against a plain reading of what the one before kept."""
+    import os
+
+    import corpus_pipeline
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    held = {r["doc_id"]: r["text"] for r in docs.collect()}
+    stage = dict(corpus_pipeline.STAGES)
+    read = lambda frame: {r["doc_id"]: r["text"] for r in frame.collect()}
+    clean = read(stage["toxicity"](spark, docs, folder))
+    predicted = {r["doc_id"] for r in toxicity.score_toxicity(docs, spark.read.parquet(f"{folder}/labels.parquet")).where("predicted = 1").collect()}
+    assert clean == {i: t for i, t in held.items() if i not in predicted}
+    items = [" ".join(re.findall(r"\w+", r["text"].lower())) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    kept = read(stage["benchmark decontamination"](spark, docs, folder))
+    for i, text in held.items():
+        words = " ".join(re.findall(r"\w+", (text or "").lower()))
+        if any(item and item in words for item in items):
+            assert i not in kept
+    redacted = read(stage["PII"](spark, docs, folder))
+    for i, text in redacted.items():
+        spans = base_spans(held[i])
+        assert (text == held[i]) <= (spans == "")
+        for span in filter(None, spans.split(",")):
+            _, a, b = span.split(":")
+            assert held[i][int(a) : int(b)] not in text or held[i].count(held[i][int(a) : int(b)]) > spans.count(",") + 1
