@@ -16,13 +16,14 @@ CPP_NOTE = "The graph of C++ code holds only what could be resolved without a co
 class Engine:
     """Answers over a snapshot. Methods return DataFrames; envelope() makes the JSON that tools are sent."""
 
-    def __init__(self, state: Snapshot, meta: dict | None = None, stemmed: bool = True):
+    def __init__(self, state: Snapshot, meta: dict | None = None, stemmed: bool = True, index: search.Index | None = None):
         self.state, self.meta = state, meta or {}
-        self.index = search.Index.build(state.chunks, stemmed)
+        self.index = index or search.Index.build(state.chunks, stemmed)
 
     @classmethod
     def open(cls, store: Store) -> Engine:
-        return cls(store.open(), store.meta())
+        """With the text index that the store keeps in step with its chunks."""
+        return cls(store.open(), store.meta(), index=store.index())
 
     @property
     def _tables(self) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -122,7 +122,8 @@ class Index:
 
     @classmethod
     def load(cls, spark, path: str, stemmed: bool = False) -> Index:
-        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"), stemmed)
+        read = lambda part, schema: spark.read.schema(schema).parquet(f"{path}/{part}")
+        return cls(read("postings", "term string, chunk_id string, tf_text long, tf_aux long"), read("lengths", "chunk_id string, length int"), stemmed)
 
     def terms(self, query: str) -> list[str]:
         words = query_terms(query)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..schema import KEYS, TABLES, validate
 from .graph import subtree
+from .search import Index
 
 VERSION, HISTORY = 5, 20
 STORED = ("entities", "edges", "chunks")
@@ -205,6 +206,21 @@ class Store:
             raise ValueError(f"the index in {self.path} is of version {meta.get('version')}, not {VERSION}: build it anew")
         return Snapshot(*(self._read(meta, t) for t in STORED))
 
+    def _put(self, rows: DataFrame, folder: str, t: str) -> None:
+        """Rows as a folder; chunks with their postings beside them, so that the text index keeps step by producer."""
+        rows.write.parquet(f"{self.path}/{folder}")
+        if t == "chunks":
+            stored = self.spark.read.schema(TABLES[t]).parquet(f"{self.path}/{folder}")
+            Index.build(stored, stemmed=True).save(f"{self.path}/{folder}-index")
+
+    def index(self) -> Index:
+        """The stemmed text index of the current chunks, as it was written with them."""
+        folders = sorted(set(self.meta().get("tables", {}).get("chunks", {}).values()))
+        if not folders:
+            return Index.build(self.open().chunks, stemmed=True)
+        parts = [Index.load(self.spark, f"{self.path}/{folder}-index", stemmed=True) for folder in folders]
+        return Index(union_all([x.postings for x in parts]), union_all([x.lengths for x in parts]), stemmed=True)
+
     def write(self, state: Snapshot, touched: set[str | None] | None = None, base: dict | None = None, **meta: str) -> Snapshot:
         """state as the next version. With `touched`, only these producers' rows are written; other producers keep the
         folders that the version `base` (default: the current one) names for them."""
@@ -215,7 +231,8 @@ class Store:
             known = base.get("tables", {}).get(t, {})
             mine = rows if touched is None else rows.where(reduce(lambda a, b: a | b, [F.col("producer").eqNullSafe(F.lit(p)) for p in touched], F.lit(False)))
             folder = f"v-{uuid.uuid4().hex}/{t}"
-            mine.write.parquet(f"{self.path}/{folder}/all") if touched is None else None
+            if touched is None:
+                self._put(mine, f"{folder}/all", t)
             kept = {} if touched is None else {p: f for p, f in known.items() if p == "*" or json.loads(p) not in touched}
             if touched is None:
                 tables[t] = {"*": f"{folder}/all"}
@@ -225,10 +242,10 @@ class Store:
                 kept = {}
                 for p in [r[0] for r in others.select("producer").distinct().collect()]:
                     kept[json.dumps(p)] = f"{folder}/{len(kept)}"
-                    others.where(F.col("producer").eqNullSafe(F.lit(p))).write.parquet(f"{self.path}/{kept[json.dumps(p)]}")
+                    self._put(others.where(F.col("producer").eqNullSafe(F.lit(p))), kept[json.dumps(p)], t)
             for i, p in enumerate(sorted(touched, key=str)):
                 at = f"{folder}/t{i}"
-                mine.where(F.col("producer").eqNullSafe(F.lit(p))).write.parquet(f"{self.path}/{at}")
+                self._put(mine.where(F.col("producer").eqNullSafe(F.lit(p))), at, t)
                 kept[json.dumps(p)] = at
             tables[t] = kept
         self._name({**base, **meta, "version": VERSION, "tables": tables, "generation": base.get("generation") or uuid.uuid4().hex, "lastIngestAtIso": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())}, base.get("number", 0) + 1)
