@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .operators import graph, intent, search, stats
-from .operators.store import Snapshot, Store
+from .operators.store import VERSION, Snapshot, Store
 
 CPP_NOTE = "The graph of C++ code holds only what could be resolved without a compiler."
 
@@ -30,7 +30,9 @@ class Engine:
         return self.state.entities, self.state.edges, self.state.chunks
 
     def search(self, query: str, kind: str = "", limit: int = 20, offset: int = 0, path_prefix: str = "") -> DataFrame:
-        return search.search(self.index, *self._tables, query, kind, limit, offset, path_prefix)
+        """A page of hits, best first, each with a snippet of its chunk."""
+        hits = search.search(self.index, *self._tables, query, kind, limit, offset, path_prefix)
+        return search.snippets(hits, self.state.chunks, query).orderBy("score", "id")
 
     def get_entity(self, id: str, cap: int = 50) -> dict[str, DataFrame]:
         return graph.entity_detail(*self._tables, id, cap)
@@ -64,7 +66,9 @@ class Engine:
         return intent.drift(*self._tables, limit)
 
     def doctor(self) -> DataFrame:
-        return stats.doctor(*self._tables)
+        """check, n, ok: the tables' health, the version of the schema, the text index against the chunks, and the verdict
+        (n: problems)."""
+        return stats.verdict(stats.doctor(*self._tables).unionByName(stats.upkeep(self.state.chunks, self.index.lengths, self.meta.get("version", VERSION))))
 
     def envelope(self, answer: DataFrame | dict[str, DataFrame] | None, root: str = "", error: str = "") -> str:
         """{result, index, note?} or {error}. Answers are pages or capped parts, so they are small enough to collect."""

@@ -86,6 +86,22 @@ def doctor(entities: DataFrame, edges: DataFrame, chunks: DataFrame) -> DataFram
     return out
 
 
+def upkeep(chunks: DataFrame, lengths: DataFrame, version: int, expected: int | None = None) -> DataFrame:
+    """check, n, ok: the version of the schema, and chunks that the text index hasn't (or has beyond them)."""
+    from .store import VERSION
+
+    expected = VERSION if expected is None else expected
+    ids, indexed = chunks.select("id"), lengths.select(F.col("chunk_id").alias("id"))
+    apart = ids.join(indexed, "id", "left_anti").unionByName(indexed.join(ids, "id", "left_anti")).agg(F.count("*").alias("n"))
+    rows = apart.select(F.lit("index-out-of-step").alias("check"), "n", (F.col("n") == 0).alias("ok"))
+    return rows.unionByName(chunks.sparkSession.createDataFrame([("schema-version", int(version), int(version) == expected)], "check string, n long, ok boolean"))
+
+
+def verdict(checks: DataFrame) -> DataFrame:
+    """checks with a last one, `healthy`: how many of them aren't ok."""
+    return checks.unionByName(checks.agg(F.count_if(~F.col("ok")).alias("n")).select(F.lit("healthy").alias("check"), "n", (F.col("n") == 0).alias("ok")))
+
+
 def missing_tables(tables: dict[str, DataFrame]) -> list[str]:
     return sorted(set(TABLES) - set(tables))
 

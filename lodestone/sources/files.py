@@ -55,8 +55,10 @@ def is_shallow(package: Column, prefixes: tuple[str, ...]) -> Column:
 
 
 def walk_files(spark: SparkSession, root: str, extensions: tuple[str, ...], config: Config | None = None) -> DataFrame:
-    """rel, size, mtime, content of the files below root with one of the extensions (without dots, any case)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    """rel, size, mtime, content of the files below root with one of the extensions (without dots, any case). The listing
+    keeps these extensions only, so that no other file's content is read."""
+    glob = ",".join("*." + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e) for e in extensions)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"{{{glob}}}").load(root)
     base = re.escape(root.rstrip("/").removeprefix("file:").removeprefix("//"))
     rel = F.regexp_replace(F.col("path"), rf"^[a-z]*:?/*{base.lstrip('/')}/", "")
     out = files.select(rel.alias("rel"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content")

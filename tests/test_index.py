@@ -169,3 +169,21 @@ def test_last_written_row_of_a_key_wins(spark):
     old = spark.createDataFrame([("a", "old"), ("b", "kept")], "id string, v string")
     new = spark.createDataFrame([("a", "first", 1), ("a", "last", 3), ("a", "middle", 2)], "id string, v string, seq int").repartition(3)
     assert {(r["id"], r["v"]) for r in upsert(old, new, ["id"]).collect()} == {("a", "last"), ("b", "kept")}
+
+
+def test_search_answers_and_health(spark, tmp_path):
+    home = Store(spark, "file://" + str(tmp_path / "store"))
+    home.create()
+    home.ingest("p", tables(spark, [("a", "asset", "Alpha", None, None), ("b", "asset", "Beta", None, None)], [("a", "b", "references")], [("c1", "a", "the running player jumps"), ("c2", "b", "nothing here")]))
+    home.ingest("q", tables(spark, [("z", "asset", "Zed", None, None)], [], [("c3", "z", "a player runs")]))
+    engine = Engine.open(home)
+    assert {r["id"] for r in engine.search("runs").collect()} == {"a", "z"}  # both producers' postings, stemmed
+    assert "[player]" in engine.search("player").first()["snippet"]
+    checks = {r["check"]: (r["n"], r["ok"]) for r in engine.doctor().collect()}
+    assert checks["healthy"] == (0, True) and checks["index-out-of-step"] == (0, True) and checks["schema-version"][1]
+    home.ingest("q", tables(spark))
+    assert {r["id"] for r in Engine.open(home).search("player").collect()} == {"a"}
+    stale = Engine(home.open(), home.meta(), index=engine.index)
+    assert {r["check"] for r in stale.doctor().where("not ok").collect()} == {"index-out-of-step", "healthy"}
+    answer = engine.impact_answer("b")
+    assert answer["summary"].first()["total_dependents"] == 1 and not answer["summary"].first()["truncated"]
