@@ -177,6 +177,33 @@ def test_section_counts_add_up(spark, rule):
         assert [(text or "")[r["start_char"] : r["end_char"]] for r in rows] == ((text or "").replace("\n", "\n\0").split("\0") if not (text or "").endswith("\n") else None)
 
 
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_section_counts_are_the_tokens(spark, rule):
+    """Each token by hand: its bytes, the lines that they lie in, and the line that the rule gives it."""
+    random.seed(6)
+    letters = ["word ", "\n", "\n\n", "  \n", "é", "中文", "😀", "\t", "x" * 20, "it's", "42", "\r\n", " "]
+    texts = ["".join(random.choice(letters) for _ in range(random.randint(0, 40))) for _ in range(60)]
+    encoding, _ = token_counts._encoding(RANKS, public_tokenizers.PATTERN)
+    docs = spark.createDataFrame([*enumerate(texts), (None, "null id\nhere")], "doc_id long, text string")
+    got = {(r["doc_id"], r["section"]): (r["n_tokens"], r["n_crossing"]) for r in token_counts.attribute_tokens(docs, RANKS, public_tokenizers.PATTERN, rule=rule).collect()}
+    want = {}
+    for i, text in [*enumerate(texts), (None, "null id\nhere")]:
+        raw, line, of = text.encode(), 0, []
+        for byte in raw:
+            of.append(line)
+            line += byte == 10
+        lines = max(of, default=0) + 1
+        counts, crossing, at = [0] * lines, [0] * lines, 0
+        for token in encoding.encode_ordinary(text):
+            own = of[at : at + len(encoding.decode_single_token_bytes(token))]
+            at += len(own)
+            chosen = own[0] if rule == "start" else own[-1] if rule == "end" else max(sorted(set(own)), key=own.count)
+            counts[chosen] += 1
+            crossing[chosen] += own[0] != own[-1]
+        want |= {(i, k): (counts[k], crossing[k]) for k in range(lines)}
+    assert got == want
+
+
 def test_crossing_tokens():
     ends, starts = np.array([3, 8, 9]), np.array([0, 4, 5])
     assert token_counts.allocate(ends, starts, "start").tolist() == [0, 0, 2]
