@@ -110,58 +110,113 @@ def _glyphs(table: str) -> tuple[dict[int, str], int]:
     return out, width
 
 
-def pdf_text(content: bytes) -> str:
-    """Text of a PDF: flate streams are inflated, glyph codes go through the ToUnicode tables, a line breaks where the text
-    moves by more than 2 units up or down. Encrypted and unreadable files give the empty text."""
-    streams, total = [], 0
-    for m in re.finditer(rb"(<<[^\x00]{0,2000}?>>)\s*stream\r?\n(.*?)\r?\nendstream", content, re.S):
-        if len(streams) >= MOST_STREAMS or total > MOST_INFLATED:
+def _pdf_streams(content: bytes) -> list[tuple[int, str, str]]:
+    """Object number (0: unknown), dictionary and data of the readable streams."""
+    out, total = [], 0
+    for m in re.finditer(rb"(?:(\d+)\s+\d+\s+obj\s*)?(<<(?:(?!endobj)[^\x00]){0,2000}?>>)\s*stream\r?\n(.*?)\r?\nendstream", content, re.S):
+        if len(out) >= MOST_STREAMS or total > MOST_INFLATED:
             break
-        data = m[2]
-        if b"FlateDecode" in m[1]:
+        data = m[3]
+        if b"FlateDecode" in m[2]:
             try:
                 data = zlib.decompressobj().decompress(data, MOST_INFLATED - total + 1)
             except zlib.error:
                 continue
         total += len(data)
-        streams.append(data.decode("latin-1"))
-    tables = [_glyphs(s) for s in streams if "begincmap" in s]
-    merged = {k: v for t, _ in tables for k, v in t.items()}
-    width = tables[0][1] if tables else 1
+        out.append((int(m[1] or 0), m[2].decode("latin-1"), data.decode("latin-1")))
+    return out
+
+
+def _pdf_objects(content: bytes, streams: list[tuple[int, str, str]]) -> dict[int, str]:
+    """Object bodies by number, those in object streams among them."""
+    plain = re.sub(rb"stream\r?\n.*?endstream", b"", content, flags=re.S).decode("latin-1")
+    out = {int(n): body for n, body in re.findall(r"(\d+)\s+\d+\s+obj\b(.*?)endobj", plain, re.S)}
+    for _, head, data in streams:
+        first = re.search(r"/First\s+(\d+)", head)
+        if "/ObjStm" in head and first:
+            pairs = list(map(int, re.findall(r"\d+", data[: int(first[1])])))
+            starts = [int(first[1]) + at for at in pairs[1::2]]
+            out |= {n: data[at:end] for n, at, end in zip(pairs[::2], starts, [*starts[1:], len(data)])}
+    return out
 
-    def shown(token: str) -> str:
+
+def _pdf_fonts(objects: dict[int, str], streams: list[tuple[int, str, str]]) -> tuple[dict[int, dict[str, int]], dict[str, int], dict[int, tuple[dict[int, str], int]]]:
+    """Font objects by name for each content stream of a page, for streams without a page, and glyph tables by font object."""
+    data = {n: text for n, _, text in streams if n}
+    tables = {n: _glyphs(data[int(m[1])]) for n, body in objects.items() if (m := re.search(r"/ToUnicode\s+(\d+)\s+\d+\s+R", body)) and int(m[1]) in data}
+
+    def named(body: str, depth: int = 0) -> dict[str, int]:
+        """The fonts of a page or resource dictionary, or of the nodes above it."""
+        fonts = re.search(r"/Font\s*<<(.*?)>>", body, re.S)
+        if fonts:
+            return {name: int(n) for name, n in re.findall(r"/([^\s/<>\[\]()]+)\s+(\d+)\s+\d+\s+R", fonts[1])}
+        for key in ("Font", "Resources", "Parent"):
+            m = re.search(rf"/{key}\s+(\d+)\s+\d+\s+R", body)
+            if m and depth < 16:
+                other = objects.get(int(m[1]), "")
+                found = named(f"/Font {other}" if key == "Font" else other, depth + 1)
+                if found:
+                    return found
+        return {}
+
+    by_stream: dict[int, dict[str, int]] = {}
+    anywhere: dict[str, int] = {}
+    for body in objects.values():
+        m = re.search(r"/Contents\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", body)
+        if m:
+            fonts = named(body)
+            anywhere = {**fonts, **anywhere}
+            by_stream |= {int(n): fonts for n in re.findall(r"(\d+)\s+\d+\s+R", m[1])}
+    return by_stream, anywhere, tables
+
+
+def pdf_text(content: bytes) -> str:
+    """Text of a PDF: flate streams are inflated, glyph codes go through the ToUnicode table of the font in use (of all
+    fonts where none is known), a line breaks where the text moves by more than 2 units up or down. Encrypted and
+    unreadable files give the empty text."""
+    streams = _pdf_streams(content)
+    every = [_glyphs(text) for _, _, text in streams if "begincmap" in text]
+    merged = ({k: v for t, _ in every for k, v in t.items()}, every[0][1] if every else 1)
+    by_stream, anywhere, tables = _pdf_fonts(_pdf_objects(content, streams), streams) if every else ({}, {}, {})
+
+    def shown(token: str, table: dict[int, str], width: int) -> str:
         if token.startswith("<"):
             digits = re.sub(r"\s", "", token[1:-1])
             raw = bytes.fromhex(digits + "0" * (len(digits) % 2))
         else:
             plain = re.sub(r"\\([0-7]{1,3})", lambda m: chr(int(m[1], 8) & 255), token[1:-1])
             raw = re.sub(r"\\(.)", lambda m: {"n": "\n", "r": "\r", "t": "\t"}.get(m[1], m[1]), plain, flags=re.S).encode("latin-1", "replace")
-        if merged:
-            return "".join(merged.get(int.from_bytes(raw[i : i + width], "big"), "" if width > 1 else chr(raw[i])) for i in range(0, len(raw), width))
+        if table:
+            return "".join(table.get(int.from_bytes(raw[i : i + width], "big"), "" if width > 1 else chr(raw[i])) for i in range(0, len(raw), width))
         return raw.decode("latin-1")
 
     out: list[str] = []
-    token = re.compile(r"(\((?:\\.|[^\\()])*\)|<[0-9a-fA-F\s]+>)|\[((?:\((?:\\.|[^\\()])*\)|<[0-9a-fA-F\s]*>|[^\]])*)\]\s*TJ|(-?[\d.]+)\s+(-?[\d.]+)\s+T[dD]\b|(?:-?[\d.]+\s+){4}(-?[\d.]+)\s+(-?[\d.]+)\s+Tm\b|T\*", re.S)
-    for stream in streams:
+    text = r"\((?:\\.|[^\\()])*\)|<[0-9a-fA-F\s]+>"
+    token = re.compile(rf"({text})|\[((?:\((?:\\.|[^\\()])*\)|<[0-9a-fA-F\s]*>|[^\]])*)\]\s*TJ|(-?[\d.]+)\s+(-?[\d.]+)\s+T[dD]\b|(?:-?[\d.]+\s+){{4}}(-?[\d.]+)\s+(-?[\d.]+)\s+Tm\b|/(\S+)\s+[\d.]+\s+Tf\b|T\*", re.S)
+    for number, _, stream in streams:
         if "BT" not in stream or "begincmap" in stream:
             continue
+        fonts, current = by_stream.get(number) or anywhere, merged
         for body in re.findall(r"\bBT\b(.*?)\bET\b", stream, re.S):
             height = None
             for m in token.finditer(body):
                 if m[1]:
-                    out.append(shown(m[1]))
+                    out.append(shown(m[1], *current))
                 elif m[2] is not None:
-                    out.extend(shown(t) for t in re.findall(r"\((?:\\.|[^\\()])*\)|<[0-9a-fA-F\s]+>", m[2]))
+                    out.extend(shown(t, *current) for t in re.findall(text, m[2]))
                 elif m[4] is not None:
                     out.append("\n" if abs(float(m[4])) > 2 else " ")
                 elif m[6] is not None:
                     out.append("\n" if height is not None and abs(float(m[6]) - height) > 2 else "")
                     height = float(m[6])
+                elif m[7] is not None:
+                    font = fonts.get(m[7])
+                    current = merged if font is None else tables.get(font, ({}, 1))
                 else:
                     out.append("\n")
             out.append("\n")
-    text = "".join(out).translate(_LIGATURES)
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r" *\n *", "\n", re.sub(r"[ \t]+", " ", text))).strip()
+    whole = "".join(out).translate(_LIGATURES)
+    return re.sub(r"\n{3,}", "\n\n", re.sub(r" *\n *", "\n", re.sub(r"[ \t]+", " ", whole))).strip()
 
 
 def image_size(content: bytes) -> tuple[str, int, int]:

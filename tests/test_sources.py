@@ -92,3 +92,22 @@ def test_signatures_and_history(spark):
     assert {r["id"]: r["change"] for r in store.diff_signatures(old, new).collect()} == {"a": "same", "b": "changed", "c": "changed", "d": "removed", "e": "added"}
     runs = spark.createDataFrame([(i, "x") for i in range(30)], "at int, what string")
     assert {r["at"] for r in store.keep_newest(runs, "at").collect()} == set(range(10, 30))
+
+
+def test_each_font_of_a_pdf_has_its_own_glyphs():
+    def table(pairs):
+        return "begincmap begincodespacerange <00> <FF> endcodespacerange " + "beginbfchar " + " ".join(f"<{a:02x}> <{ord(b):04x}>" for a, b in pairs) + " endbfchar endcmap"
+
+    def stream(n, text):
+        return f"{n} 0 obj <</Length {len(text)}>> stream\n{text}\nendstream endobj\n"
+
+    parts = [
+        "1 0 obj <</Type /Page /Resources 2 0 R /Contents 3 0 R>> endobj\n",
+        "2 0 obj <</Font <</F1 4 0 R /F2 5 0 R>> >> endobj\n",
+        stream(3, "BT /F1 12 Tf <0102> Tj /F2 9 Tf <0102> Tj /F1 9 Tf (\\001) Tj ET"),
+        "4 0 obj <</Type /Font /ToUnicode 6 0 R>> endobj\n",
+        "5 0 obj <</Type /Font /ToUnicode 7 0 R>> endobj\n",
+        stream(6, table([(1, "A"), (2, "B")])),
+        stream(7, table([(1, "x"), (2, "y")])),
+    ]
+    assert files.pdf_text(("%PDF-1.4\n" + "".join(parts)).encode("latin-1")) == "ABxyA"
