@@ -114,12 +114,30 @@ class Result:
     seconds: dict[str, float]
 
 
-def build(spark: SparkSession, root: str, store: Store, config: Config | None = None, only: tuple[str, ...] = ()) -> Result:
+#: Extensions of the files that any stage reads.
+SOURCES = (*(e for exts in markup.FORMATS.values() for e in exts), "h", "hpp", "cpp", "cc", "ini", "uproject", "uplugin", "png", "jpg", "jpeg", "gif", "bmp", "txt")
+
+
+def sources_fingerprint(spark: SparkSession, root: str, config: Config) -> str:
+    """Of paths, sizes and times of all source files, external ones among them; no content is read."""
+    roots = [root, *(path for _, path in config.external)]
+    listed = union_all([files.walk_files(spark, r, SOURCES, config).select(F.concat(F.lit(f"{i}:"), "rel").alias("path"), "size", F.col("mtime").cast("string").alias("mtime")) for i, r in enumerate(roots)])
+    return fingerprint(listed, 64).first()[0]
+
+
+def build(spark: SparkSession, root: str, store: Store, config: Config | None = None, only: tuple[str, ...] = (), full: bool = False) -> Result:
     """Extract (all producers, or `only` some), ingest each producer's rows, link, verify and note the run.
 
-    Stages are independent jobs over the same files; a stage that fails leaves its producer's old rows and fails the run."""
+    Where the sources' fingerprint and the settings are those of the last good run, nothing is done, unless `full`. Stages are independent jobs over the same files; a stage that fails leaves its producer's old rows and fails the run."""
     config, seconds, failed = config or Config(), {}, []
     store.create()
+    try:
+        now = sources_fingerprint(spark, root, config) + repr(config)
+    except Exception:  # noqa: BLE001  a place that can't be listed: its stage will say so
+        now = ""
+    held = store.meta()
+    if now and not full and not only and held.get("fingerprint") == now and json.loads(held.get("lastResult", "{}")).get("ok"):
+        return Result(True, store.verify(), {})
     stages = {**{p: lambda f=f: f(spark, root, config) for p, f in STAGES.items()}, EXTERNAL: lambda: external_documents(spark, config)}
     for producer, extract in stages.items():
         if only and producer not in only:
@@ -135,6 +153,8 @@ def build(spark: SparkSession, root: str, store: Store, config: Config | None =
     counts = store.verify()
     result = Result(not failed, counts, seconds)
     note_run(store, result, failed)
+    if now and result.ok and not only:
+        store.note(fingerprint=now)
     return result
 
 
@@ -142,11 +162,3 @@ def note_run(store: Store, result: Result, failed: list[str]) -> None:
     """Keep the newest runs and the last result beside the index."""
     runs = [*json.loads(store.meta().get("runs", "[]")), {"at": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), "seconds": result.seconds, "ok": result.ok}][-HISTORY:]
     store.note(runs=json.dumps(runs), lastResult=json.dumps({"ok": result.ok, "counts": result.counts, "failed": failed}))
-
-
-def stale(store: Store, listing: DataFrame) -> bool:
-    """Whether the sources (path, size, mtime) differ from those that were last noted; notes the new fingerprint."""
-    now = fingerprint(listing).first()[0]
-    before = store.meta().get("fingerprint")
-    store.note(fingerprint=now)
-    return now != before
