@@ -23,7 +23,7 @@ from .common import map_arrow, materialize, text_chunks, texts_of
 SAMPLE_TOXIC, SAMPLE_ORDINARY = 3000, 6000
 STEM, WINDOW = 8, 24
 #: Bytes of a dictionary at most, and bytes of training text for each of them.
-TOXIC_BYTES, TOXIC_PER_BYTE, ORDINARY_BYTES, ORDINARY_PER_BYTE = 16 << 10, 48, 128 << 10, 8
+TOXIC_BYTES, TOXIC_PER_BYTE, ORDINARY_BYTES, ORDINARY_PER_BYTE = 16 << 10, 16, 128 << 10, 8
 #: (k, d) of the trainings whose contents make the ordinary dictionary: the trainer counts in a hash table, where each
 #: training loses other codes to collisions.
 PASSES = ((16, 8), (8, 6), (8, 8))

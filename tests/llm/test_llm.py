@@ -297,12 +297,15 @@ def test_components(spark):
 def test_toxicity_learns_from_its_folds_only(spark):
     random.seed(3)
     vocabulary = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in ("rn", "st", "lm", "nd", "ck")]
+    words_by_rank = [x + y for x in vocabulary for y in vocabulary]
+    random.shuffle(words_by_rank)
+    shares = [1 / (rank + 10) for rank in range(len(words_by_rank))]  # few words are common and most are rare, as in text
     letters = "abcdefghijklmnopqrstuvwxyz"
     bad = ["".join(random.choice(letters) for _ in range(7)) for _ in range(6)]
     rows, labels = [], []
     for i in range(900):
         toxic = i % 5 == 0
-        words = [random.choice(vocabulary) + random.choice(vocabulary) for _ in range(random.randint(12, 90))]
+        words = random.choices(words_by_rank, shares, k=random.randint(12, 90))
         for _ in range(3 if toxic else 0):
             words[random.randrange(len(words))] = random.choice(bad)
         held = zlib.crc32(str(i).encode()) % 4 == 2
