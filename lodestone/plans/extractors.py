@@ -19,7 +19,11 @@ def _cat(*parts: str | Column) -> Column:
 
 
 ID = "'asset:/Game/part/' || CAST(p_partkey AS STRING)"
-_id = _cat("asset:/Game/part/", _s("p_partkey"))
+
+
+def _id() -> Column:
+    return _cat("asset:/Game/part/", _s("p_partkey"))
+
 
 
 def _edges(frame: DataFrame) -> DataFrame:
@@ -49,7 +53,7 @@ query("registry_edges", f"SELECT {ID} AS src, 'asset:/Game/part/' || CAST(p_part
 def _meshes(p: Project, skeletal: bool) -> tuple[DataFrame, DataFrame]:
     more = F.when(F.col("p_size") % 4 > 0, _cat("/Game/rigs/Rig", (F.col("p_size") % 4).cast("string"))).alias("skeleton") if skeletal else (F.col("p_partkey") * 12).alias("triangles")
     second = F.when(F.col("p_size") % 3 == 0, F.array(F.lit("/Game/mat/Rim"))).otherwise(F.array().cast("array<string>"))
-    rows = p.table("part").select(_id.alias("id"), F.col("p_name").alias("name"), (F.col("p_size") % 5 + 1).alias("lods"), F.concat(F.array(_cat("/Game/mat/", F.col("p_type"))), second).alias("materials"), more)
+    rows = p.table("part").select(_id().alias("id"), F.col("p_name").alias("name"), (F.col("p_size") % 5 + 1).alias("lods"), F.concat(F.array(_cat("/Game/mat/", F.col("p_type"))), second).alias("materials"), more)
     return assets.mesh_recipe(rows, skeletal)
 
 
@@ -64,13 +68,13 @@ query("skeletal_mesh_edges", f"{_MATERIALS} UNION ALL SELECT {ID}, 'asset:/Game/
 @query("texture_text", f"SELECT {ID} AS id, CASE WHEN p_size % 6 = 0 THEN NULL ELSE p_name || ' (Texture2D)' || chr(10) || CAST(p_size AS STRING) || 'x' || CAST(p_size * 2 AS STRING) END AS text FROM part")
 def _textures(p: Project) -> DataFrame:
     sizes = F.when(F.col("p_size") % 6 == 0, F.lit("unknown")).when(F.col("p_size") % 2 == 0, F.concat_ws("x", _s("p_size"), (F.col("p_size") * 2).cast("string"))).otherwise(F.concat_ws("X", _s("p_size"), (F.col("p_size") * 2).cast("string")))
-    return p.table("part").select(_id.alias("id"), assets.texture_text(F.col("p_name"), F.create_map(F.lit("Dimensions"), sizes)).alias("text"))
+    return p.table("part").select(_id().alias("id"), assets.texture_text(F.col("p_name"), F.create_map(F.lit("Dimensions"), sizes)).alias("text"))
 
 
 def _materials(p: Project) -> tuple[DataFrame, DataFrame]:
     pair = lambda name, path: F.struct(F.lit(name).alias("param"), path.alias("texture"))
     textures = F.concat(F.array(pair("Base", _cat("/Game/tex/", F.col("p_type")))), F.when(F.col("p_size") % 2 == 0, F.array(pair("Mask", F.lit("/Game/tex/Grime")))).otherwise(F.array().cast("array<struct<param:string,texture:string>>")))
-    rows = p.table("part").select(_id.alias("id"), F.col("p_name").alias("name"), F.when(F.col("p_size") % 3 > 0, "/Game/mat/Master").alias("parent"), F.when(F.col("p_size") % 5 == 0, "Translucent").otherwise("Opaque").alias("blend"), (F.col("p_size") % 7 == 0).alias("two_sided"), textures.alias("textures"))
+    rows = p.table("part").select(_id().alias("id"), F.col("p_name").alias("name"), F.when(F.col("p_size") % 3 > 0, "/Game/mat/Master").alias("parent"), F.when(F.col("p_size") % 5 == 0, "Translucent").otherwise("Opaque").alias("blend"), (F.col("p_size") % 7 == 0).alias("two_sided"), textures.alias("textures"))
     return assets.material_recipe(rows)
 
 
@@ -87,7 +91,7 @@ query(
 @query("small_recipes", f"SELECT {ID} AS id, p_name || CASE p_partkey % 4 WHEN 0 THEN ' (Skeleton)' || chr(10) || 'Bones: ' || CAST(p_size AS STRING) WHEN 1 THEN ' (DataTable)' || chr(10) || 'Row struct: ' || CASE WHEN p_size % 2 = 0 THEN p_type ELSE 'none' END || ', Rows: ' || CAST(p_size * 3 AS STRING) ELSE ' (InputAction)' || chr(10) || 'ValueType: ' || p_brand END AS text FROM part WHERE p_partkey % 4 < 3")
 def _small(p: Project) -> DataFrame:
     kinds = F.element_at(F.array(*map(F.lit, ("Skeleton", "DataTable", "InputAction", "SoundCue"))), (F.col("p_partkey") % 4 + 1).cast("int"))
-    return assets.simple_recipe(p.table("part").select(_id.alias("id"), F.col("p_name").alias("name"), kinds.alias("class"), F.col("p_size").alias("bones"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")).alias("row_struct"), (F.col("p_size") * 3).alias("n_rows"), F.col("p_brand").alias("value_type")))
+    return assets.simple_recipe(p.table("part").select(_id().alias("id"), F.col("p_name").alias("name"), kinds.alias("class"), F.col("p_size").alias("bones"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")).alias("row_struct"), (F.col("p_size") * 3).alias("n_rows"), F.col("p_brand").alias("value_type")))
 
 
 def _mappings(p: Project) -> tuple[DataFrame, DataFrame]:
@@ -158,13 +162,13 @@ query("level_chunks", f"WITH {_ACTORS}, {_LISTED} SELECT {_ACTOR_ID} || '#actor'
 def _reflection(p: Project) -> DataFrame:
     rows = [("Brand", F.col("p_brand")), ("Price", F.col("p_retailprice").cast("decimal(18,2)").cast("string")), ("Size", F.when(F.col("p_size") % 2 == 0, _s("p_size"))), ("Long", F.repeat(F.lit("x"), F.lit(60)))]
     pairs = F.array(*[F.struct(F.lit(name).alias("prop"), value.alias("value")) for name, value in rows])
-    return assets.reflection_summary(p.table("part").select(_id.alias("owner"), F.explode(pairs).alias("x")).select("owner", "x.*", F.lit(None).cast("string").alias("ref_package")))
+    return assets.reflection_summary(p.table("part").select(_id().alias("owner"), F.explode(pairs).alias("x")).select("owner", "x.*", F.lit(None).cast("string").alias("ref_package")))
 
 
 @query("recipe_dispatch", f"SELECT {ID} AS id, CASE WHEN p_size % 4 = 0 OR p_partkey % 3 = 2 THEN 'tags' WHEN p_partkey % 3 = 0 THEN 'StaticMesh' ELSE 'Material' END AS recipe FROM part")
 def _dispatch(p: Project) -> DataFrame:
     kinds = F.element_at(F.array(*map(F.lit, ("StaticMesh", "Material", "SoundCue"))), (F.col("p_partkey") % 3 + 1).cast("int"))
-    rows = p.table("part").select(_id.alias("id"), kinds.alias("class"), (F.col("p_size") % 4 == 0).alias("shallow"))
+    rows = p.table("part").select(_id().alias("id"), kinds.alias("class"), (F.col("p_size") % 4 == 0).alias("shallow"))
     found = assets.dispatch(rows, {"StaticMesh": None, "Material": None}, F.col("shallow"))
     return assets.union_all([frame.select("id", F.lit(name).alias("recipe")) for name, frame in found.items()])
 
