@@ -1,6 +1,6 @@
 """Spelling variant grouping: words one edit apart, found by generating every neighbour of every word.
 
-A word's neighbours are all strings that one deletion, replacement or insertion over the observed alphabet makes of it.
+A word's neighbours are all strings that one deletion, replacement or insertion over the observed alphabet makes of it (the alphabet is that of the words it can meet).
 A neighbour that is itself a word is near by construction, so a hash join with the vocabulary finds all near words and
 nothing is compared. The join is laid out so that neighbours never travel: an edit leaves one half of a word as it is, so a
 word and its neighbour share that half, and both are dealt to one group by it. Each neighbour is generated in one group."""
@@ -42,49 +42,37 @@ def vocabulary(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return words.where(F.length("word") >= LEAST_LENGTH).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_COUNT)
 
 
-def alphabet(words: DataFrame) -> list[str]:
-    """The letters that words are made of, in order; no more than RUN allows (116)."""
-    letters = words.select(F.explode(F.array_distinct(F.split("word", ""))).alias("c")).where("c <> ''").distinct()
-    return sorted(r["c"] for r in letters.collect())
-
-
-def neighbours(word: str, letters: list[str], longer: bool, start: int, stop: int) -> Iterator[str]:
+def neighbours(word: str, letters: str, longer: bool, start: int, stop: int) -> list[str]:
     """Distinct neighbours whose edit lies at one of the places start to stop of the longer of the two: `longer` makes those of
     one more letter, else there are replacements and deletions. Among equal letters the edit is at the first."""
+    out: list[str] = []
     for i in range(start, stop):
         head, rest = word[:i], word[i:]
+        last = word[i - 1] if i else ""
         if longer:
-            last = word[i - 1] if i else ""
-            for c in letters:
-                if c != last:
-                    yield head + c + rest
+            out += [head + c + rest for c in letters if c != last]
         else:
             own, rest = rest[0], rest[1:]
-            for c in letters:
-                if c != own:
-                    yield head + c + rest
-            if not i or word[i - 1] != own:
-                yield head + rest
+            out += [head + c + rest for c in letters if c != own]
+            if own != last:
+                out.append(head + rest)
+    return out
 
 
-def _near_in_groups(letters: list[str]):
+def _near_in_groups():
     """For rows (key, long, head, word, n) in order of key: what each word of a group finds there."""
 
     def close(group: dict[str, int], asks: list[tuple[str, int, bool]]) -> Iterator[tuple[str, int, int, str]]:
         if len(group) < 2:  # no other word shares the half, so none of these neighbours is a word
             return
+        words, letters = set(group), "".join(set("".join(group)))  # a word of the group has no other letters
         for word, long, head in asks:
             cut = long // 2
             span = (cut, long) if head else (0, cut)
-            best, count = None, 0
-            for other in neighbours(word, letters, len(word) < long, *span):
-                n = group.get(other)
-                if n is not None:
-                    count += 1
-                    if best is None or (-n, other) < best:
-                        best = (-n, other)
-            if count:
-                yield word, count, best[0], best[1]
+            near = words.intersection(neighbours(word, letters, len(word) < long, *span))
+            if near:
+                low, form = min((-group[other], other) for other in near)
+                yield word, len(near), low, form
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: dict[str, int] = {}
@@ -108,7 +96,7 @@ def _near_in_groups(letters: list[str]):
     return run
 
 
-def _near_short(words: DataFrame, letters: list[str]) -> DataFrame:
+def _near_short(words: DataFrame) -> DataFrame:
     """What words of LONGEST letters at most find. The longer word of a pair has `long` letters: a word is in the groups of
     its own length (for replacements and deletions) and of one more (for insertions), by first and by last half."""
     length, half = F.length("word"), F.floor(F.col("long") / 2).cast("int")
@@ -117,7 +105,7 @@ def _near_short(words: DataFrame, letters: list[str]) -> DataFrame:
     shared = F.when(F.col("head"), F.left("word", half)).otherwise(F.right("word", F.col("long") - half))
     keyed = placed.select(F.xxhash64("long", "head", shared).alias("key"), "long", "head", "word", "n")
     dealt = keyed.repartition(shuffle_partitions(words.sparkSession), "key").sortWithinPartitions("key")
-    return map_arrow(dealt, _near_in_groups(letters), _FOUND).where(F.length("word") <= LONGEST)
+    return map_arrow(dealt, _near_in_groups(), _FOUND).where(F.length("word") <= LONGEST)
 
 
 def deletion_hashes(word: str) -> np.ndarray:
@@ -157,7 +145,7 @@ def _near_long(words: DataFrame) -> DataFrame:
 def near_words(words: DataFrame) -> DataFrame:
     """word, n_near (its near words among words), near (the most frequent of them; ties: the first in code-point order) and
     near_n, of the words that have any. words: word, n, without repeated or null words."""
-    found = _near_short(words, alphabet(words))
+    found = _near_short(words)
     if not words.where(F.length("word") > LONGEST).isEmpty():
         found = found.unionByName(_near_long(words))
     best = F.min(F.struct("low", "form"))
