@@ -44,13 +44,14 @@ def is_distinctive(name: Column) -> Column:
     return (F.length(name) >= 5) & (name.contains("_") | ((capitals >= 2) & name.rlike(r"\p{Ll}")))
 
 
-def query_terms(query: str) -> list[str]:
-    """The words of a search, distinct, in order."""
-    return list(dict.fromkeys(re.findall(r"[^\W_]+", query.lower())))
+def query_terms(query: str, distinct: bool = True) -> list[str]:
+    """The words of a search in order, underscores part them."""
+    words = re.findall(r"[^\W_]+", query.lower())
+    return list(dict.fromkeys(words)) if distinct else words
 
 
 def match_expression(query: str, operator: str = "AND", prefix: bool = False) -> str:
-    """The search as an expression of quoted words; empty if it has none."""
+    """The search as an expression of quoted words, for people who want to see how it is read; empty if it has none."""
     words = re.findall(r"\w+", query)
     return f" {operator} ".join(f'"{w}"' + "*" * prefix for w in words)
 

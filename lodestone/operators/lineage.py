@@ -29,12 +29,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Plan nodes that only scan, prune and filter stored rows.
+_CHEAP = ("Project", "Filter", "LogicalRelation", "LogicalRDD", "LocalRelation", "Union", "SubqueryAlias", "Relation")
+
+
+def _only_scans(node) -> bool:
+    """Whether a logical plan has nothing but cheap nodes, and reads tables or a few local rows."""
+    if node.nodeName() not in _CHEAP:
+        return False
+    children = node.children()
+    return all(_only_scans(children.apply(i)) for i in range(children.size()))
+
+
 def settle(df: DataFrame) -> DataFrame:
     """df for repeated reading: itself if it only scans and filters stored tables, else as a table in the shared folder,
     so that each of its readers prunes columns and none computes its joins and aggregations again."""
     spark = df.sparkSession
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    if not any(word in plan for word in ("Join", "Aggregate", "Window", "Sort", "Generate")):
+    if _only_scans(df._jdf.queryExecution().optimizedPlan()):
         return df
     root = f"{shared_folder(spark)}/lodestone-tables-{spark.sparkContext.applicationId}"
     if root not in _own:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import index_terms, query_terms, split_camel
@@ -96,65 +97,171 @@ def stem_dictionary(terms: DataFrame) -> DataFrame:
     return terms.select("term").distinct().mapInPandas(run, "term string, stem string")
 
 
+#: Beginnings of terms that have merged postings of their own, in letters.
+PREFIX_KEYS = (2, 3)
+POSTINGS = "term string, chunk_id string, tf_text long, tf_aux long, text_at array<int>, aux_at array<int>"
+PREFIXES = "key string, chunk_id string, tf_text long, tf_aux long"
+LENGTHS = "chunk_id string, length int, sig long"
+
+
 class Index:
-    """The text index of chunks: postings (term, chunk_id, tf_text, tf_aux), lengths (chunk_id, length) and their totals.
+    """The text index of chunks.
 
-    All of it is lazy; save() writes it sorted by term, so that a search reads few row groups of the postings."""
+    postings: term, chunk_id, tf_text, tf_aux and the term's places in each column (read for phrases only).
+    prefixes: the same counts, merged over all terms that begin with a key of 2 or 3 letters.
+    lengths: chunk_id, length, sig (of what was indexed).
+    All of it is lazy; save() writes postings sorted by term and prefixes sorted by key, so that a search reads few row
+    groups of either."""
 
-    def __init__(self, postings: DataFrame, lengths: DataFrame, stemmed: bool = False):
+    def __init__(self, postings: DataFrame, lengths: DataFrame, stemmed: bool = False, prefixes: DataFrame | None = None):
         self.postings, self.lengths, self.stemmed = postings, lengths, stemmed
+        self.prefixes = _merged_prefixes(postings) if prefixes is None else prefixes
 
     @classmethod
     def build(cls, chunks: DataFrame, stemmed: bool = False) -> Index:
-        terms = chunks.select(F.col("id").alias("chunk_id"), index_terms(F.col("text")).alias("t"), index_terms(F.coalesce("aux", F.lit(""))).alias("a"))
-        lengths = terms.select("chunk_id", (F.size("t") + F.size("a")).alias("length"))
-        tagged = F.concat(F.transform("t", lambda x: F.struct(x.alias("term"), F.lit(1).alias("text"))), F.transform("a", lambda x: F.struct(x.alias("term"), F.lit(0).alias("text"))))
+        aux = F.coalesce("aux", F.lit(""))
+        terms = chunks.select(F.col("id").alias("chunk_id"), index_terms(F.col("text")).alias("t"), index_terms(aux).alias("a"), chunk_signature().alias("sig"))
+        lengths = terms.select("chunk_id", (F.size("t") + F.size("a")).alias("length"), "sig")
+
+        def tag(column: str, text: int) -> Column:
+            return F.transform(column, lambda x, i: F.struct(x.alias("term"), F.lit(text).alias("text"), i.alias("at")))
+
+        tagged = F.concat(tag("t", 1), tag("a", 0))
         flat = terms.select("chunk_id", F.explode(tagged).alias("x")).select("chunk_id", "x.*")
-        postings = flat.groupBy("term", "chunk_id").agg(F.sum("text").alias("tf_text"), F.sum(1 - F.col("text")).alias("tf_aux"))
+        places = lambda own: F.array_sort(F.collect_list(F.when(F.col("text") == own, F.col("at"))))
+        counts = [F.sum("text").alias("tf_text"), F.sum(1 - F.col("text")).alias("tf_aux"), places(1).alias("text_at"), places(0).alias("aux_at")]
+        postings = flat.groupBy("term", "chunk_id").agg(*counts)
         if stemmed:
             stems = stem_dictionary(postings.select("term"))
-            postings = postings.join(stems, "term").groupBy(F.col("stem").alias("term"), "chunk_id").agg(F.sum("tf_text").alias("tf_text"), F.sum("tf_aux").alias("tf_aux"))
+            both = lambda c: F.array_sort(F.flatten(F.collect_list(c))).alias(c)
+            merged = [F.sum("tf_text").alias("tf_text"), F.sum("tf_aux").alias("tf_aux"), both("text_at"), both("aux_at")]
+            postings = postings.join(stems, "term").groupBy(F.col("stem").alias("term"), "chunk_id").agg(*merged)
         return cls(postings, lengths, stemmed)
 
     def save(self, path: str) -> None:
         self.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+        stored = self.postings.sparkSession.read.schema(POSTINGS).parquet(f"{path}/postings")
+        _merged_prefixes(stored).repartitionByRange("key").sortWithinPartitions("key").write.mode("overwrite").parquet(f"{path}/prefixes")
         self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
 
     @classmethod
-    def load(cls, spark, path: str, stemmed: bool = False) -> Index:
+    def load(cls, spark: SparkSession, path: str, stemmed: bool = False) -> Index:
         read = lambda part, schema: spark.read.schema(schema).parquet(f"{path}/{part}")
-        return cls(read("postings", "term string, chunk_id string, tf_text long, tf_aux long"), read("lengths", "chunk_id string, length int"), stemmed)
+        return cls(read("postings", POSTINGS), read("lengths", LENGTHS), stemmed, read("prefixes", PREFIXES))
+
+    def without(self, dead: DataFrame) -> Index:
+        """The index without the chunks `dead` (chunk_id)."""
+        drop = lambda df: df.join(dead, "chunk_id", "left_anti").select(*df.columns)
+        return Index(drop(self.postings), drop(self.lengths), self.stemmed, drop(self.prefixes))
+
+    @staticmethod
+    def union(parts: list[Index]) -> Index:
+        whole = lambda name: reduce(DataFrame.unionByName, [getattr(x, name) for x in parts])
+        return Index(whole("postings"), whole("lengths"), parts[0].stemmed, whole("prefixes"))
+
+    def phrases(self, query: str) -> list[tuple[str, ...]]:
+        """The words of a query as terms; a word that underscores part is a phrase of several, side by side in a text."""
+        words = [query_terms(w, distinct=False) for w in re.findall(r"\w+", query)]
+        return list(dict.fromkeys(tuple(map(stem, w)) if self.stemmed else tuple(w) for w in words if w))
+
 
-    def terms(self, query: str) -> list[str]:
-        words = query_terms(query)
-        return list(dict.fromkeys(map(stem, words))) if self.stemmed else words
+def chunk_signature() -> Column:
+    """Of what the text index holds of a chunk."""
+    return F.xxhash64("text", F.coalesce("aux", F.lit("")))
+
+
+def _merged_prefixes(postings: DataFrame) -> DataFrame:
+    keys = F.array(*[F.left("term", F.lit(n)) for n in PREFIX_KEYS])
+    keyed = postings.select(F.explode(F.array_distinct(F.filter(keys, lambda k: F.length(k) >= min(PREFIX_KEYS)))).alias("key"), "chunk_id", "tf_text", "tf_aux")
+    return keyed.groupBy("key", "chunk_id").agg(F.sum("tf_text").alias("tf_text"), F.sum("tf_aux").alias("tf_aux"))
 
 
 def document_frequencies(index: Index) -> DataFrame:
     return index.postings.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def rank_chunks(index: Index, query: str, mode: str = "and", aux_weight: float = AUX_WEIGHT) -> DataFrame:
-    """chunk_id, score (lower is better) of the chunks that match all words of the query (and), any (or), or any word
-    that begins with one of them (prefix: each prefix is one term). Only the query's postings are read and shuffled; the
-    totals of the index are one row, which is joined by broadcast."""
-    words = query_terms(query) if mode == "prefix" else index.terms(query)
-    if not words:
-        return index.lengths.select("chunk_id", F.lit(0.0).alias("score")).limit(0)
-    if mode == "prefix":
-        named = F.array_compact(F.array(*[F.when(F.col("term").startswith(w), F.lit(w)) for w in words]))
-        hit = reduce(lambda a, b: a | b, [F.col("term").startswith(w) for w in words])
-        own = index.postings.where(hit).withColumn("word", F.explode(named))
-    else:
-        own = index.postings.where(F.col("term").isin(*words)).withColumn("word", F.col("term"))
-    own = own.groupBy("word", "chunk_id").agg((TEXT_WEIGHT * F.sum("tf_text") + aux_weight * F.sum("tf_aux")).alias("tf"))
-    df = own.groupBy("word").agg(F.count("*").alias("df"))
+def _weight(text: Column, aux: Column, aux_weight: float) -> Column:
+    return TEXT_WEIGHT * text + aux_weight * aux
+
+
+def _one_term(index: Index, words: list[str], prefix: bool, aux_weight: float) -> list[DataFrame]:
+    """word, chunk_id, tf of single terms; of prefixes the terms that begin with them count together."""
+    tf = _weight(F.col("tf_text"), F.col("tf_aux"), aux_weight).alias("tf")
+    if not prefix:
+        return [index.postings.where(F.col("term").isin(*words)).select(F.col("term").alias("word"), "chunk_id", tf)] if words else []
+    keyed, ranged = [w for w in words if len(w) in PREFIX_KEYS], [w for w in words if len(w) not in PREFIX_KEYS]
+    out = [index.prefixes.where(F.col("key").isin(*keyed)).select(F.col("key").alias("word"), "chunk_id", tf)] if keyed else []
+    if ranged:
+        hit = reduce(lambda a, b: a | b, [F.col("term").startswith(w) for w in ranged])
+        named = F.array_compact(F.array(*[F.when(F.col("term").startswith(w), F.lit(w)) for w in ranged]))
+        out.append(index.postings.where(hit).select(F.explode(named).alias("word"), "chunk_id", tf))
+    return out
+
+
+def _phrase(index: Index, phrases: list[tuple[str, ...]], prefix: bool, aux_weight: float) -> list[DataFrame]:
+    """word, chunk_id, tf of phrases: the places of their terms, each less its place in the phrase, meet in one column. With
+    `prefix` the last term is a beginning."""
+    if not phrases:
+        return []
+    parts = []
+    for terms in phrases:
+        for i, term in enumerate(terms):
+            hit = F.col("term").startswith(term) if prefix and i == len(terms) - 1 else F.col("term") == term
+            parts.append((hit, F.struct(F.lit(" ".join(terms)).alias("word"), F.lit(len(terms)).alias("of"), F.lit(i).alias("i"))))
+    rows = index.postings.where(reduce(lambda a, b: a | b, [hit for hit, _ in parts]))
+    named = rows.select("chunk_id", "text_at", "aux_at", F.explode(F.array_compact(F.array(*[F.when(hit, part) for hit, part in parts]))).alias("p"))
+
+    def begun(column: str, text: int) -> Column:
+        return F.transform(column, lambda x: F.struct((x - F.col("p.i")).alias("start"), F.lit(text).alias("text")))
+
+    starts = named.select("chunk_id", "p.word", "p.of", F.col("p.i").alias("i"), F.explode(F.concat(begun("text_at", 1), begun("aux_at", 0))).alias("s")).select("chunk_id", "word", "of", "i", "s.*")
+    whole = starts.groupBy("word", "chunk_id", "text", "start", "of").agg(F.countDistinct("i").alias("met")).where("met = of")
+    text, aux = F.count_if(F.col("text") == 1), F.count_if(F.col("text") == 0)
+    return [whole.groupBy("word", "chunk_id").agg(_weight(text, aux, aux_weight).alias("tf"))]
+
+
+def _matches(index: Index, phrases: list[tuple[str, ...]], prefix: bool, aux_weight: float = AUX_WEIGHT) -> DataFrame:
+    """word, chunk_id, tf of all phrases of a query (words of one term are phrases of one). Only the postings of the query's
+    terms are read; places are read only where there is a longer phrase."""
+    single, longer = [p[0] for p in phrases if len(p) == 1], [p for p in phrases if len(p) > 1]
+    found = reduce(DataFrame.unionByName, _one_term(index, single, prefix, aux_weight) + _phrase(index, longer, prefix, aux_weight))
+    return found.groupBy("word", "chunk_id").agg(F.sum("tf").alias("tf"))
+
+
+def _scores(index: Index, matches: DataFrame, by: list[str]) -> DataFrame:
+    """BM25 (lower is better) and the number of matched words of each chunk, for each value of `by`. Document frequencies and
+    the totals of the index are a row for each word of the query, which is joined by broadcast."""
+    df = matches.groupBy(*by, "word").agg(F.count("*").alias("df"))
     totals = index.lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
-    stats = F.broadcast(df.join(F.broadcast(totals), F.lit(True)))  # a row for each word of the query
+    stats = F.broadcast(df.join(F.broadcast(totals), F.lit(True)))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    scored = own.join(stats, "word").join(index.lengths, "chunk_id").groupBy("chunk_id").agg((-F.sum(part)).alias("score"), F.count("*").alias("matched"))
-    return (scored.where(F.col("matched") == len(words)) if mode == "and" else scored).select("chunk_id", "score")
+    scored = matches.join(stats, [*by, "word"]).join(index.lengths.select("chunk_id", "length"), "chunk_id")
+    return scored.groupBy(*by, "chunk_id").agg((-F.sum(part)).alias("score"), F.count("*").alias("matched"))
+
+
+def rank_chunks(index: Index, query: str, mode: str = "and", aux_weight: float = AUX_WEIGHT) -> DataFrame:
+    """chunk_id, score (lower is better) of the chunks that match all words of the query (and), any (or), or any word
+    that begins with one of them (prefix: each prefix is one term). A word with underscores is a phrase."""
+    phrases = index.phrases(query)
+    if not phrases:
+        return index.lengths.select("chunk_id", F.lit(0.0).alias("score")).limit(0)
+    scored = _scores(index, _matches(index, phrases, mode == "prefix", aux_weight), [])
+    return (scored.where(F.col("matched") == len(phrases)) if mode == "and" else scored).select("chunk_id", "score")
+
+
+def rank_tiers(index: Index, query: str) -> DataFrame:
+    """chunk_id, tier, score for all tiers at once: 0 if a chunk has all words, 1 if any, 2 if only words that begin with one.
+
+    Whole words and beginnings are two counts over the postings of one query, not searches one after the other."""
+    phrases = index.phrases(query)
+    if not phrases:
+        return index.lengths.select("chunk_id", F.lit(0).alias("tier"), F.lit(0.0).alias("score")).limit(0)
+    exact, begun = (_matches(index, phrases, prefix).withColumn("begun", F.lit(prefix)) for prefix in (False, True))
+    scored = _scores(index, exact.unionByName(begun), ["begun"])
+    tier = F.when(F.col("begun"), 2).when(F.col("matched") == len(phrases), 0).otherwise(1)
+    best = scored.withColumn("tier", tier).groupBy("chunk_id").agg(F.min_by(F.struct("tier", "score"), "tier").alias("b"))
+    return best.select("chunk_id", "b.tier", "b.score")
 
 
 def demote(hits: DataFrame) -> DataFrame:
@@ -166,9 +273,9 @@ def demote(hits: DataFrame) -> DataFrame:
     return hits.withColumn("score", F.col("score") * factor)
 
 
-def best_chunks(hits: DataFrame, kind: str = "", path_prefix: str = "") -> DataFrame:
-    """The best chunk of each entity, then the filters."""
-    best = Window.partitionBy("id").orderBy("score", "chunk_id")
+def best_chunks(hits: DataFrame, kind: str = "", path_prefix: str = "", by: tuple[str, ...] | list[str] = ("id",)) -> DataFrame:
+    """The best chunk of each entity (or of each value of `by`), then the filters."""
+    best = Window.partitionBy(*by).orderBy("score", "chunk_id")
     out = hits.withColumn("place", F.row_number().over(best)).where("place = 1").drop("place")
     if kind:
         out = out.where(F.col("kind") == kind)
@@ -186,11 +293,15 @@ def rerank(hits: DataFrame, query: str) -> DataFrame:
     return hits.withColumn("score", F.col("score") * (1 + 0.8 * share) * (1 + 0.12 * F.log2(1.0 + F.col("inbound"))))
 
 
+def _owned(ranked: DataFrame, entities: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Ranked chunks with their kind and entity, demoted."""
+    told = ranked.join(chunks.select(F.col("id").alias("chunk_id"), "entity_id", F.col("kind").alias("chunk_kind")), "chunk_id")
+    return demote(told.join(entities.select(F.col("id").alias("entity_id"), "id", "kind", "name", "path", "detail"), "entity_id"))
+
+
 def hits_of(index: Index, entities: DataFrame, chunks: DataFrame, query: str, mode: str, kind: str = "", path_prefix: str = "") -> DataFrame:
     """The best chunk of each entity that matches, demoted and filtered."""
-    ranked = rank_chunks(index, query, mode).join(chunks.select(F.col("id").alias("chunk_id"), "entity_id", F.col("kind").alias("chunk_kind")), "chunk_id")
-    owned = ranked.join(entities.select(F.col("id").alias("entity_id"), "id", "kind", "name", "path", "detail"), "entity_id")
-    return best_chunks(demote(owned), kind, path_prefix)
+    return best_chunks(_owned(rank_chunks(index, query, mode), entities, chunks), kind, path_prefix)
 
 
 def with_inbound(hits: DataFrame, edges: DataFrame) -> DataFrame:
@@ -199,20 +310,18 @@ def with_inbound(hits: DataFrame, edges: DataFrame) -> DataFrame:
     return hits.join(inbound, "id", "left").withColumn("inbound", F.coalesce("inbound", F.lit(0)))
 
 
-def search(index: Index, entities: DataFrame, edges: DataFrame, chunks: DataFrame, query: str, kind: str = "", limit: int = 20, offset: int = 0, path_prefix: str = "", modes: tuple[str, ...] = ("and", "or", "prefix")) -> DataFrame:
+def search(index: Index, entities: DataFrame, edges: DataFrame, chunks: DataFrame, query: str, kind: str = "", limit: int = 20, offset: int = 0, path_prefix: str = "") -> DataFrame:
     """id, kind, name, score, chunk_id, chunk_kind, inbound of a page of hits, best first.
 
-    The first mode that finds anything answers, whatever the page; the best OVERFETCH * (offset + limit) hits of it,
-    MOST_FETCHED at most unless the page itself is longer, are re-ranked."""
+    All words, any word, any beginning of a word: the first of these that finds anything answers, whatever the page; the best OVERFETCH * (offset + limit) hits of it,
+    MOST_FETCHED at most unless the page itself is longer, are re-ranked. All three are found in one pass over the
+    query's postings: each keeps its best hits, and the first that has any is chosen among these few rows."""
     limit, offset = limit if limit > 0 else 20, max(0, offset)
     fetch = max(min((offset + limit) * OVERFETCH, MOST_FETCHED), offset + limit)
-    single = len(query_terms(query)) <= 1
-    tried = [m for m in modes if not (m == "or" and single)]
-    for i, mode in enumerate(tried):
-        found = hits_of(index, entities, chunks, query, mode, kind, path_prefix)
-        top = cut(found.orderBy("score", "id").limit(fetch))  # `fetch` rows, computed once for the test and the page
-        if i == len(tried) - 1 or not top.isEmpty():
-            break
+    best = best_chunks(_owned(rank_tiers(index, query), entities, chunks), kind, path_prefix, ["tier", "id"])
+    place = F.row_number().over(Window.partitionBy("tier").orderBy("score", "id"))
+    kept = cut(best.withColumn("place", place).where(F.col("place") <= fetch).drop("place"))  # `fetch` rows a tier at most
+    top = kept.join(F.broadcast(kept.agg(F.min("tier").alias("tier"))), "tier", "left_semi").drop("tier")
     top = with_inbound(top, edges)
     return rerank(top, query).withColumn("score", F.round("score", 6)).orderBy("score", "id").offset(offset).limit(limit).select("id", "kind", "name", "score", "chunk_id", "chunk_kind", "inbound")
 
