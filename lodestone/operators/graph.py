@@ -10,6 +10,17 @@ from ..schema import project_entity
 from .lineage import cut, settle
 
 
+#: Nodes of a frontier that the edges are looked up by, instead of being scanned.
+FEW_NODES = 200
+
+
+def _links_of(links: DataFrame, frontier: DataFrame) -> DataFrame:
+    """links, of a small frontier its own only: the scan gets the ids as a filter, and where edges are stored in the order
+    of this end, it skips the other row groups."""
+    ids = [r[0] for r in frontier.select("id").distinct().limit(FEW_NODES + 1).collect()]
+    return links if len(ids) > FEW_NODES else links.where(F.col("id").isin(ids))
+
+
 def walk(edges: DataFrame, roots: DataFrame, inbound: bool, depth: int, edge_type: str = "") -> DataFrame:
     """root, id, depth, via: each node at its shallowest hop from each root (column id), with the smallest type of the
     edges that reach it there; the root itself is left out. edge_type constrains every hop.
@@ -24,7 +35,7 @@ def walk(edges: DataFrame, roots: DataFrame, inbound: bool, depth: int, edge_typ
     seen = roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth"), F.lit("").alias("via"))
     frontier = seen.select("root", "id")
     for hop in range(1, depth + 1):
-        step = frontier.join(links, "id").groupBy("root", F.col("next").alias("id")).agg(F.min("type").alias("via"))
+        step = frontier.join(_links_of(links, frontier), "id").groupBy("root", F.col("next").alias("id")).agg(F.min("type").alias("via"))
         fresh = step.join(seen.select("root", "id"), ["root", "id"], "left_anti").select("root", "id", F.lit(hop).alias("depth"), "via")
         fresh = cut(fresh) if hop < depth else fresh
         seen = seen.unionByName(fresh)
@@ -38,11 +49,12 @@ def _root(entities: DataFrame, id: str) -> DataFrame:
     return entities.where(F.col("id") == id).select("id").distinct()
 
 
-def references(entities: DataFrame, edges: DataFrame, id: str, direction: str = "both", depth: int = 1, edge_type: str = "", kind: str = "", limit: int = 200, offset: int = 0) -> DataFrame:
+def references(entities: DataFrame, edges: DataFrame, id: str, direction: str = "both", depth: int = 1, edge_type: str = "", kind: str = "", limit: int = 200, offset: int = 0, outbound: DataFrame | None = None) -> DataFrame:
     """Entities around `id` as id, kind, name, direction, depth, via, ordered by depth, direction and id.
 
     An unknown id or direction gives no rows; "" means both; a node found inbound isn't listed outbound; `kind` filters
-    results only, `edge_type` every hop; dangling nodes are walked through but not listed."""
+    results only, `edge_type` every hop; dangling nodes are walked through but not listed. `outbound` are the same edges,
+    where they are also stored in the order of their sources."""
     depth, limit, offset = max(1, depth), limit if limit > 0 else 200, max(0, offset)
     direction = direction or "both"
     found = None
@@ -50,7 +62,7 @@ def references(entities: DataFrame, edges: DataFrame, id: str, direction: str =
         edges = settle(edges.select("src", "dst", "type"))
     for name, inbound, order in (("in", True, 0), ("out", False, 1)):
         if direction in (name, "both"):
-            one = walk(edges, _root(entities, id), inbound, depth, edge_type).select("id", "depth", "via", F.lit(name).alias("direction"), F.lit(order).alias("turn"))
+            one = walk(edges if inbound or outbound is None else outbound, _root(entities, id), inbound, depth, edge_type).select("id", "depth", "via", F.lit(name).alias("direction"), F.lit(order).alias("turn"))
             found = one if found is None else found.unionByName(one)
     if found is None:
         return walk(edges, _root(entities, id).limit(0), True, 1).select("id", F.lit("").alias("kind"), F.lit("").alias("name"), F.lit("").alias("direction"), "depth", "via").limit(0)

@@ -47,16 +47,31 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if _only_scans(df._jdf.queryExecution().optimizedPlan()):
         return df
+    path = f"{own_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _path(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def is_there(spark: SparkSession, name: str) -> bool:
+    fs, path = _path(spark, name)
+    return fs.exists(path)
+
+
+def own_folder(spark: SparkSession) -> str:
+    """A folder of this application within the shared one; it goes when the driver ends."""
     root = f"{shared_folder(spark)}/lodestone-tables-{spark.sparkContext.applicationId}"
     if root not in _own:
         _own[root] = root
 
         def remove() -> None:
             if getattr(spark.sparkContext, "_jsc", None) is not None:
-                path = spark._jvm.org.apache.hadoop.fs.Path(root)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+                fs, path = _path(spark, root)
+                fs.delete(path, True)
 
         atexit.register(remove)
-    path = f"{root}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return root

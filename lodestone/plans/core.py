@@ -85,21 +85,21 @@ def _walk_sql(root: str, inbound: bool, depth: int, edge_type: str = "") -> str:
 
 
 SHOWN = "SELECT r.id, kind, name, '{0}' AS direction, depth, via FROM {1}_rows r JOIN entities e ON e.id = r.id"
-query("refs_in_depth1", f"RECURSIVE WITH {_walk_sql(NATION, True, 1)} {SHOWN.format('in', 'w_in')} ORDER BY depth, r.id LIMIT 200", "entities", "edges")(lambda p: graph.references(p.entities, p.edges, NATION, "in", 1))
+query("refs_in_depth1", f"RECURSIVE WITH {_walk_sql(NATION, True, 1)} {SHOWN.format('in', 'w_in')} ORDER BY depth, r.id LIMIT 200", "entities", "edges")(lambda p: graph.references(p.stored("entities"), p.edges_by("dst"), NATION, "in", 1))
 ACTOR = "asset:/Game/customer/899::actor::0"
-query("refs_out_depth3", f"RECURSIVE WITH {_walk_sql(ACTOR, False, 3)} {SHOWN.format('out', 'w_out')} ORDER BY depth, r.id LIMIT 200", "entities", "edges")(lambda p: graph.references(p.entities, p.edges, ACTOR, "out", 3))
+query("refs_out_depth3", f"RECURSIVE WITH {_walk_sql(ACTOR, False, 3)} {SHOWN.format('out', 'w_out')} ORDER BY depth, r.id LIMIT 200", "entities", "edges")(lambda p: graph.references(p.stored("entities"), p.edges_by("dst"), ACTOR, "out", 3, outbound=p.edges_by("src")))
 query(
     "refs_both_filtered",
     f"RECURSIVE WITH {_walk_sql(CUSTOMER, True, 2)}, {_walk_sql(CUSTOMER, False, 2)} SELECT * FROM ({SHOWN.format('in', 'w_in')} UNION ALL {SHOWN.format('out', 'w_out')} WHERE r.id NOT IN (SELECT id FROM w_in_rows)) x WHERE kind = 'asset' ORDER BY depth, direction, id LIMIT 100",
     "entities", "edges",
-)(lambda p: graph.references(p.entities, p.edges, CUSTOMER, "both", 2, kind="asset", limit=100))
-query("refs_edge_type", f"RECURSIVE WITH {_walk_sql(PART, True, 2, 'uses-material')} {SHOWN.format('in', 'w_in')} ORDER BY depth, r.id LIMIT 200", "entities", "edges")(lambda p: graph.references(p.entities, p.edges, PART, "in", 2, "uses-material"))
+)(lambda p: graph.references(p.stored("entities"), p.edges_by("dst"), CUSTOMER, "both", 2, kind="asset", limit=100, outbound=p.edges_by("src")))
+query("refs_edge_type", f"RECURSIVE WITH {_walk_sql(PART, True, 2, 'uses-material')} {SHOWN.format('in', 'w_in')} ORDER BY depth, r.id LIMIT 200", "entities", "edges")(lambda p: graph.references(p.stored("entities"), p.edges_by("dst"), PART, "in", 2, "uses-material"))
 
 WEIGHTS = "CASE via " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in SEVERITY.items()) + " ELSE 1 END"
 IMPACTED = f"SELECT r.id, kind, name, depth, via, round({WEIGHTS} / depth, 6) AS severity FROM w_in_rows r JOIN entities e ON e.id = r.id ORDER BY depth, r.id LIMIT 5000"
-query("impact_depth4", f"RECURSIVE WITH {_walk_sql(NATION, True, 4)} SELECT * FROM ({IMPACTED}) x ORDER BY severity DESC, depth, id LIMIT 200", "entities", "edges")(lambda p: graph.impact(p.entities, p.edges, NATION))
-query("impact_by_kind", f"RECURSIVE WITH {_walk_sql(NATION, True, 4)} SELECT kind, count(*) AS n FROM ({IMPACTED}) x GROUP BY kind", "entities", "edges")(lambda p: graph.impact_by_kind(p.entities, p.edges, NATION))
-query("impact_summary", f"RECURSIVE WITH {_walk_sql(NATION, True, 4)} SELECT least(count(*), 5000) AS total_dependents, least(count(*), 5000) > 200 AS truncated FROM ({IMPACTED}) x", "entities", "edges")(lambda p: graph.impact_summary(p.entities, p.edges, NATION, 4))
+query("impact_depth4", f"RECURSIVE WITH {_walk_sql(NATION, True, 4)} SELECT * FROM ({IMPACTED}) x ORDER BY severity DESC, depth, id LIMIT 200", "entities", "edges")(lambda p: graph.impact(p.stored("entities"), p.edges_by("dst"), NATION))
+query("impact_by_kind", f"RECURSIVE WITH {_walk_sql(NATION, True, 4)} SELECT kind, count(*) AS n FROM ({IMPACTED}) x GROUP BY kind", "entities", "edges")(lambda p: graph.impact_by_kind(p.stored("entities"), p.edges_by("dst"), NATION))
+query("impact_summary", f"RECURSIVE WITH {_walk_sql(NATION, True, 4)} SELECT least(count(*), 5000) AS total_dependents, least(count(*), 5000) > 200 AS truncated FROM ({IMPACTED}) x", "entities", "edges")(lambda p: graph.impact_summary(p.stored("entities"), p.edges_by("dst"), NATION, 4))
 query("entity_truncated", f"SELECT part, n, '5 of ' || CAST(n AS STRING) || ' listed' AS note FROM (SELECT 'children' AS part, count(*) AS n FROM entities WHERE parent = '{NATION}' UNION ALL SELECT 'incoming', count(*) FROM edges WHERE dst = '{NATION}' UNION ALL SELECT 'outgoing', count(*) FROM edges WHERE src = '{NATION}' UNION ALL SELECT 'chunks', count(*) FROM chunks WHERE entity_id = '{NATION}') x WHERE n > 5", "entities", "edges", "chunks")(lambda p: graph.truncated(graph.entity_counts(p.entities, p.edges, p.chunks, NATION), 5))
 query("subtree_closure", f"RECURSIVE WITH s AS (SELECT '{REGION}' AS id UNION SELECT e.id FROM s JOIN entities e ON e.parent = s.id) SELECT id FROM s", "entities")(lambda p: graph.subtree(p.entities, p.entities.where(F.col("id") == REGION)))
 query(
@@ -120,14 +120,30 @@ query("term_df", f"SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unn
 
 
 def _documents_index(p: Project, aux: bool = False) -> search.Index:
-    docs = p.table("documents").select(F.concat(F.lit("c:"), F.col("doc_id").cast("string")).alias("id"), "text", (F.col("source") if aux else F.lit(None).cast("string")).alias("aux"))
-    return search.Index.build(docs)
+    """The stored text index of the documents, without or with their source as second column."""
+    own = F.col("source") if aux else F.lit(None).cast("string")
+    chunks = lambda: p.table("documents").select(F.concat(F.lit("c:"), F.col("doc_id").cast("string")).alias("id"), "text", own.alias("aux"))
+    return p.index("documents-and-sources" if aux else "documents", chunks)
+
+
+def _chunk_index(p: Project, stemmed: bool = False) -> search.Index:
+    """The stored text index of the project's chunks."""
+    return p.index("stems" if stemmed else "chunks", lambda: p.stored("chunks"), stemmed)
+
+
+def _count_sql(column: str, word: str, mode: str) -> str:
+    """How often a list of terms has a word; one with underscores is a phrase, in `prefix` the last part is a beginning."""
+    parts = word.split("_")
+    test = lambda x, w, last: f"starts_with({x}, '{w}')" if mode == "prefix" and last else f"{x} = '{w}'"
+    if len(parts) == 1:
+        return f"len(list_filter({column}, lambda x: {test('x', word, True)}))"
+    each = " AND ".join(test(f"{column}[i + {k}]", w, k == len(parts) - 1) for k, w in enumerate(parts))
+    return f"len(list_filter(range(1, len({column}) + 1), lambda i: coalesce({each}, false)))"
 
 
 def _bm25(words: list[str], mode: str, aux: bool = False, source: str = "SELECT 'c:' || CAST(doc_id AS STRING) AS chunk_id, {0} AS t, {1} AS a FROM documents") -> str:
     source = source.format(TERMS.format("text"), TERMS.format("source") if aux else "CAST([] AS VARCHAR[])")
-    test = "starts_with(x, '{0}')" if mode == "prefix" else "x = '{0}'"
-    tf = [f"len(list_filter(t, lambda x: {test.format(w)})) + 0.6 * len(list_filter(a, lambda x: {test.format(w)})) AS tf{i}" for i, w in enumerate(words)]
+    tf = [f"{_count_sql('t', w, mode)} + 0.6 * {_count_sql('a', w, mode)} AS tf{i}" for i, w in enumerate(words)]
     part = "CASE WHEN tf{0} > 0 THEN greatest(ln((n - df{0} + 0.5) / (df{0} + 0.5)), 1e-6) * tf{0} * 2.2 / (tf{0} + 1.2 * (0.25 + 0.75 * length / mean_length)) ELSE 0 END"
     hit = " AND ".join if mode == "and" else " OR ".join
     return f"b AS (SELECT chunk_id, len(t) + len(a) AS length, {', '.join(tf)} FROM ({source}) src), s AS (SELECT count(*) AS n, avg(length) AS mean_length, {', '.join(f'count(*) FILTER (WHERE tf{i} > 0) AS df{i}' for i in range(len(words)))} FROM b), ranked AS (SELECT chunk_id, -({' + '.join(part.format(i) for i in range(len(words)))}) AS score FROM b, s WHERE {hit(f'tf{i} > 0' for i in range(len(words)))})"
@@ -143,6 +159,10 @@ query("bm25_or", f"WITH {_bm25(['achung', 'achein', 'erre'], 'or')} {TOP}")(lamb
 query("bm25_prefix", f"WITH {_bm25(['achk', 'ciónad'], 'prefix')} {TOP}")(lambda p: _top(search.rank_chunks(_documents_index(p), "achk ciónad", "prefix")))
 query("bm25_weighted_columns", f"WITH {_bm25(['src7', 'erre'], 'or', True)} {TOP}")(lambda p: _top(search.rank_chunks(_documents_index(p, True), "src7 erre", "or")))
 
+query("bm25_phrase", f"WITH {_bm25(['the_of', 'and'], 'and')} {TOP}")(lambda p: _top(search.rank_chunks(_documents_index(p), "The_of and", "and")))
+query("bm25_phrase_prefix", f"WITH {_bm25(['of_th', 'ciónad'], 'prefix')} {TOP}")(lambda p: _top(search.rank_chunks(_documents_index(p), "of_th ciónad", "prefix")))
+query("bm25_prefix_keys", f"WITH {_bm25(['ac', 'tho'], 'prefix')} {TOP}")(lambda p: _top(search.rank_chunks(_documents_index(p), "ac tho", "prefix")))
+
 # The SQL of full searches builds the auxiliary column as aux_tokens does.
 _CHUNK_TERMS = f"SELECT chunks.id AS chunk_id, {TERMS.format('text')} AS t, regexp_extract_all(lower(array_to_string(list_slice(list_transform(list_filter(list_transform({WORDS.format("translate(entity_id, '/:', '  ') || ' ' || left(split_part(text, chr(10), 1), 200)")}, lambda w: {{'w': w, 's': trim({CAMEL.format("replace(w, '_', ' ')")})}}), lambda p: p.s <> p.w AND p.s <> ''), lambda p: p.s), 1, 100000), ' ')), '[\\p{{L}}\\p{{N}}]+') AS a FROM chunks"
 BULK = "('Texture2D', 'TextureCube', 'Texture2DArray', 'VirtualTexture2D', 'MaterialInstanceConstant', 'MaterialFunction')"
@@ -154,7 +174,7 @@ def _hits_sql(words: list[str], mode: str = "and") -> str:
 
 
 def _hits(p: Project, words: str, mode: str = "and", **filters) -> DataFrame:
-    return search.hits_of(search.Index.build(p.chunks), p.entities, p.chunks, words, mode, **filters)
+    return search.hits_of(_chunk_index(p), p.stored("entities"), p.stored("chunks"), words, mode, **filters)
 
 
 _SHOW = "SELECT id, kind, chunk_id, round(score, 6) AS score FROM best {0} ORDER BY 4, 1 LIMIT 20"
@@ -164,10 +184,20 @@ query("search_demotion", _hits_sql(["urgent", "promo"], "or") + _SHOW.format("")
 query("search_kind_path", _hits_sql(["ring", "small"], "or") + _SHOW.format("WHERE kind = 'asset' AND (starts_with(lower(id), 'asset:/game/part/1') OR starts_with(lower(path), '/game/part/1'))"), "entities", "chunks")(lambda p: _shown(_hits(p, "ring small", "or", kind="asset", path_prefix="/Game/part/1")))
 _NAME = f"lower(name || ' ' || {CAMEL.format("replace(name, '_', ' ')")})"
 RERANKED = f"fetched AS (SELECT *, (SELECT count(*) FROM edges WHERE dst = best.id) AS inbound FROM best ORDER BY score, id LIMIT 60), final AS (SELECT id, kind, name, round(score * (1 + 0.8 * ((CASE WHEN contains({_NAME}, 'small') THEN 1 ELSE 0 END + CASE WHEN contains({_NAME}, 'ring') THEN 1 ELSE 0 END) / 2.0)) * (1 + 0.12 * log2(1.0 + inbound)), 6) AS score, chunk_id, chunk_kind, inbound FROM fetched)"
-query("search_rerank", f"{_hits_sql(['small', 'ring'])}, {RERANKED} SELECT * FROM final ORDER BY score, id LIMIT 20", "entities", "edges", "chunks")(lambda p: search.search(search.Index.build(p.chunks), p.entities, p.edges, p.chunks, "small ring"))
-query("search_stemmed")(lambda p: _top(search.rank_chunks(search.Index.build(p.chunks, stemmed=True), "orders rings", "and")))
+
+
+def _search(p: Project, words: str, **filters) -> DataFrame:
+    return search.search(_chunk_index(p), p.stored("entities"), p.edges_by("dst"), p.stored("chunks"), words, **filters)
+
+
+query("search_rerank", f"{_hits_sql(['small', 'ring'])}, {RERANKED} SELECT * FROM final ORDER BY score, id LIMIT 20", "entities", "edges", "chunks")(lambda p: _search(p, "small ring"))
+# The second and the third tier: no chunk has both words; no chunk has either, but some have words that begin so.
+_NAMED = lambda *words: RERANKED.replace("'small'", f"'{words[0]}'").replace("'ring'", f"'{words[-1]}'")
+query("search_any_word", f"{_hits_sql(['steel', 'urgent'], 'or')}, {_NAMED('steel', 'urgent')} SELECT * FROM final ORDER BY score, id LIMIT 20", "entities", "edges", "chunks")(lambda p: _search(p, "steel urgent"))
+query("search_beginnings", f"{_hits_sql(['urge', 'orde'], 'prefix')}, {_NAMED('urge', 'orde')} SELECT * FROM final ORDER BY score, id LIMIT 20", "entities", "edges", "chunks")(lambda p: _search(p, "urge orde"))
+query("search_stemmed")(lambda p: _top(search.rank_chunks(_chunk_index(p, True), "orders rings", "and")))
 query("search_snippet")(lambda p: search.snippets(_top(search.rank_chunks(_documents_index(p), "achung achein", "or")), p.chunks.select(F.concat(F.lit("c:"), F.substring_index("entity_id", ":", -1)).alias("id"), "text", "kind").where("kind = 'doc-section' and text is not null"), "achung achein").select("chunk_id", "snippet"))
-query("explain_bundle")(lambda p: search.explain(search.Index.build(p.chunks), p.entities, p.edges, p.chunks, "small ring"))
+query("explain_bundle")(lambda p: search.explain(_chunk_index(p), p.stored("entities"), p.edges_by("dst"), p.stored("chunks"), "small ring"))
 
 ATTRS = """'{{"confidence":"{0}","via":"' || {1} || '"}}'"""
 query(

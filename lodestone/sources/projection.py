@@ -4,12 +4,21 @@ The statements are plain SQL, so that any engine can build the same index from t
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import aux_tokens
+from ..operators.lineage import is_there, own_folder
+from ..operators.search import Index
+from ..schema import EDGES as EDGES_SCHEMA
+from ..schema import TABLES as SCHEMAS
 from ..schema import validate
 
+_stored: dict[tuple[str, str, str], str] = {}
+
 _NULL = "CAST(NULL AS STRING)"
 
 
@@ -76,7 +85,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 class Project:
-    """entities, edges, sparse_edges and chunks of the tables in a folder, all lazy."""
+    """entities, edges, sparse_edges and chunks of the tables in a folder, all lazy; and the same as a stored index."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -104,6 +113,31 @@ class Project:
         rows = self._sql(CHUNKS)
         return validate(rows.withColumn("aux", aux_tokens(F.col("entity_id"), F.col("text"))), "chunks")
 
+    def _once(self, name: str, write: Callable[[str], None]) -> str:
+        """The folder of a part of the stored index: written by the session's first query that needs it, in the folder that
+        all executors share, and anew where it is gone."""
+        path = _stored.get((self.spark.sparkContext.applicationId, self.sf_dir, name))
+        if path is None or not is_there(self.spark, f"{path}/_done"):
+            path = f"{own_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
+            write(path)
+            self.spark.range(1).write.parquet(f"{path}/_done")
+            _stored[self.spark.sparkContext.applicationId, self.sf_dir, name] = path
+        return path
+
+    def edges_by(self, end: str) -> DataFrame:
+        """The edges, stored in the order of one end (src or dst), so that those of a few nodes are in few row groups."""
+        path = self._once(f"edges-{end}", lambda at: self.edges.repartitionByRange(end).sortWithinPartitions(end).write.parquet(f"{at}/edges"))
+        return self.spark.read.schema(EDGES_SCHEMA).parquet(f"{path}/edges")
+
+    def stored(self, table: str) -> DataFrame:
+        """entities by id, or chunks by id, as a stored table."""
+        path = self._once(table, lambda at: getattr(self, table).repartitionByRange("id").sortWithinPartitions("id").write.parquet(f"{at}/rows"))
+        return self.spark.read.schema(SCHEMAS[table]).parquet(f"{path}/rows")
+
+    def index(self, name: str, chunks: Callable[[], DataFrame], stemmed: bool = False) -> Index:
+        """The stored text index of some chunks."""
+        return Index.load(self.spark, self._once(f"index-{name}", lambda at: Index.build(chunks(), stemmed).save(at)), stemmed)
+
 
 def statement(text: str) -> str:
     """A statement for an engine in which the tables have their own names."""
