@@ -62,8 +62,8 @@ class Engine:
     def coverage(self, doc_type: str = "", limit: int = 500) -> DataFrame:
         return intent.coverage(self.state.entities, self.state.edges, doc_type, limit)
 
-    def drift(self, limit: int = 200) -> DataFrame:
-        return intent.drift(*self._tables, limit)
+    def drift(self, limit: int = 200, six: bool = False) -> DataFrame:
+        return intent.drift(*self._tables, limit, six)
 
     def doctor(self) -> DataFrame:
         """check, n, ok: the tables' health, the version of the schema, the text index against the chunks, and the verdict

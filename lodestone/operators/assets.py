@@ -8,8 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import dimensions, package_of
+from ..functions.text import dimensions, one_line, package_of
 from ..schema import edge, entity
+from .intent import scalar_text
 
 PRODUCER = "registry@1"
 # Tags of bookkeeping, and classes whose summary needs the asset itself.
@@ -59,10 +60,36 @@ def property_diff(properties: DataFrame, most: int = MOST_PROPERTIES, chars: int
     place = F.row_number().over(Window.partitionBy("owner").orderBy("prop"))
     kept = changed.withColumn("place", place).where(F.col("place") <= most)
     texts = kept.groupBy("owner").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", F.concat_ws("=", "prop", "value").alias("x")))), lambda x: x["x"]), separator).alias("text"))
-    edges = kept.where(F.col("ref_package").startswith("/Game")).select(*edge(F.col("owner"), F.concat(F.lit("asset:"), F.col("ref_package")), "references", F.col("prop"))).distinct()
+    via = F.substring_index("prop", ".", -1)
+    edges = kept.where(F.col("ref_package").startswith("/Game")).select(*edge(F.col("owner"), F.concat(F.lit("asset:"), F.col("ref_package")), "references", via)).distinct()
     return texts, edges
 
 
+# Properties that differ on every placed object and tell nothing about it.
+PLUMBING = ("RelativeLocation", "RelativeRotation", "RelativeScale3D", "RootComponent", "AttachParent", "AttachSocketName", "BodyInstance", "ComponentTags", "Tags", "AssetImportData", "BlueprintCreatedComponents", "InstanceComponents")
+
+
+def _leaves(objects: DataFrame, column: str) -> DataFrame:
+    """owner, prop, value of the scalars of a JSON object of properties, and of those within its objects, as Outer.Inner."""
+    tvf = objects.sparkSession.tvf
+    parsed = objects.select("owner", F.try_parse_json(column).alias("o")).where(F.schema_of_variant("o").startswith("OBJECT"))
+    top = parsed.lateralJoin(tvf.variant_explode(F.col("o").outer())).select("owner", "key", "value").where(~F.col("key").isin(*PLUMBING))
+    inner = top.where(F.schema_of_variant("value").startswith("OBJECT")).select("owner", F.col("key").alias("outside"), F.col("value").alias("o"))
+    inner = inner.lateralJoin(tvf.variant_explode(F.col("o").outer())).where(~F.col("key").isin(*PLUMBING))
+    both = top.select("owner", F.col("key").alias("prop"), "value").unionByName(inner.select("owner", F.concat_ws(".", "outside", "key").alias("prop"), "value"))
+    return both.select("owner", "prop", one_line(scalar_text(F.col("value"))).alias("value")).where("value <> ''")
+
+
+def flatten_properties(objects: DataFrame) -> DataFrame:
+    """Rows for property_diff() (owner, prop, value, default_value, ref_package) of objects whose properties and defaults are
+    JSON texts (owner, props, defaults): one level of structures is opened, deeper ones and arrays are left out, and a value
+    that names a package of the project is told by its last name."""
+    own, usual = _leaves(objects, "props"), _leaves(objects, "defaults").withColumnRenamed("value", "default_value")
+    named = own.join(usual, ["owner", "prop"], "left").withColumn("ref_package", package_of(F.col("value")))
+    told = lambda c: F.coalesce(_last(package_of(F.col(c))), F.col(c)).alias(c)
+    return named.select("owner", "prop", told("value"), told("default_value"), "ref_package")
+
+
 def reflection_summary(properties: DataFrame) -> DataFrame:
     """Texts (owner, text) of all properties, for classes without a recipe."""
     return property_diff(properties.withColumn("default_value", F.lit(None).cast("string")), MOST_ALL, ALL_CHARS)[0]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_distinctive, word_tokens
@@ -65,10 +65,34 @@ def coverage_summary(entities: DataFrame, edges: DataFrame, doc_type: str = "")
     return coverage(entities, edges, doc_type, 2**31 - 1).agg(F.count("*").alias("documents"), F.sum("n_sections").alias("sections"), F.sum("n_linked").alias("linked"))
 
 
-def flatten_scalars(detail):
-    """Map of the top-level texts, numbers and booleans of a JSON object; objects, arrays, nulls and empty texts go."""
-    fields = F.from_json(detail, "map<string,string>")
-    return F.map_filter(fields, lambda _, v: v.isNotNull() & (v != "") & ~v.rlike(r"^[\[{]"))
+def six_digits(number: Column) -> Column:
+    """A number as C prints it with %g: six significant digits without trailing zeros, with an exponent below -4 and from 6. Halves
+    of the shortest decimal form go up."""
+    told = F.format_string("%.5e", number)
+    power = F.regexp_extract(told, "e([+-][0-9]+)$", 1).cast("int")
+    bare = lambda c: F.regexp_replace(F.regexp_replace(c, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    return F.when((power < -4) | (power >= 6), F.concat(bare(F.substring_index(told, "e", 1)), F.regexp_extract(told, "e.*$", 0))).otherwise(bare(told.cast("decimal(38,12)").cast("string")))
+
+
+def scalar_text(value: Column, six: bool = True) -> Column:
+    """A scalar of a VARIANT as text: whole numbers without a fraction, others with six digits (or all of theirs); null for
+    objects, arrays, nulls and empty texts."""
+    kind, number = F.schema_of_variant(value), F.try_variant_get(value, "$", "double")
+    whole = F.abs(number - F.round(number)) <= 1e-8
+    told = (
+        F.when(kind == "STRING", F.try_variant_get(value, "$", "string"))
+        .when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("string"))
+        .when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.when(whole, F.round(number).cast("decimal(20,0)").cast("string")).otherwise(six_digits(number) if six else F.try_variant_get(value, "$", "string")))
+    )
+    return F.nullif(told, F.lit(""))
+
+
+def json_scalars(rows: DataFrame, column: str, six: bool = True) -> DataFrame:
+    """rows with key and value for each top-level scalar of the JSON object in `column`; texts that aren't objects have
+    none."""
+    parsed = rows.withColumn("_object", F.try_parse_json(column)).where(F.schema_of_variant("_object").startswith("OBJECT"))
+    each = parsed.lateralJoin(rows.sparkSession.tvf.variant_explode(F.col("_object").outer()))
+    return each.withColumn("value", scalar_text(F.col("value"), six)).where("value is not null").drop("_object", "pos")
 
 
 def values_differ(a, b):
@@ -77,11 +101,16 @@ def values_differ(a, b):
     return F.when(x.isNotNull() & y.isNotNull(), F.abs(x - y) > 1e-6).otherwise(F.lower(a) != F.lower(b))
 
 
-def drift(entities: DataFrame, edges: DataFrame, chunks: DataFrame, limit: int = 200) -> DataFrame:
+def drift(entities: DataFrame, edges: DataFrame, chunks: DataFrame, limit: int = 200, six: bool = False) -> DataFrame:
     """Where a section's text states key = value or key: value of what it describes, and the value differs: src, dst, key,
-    stated, actual. Of several section chunks of one source, the one with the smallest id speaks."""
+    stated, actual. Of several section chunks of one source, the one with the smallest id speaks.
+
+    With `six`, actual numbers are taken as they are shown, with six digits, so that a longer one that is stated exactly
+    counts as different too."""
     texts = chunks.where("kind = 'doc-section'").groupBy(F.col("entity_id").alias("src")).agg(F.min_by("text", "id").alias("text"))
-    facts = entities.where("detail is not null").select(F.col("id").alias("dst"), F.explode(flatten_scalars(F.col("detail"))).alias("key", "actual")).where(F.length("key") >= 3)
+    detailed = entities.where("detail is not null").select(F.col("id").alias("dst"), "detail")
+    detailed = detailed.join(edges.where("type = 'describes'").select("dst").distinct(), "dst", "left_semi")
+    facts = json_scalars(detailed, "detail", six).select("dst", "key", F.col("value").alias("actual")).where(F.length("key") >= 3)
     told = edges.where("type = 'describes'").select("src", "dst").distinct().join(texts, "src").join(facts, "dst").where(F.contains(F.lower("text"), F.lower("key")))
     stated = F.expr(r"regexp_extract(text, concat('(?i)\\Q', key, '\\E[ \\t]*[=:][ \\t]*([\\p{L}\\p{N}._#-]+)'), 1)")
     return told.withColumn("stated", stated).where((F.col("stated") != "") & values_differ(F.col("stated"), F.col("actual"))).orderBy("src", "dst", "key").limit(limit).select("src", "dst", "key", "stated", "actual")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import assets
+from ..operators import assets, intent
 from ..sources.projection import Project
 from .core import CAMEL, query
 
@@ -185,3 +185,51 @@ def _script(p: Project) -> tuple[DataFrame, DataFrame]:
 _BP = "'asset:/Game/bp/' || CAST(s_suppkey AS STRING)"
 query("script_members", f"""SELECT {_BP} || m.tail || CASE m.name WHEN 'Do' THEN 'Do' || n_name ELSE m.name END AS id, m.kind, {_BP} AS parent, '{{"type":"' || m.type || '"}}' AS detail FROM supplier JOIN nation ON s_nationkey = n_nationkey, (VALUES ('::', 'Do', 'bp-function', 'void'), ('::var::', 'Stock', 'bp-variable', 'int'), ('::comp::', 'Body', 'bp-component', 'Mesh')) m(tail, name, kind, type)""")(lambda p: _script(p)[0].select("id", "kind", "parent", "detail"))
 query("script_edges", f"SELECT {_BP} AS src, 'asset:/Game/bp/' || CAST(s_suppkey + 1 AS STRING) || '::Run' AS dst, 'calls' AS type, '' AS attrs FROM supplier UNION ALL SELECT {_BP}, 'cpp:Useable', 'implements', '' FROM supplier UNION ALL SELECT {_BP}, 'asset:/Game/input/IA_' || n_name, 'binds-input', '' FROM supplier JOIN nation ON s_nationkey = n_nationkey")(lambda p: _edges(_script(p)[1]))
+
+
+# --- JSON values: numbers in several forms, and properties within properties
+
+_SHARE = "CAST(CAST(p_partkey AS DECIMAL(12,0)) * CAST(0.12345671 AS DECIMAL(9,8)) AS {0})"
+
+
+@query(
+    "json_scalars",
+    f"""SELECT p_partkey, 'whole' AS key, CAST(p_size AS VARCHAR) AS value FROM part UNION ALL SELECT p_partkey, 'big', CAST(CAST(p_size AS BIGINT) * 1000000 AS VARCHAR) FROM part
+    UNION ALL SELECT p_partkey, 'share', printf('%g', {_SHARE.format('DOUBLE')}) FROM part UNION ALL SELECT p_partkey, 'tiny', '1.5e-07' FROM part UNION ALL SELECT p_partkey, 'flag', CASE WHEN p_size % 2 = 0 THEN 'true' ELSE 'false' END FROM part
+    UNION ALL SELECT p_partkey, 'name', p_name FROM part""",
+)
+def _json_scalars(p: Project) -> DataFrame:
+    detail = """concat('{"whole":', p_size, '.0,"big":', p_size, 'e6,"share":', %s, ',"tiny":0.00000015,"flag":', p_size %% 2 = 0, ',"name":"', p_name, '","empty":"","none":null,"list":[1],"object":{"a":1}}')"""
+    return intent.json_scalars(p.table("part").select("p_partkey", F.expr(detail % _SHARE.format("STRING")).alias("detail")), "detail").select("p_partkey", "key", "value")
+
+
+def _nested(p: Project) -> tuple[DataFrame, DataFrame]:
+    """A part's properties: one of its own, two within a structure, and what is left out (deeper, lists, plumbing)."""
+    own = """concat('{"Size":', p_size, ',"Lens":{"Bias":', p_size %% 4, '.5,"Mode":"', p_type, '","Far":{"Out":1},"Cover":"Texture2D\\'/Game/tex/', p_type, '.', p_type, '\\'"},"Tags":{"A":1},"Names":["x"]}')""".replace("%%", "%")
+    usual = """concat('{"Size":5,"Lens":{"Bias":2.5,"Mode":"PROMO"}}')"""
+    return assets.property_diff(assets.flatten_properties(p.table("part").select(_id().alias("owner"), F.expr(own).alias("props"), F.expr(usual).alias("defaults"))))
+
+
+query(
+    "nested_properties",
+    f"""SELECT {ID} AS owner, concat_ws(', ', CASE WHEN p_size % 4 <> 2 THEN 'Lens.Bias=' || CAST(p_size % 4 AS VARCHAR) || '.5' END, 'Lens.Cover=' || p_type, CASE WHEN p_type <> 'PROMO' THEN 'Lens.Mode=' || p_type END, CASE WHEN p_size <> 5 THEN 'Size=' || CAST(p_size AS VARCHAR) END) AS text FROM part""",
+)(lambda p: _nested(p)[0])
+query("nested_references", f"""SELECT {ID} AS src, 'asset:/Game/tex/' || p_type AS dst, 'references' AS type, '{{"via":"Cover"}}' AS attrs FROM part""")(lambda p: _edges(_nested(p)[1]))
+
+
+# Notes state a part's values in words; its detail has them as 3.0, 1e6 and with eight digits.
+@query(
+    "drift_six_digits",
+    f"""WITH a AS (SELECT p_partkey, {_SHARE.format('DOUBLE')} AS share, {_SHARE.format('VARCHAR')} AS stated FROM part),
+    s AS (SELECT *, printf('%g', share) AS actual FROM a)
+    SELECT 'doc:' || CAST(p_partkey AS VARCHAR) AS src, {ID} AS dst, 'share' AS key, stated, actual FROM s WHERE abs(CAST(stated AS DOUBLE) - CAST(actual AS DOUBLE)) > 1e-6
+    UNION ALL SELECT 'doc:' || CAST(p_partkey AS VARCHAR), {ID}, 'whole', CAST(p_size + 1 AS VARCHAR), CAST(p_size AS VARCHAR) FROM part WHERE p_size % 3 = 0""",
+)
+def _drift_six(p: Project) -> DataFrame:
+    part = p.table("part")
+    detail = """concat('{"whole":', p_size, '.0,"large":', p_size, 'e6,"share":', %s, '}')""" % _SHARE.format("STRING")
+    told = """concat('Its whole = ', p_size + if(p_size %% 3 = 0, 1, 0), ', large: ', p_size, '000000 and share = ', %s, ' .')""" % _SHARE.format("STRING")
+    entities = part.select(_id().alias("id"), F.expr(detail).alias("detail"))
+    chunks = part.select(F.concat(F.lit("c"), _s("p_partkey")).alias("id"), F.concat(F.lit("doc:"), _s("p_partkey")).alias("entity_id"), F.lit("doc-section").alias("kind"), F.expr(told).alias("text"))
+    edges = part.select(F.concat(F.lit("doc:"), _s("p_partkey")).alias("src"), _id().alias("dst"), F.lit("describes").alias("type"))
+    return intent.drift(entities, edges, chunks, 2**31 - 1, True)

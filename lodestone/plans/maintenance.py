@@ -155,25 +155,32 @@ def _properties(p: Project) -> DataFrame:
 
 query("timing_history", "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 3")(lambda p: store.keep_newest(p.table("events").select("user_id", "event_id"), "event_id", 3, "user_id"))
 
-HEADER = """UCLASS(Blueprintable)
-class GAME_API A{0}Character : public ABaseCharacter
+# A harbour: what a lighthouse keeper calls, in the shapes that the call graph tells apart.
+HEADER = """UCLASS(NotPlaceable)
+class HARBOUR_API A{0}Lighthouse : public ATower
 {
-    UPROPERTY(EditAnywhere, meta = (Tip = "a; b"))
-    TObjectPtr<AWeapon> EquippedWeapon;
-    UFUNCTION(BlueprintCallable)
-    void Equip(int32 Slot);
-    // UFUNCTION() void Gone();
+    UPROPERTY(VisibleAnywhere, Category = "Optics; lenses")
+    TObjectPtr<ALantern> MainLantern;
+    UFUNCTION(BlueprintPure)
+    float NightRange(float Fog) const;
+    UFUNCTION() void Signal(int32 Flashes);
+    /* UFUNCTION() void Demolish(); */
 };
-UCLASS() class ABaseCharacter : public ACharacter { UFUNCTION() void Attach(); };
-UCLASS() class AWeapon : public AActor { UFUNCTION() void Drop(); };
+UCLASS() class ATower : public AStructure { UFUNCTION() void Climb(); UFUNCTION() void Inspect(); };
+UCLASS() class ALantern : public AStructure { UFUNCTION() void Ignite(); UFUNCTION() void Dim(); };
 """
-SOURCE = """void A{0}Character::Equip(int32 Slot)
+SOURCE = """float A{0}Lighthouse::NightRange(float Fog) const
 {
-    // Attach() in a comment
-    Attach();
-    EquippedWeapon->Drop();
-    Other->Drop();
-    Input->BindAction(JumpAction, ETriggerEvent::Started, this, &A{0}Character::Equip);
+    const TCHAR* Note = TEXT("Climb() by hand");
+    return Fog > 0.5f ? 1.0f : 9.0f;
+}
+void A{0}Lighthouse::Signal(int32 Flashes)
+{
+    for (int32 i = 0; i < Flashes; ++i) { MainLantern->Ignite(); MainLantern->Dim(); }
+    NightRange(0.1f);
+    Super::Inspect(); // then Climb()
+    Stranger->Ignite();
+    Input->BindAction(SignalAction, ETriggerEvent::Triggered, this, &A{0}Lighthouse::Signal);
 }
 """
 
@@ -183,7 +190,7 @@ def _code(p: Project, text: str, suffix: str) -> DataFrame:
     return p.table("region").select(F.concat(name, F.lit(suffix)).alias("file"), F.replace(F.lit(text), F.lit("{0}"), name).alias("text"))
 
 
-_KNOWN = [f"AR{i}Character" for i in range(5)]
+_KNOWN = [f"AR{i}Lighthouse" for i in range(5)]
 query("cpp_classes")(lambda p: code.classes(_code(p, HEADER, ".h")))
 query("cpp_bodies")(lambda p: code.bodies(_code(p, SOURCE, ".cpp"), _KNOWN))
 query("cpp_bindings")(lambda p: code.bindings(_code(p, SOURCE, ".cpp")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import re
 import struct
 import zipfile
@@ -15,19 +16,25 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Folders of builds, caches, version control and the index itself, which are never read.
-PRUNED = ("Intermediate", "Binaries", "Saved", "DerivedDataCache", ".git", "node_modules", ".gameiq")
+# Folders of builds, caches and version control, which are never read.
+PRUNED = ("Intermediate", "Binaries", "Saved", "DerivedDataCache", ".git", "node_modules")
+#: The file of a project's settings, in its root.
+CONFIG_FILE = "lodestone.json"
 
 
 @dataclass(frozen=True)
 class Config:
-    """The settings of a project."""
+    """The settings of a project. `own` are the folders of the index and of this library within the project: what is read
+    there would index itself."""
 
     exclude: tuple[str, ...] = ()
     shallow: tuple[str, ...] = ()
     docs_path: str = ""
     doc_types: dict[str, str] = field(default_factory=dict)
     external: tuple[tuple[str, str], ...] = ()
+    registry: str = ""
+    watch: bool = True
+    own: tuple[str, ...] = (".lodestone", "Plugins/Lodestone")
 
     @classmethod
     def parse(cls, data: dict) -> Config:
@@ -35,7 +42,21 @@ class Config:
         texts = lambda key: tuple(x for x in data.get(key) or () if isinstance(x, str) and x)
         external = tuple((x["source"], x["path"]) for x in data.get("externalDocs") or () if isinstance(x, dict) and x.get("source") and x.get("path"))
         types = {k: v for k, v in (data.get("docTypes") or {}).items() if isinstance(v, str)}
-        return cls(texts("exclude"), tuple(p.rstrip("/") for p in texts("shallowPaths") if p.startswith("/")), data.get("docsPath") or "", types, external)
+        text = lambda key: data[key] if isinstance(data.get(key), str) else ""
+        own = texts("own") or cls.own
+        return cls(texts("exclude"), tuple(p.rstrip("/") for p in texts("shallowPaths") if p.startswith("/")), text("docsPath"), types, external, text("registry"), data.get("watch") is not False, own)
+
+    @classmethod
+    def read(cls, spark: SparkSession, root: str) -> Config:
+        """The settings in the project's root; the defaults where there is no such file, or no JSON object in it."""
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{CONFIG_FILE}")
+        if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            return cls()
+        try:
+            data = json.loads(spark.read.text(path.toString(), wholetext=True).first()[0])
+        except (json.JSONDecodeError, TypeError):  # no JSON, or an empty file
+            return cls()
+        return cls.parse(data if isinstance(data, dict) else {})
 
 
 def is_excluded(rel: Column, excludes: tuple[str, ...]) -> Column:
@@ -63,7 +84,31 @@ def walk_files(spark: SparkSession, root: str, extensions: tuple[str, ...], conf
     rel = F.regexp_replace(F.col("path"), rf"^[a-z]*:?/*{base.lstrip('/')}/", "")
     out = files.select(rel.alias("rel"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content")
     fitting = F.lower(F.regexp_extract("rel", r"\.([^./]+)$", 1)).isin(*[e.lower() for e in extensions])
-    return out.where(fitting & ~is_excluded(F.col("rel"), (config or Config()).exclude))
+    config = config or Config()
+    return out.where(fitting & ~is_excluded(F.col("rel"), (*config.exclude, *config.own)))
+
+
+def list_files(spark: SparkSession, root: str, extensions: tuple[str, ...], config: Config | None = None) -> DataFrame:
+    """rel, sig (size and time) of the files that walk_files() would read; no content is read for it."""
+    listed = walk_files(spark, root, extensions, config)
+    return listed.select("rel", F.concat_ws("|", F.col("size").cast("string"), F.col("mtime").cast("string")).alias("sig"))
+
+
+def some_files(spark: SparkSession, root: str, rels: list[str], config: Config | None = None) -> DataFrame:
+    """rel, size, mtime, content of the files of these names only: others aren't opened. Names that are gone have no row."""
+    base = root.rstrip("/")
+    there = [p for p in (f"{base}/{r}" for r in rels) if _exists(spark, p)]
+    if not there:
+        return spark.createDataFrame([], "rel string, size long, mtime timestamp, content binary")
+    plain = re.escape(base.removeprefix("file:").removeprefix("//"))
+    files = spark.read.format("binaryFile").load(there)
+    rel = F.regexp_replace(F.col("path"), rf"^[a-z]*:?/*{plain.lstrip('/')}/", "")
+    return files.select(rel.alias("rel"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content")
+
+
+def _exists(spark: SparkSession, name: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
 def decode_text(content: Column) -> Column:

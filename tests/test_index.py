@@ -115,12 +115,12 @@ def test_drift_and_links(spark):
 
 
 def test_code(spark):
-    header = "UCLASS()\nclass X_API ACharacter2 : public ABase { UPROPERTY() AWeapon* Held; UFUNCTION() void Equip(); };\nUCLASS() class ABase : public AActor { UFUNCTION() void Attach(); };\nUCLASS() class AWeapon : public AActor { UFUNCTION() void Drop(); };"
-    source = 'void ACharacter2::Go(AWeapon* Other, int32 N)\n{ /* Equip() */ const char* s = "Drop()"; Equip(); Super::Attach(); Held->Drop(); Unknown->Drop(); GetOwner()->Equip(); }\nvoid ACharacter2::Run(AWeapon* Other) { Other->Drop(); bool b = x ? ACharacter2::Equip(1) : false; }\nACharacter2::ACharacter2() : Super(1) { }'
+    header = "UCLASS()\nclass H_API ALighthouse2 : public ATower { UPROPERTY() ALantern* Lantern; UFUNCTION() void Signal(); };\nUCLASS() class ATower : public AStructure { UFUNCTION() void Inspect(); };\nUCLASS() class ALantern : public AStructure { UFUNCTION() void Ignite(); };"
+    source = 'void ALighthouse2::Dusk(ALantern* Spare, int32 N)\n{ /* Ignite() */ const char* s = "Inspect()"; Signal(); Super::Inspect(); Lantern->Ignite(); Stranger->Ignite(); Keeper()->Signal(); }\nvoid ALighthouse2::Dawn(ALantern* Spare) { Spare->Ignite(); bool b = N ? ALighthouse2::Signal(1) : false; }\nALighthouse2::ALighthouse2() : Super(1) { }'
     declared = code.classes(spark.createDataFrame([("h", header)], "file string, text string"))
-    defined = code.bodies(spark.createDataFrame([("s", source)], "file string, text string"), ["ACharacter2"])
-    assert sorted(r["function"] for r in defined.collect()) == ["ACharacter2", "Go", "Run"]
-    assert {(r["src"], r["dst"]) for r in code.calls(defined, declared).collect()} == {("Character2::Go", "Character2::Equip"), ("Character2::Go", "Base::Attach"), ("Character2::Go", "Weapon::Drop"), ("Character2::Run", "Weapon::Drop"), ("Character2::Run", "Character2::Equip")}
+    defined = code.bodies(spark.createDataFrame([("s", source)], "file string, text string"), ["ALighthouse2"])
+    assert sorted(r["function"] for r in defined.collect()) == ["ALighthouse2", "Dawn", "Dusk"]
+    assert {(r["src"], r["dst"]) for r in code.calls(defined, declared).collect()} == {("Lighthouse2::Dusk", "Lighthouse2::Signal"), ("Lighthouse2::Dusk", "Tower::Inspect"), ("Lighthouse2::Dusk", "Lantern::Ignite"), ("Lighthouse2::Dawn", "Lantern::Ignite"), ("Lighthouse2::Dawn", "Lighthouse2::Signal")}
 
 
 def test_store_versions(spark, tmp_path):
