@@ -18,7 +18,7 @@ from ..functions.text import aux_tokens
 from ..schema import CHUNKS, FACT, INTENT, INTENT_KINDS, KEYS, TABLES, validate
 from .graph import subtree
 from .lineage import settle
-from .search import LENGTHS, Index, chunk_signature
+from .search import Index, chunk_signature
 
 VERSION, HISTORY = 6, 20
 #: Tries of a write that meets other writers, and seconds of waiting before the second.
@@ -247,9 +247,10 @@ class Store:
     def open(self) -> Snapshot:
         """The current tables. Nothing is written: a missing index, or one of a later version, is an error; the tables of
         an earlier version are read as those of this one."""
-        return self._open(self.meta())
+        return self.at(self.meta())
 
-    def _open(self, meta: dict) -> Snapshot:
+    def at(self, meta: dict) -> Snapshot:
+        """The tables of the version that meta describes."""
         if not meta:
             raise FileNotFoundError(f"no index in {self.path}: build it first")
         version = int(meta.get("version", 0))
@@ -266,7 +267,7 @@ class Store:
         base = self.meta()
         if not base or int(base["version"]) == VERSION:
             return False
-        self.write(self._open(base), None, {**base, "segments": [], "dead": []})
+        self.write(self.at(base), None, {**base, "segments": [], "dead": []})
         return True
 
     # --- the text index
@@ -275,7 +276,7 @@ class Store:
         """The stemmed text index of the current chunks; made in memory where an old version has none that can be read."""
         meta = self.meta()
         if int(meta.get("version", 0)) < VERSION or not meta.get("segments"):
-            return Index.build(self._open(meta).chunks, stemmed=True)
+            return Index.build(self.at(meta).chunks, stemmed=True)
         return self._index(meta)
 
     def _segment(self, meta: dict, segment: dict) -> Index:
@@ -331,16 +332,14 @@ class Store:
         return {"segments": segments, "dead": [d for d in dead if d["of"]]}
 
     def heal(self) -> bool:
-        """Makes the text index anew where a part of it is gone or it isn't that of the chunks; whether it was so."""
+        """Makes the text index anew where a part of it is gone, or it doesn't have as many chunks as there are; whether it
+        was so. Only names and footers are read for it; doctor() compares the contents."""
         base = self.meta()
         there = set(self._names())
         named = [x["name"] for x in (*base.get("segments", []), *base.get("dead", []))]
-        chunks = self._open(base).chunks
-        if all(n in there for n in named):
-            held = self._index(base).lengths if base.get("segments") else self.spark.createDataFrame([], LENGTHS)
-            now = chunks.select(F.col("id").alias("chunk_id"), chunk_signature().alias("new"))
-            if held.join(now, "chunk_id", "full_outer").where("not (sig <=> new)").isEmpty():
-                return False
+        chunks = self.at(base).chunks
+        if all(n in there for n in named) and sum(s["chunks"] for s in base.get("segments", [])) == chunks.count():
+            return False
         empty = {**base, "segments": [], "dead": []}
         self._name({**base, **self._indexed(empty, chunks.limit(0), chunks)}, base["number"] + 1)
         return True
@@ -371,8 +370,9 @@ class Store:
             there = set(self._names(folder))
             tables[t] = {**kept, **{json.dumps(p): f"{folder}/part={i}" for i, p in enumerate(names) if f"part={i}" in there}}
         fresh = {**base, **meta, "version": VERSION, "tables": tables, "generation": base.get("generation") or uuid.uuid4().hex, "lastIngestAtIso": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())}
-        before = self._read(base, "chunks", touched) if base.get("tables") else self.spark.createDataFrame([], CHUNKS)
-        fresh |= self._indexed(base, before, self._read(fresh, "chunks", touched))
+        scope = None if "*" in base.get("tables", {}).get("chunks", {}) else touched  # written whole before: all are compared
+        before = self._read(base, "chunks", scope) if base.get("tables") else self.spark.createDataFrame([], CHUNKS)
+        fresh |= self._indexed(base, before, self._read(fresh, "chunks", scope))
         self._name(fresh, base.get("number", 0) + 1)
         return self.open()
 
@@ -424,7 +424,7 @@ class Store:
         roots = None if roots is None else settle(roots)
 
         def change(base: dict) -> Snapshot:
-            before = self._open(base)
+            before = self.at(base)
             after = apply_extract(before, producer, delta, mode, roots)
             return before if after is before else self.write(after, {producer} | owners(before, delta, None), base, **meta)
 

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators.graph import subtree
-from ..operators.store import Snapshot, Store, diff_signatures, fingerprint, owners, patch
+from ..operators.lineage import settle
+from ..operators.store import Snapshot, Store, owners, patch
 
 SCHEMA = "seq long, ts timestamp, op string, package string, old_package string"
 SKIPPED = ("__ExternalActors__", "__ExternalObjects__")
@@ -51,32 +52,64 @@ def read_changes(spark: SparkSession, folder: str, files: int = 1) -> DataFrame:
     return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files).json(folder)
 
 
+class Newest(StatefulProcessor):
+    """Keyed by package: lets the newest event through, if it is newer than the last one that went through.
+
+    The state is one number a package, in the state store of the stream: a batch reads and writes the packages of its own
+    events, whatever was ever seen. It is committed with the batch, so a batch that is run again decides the same."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.done = handle.getValueState("seq", "seq long")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803  the interface's names
+        last = max(rows, key=lambda r: (r.seq, r.op))
+        held = self.done.get()
+        if held is None or last.seq > held[0]:
+            self.done.update((last.seq,))
+            yield Row(package=key[0], seq=last.seq, op=last.op)
+
+    def close(self) -> None:
+        pass
+
+
+def newest_events(events: DataFrame) -> DataFrame:
+    """package, seq, op of a stream's events that are the newest of their package so far; late and repeated ones go."""
+    return wanted(events).select("package", "seq", "op").groupBy("package").transformWithState(Newest(), "package string, seq long, op string", "update", "none")
+
+
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def follow(events: DataFrame, store: Store, extract: Callable[[DataFrame], Snapshot], producer: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Apply a stream of events to a store batch by batch. What was applied is kept beside the store, so a batch that runs
-    again after a failure changes nothing."""
-
-    def batch(df: DataFrame, batch_id: int) -> None:
-        spark = df.sparkSession
-        base = store.meta()
-        done = spark.read.parquet(f"{store.path}/{base['applied']}") if base.get("applied") else None
-        before = store.open()
-        after, applied = apply_changes(before, df, extract, producer, done)
-        fresh = f"applied-{batch_id}-{uuid.uuid4().hex}"
-        applied.write.parquet(f"{store.path}/{fresh}")
-        # The producers whose rows the saved and deleted packages' subtrees hold, or whose rows their new rows replace.
-        packages = wanted(df).select("package").distinct()
-        gone = subtree(before.entities, packages.select(F.concat(F.lit("asset:"), F.col("package")).alias("id")))
-        saved = latest_changes(df).where("op = 'save'").select("package")
-        store.write(after, {producer} | owners(before, extract(saved), gone), base, applied=fresh)
-
-    writer = events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="250 milliseconds")).start()
-
-
-def sources_changed(files: DataFrame, stored: str | None) -> tuple[bool, str]:
-    """Whether the sources' fingerprint differs from the stored one (none: it does), and the new one."""
-    now = fingerprint(files).first()[0]
-    return now != stored, now
-
-
-__all__ = ["diff_signatures"]
+    """Apply a stream of events to a store batch by batch: saved packages are extracted, once a batch, and replace their
+    subtrees; deleted ones lose theirs. The store notes the last batch of the stream with the version that it made, so a
+    batch that runs again after a failure changes nothing."""
+    stream = f"stream-{hashlib.md5(checkpoint.encode()).hexdigest()}"
+
+    def batch(df: DataFrame, number: int) -> None:
+        last = settle(df)
+        if last.isEmpty():
+            return
+        delta = extract(last.where("op = 'save'").select("package"))
+        delta = Snapshot(*(settle(getattr(delta, t)) for t in ("entities", "edges", "chunks")))
+        roots = last.select(F.concat(F.lit("asset:"), "package").alias("id"))
+
+        def change(base: dict) -> Snapshot | None:
+            if int(base.get(stream, -1)) >= number:
+                return None
+            before = store.at(base)
+            gone = settle(subtree(before.entities, roots))
+            after = patch(before, delta, producer, roots)
+            return store.write(after, {producer} | owners(before, delta, gone), base, **{stream: str(number)})
+
+        store.retried(change)
+
+    conf = store.spark.conf
+    usual = conf.get(_PROVIDER, None)
+    conf.set(_PROVIDER, _ROCKS)  # what this stream starts with; other streams keep the session's own
+    try:
+        writer = newest_events(events).writeStream.foreachBatch(batch).outputMode("update").option("checkpointLocation", checkpoint)
+        return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="250 milliseconds")).start()
+    finally:
+        conf.unset(_PROVIDER) if usual is None else conf.set(_PROVIDER, usual)
