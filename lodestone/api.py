@@ -65,10 +65,13 @@ class Engine:
     def drift(self, limit: int = 200, six: bool = False) -> DataFrame:
         return intent.drift(*self._tables, limit, six)
 
-    def doctor(self) -> DataFrame:
-        """check, n, ok: the tables' health, the version of the schema, the text index against the chunks, and the verdict
-        (n: problems)."""
-        return stats.verdict(stats.doctor(*self._tables).unionByName(stats.upkeep(self.state.chunks, self.index.lengths, self.meta.get("version", VERSION))))
+    def doctor(self, now: str | None = None) -> DataFrame:
+        """check, n, ok: the tables' health, the version of the schema, the text index against the chunks, what the store
+        notes of its builds (and of the sources, if their fingerprint `now` is given), and the verdict (n: problems)."""
+        checks = stats.doctor(*self._tables).unionByName(stats.upkeep(self.state.chunks, self.index.lengths, self.meta.get("version", VERSION)))
+        if self.meta:
+            checks = checks.unionByName(stats.freshness(self.state.entities.sparkSession, self.meta, now))
+        return stats.verdict(checks)
 
     def envelope(self, answer: DataFrame | dict[str, DataFrame] | None, root: str = "", error: str = "") -> str:
         """{result, index, note?} or {error}. Answers are pages or capped parts, so they are small enough to collect."""

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import json
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..schema import FACT, TABLES
+from ..schema import FACT
 from .graph import class_of
 
 
@@ -102,8 +104,15 @@ def verdict(checks: DataFrame) -> DataFrame:
     return checks.unionByName(checks.agg(F.count_if(~F.col("ok")).alias("n")).select(F.lit("healthy").alias("check"), "n", (F.col("n") == 0).alias("ok")))
 
 
-def missing_tables(tables: dict[str, DataFrame]) -> list[str]:
-    return sorted(set(TABLES) - set(tables))
+def freshness(spark: SparkSession, meta: dict, now: str | None = None) -> DataFrame:
+    """check, n, ok by what the store notes: tables that its version should name and doesn't, whether the last build failed,
+    and, where the sources' fingerprint `now` is given, whether they have changed since the last good build."""
+    missing = sorted({"entities", "edges", "chunks"} - set(meta.get("tables", {})))
+    last = json.loads(meta.get("lastResult", "{}"))
+    rows = [("missing-tables", len(missing), not missing), ("failed-stages", len(last.get("failed", [])), last.get("ok", True))]
+    if now is not None:
+        rows.append(("sources-changed", int(meta.get("fingerprint") != now), meta.get("fingerprint") == now))
+    return spark.createDataFrame(rows, "check string, n long, ok boolean")
 
 
 # Classes that are counted but not listed, and words of classes that make the look of a level.

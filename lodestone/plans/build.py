@@ -289,14 +289,23 @@ def build(spark: SparkSession, root: str, store: Store, config: Config | None =
     counts = store.verify()
     result = Result(not failed, counts, seconds, read)
     notes |= {"fingerprint": now} if now and result.ok and not only else {}
-    note_run(store, result, failed, building="", **notes)
+    note_run(store, result, failed, "+".join(only) or "full", building="", **notes)
     return result
 
 
-def note_run(store: Store, result: Result, failed: list[str], **notes: str) -> None:
+def note_run(store: Store, result: Result, failed: list[str], kind: str = "full", **notes: str) -> None:
     """Keep the newest runs and the last result beside the index."""
-    runs = [*json.loads(store.meta().get("runs", "[]")), {"at": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), "seconds": result.seconds, "ok": result.ok}][-HISTORY:]
-    store.note(runs=json.dumps(runs), lastResult=json.dumps({"ok": result.ok, "counts": result.counts, "failed": failed}), **notes)
+    now = time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())
+    runs = [*json.loads(store.meta().get("runs", "[]")), {"at": now, "seconds": result.seconds, "ok": result.ok}][-HISTORY:]
+    last = {"at": now, "time": time.time(), "kind": kind, "ok": result.ok, "seconds": round(sum(result.seconds.values()), 3), "counts": result.counts, "failed": failed}
+    store.note(runs=json.dumps(runs), lastResult=json.dumps(last), **notes)
+
+
+def last_result(store: Store, since: float = 0.0) -> dict | None:
+    """What the last build noted as its last act, if that was at or after `since` (seconds of the epoch): who starts a build
+    as another process judges it by this, and not by what an earlier one has left."""
+    last = json.loads(store.meta().get("lastResult", "{}"))
+    return last if last and last.get("time", 0.0) >= since else None
 
 
 def check_sources(spark: SparkSession, root: str, store: Store, config: Config | None = None) -> Result | None:

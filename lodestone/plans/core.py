@@ -196,8 +196,19 @@ _NAMED = lambda *words: RERANKED.replace("'small'", f"'{words[0]}'").replace("'r
 query("search_any_word", f"{_hits_sql(['steel', 'urgent'], 'or')}, {_NAMED('steel', 'urgent')} SELECT * FROM final ORDER BY score, id LIMIT 20", "entities", "edges", "chunks")(lambda p: _search(p, "steel urgent"))
 query("search_beginnings", f"{_hits_sql(['urge', 'orde'], 'prefix')}, {_NAMED('urge', 'orde')} SELECT * FROM final ORDER BY score, id LIMIT 20", "entities", "edges", "chunks")(lambda p: _search(p, "urge orde"))
 query("search_stemmed")(lambda p: _top(search.rank_chunks(_chunk_index(p, True), "orders rings", "and")))
-query("search_snippet")(lambda p: search.snippets(_top(search.rank_chunks(_documents_index(p), "achung achein", "or")), p.chunks.select(F.concat(F.lit("c:"), F.substring_index("entity_id", ":", -1)).alias("id"), "text", "kind").where("kind = 'doc-section' and text is not null"), "achung achein").select("chunk_id", "snippet"))
-query("explain_bundle")(lambda p: search.explain(_chunk_index(p), p.stored("entities"), p.edges_by("dst"), p.stored("chunks"), "small ring"))
+_WORDS_AT = "SELECT chunk_id, list_transform(w, lambda x: CASE WHEN len(list_intersect(" + TERMS.format("x") + ", ['achung', 'achein'])) > 0 THEN '[' || x || ']' ELSE x END) AS m FROM (SELECT chunk_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM top JOIN documents ON chunk_id = 'c:' || CAST(doc_id AS VARCHAR)) y"
+query(
+    "search_snippet",
+    f"""WITH {_bm25(['achung', 'achein'], 'or')}, top AS ({TOP}), m AS ({_WORDS_AT}), f AS (SELECT chunk_id, m, greatest(coalesce(list_position(list_transform(m, lambda x: starts_with(x, '[')), true), 0), 1) AS first FROM m), g AS (SELECT chunk_id, m, greatest(first - 4, 1) AS start FROM f)
+    SELECT chunk_id, CASE WHEN start > 1 THEN '... ' ELSE '' END || array_to_string(m[start:start + 11], ' ') || CASE WHEN len(m) > start + 11 THEN ' ...' ELSE '' END AS snippet FROM g""",
+)(lambda p: search.snippets(_top(search.rank_chunks(_documents_index(p), "achung achein", "or")), p.chunks.select(F.concat(F.lit("c:"), F.substring_index("entity_id", ":", -1)).alias("id"), "text", "kind").where("kind = 'doc-section' and text is not null"), "achung achein").select("chunk_id", "snippet"))
+_SEEDS = f"""{_hits_sql(['small', 'ring'])}, {RERANKED.replace('LIMIT 60', 'LIMIT 72')}, page AS (SELECT * FROM final ORDER BY score, id LIMIT 24), turns AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY kind ORDER BY score, id) > 2 THEN 1 ELSE 0 END AS late FROM page), seeds AS (SELECT id, kind, name FROM turns ORDER BY late, score, id LIMIT 8)"""
+query(
+    "explain_bundle",
+    f"""{_SEEDS}, near AS (SELECT src AS seed, dst AS id FROM edges UNION SELECT dst, src FROM edges), around AS (SELECT seed, id FROM near WHERE seed IN (SELECT id FROM seeds) QUALIFY row_number() OVER (PARTITION BY seed ORDER BY id) <= 200), fresh AS (SELECT id, min(seed) AS seed FROM around WHERE id NOT IN (SELECT id FROM seeds) GROUP BY id)
+    SELECT 'seed' AS role, id, kind, name, id AS seed FROM seeds UNION ALL SELECT 'neighbour', e.id, e.kind, e.name, f.seed FROM fresh f JOIN entities e ON e.id = f.id""",
+    "entities", "edges", "chunks",
+)(lambda p: search.explain(_chunk_index(p), p.stored("entities"), p.edges_by("dst"), p.stored("chunks"), "small ring"))
 
 ATTRS = """'{{"confidence":"{0}","via":"' || {1} || '"}}'"""
 query(

@@ -11,7 +11,7 @@ from ..schema import validate
 from ..sources import files
 from ..sources.projection import Project
 from ..streaming import changes
-from .core import CAMEL, _html_sql, query
+from .core import CAMEL, SQL, _html_sql, query
 
 PAGE_TEXT = f"SELECT page_id AS doc, {_html_sql()} AS text FROM pages"
 
@@ -32,7 +32,14 @@ def _markdown(p: Project) -> DataFrame:
     return _page_sections(p)
 
 
-query("section_slugs")(lambda p: markup.section_slugs(_page_sections(p)).select("doc", "section", "slug"))
+_BASE = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(heading), '[ _-]+', '-', 'g'), '[^\p{L}\p{N}-]+', '', 'g'), '-{2,}', '-', 'g'), '-')"
+query(
+    "section_slugs",
+    f"""WITH m AS ({SQL['markdown_sections']}), b AS (SELECT doc, section, CASE WHEN level = 0 THEN 'overview' WHEN {_BASE} = '' THEN 'section' ELSE {_BASE} END AS base FROM m),
+    n AS (SELECT *, row_number() OVER (PARTITION BY doc, base ORDER BY section) AS turn FROM b), s AS (SELECT doc, section, base, CASE WHEN turn = 1 THEN base ELSE base || '-' || CAST(turn AS VARCHAR) END AS slug FROM n),
+    a AS (SELECT *, row_number() OVER (PARTITION BY doc, slug ORDER BY slug <> base, section) AS again FROM s)
+    SELECT doc, section, CASE WHEN again = 1 THEN slug ELSE slug || '-' || CAST(again AS VARCHAR) || '-' || CAST(section AS VARCHAR) END AS slug FROM a""",
+)(lambda p: markup.section_slugs(_page_sections(p)).select("doc", "section", "slug"))
 
 
 def _rules() -> str:

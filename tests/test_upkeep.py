@@ -3,10 +3,12 @@
 import json
 import os
 import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.__main__ import main
 from lodestone.api import Engine
 from lodestone.functions import text
 from lodestone.operators import search
@@ -167,7 +169,13 @@ def test_only_changed_files_are_read(spark, tmp_path):
     assert checked.ok and set(checked.seconds) == {build.CODE} and build.check_sources(spark, str(root), home) is None
     ids = {r["id"] for r in home.open().entities.collect()}
     assert "cpp:Ship::Moor" in ids and not answers(Engine.open(home), "yet")
+    checks = lambda: {r["check"]: r["ok"] for r in Engine.open(home).doctor(build.sources_fingerprint(spark, str(root), Config.read(spark, str(root)))).collect()}
+    assert checks()["sources-changed"] is False and checks()["missing-tables"] and not checks()["healthy"]
+    began = time.time()
+    assert build.last_result(home, began) is None and build.last_result(home)["kind"] == build.CODE
     third = build.build(spark, str(root), home)
+    assert build.last_result(home, began)["ok"] and checks()["sources-changed"] and checks()["healthy"]
+    assert main(["doctor", home.path]) == 0 and main(["search", home.path, "--query", "yet"]) == 0 and main(["check", home.path, str(root)]) == 0
     assert third.read[build.DOCS] == 1 and answers(Engine.open(home), "yet")
 
 
