@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, materialize, prefix_offsets, shuffle_partitions
@@ -27,6 +27,13 @@ def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, rows = int(ends[-1]) if n else before, rows + n
 
 
+def shard_of(start: Column, size: Column, total: int, n_shards: int) -> Column:
+    """The shard of n in which the middle of the bytes from start lies; whole numbers of 38 digits, exact for any total."""
+    middle = (start.cast("decimal(20,0)") * 2 + size).cast("decimal(22,0)") * n_shards
+    rest = middle % F.lit(max(1, 2 * total)).cast("decimal(22,0)")
+    return F.least(((middle - rest) / F.lit(max(1, 2 * total)).cast("decimal(22,0)")).cast("int"), F.lit(n_shards - 1))
+
+
 def shard_by_bytes(df: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Contiguous shards of near equal bytes, in ascending order of id.
 
@@ -50,8 +57,7 @@ def shard_by_bytes(df: DataFrame, n_shards: int = 8, id_col: str = "doc_id", tex
     total = sum(r["bytes"] for r in totals)
     before = spark.createDataFrame(prefix_offsets([tuple(r) for r in totals]), "part int, bytes_before long, rows_before long")
     start = F.col("start") + F.col("bytes_before")
-    cut = F.floor((2 * start + F.col("size")) * n_shards / F.lit(2 * total)) if total > 1 << 52 else F.expr(f"((2 * (start + bytes_before) + size) * {n_shards}L) div {max(1, 2 * total)}L")
-    dealt = placed.join(F.broadcast(before), "part").select(*keys, F.least(cut.cast("int"), F.lit(n_shards - 1)).alias("shard"), (F.col("row") + F.col("rows_before")).alias("row"))
+    dealt = placed.join(F.broadcast(before), "part").select(*keys, shard_of(start, F.col("size"), total, n_shards).alias("shard"), (F.col("row") + F.col("rows_before")).alias("row"))
     first = {r["shard"]: r["first"] for r in dealt.groupBy("shard").agg(F.min("row").alias("first")).collect()}
     firsts = F.lit(0).cast("long")
     for shard, row in first.items():

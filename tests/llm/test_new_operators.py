@@ -8,8 +8,9 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from lodestone.llm import fill_middle, simhash, spelling
+from lodestone.llm import fill_middle, sharding, simhash, spelling
 from lodestone.llm.common import materialize
 
 ODD = ["", None, " \t\n", "a", " A  b", "A b\nC", "ünï 中文 😀 d", "\t x y z w v \r\n", "x" * 9000, "word " * 4000, "same text here", "same text here", "SAME text\there"]
@@ -217,3 +218,15 @@ def test_fill_in_middle(spark, monkeypatch, step):
     told = sorted((str(r["doc_id"]), r["restored_sha256"]) for r in fill_middle.digests(rows).collect())
     assert told == sorted((str(i), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in zip(ids, texts))
     assert fill_middle.fill_in_middle(nothing(spark)).count() == 0
+
+
+# --- sharding of more bytes than a double can count
+
+
+def test_cuts_are_exact_at_any_size(spark):
+    random.seed(8)
+    for total in (1, 997, 1 << 40, (1 << 53) + 1, 10**17 + 3):
+        rows = [(s, z) for s, z in ((random.randrange(total), random.randrange(1, 10**6)) for _ in range(60))]
+        rows += [(total * k // 8 + d, 2) for k in range(8) for d in (-2, -1, 0, 1) if total * k // 8 + d >= 0]
+        got = spark.createDataFrame(rows, "start long, size long").select("start", "size", sharding.shard_of(F.col("start"), F.col("size"), total, 8).alias("shard")).collect()
+        assert all(r["shard"] == min(7, (2 * r["start"] + r["size"]) * 8 // (2 * total)) for r in got)
