@@ -103,6 +103,11 @@ def _asset(path: Column) -> Column:
     return F.concat(F.lit("asset:"), path)
 
 
+# The words, marks and order of what the summaries below say of an asset, an actor and a level, which readers
+# of an index know: "Triangles(LOD0)", "Material slots", "TwoSided", "mobility=", "Lighting & environment", the note on
+# actors that are counted but not listed, and so on.
+
+
 def texture_text(name: Column, tags: Column) -> Column:
     """The summary of a texture that isn't loaded, from its tags; null without dimensions."""
     size = dimensions(tags["Dimensions"])

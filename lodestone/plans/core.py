@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import html_title, html_to_text, index_terms, split_camel, word_tokens
 from ..operators import graph, intent, search, stats
 from ..schema import SEVERITY, project_entity
-from ..sources.projection import CHUNKS, EDGES, ENTITIES, SPARSE_EDGES, Project, statement
+from ..sources.projection import CHUNKS, EDGES, ENTITIES, Project, statement
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None, *needs: str):
     def register(f: Callable[[Project], DataFrame]) -> Callable:
         QUERIES[name] = lambda spark, sf_dir: f(Project(spark, sf_dir))
         if sql is not None:
-            parts = {"entities": ENTITIES, "edges": EDGES, "sparse": SPARSE_EDGES, "chunks": CHUNKS}
+            parts = {"entities": ENTITIES, "edges": EDGES, "chunks": CHUNKS}
             heads = [f"{n} AS ({statement(parts[n])})" for n in needs]
             body = sql.strip()
             recursive = body.startswith("RECURSIVE ")
@@ -40,7 +40,8 @@ CLASS = "coalesce(json_extract_string(detail, '$.class'), kind)"
 
 query("stats_kinds", "SELECT kind, count(*) AS n FROM entities GROUP BY kind", "entities")(lambda p: stats.kinds(p.entities))
 query("stats_edge_types", "SELECT type, count(*) AS n FROM edges GROUP BY type", "edges")(lambda p: stats.edge_types(p.edges))
-query("stats_unused", "SELECT id, kind, name FROM entities WHERE kind IN ('asset', 'blueprint') AND NOT EXISTS (SELECT 1 FROM sparse WHERE dst = id) ORDER BY id LIMIT 500", "entities", "sparse")(lambda p: stats.unused(p.entities, p.sparse_edges))
+# What stands in a level isn't a use of it.
+query("stats_unused", "SELECT id, kind, name FROM entities WHERE kind IN ('asset', 'blueprint') AND NOT EXISTS (SELECT 1 FROM edges WHERE dst = id AND type <> 'placed-in-level') ORDER BY id LIMIT 500", "entities", "edges")(lambda p: stats.unused(p.entities, p.edges.where("type <> 'placed-in-level'")))
 query("stats_largest_deps", "SELECT id, kind, name, n FROM (SELECT src, count(*) AS n FROM edges GROUP BY src) d JOIN entities ON id = src ORDER BY n DESC, id LIMIT 50", "entities", "edges")(lambda p: stats.largest_dependencies(p.entities, p.edges))
 query("stats_authority", "SELECT coalesce(authority, 'extracted-fact') AS authority, count(*) AS n FROM entities GROUP BY 1", "entities")(lambda p: stats.authority(p.entities))
 query("stats_doc_types", "SELECT coalesce(json_extract_string(detail, '$.docType'), 'other') AS doc_type, count(*) AS n FROM entities WHERE kind = 'document' GROUP BY 1", "entities")(lambda p: stats.doc_types(p.entities))

@@ -68,7 +68,6 @@ _TREE = " UNION ALL ".join([
     _edge(_id("nation", "n_nationkey"), _id("region", "n_regionkey"), "'inherits'", "{nation}"),
 ])
 EDGES = " UNION ALL ".join([_edge(_ORDER, _id("part", "l_partkey"), _USES, _LINES, True), _edge(_ORDER, _id("customer", "o_custkey"), "'placed-in-level'", "{orders}"), _TREE])
-SPARSE_EDGES = _edge(_ORDER, _id("part", "l_partkey"), _USES, _LINES + " WHERE l_linenumber = 1 AND l_discount = 0.1", True)
 
 NOTES = """SELECT 'doc:order/' || CAST(o_orderkey AS STRING) || '#note' AS id, 'Order placed in ' || n_name || ' for asset:/Game/part/' || CAST(o_orderkey % 2000 AS STRING) || ' with o_totalprice = ' || CAST(CAST(o_totalprice + o_orderkey % 2 AS DECIMAL(18,2)) AS STRING) AS text
 FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey"""
@@ -85,7 +84,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 class Project:
-    """entities, edges, sparse_edges and chunks of the tables in a folder, all lazy; and the same as a stored index."""
+    """entities, edges and chunks of the tables in a folder, all lazy; and the same as a stored index."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -104,10 +103,6 @@ class Project:
     def edges(self) -> DataFrame:
         return validate(self._sql(EDGES), "edges")
 
-    @property
-    def sparse_edges(self) -> DataFrame:
-        return validate(self._sql(SPARSE_EDGES), "edges")
-
     @property
     def chunks(self) -> DataFrame:
         rows = self._sql(CHUNKS)
