@@ -296,11 +296,12 @@ def render_graphs(nodes: DataFrame, pins: DataFrame) -> DataFrame:
 
 
 def blueprint_structure(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entities and edges of script members (package, member, name, type, ref): functions, variables and components are
-    children; calls, references, implements and binds-input come from `ref`."""
+    """Entities and edges of script members (package, member, name, type, ref, and value where defaults are known):
+    functions, variables and components are children; calls, references, implements and binds-input come from `ref`."""
+    members = members if "value" in members.columns else members.withColumn("value", F.lit(None).cast("string"))
     id = F.concat(F.lit("asset:"), F.col("package"))
     part = {"function": "::", "variable": "::var::", "component": "::comp::"}
-    rows = [members.where(F.col("member") == m).select(*entity(F.concat(id, F.lit(sep), F.col("name")), f"bp-{m}", F.col("name"), F.col("package"), "asset", id, detail=F.to_json(F.struct("type")))) for m, sep in part.items()]
+    rows = [members.where(F.col("member") == m).select(*entity(F.concat(id, F.lit(sep), F.col("name")), f"bp-{m}", F.col("name"), F.col("package"), "asset", id, detail=F.to_json(F.struct("type", F.col("value").alias("default"))))) for m, sep in part.items()]
     kinds = {"call": "calls", "reference": "references", "interface": "implements", "input": "binds-input"}
     edges = [members.where(F.col("member") == m).select(*edge(id, F.col("ref"), t)) for m, t in kinds.items()]
     return reduce(DataFrame.unionByName, rows), reduce(DataFrame.unionByName, edges).distinct()

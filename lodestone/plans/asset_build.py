@@ -27,7 +27,7 @@ SCHEMA = (
     "mappings array<struct<seq:long,action:string,key:string,modifiers:array<string>,triggers:array<string>>>, "
     "facts struct<bones:long,row_struct:string,n_rows:long,value_type:string>, props string, defaults string, "
     f"actors array<struct<actor:string,label:string,class:string,class_package:string,location:string,light:{_LIGHT},mesh:string,props:string,defaults:string>>, "
-    "members array<struct<member:string,name:string,type:string,ref:string>>"
+    "members array<struct<member:string,name:string,type:string,ref:string,value:string>>"
 )
 # The classes that a recipe loads, and the column that holds what it loaded. Others are told by their tags.
 LOADED = {

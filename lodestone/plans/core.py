@@ -136,6 +136,8 @@ def _count_sql(column: str, word: str, mode: str) -> str:
     """How often a list of terms has a word; one with underscores is a phrase, in `prefix` the last part is a beginning."""
     parts = word.split("_")
     test = lambda x, w, last: f"starts_with({x}, '{w}')" if mode == "prefix" and last else f"{x} = '{w}'"
+    if "|" in word:  # the forms of one stem
+        return f"len(list_filter({column}, lambda x: x IN ({', '.join(repr(w) for w in word.split('|'))})))"
     if len(parts) == 1:
         return f"len(list_filter({column}, lambda x: {test('x', word, True)}))"
     each = " AND ".join(test(f"{column}[i + {k}]", w, k == len(parts) - 1) for k, w in enumerate(parts))
@@ -196,7 +198,8 @@ query("search_rerank", f"{_hits_sql(['small', 'ring'])}, {RERANKED} SELECT * FRO
 _NAMED = lambda *words: RERANKED.replace("'small'", f"'{words[0]}'").replace("'ring'", f"'{words[-1]}'")
 query("search_any_word", f"{_hits_sql(['steel', 'urgent'], 'or')}, {_NAMED('steel', 'urgent')} SELECT * FROM final ORDER BY score, id LIMIT 20", "entities", "edges", "chunks")(lambda p: _search(p, "steel urgent"))
 query("search_beginnings", f"{_hits_sql(['urge', 'orde'], 'prefix')}, {_NAMED('urge', 'orde')} SELECT * FROM final ORDER BY score, id LIMIT 20", "entities", "edges", "chunks")(lambda p: _search(p, "urge orde"))
-query("search_stemmed")(lambda p: _top(search.rank_chunks(_chunk_index(p, True), "orders rings", "and")))
+_STEMS = [f"{w}|{w}s|{w}ed|{w}ing|{w}ings|{w}e|{w}es" for w in ("order", "ring")]  # forms that end in what stemming takes off
+query("search_stemmed", f"WITH {_bm25(_STEMS, 'and', source=_CHUNK_TERMS.replace('{', '{{').replace('}', '}}'))} {TOP}", "chunks")(lambda p: _top(search.rank_chunks(_chunk_index(p, True), "orders rings", "and")))
 _WORDS_AT = "SELECT chunk_id, list_transform(w, lambda x: CASE WHEN len(list_intersect(" + TERMS.format("x") + ", ['achung', 'achein'])) > 0 THEN '[' || x || ']' ELSE x END) AS m FROM (SELECT chunk_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM top JOIN documents ON chunk_id = 'c:' || CAST(doc_id AS VARCHAR)) y"
 query(
     "search_snippet",

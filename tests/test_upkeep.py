@@ -207,7 +207,7 @@ def registry_rows():
         {"package": "/Game/S_Hull", "name": "S_Hull", "class": "StaticMesh", "sig": "1", "mesh": {"lods": 2, "triangles": 90, "materials": ["/Game/M_Red"]}, "deps": ["/Game/M_Red", "/Engine/X"]},
         {"package": "/Game/M_Red", "name": "M_Red", "class": "Material", "sig": "1", "material": {"blend": "Opaque", "two_sided": False, "textures": [{"param": "Base", "texture": "/Game/T_Red"}]}},
         {"package": "/Game/T_Red", "name": "T_Red", "class": "Texture2D", "sig": "1", "tags": {"Dimensions": "64x32"}},
-        {"package": "/Game/BP_Boat", "name": "BP_Boat", "class": "Blueprint", "sig": "1", "tags": {"NativeParentClass": "Class'/Script/Port.Ship'"}, "members": [{"member": "function", "name": "Sail"}, {"member": "interface", "ref": "cpp:Floating"}]},
+        {"package": "/Game/BP_Boat", "name": "BP_Boat", "class": "Blueprint", "sig": "1", "tags": {"NativeParentClass": "Class'/Script/Port.Ship'"}, "members": [{"member": "function", "name": "Sail"}, {"member": "variable", "name": "Knots", "type": "int", "value": "12"}, {"member": "interface", "ref": "cpp:Floating"}]},
         {"package": "/Game/Bank", "name": "Bank", "class": "SoundBank", "sig": "1", "props": '{"Voices": 8, "Mix": {"Gain": 0.5}}', "defaults": '{"Voices": 2}'},
         {"package": "/Game/Far/S_Rock", "name": "S_Rock", "class": "StaticMesh", "sig": "1", "mesh": {"lods": 1, "triangles": 5, "materials": []}, "tags": {"Size": "small"}},
         {"package": "/Engine/Y", "name": "Y", "class": "StaticMesh", "sig": "1"},
@@ -228,6 +228,7 @@ def test_assets_levels_and_scripts_in_the_build(spark, tmp_path):
     kinds = {r["id"]: (r["kind"], r["producer"]) for r in state.entities.collect()}
     assert kinds["asset:/Game/Port"] == ("asset", "registry@1") and kinds["asset:/Game/BP_Boat"] == ("blueprint", "registry@1") and "asset:/Engine/Y" not in kinds
     assert kinds["asset:/Game/Port::actor::Lamp1"] == ("level-actor", "assets@1") and kinds["asset:/Game/BP_Boat::Sail"] == ("bp-function", "scripts@1")
+    assert {r["id"]: r["detail"] for r in state.entities.collect()}["asset:/Game/BP_Boat::var::Knots"] == '{"type":"int","default":"12"}'
     edges = {(r["src"], r["dst"], r["type"], r["attrs"]) for r in state.edges.collect()}
     boat = "asset:/Game/Port::actor::Boat1"
     assert {
