@@ -422,9 +422,12 @@ class Store:
         also where other writers are in the way: their versions stay, and it is applied to the newest."""
         delta = Snapshot(*(settle(getattr(delta, t)) for t in STORED))
         roots = None if roots is None else settle(roots)
+        bare = mode != "delta" and all(getattr(delta, t).isEmpty() for t in STORED)
 
         def change(base: dict) -> Snapshot:
             before = self.at(base)
+            if bare and not any({"*", json.dumps(producer)} & set(base["tables"][t]) for t in STORED):
+                return before  # nothing of this producer, before or after
             after = apply_extract(before, producer, delta, mode, roots)
             return before if after is before else self.write(after, {producer} | owners(before, delta, None), base, **meta)
 

@@ -313,8 +313,7 @@ def check_sources(spark: SparkSession, root: str, store: Store, config: Config |
     watching is switched off, there is no index, code was never extracted, or a build is running."""
     config, meta = config or Config.read(spark, root), store.meta()
     began = float(meta.get("building") or 0)
-    known = any(p in ("*", json.dumps(CODE)) for p in meta.get("tables", {}).get("entities", {}))
-    if not config.watch or not known or time.time() - began < LONGEST_BUILD:
+    if not config.watch or "codeFingerprint" not in meta or time.time() - began < LONGEST_BUILD:
         return None
     if meta.get("codeFingerprint") == code_fingerprint(spark, root, config):
         return None
