@@ -22,8 +22,8 @@ WINDOW, SEED, STEP = 8, 6, 3
 #: A document is contaminated by an item of whose words this share is found, or of which one alignment holds so many
 #: windows (13 words and more); template windows need so many words that aren't placeholders.
 COVERAGE, LONG_RUN, LITERALS = 0.5, 6, 4
-#: Rows of item windows, and ids of documents to look into, that may be broadcast (40 and 16 bytes each).
-BROADCAST_ROWS = 1_000_000
+#: Bytes of item windows, and ids of documents to look into (16 bytes each), that may be broadcast.
+BROADCAST_BYTES, BROADCAST_ROWS = 64 << 20, 1_000_000
 
 NUMBER, UNIT, NAME, MARK = "\ue000", "\ue001", "\ue002", "\ue003"  # letters for private use; MARK stands before a name
 MARKS = f"array('{NUMBER}', '{UNIT}', '{NAME}')"
@@ -33,7 +33,7 @@ UNITS = "kg|g|mg|t|lb|lbs|oz|km|m|cm|mm|nm|mi|mile|miles|ft|feet|foot|inch|inche
 
 def _marked(text: Column) -> Column:
     """Lower case with names marked, decimal signs joined and units cut off their numbers; no word is lost or joined."""
-    named = F.regexp_replace(text, r"(?=\p{Lu}\p{Ll})(?<=[\p{L}\p{N},;:)]\s{1,16})", MARK)
+    named = F.regexp_replace(text, r"([\p{L}\p{N},;:)]\s++)(?=\p{Lu}\p{Ll})", "$1" + MARK)
     low = F.lower(named)
     numbers = F.regexp_replace(F.regexp_replace(low, "(?<=[0-9])[.,:/](?=[0-9])", "_"), r"([0-9])(?=[\p{L}%])", "$1 ")
     return F.when(low.rlike("[0-9]"), numbers).otherwise(low)
@@ -110,7 +110,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     # Where a window has no placeholder, its plain copy is enough.
     each = each.where(F.expr(f"plain or arrays_overlap(w, {MARKS})")).dropDuplicates(["item_id", "k", "at", "h1", "h2"])
     windows = materialize(each, "item-windows")
-    few = windows.count() <= BROADCAST_ROWS
+    size = F.expr("160 + 8 * size(q) + 16 * (size(w) + size(v)) + octet_length(concat_ws('', w, v))")
+    few = (windows.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES
     small = F.broadcast if few else lambda frame: frame
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")

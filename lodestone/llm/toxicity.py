@@ -1,8 +1,8 @@
 """Toxicity by compression distance: one zstandard dictionary is trained on toxic and one on ordinary text, and the
 compressed lengths of each window of a text under them are compared.
 
-So that one match is worth a whole word, texts are trained on and compressed as 8-byte codes of their words (lower case,
-letters only, the first STEM letters). A window's gain is its length under the ordinary dictionary less its length when
+So that one match is worth a whole word, texts are trained on and compressed as 8-byte codes of their words, numbers and
+signs (lower case, each of them whole; in scripts without spaces, each character). A window's gain is its length under the ordinary dictionary less its length when
 the toxic dictionary stands before the ordinary one: what toxic text explains of the window and ordinary text doesn't."""
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from .common import map_arrow, materialize, text_chunks, texts_of
 
 #: Labelled documents of either class that the dictionaries learn from at most (smallest id hashes), whole texts.
 SAMPLE_TOXIC, SAMPLE_ORDINARY = 3000, 6000
-STEM, WINDOW = 8, 24
+WINDOW = 24
 #: Bytes of a dictionary at most, and bytes of training text for each of them.
 TOXIC_BYTES, TOXIC_PER_BYTE, ORDINARY_BYTES, ORDINARY_PER_BYTE = 16 << 10, 16, 128 << 10, 8
 #: (k, d) of the trainings whose contents make the ordinary dictionary: the trainer counts in a hash table, where each
@@ -32,7 +32,10 @@ FILLER = 64
 THRESHOLD, HELD_OUT = 0.3, 2
 #: Bins of one unit of the logistic's argument, in which the F1 score is looked at.
 BINS = 256
-WORD = r"[^\W\d_]+"
+# The blocks of Unicode whose scripts put no spaces between words (Thai and Lao, Burmese, Khmer, Kana, Han).
+UNSPACED = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\U00020000-\U0003ffff"
+#: Characters of those scripts, words, numbers, runs of ASCII signs, and other signs one by one: all but white space.
+WORD = rf"[{UNSPACED}]|(?:(?![{UNSPACED}])[^\W\d_])+|\d+|[!-/:-@\[-`{{-~]+|[^\w\s]"
 
 
 class Coder:
@@ -43,12 +46,11 @@ class Coder:
     def codes(self, text: str) -> list[bytes]:
         out, memo = [], self.memo
         for word in self.find(text.lower()):
-            stem = word[:STEM]
-            code = memo.get(stem)
+            code = memo.get(word)
             if code is None:
-                code = xxhash.xxh64_digest(stem)
-                if len(memo) < self.limit:
-                    memo[stem] = code
+                code = xxhash.xxh64_digest(word)
+                if len(memo) < self.limit and len(word) <= 48:
+                    memo[word] = code
             out.append(code)
         return out
 
@@ -59,14 +61,15 @@ class Coder:
 
 
 def train(samples: list[bytes], most: int, per_byte: int, passes: tuple[tuple[int, int], ...]) -> bytes:
-    """The dictionaries that the library trains on the samples with each (k, d), joined; too small samples themselves."""
+    """The dictionaries that the library trains on the samples with each (k, d), joined;
+    of samples that are too few for the library, all of their different codes."""
     total = sum(map(len, samples))
     size = max(512, min(most, total // per_byte))
     filler = np.random.default_rng(5).bytes(8 * max(FILLER, total * FILLER * 4 // size))
     try:
         return b"".join(zstandard.train_dictionary(size, [filler, *samples], k=k, d=d, f=24).as_bytes() for k, d in passes)
     except zstandard.ZstdError:
-        return b"".join(samples)[:most] or bytes(8)
+        return b"".join(dict.fromkeys(s[a : a + 8] for s in samples for a in range(0, len(s), 8))) or bytes(8)
 
 
 class Model:
@@ -224,7 +227,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame | None = None, model: Mode
     held_out: crc32 of the id as text, mod 4, is 2; such rows' labels are never read. score (0 to 1) is a calibrated
     logistic of the windows' gains over the whole text; predicted is 1 from THRESHOLD on. All texts become features in
     one pass where they lie; the features are written, calibrate the model and are scored. Null and empty texts, and
-    texts without letters, have the score of no evidence; repeated rows give repeated rows; an empty table gives none; a
+    texts of white space alone, have the score of no evidence; repeated rows give repeated rows; an empty table gives none; a
     null id is not held out."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if model is None:

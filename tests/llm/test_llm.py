@@ -351,6 +351,55 @@ def test_toxicity_is_calibrated_to_the_share_of_all_labels(spark, monkeypatch):
     assert sum(caught) > 0.35 * len(caught)
 
 
+def test_toxicity_reads_words_whole_and_every_script():
+    find = toxicity.Coder().find
+    assert find("hello wörld_x 中文字abc ひら 123 !!! 😀😀") == ["hello", "wörld", "_", "x", "中", "文", "字", "abc", "ひ", "ら", "123", "!!!", "😀", "😀"]
+    coder = toxicity.Coder()
+    assert len(set(coder.codes("abcdefghij abcdefghik " + "x" * 5000 + " " + "x" * 5001))) == 4
+    random.seed(11)
+    plain = "的一是不了人我在有他这中大来上个国到说们为子和你地出道也时年得就那要下以生会自着去之过家学对可她里后"
+    samples, toxic = [], []
+    for i in range(600):
+        signs = [random.choice(plain) for _ in range(60)]
+        if i % 3 == 0:
+            for place in random.sample(range(60), 4):
+                signs[place] = random.choice("滚蛋🤬💩")
+        samples.append(coder.distinct("".join(signs)))
+        toxic.append(int(i % 3 == 0))
+    scorer = toxicity.dictionaries(samples, toxic).scorer()
+    bad, good = plain[:20] + "滚蛋🤬💩" + plain[20:40], plain[:44]
+    assert max(scorer.gains(bad)) > max(scorer.gains(good)) and scorer.features("")[1:] == [0.0] * 4
+
+
+def test_toxicity_scores_by_compressed_lengths(spark):
+    """The features and the score again, plainly: each window compressed by itself under either dictionary."""
+    import zstandard
+    from xxhash import xxh64_digest
+
+    random.seed(12)
+    words = [a + b for a in ("ba", "do", "ki", "lu", "ne") for b in ("rt", "sm", "nd", "lk", "st")]
+    texts = [" ".join(random.choices(words, k=random.randint(1, 200))) + random.choice(("", " vile!", " 7 vile 7")) for _ in range(60)]
+    coder = toxicity.Coder()
+    model = toxicity.dictionaries([coder.distinct(t) for t in texts], [int("vile" in t) for t in texts])
+    model.weights = [-2.0, 0.5, 0.25, 1.0, -0.1]
+    rules = zstandard.ZstdCompressionParameters(window_log=20, hash_log=20, chain_log=20, search_log=3, min_match=6, strategy=zstandard.STRATEGY_GREEDY, write_content_size=False)
+
+    def length(data, content):
+        held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(compression_params=rules, dict_data=held).compress(data))
+
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(documents(spark, texts), model=model).collect()}
+    ids = {r["text"]: r["doc_id"] for r in documents(spark, texts).collect()}
+    for text in texts:
+        codes = [xxh64_digest(w) for w in re.findall(toxicity.WORD, text.lower())]
+        windows = [b"".join(codes[a : a + toxicity.WINDOW]) for a in range(0, len(codes), toxicity.WINDOW)]
+        gains = [length(w, model.ordinary) - length(w, model.toxic + model.ordinary) for w in windows]
+        n = len(gains)
+        x = [1.0, sum(g for g in gains if g > 0) / n**0.5 / 4, sum(gains) / n, max(gains) / 8, np.log1p(n)]
+        z = sum(w * v for w, v in zip(model.weights, x))
+        assert abs(got[ids[text]] - 1 / (1 + np.exp(-z))) < 1e-12
+
+
 # --- HTML
 
 
@@ -468,6 +517,12 @@ def test_verbatim_copies_are_found_in_any_case_and_spacing(spark):
     assert got == {(0, 1), (1, 2), (2, 3), (3, 4), (4, 4), (5, 5), (6, 6)}
 
 
+def test_names_are_marked_after_any_white_space(spark):
+    texts = ["at the Bergen quay, Ann\tBo X Yy Z", ("at the Bergen quay, Ann\tBo X Yy Z").replace(" ", " " * 40).replace("\t", "\n" * 5000)]
+    one, wide = (r["t"] for r in decontaminate.template_words(documents(spark, texts)).orderBy("doc_id").collect())
+    assert one == wide and one.count(decontaminate.NAME) == 4
+
+
 def test_template_words_stay_in_step(spark):
     texts = [*ODD, ITEM, "3.5kg,4%;7:30 Mr Smith's 2nd 10,000 l", "É À Ça Va"]
     got = decontaminate.template_words(documents(spark, texts)).selectExpr("size(t) = size(r) as same").collect()
