@@ -11,6 +11,41 @@ from lodestone.plans import registry
 DATA = "/root/testdata/sf0.001"
 
 
+def _chunks(spark):
+    rows = [("c1", "e1", "The order of rings", "Big Gun"), ("c2", "e2", "order order rings_order", None), ("c3", "e3", "ordered ringing of the", "order"), ("c4", "e4", "", ""), ("c5", "e5", None, "rings"), ("c6", "e6", "Of the sea", None)]
+    return spark.createDataFrame([(i, e, "doc-section", t, a) for i, e, t, a in rows], "id string, entity_id string, kind string, text string, aux string")
+
+
+@pytest.mark.parametrize("query, mode", [("order", "and"), ("order rings", "or"), ("rings_order the", "or"), ("of_th ri", "prefix"), ("nothing", "or"), ("", "and")])
+@pytest.mark.parametrize("stemmed", [False, True])
+def test_texts_answer_as_their_index(spark, query, mode, stemmed):
+    chunks = _chunks(spark).where("text is not null")
+    told = lambda df: sorted((r["chunk_id"], round(r["score"], 9)) for r in df.collect())
+    assert told(search.rank_chunks(search.Texts(chunks, stemmed), query, mode)) == told(search.rank_chunks(search.Index.build(chunks, stemmed), query, mode))
+
+
+def test_a_null_text_counts_without_a_length(spark):
+    chunks = _chunks(spark)
+    told = lambda df: sorted((r["chunk_id"], round(r["score"], 9)) for r in df.collect())
+    assert told(search.rank_chunks(search.Texts(chunks), "order")) == told(search.rank_chunks(search.Index.build(chunks), "order"))
+
+
+def test_terms_are_found_once_a_pass(spark):
+    ranked = search.rank_chunks(search.Texts(_chunks(spark)), "rings_order of", "or")
+    plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if "Filter" in line]
+    assert not any("regexp_extract_all" in line for line in filters)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_a_registered_search_makes_no_index(spark, monkeypatch):
+    def never(*_):
+        raise AssertionError("an index was made")
+
+    monkeypatch.setattr(search.Index, "build", never)
+    assert registry.queries()["bm25_or"](spark, DATA).count() == 20
+
+
 def test_a_walk_ends_where_the_page_is_full(spark, monkeypatch):
     edges = spark.createDataFrame([(f"n{i}", "root", "references") for i in range(4)] + [("far", "n0", "references"), ("farther", "far", "references")], "src string, dst string, type string")
     entities = spark.createDataFrame([(i, "asset", i) for i in ("root", "n0", "n1", "n2", "far", "farther")], "id string, kind string, name string")
