@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_distinctive, word_tokens
 from ..schema import INTENT_KINDS
+from .lineage import settle
 
 ID_PATTERN = r"((?:asset|cpp|config):[A-Za-z0-9_/:.#-]*[A-Za-z0-9_])"
 MOST_TARGETS = 3
@@ -27,10 +28,16 @@ def explicit_links(entities: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def inferred_links(entities: DataFrame, chunks: DataFrame) -> DataFrame:
     """src, dst, type, attrs: distinctive names, of MOST_TARGETS entities at most, that a text has as a whole word."""
-    targets = entities.where(~F.col("kind").isin(*INTENT_KINDS)).where(is_distinctive(F.col("name"))).select(F.col("name").alias("word"), F.col("id").alias("dst"))
+    # Only distinctive words can be such a name. Names are looked up in the vocabulary of the texts, not in the texts: a word
+    # that stands in every text and names nothing goes before any text is joined, and a name is counted only if it stands somewhere.
+    odd = lambda w: (F.length(w) >= 5) & w.rlike(r"_|\p{Lu}.*\p{Lu}") & is_distinctive(w)  # noqa: E731  most words fail the cheap tests
+    words = settle(chunks.select(F.col("entity_id").alias("src"), F.explode_outer(F.filter(F.array_distinct(word_tokens(F.col("text"))), odd)).alias("word")).where("word is not null"))
+    vocabulary = settle(words.select("word").distinct())
+    named = entities.where(~F.col("kind").isin(*INTENT_KINDS)).where(is_distinctive(F.col("name"))).select(F.col("name").alias("word"), F.col("id").alias("dst"))
+    targets = settle(named.join(vocabulary, "word", "left_semi"))
     rare = targets.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") <= MOST_TARGETS).select("word")
-    words = intent_texts(entities, chunks).select(F.col("id").alias("src"), "kind", F.explode(F.array_distinct(word_tokens(F.col("text")))).alias("word")).distinct()
-    found = words.join(targets.join(rare, "word", "left_semi"), "word").where("src <> dst")
+    met = words.join(settle(targets.join(rare, "word", "left_semi")), "word").where("src <> dst")
+    found = met.join(entities.where(F.col("kind").isin(*INTENT_KINDS)).select(F.col("id").alias("src"), "kind"), "src")
     out = found.groupBy("src", "dst").agg(F.min("word").alias("word"), F.min("kind").alias("kind"))
     return out.select("src", "dst", F.when(F.col("kind") == "image", "illustrates").otherwise("describes").alias("type"), F.to_json(F.struct(F.lit("inferred").alias("confidence"), F.col("word").alias("via"))).alias("attrs"))
 
@@ -49,20 +56,22 @@ def build_links(entities: DataFrame, chunks: DataFrame) -> DataFrame:
     return found.groupBy("src", "dst").agg(F.min_by(F.struct("type", "attrs"), "turn").alias("x")).select("src", "dst", "x.type", "x.attrs")
 
 
-def coverage(entities: DataFrame, edges: DataFrame, doc_type: str = "", limit: int = 500) -> DataFrame:
-    """For each document: n_sections, n_linked (with a describes edge) and missing (names of the others, joined)."""
+def coverage(entities: DataFrame, edges: DataFrame, doc_type: str = "", limit: int | None = 500) -> DataFrame:
+    """For each document: n_sections, n_linked (with a describes edge) and missing (names of the others, joined); all of them
+    (None) in no order."""
     linked = edges.where("type = 'describes'").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("links"))
     sections = entities.where("kind = 'doc-section'").select("id", "name", F.col("parent").alias("doc")).join(linked, "id", "left")
     by_doc = sections.groupBy("doc").agg(F.count("*").alias("n_sections"), F.count("links").alias("n_linked"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("links").isNull(), F.col("name")))), "|").alias("missing"))
     docs = entities.where("kind = 'document'").select(F.col("id").alias("doc"), F.get_json_object("detail", "$.docType").alias("doc_type"))
     if doc_type:
         docs = docs.where(F.lower("doc_type") == doc_type.lower())
-    return docs.join(by_doc, "doc", "left").select("doc", "doc_type", F.coalesce("n_sections", F.lit(0)).alias("n_sections"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), F.coalesce("missing", F.lit("")).alias("missing")).orderBy("doc").limit(limit)
+    found = docs.join(by_doc, "doc", "left").select("doc", "doc_type", F.coalesce("n_sections", F.lit(0)).alias("n_sections"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), F.coalesce("missing", F.lit("")).alias("missing"))
+    return found if limit is None else found.orderBy("doc").limit(limit)
 
 
 def coverage_summary(entities: DataFrame, edges: DataFrame, doc_type: str = "") -> DataFrame:
     """One row over all documents, whatever the limit of the list."""
-    return coverage(entities, edges, doc_type, 2**31 - 1).agg(F.count("*").alias("documents"), F.sum("n_sections").alias("sections"), F.sum("n_linked").alias("linked"))
+    return coverage(entities, edges, doc_type, None).agg(F.count("*").alias("documents"), F.sum("n_sections").alias("sections"), F.sum("n_linked").alias("linked"))
 
 
 def six_digits(number: Column) -> Column:
@@ -101,9 +110,10 @@ def values_differ(a, b):
     return F.when(x.isNotNull() & y.isNotNull(), F.abs(x - y) > 1e-6).otherwise(F.lower(a) != F.lower(b))
 
 
-def drift(entities: DataFrame, edges: DataFrame, chunks: DataFrame, limit: int = 200, six: bool = False) -> DataFrame:
+def drift(entities: DataFrame, edges: DataFrame, chunks: DataFrame, limit: int | None = 200, six: bool = False) -> DataFrame:
     """Where a section's text states key = value or key: value of what it describes, and the value differs: src, dst, key,
-    stated, actual. Of several section chunks of one source, the one with the smallest id speaks.
+    stated, actual. Of several section chunks of one source, the one with the smallest id speaks. In order up to the limit;
+    all of them (None) come in no order, since one task would hold them.
 
     With `six`, actual numbers are taken as they are shown, with six digits, so that a longer one that is stated exactly
     counts as different too."""
@@ -113,4 +123,5 @@ def drift(entities: DataFrame, edges: DataFrame, chunks: DataFrame, limit: int =
     facts = json_scalars(detailed, "detail", six).select("dst", "key", F.col("value").alias("actual")).where(F.length("key") >= 3)
     told = edges.where("type = 'describes'").select("src", "dst").distinct().join(texts, "src").join(facts, "dst").where(F.contains(F.lower("text"), F.lower("key")))
     stated = F.expr(r"regexp_extract(text, concat('(?i)\\Q', key, '\\E[ \\t]*[=:][ \\t]*([\\p{L}\\p{N}._#-]+)'), 1)")
-    return told.withColumn("stated", stated).where((F.col("stated") != "") & values_differ(F.col("stated"), F.col("actual"))).orderBy("src", "dst", "key").limit(limit).select("src", "dst", "key", "stated", "actual")
+    found = told.withColumn("stated", stated).where((F.col("stated") != "") & values_differ(F.col("stated"), F.col("actual"))).select("src", "dst", "key", "stated", "actual")
+    return found if limit is None else found.orderBy("src", "dst", "key").limit(limit)

@@ -232,4 +232,4 @@ def _drift_six(p: Project) -> DataFrame:
     entities = part.select(_id().alias("id"), F.expr(detail).alias("detail"))
     chunks = part.select(F.concat(F.lit("c"), _s("p_partkey")).alias("id"), F.concat(F.lit("doc:"), _s("p_partkey")).alias("entity_id"), F.lit("doc-section").alias("kind"), F.expr(told).alias("text"))
     edges = part.select(F.concat(F.lit("doc:"), _s("p_partkey")).alias("src"), _id().alias("dst"), F.lit("describes").alias("type"))
-    return intent.drift(entities, edges, chunks, 2**31 - 1, True)
+    return intent.drift(entities, edges, chunks, None, True)

@@ -59,3 +59,20 @@ def test_a_walk_ends_where_the_page_is_full(spark, monkeypatch):
     monkeypatch.setattr(graph, "IMPACT_CAP", 3)
     looked.clear()
     assert graph.impact_summary(entities, edges, "root").first()["total_dependents"] == 3 and len(looked) == 1
+
+
+def test_common_words_that_name_nothing_are_not_joined(spark):
+    entities = spark.createDataFrame([("a", "asset", "BigGun_A"), ("b1", "asset", "Many_X"), ("b2", "asset", "Many_X"), ("b3", "asset", "Many_X"), ("b4", "asset", "Many_X"), ("d1", "document", "One"), ("d2", "document", "Two")], "id string, kind string, name string")
+    chunks = spark.createDataFrame([("d1", "o_totalprice BigGun_A Many_X small"), ("d2", "o_totalprice"), ("a", "BigGun_A")], "entity_id string, text string")
+    links = intent.inferred_links(entities, chunks)
+    assert [(r["src"], r["dst"]) for r in links.collect()] == [("d1", "a")]
+    assert "regexp_extract_all" not in links._jdf.queryExecution().optimizedPlan().toString()  # words are found before, once
+
+
+def test_drift_without_limit_is_not_gathered(spark):
+    part = spark.range(3).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("id"))
+    entities = part.select("id", F.lit('{"size":1}').alias("detail"))
+    chunks = part.select("id", F.concat(F.lit("d"), "id").alias("entity_id"), F.lit("doc-section").alias("kind"), F.lit("size = 2").alias("text"))
+    edges = part.select(F.concat(F.lit("d"), "id").alias("src"), F.col("id").alias("dst"), F.lit("describes").alias("type"))
+    found = intent.drift(entities, edges, chunks, None)
+    assert found.count() == 3 and "Limit" not in found._jdf.queryExecution().optimizedPlan().toString()
