@@ -83,7 +83,9 @@ def _leaves(objects: DataFrame, column: str) -> DataFrame:
 def flatten_properties(objects: DataFrame) -> DataFrame:
     """Rows for property_diff() (owner, prop, value, default_value, ref_package) of objects whose properties and defaults are
     JSON texts (owner, props, defaults): one level of structures is opened, deeper ones and arrays are left out, and a value
-    that names a package of the project is told by its last name."""
+    that names a package of the project is told by its last name. JSON costs much for its bytes, so rows are dealt out before
+    it is read: a small file is one task otherwise."""
+    objects = objects.repartition("owner")
     own, usual = _leaves(objects, "props"), _leaves(objects, "defaults").withColumnRenamed("value", "default_value")
     named = own.join(usual, ["owner", "prop"], "left").withColumn("ref_package", package_of(F.col("value")))
     told = lambda c: F.coalesce(_last(package_of(F.col(c))), F.col(c)).alias(c)

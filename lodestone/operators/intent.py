@@ -120,6 +120,7 @@ def drift(entities: DataFrame, edges: DataFrame, chunks: DataFrame, limit: int |
     texts = chunks.where("kind = 'doc-section'").groupBy(F.col("entity_id").alias("src")).agg(F.min_by("text", "id").alias("text"))
     detailed = entities.where("detail is not null").select(F.col("id").alias("dst"), "detail")
     detailed = detailed.join(edges.where("type = 'describes'").select("dst").distinct(), "dst", "left_semi")
+    detailed = detailed.repartition("dst")  # JSON costs much for its bytes: the tasks of a small file would be few
     facts = json_scalars(detailed, "detail", six).select("dst", "key", F.col("value").alias("actual")).where(F.length("key") >= 3)
     told = edges.where("type = 'describes'").select("src", "dst").distinct().join(texts, "src").join(facts, "dst").where(F.contains(F.lower("text"), F.lower("key")))
     stated = F.expr(r"regexp_extract(text, concat('(?i)\\Q', key, '\\E[ \\t]*[=:][ \\t]*([\\p{L}\\p{N}._#-]+)'), 1)")

@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import graph, intent, search
+from lodestone.operators import assets, graph, intent, search
 from lodestone.plans import registry
 
 DATA = "/root/testdata/sf0.001"
@@ -76,3 +76,9 @@ def test_drift_without_limit_is_not_gathered(spark):
     edges = part.select(F.concat(F.lit("d"), "id").alias("src"), F.col("id").alias("dst"), F.lit("describes").alias("type"))
     found = intent.drift(entities, edges, chunks, None)
     assert found.count() == 3 and "Limit" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_json_of_a_small_file_is_dealt_out(spark):
+    objects = spark.range(8).coalesce(1).select(F.col("id").cast("string").alias("owner"), F.lit('{"Size":1}').alias("props"), F.lit('{"Size":2}').alias("defaults"))
+    plan = assets.flatten_properties(objects)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") >= 2
