@@ -5,8 +5,10 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import assets, graph, intent, search
-from lodestone.plans import registry
+from lodestone.functions import text
+from lodestone.operators import assets, graph, intent, lineage, search
+from lodestone.plans import core, registry
+from lodestone.sources.projection import Project
 
 DATA = "/root/testdata/sf0.001"
 
@@ -82,3 +84,41 @@ def test_json_of_a_small_file_is_dealt_out(spark):
     objects = spark.range(8).coalesce(1).select(F.col("id").cast("string").alias("owner"), F.lit('{"Size":1}').alias("props"), F.lit('{"Size":2}').alias("defaults"))
     plan = assets.flatten_properties(objects)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RepartitionByExpression") >= 2
+
+
+@pytest.mark.parametrize("query, mode", [("a_a", "or"), ("ab_a", "prefix"), ("a_b_a b", "and"), ("é", "prefix")])
+def test_texts_count_phrases_that_overlap_themselves(spark, query, mode):
+    chunks = spark.createDataFrame([("c1", "a a a b a b a", None), ("c2", "ab ab ab a,b--a b É é-éa", "a A"), ("c3", "..a", "b a"), ("c4", "", None)], "id string, text string, aux string")
+    told = lambda df: sorted((r["chunk_id"], round(r["score"], 9)) for r in df.collect())
+    assert told(search.rank_chunks(search.Texts(chunks), query, mode)) == told(search.rank_chunks(search.Index.build(chunks), query, mode))
+
+
+def test_words_of_a_stem_begin_as_it_does():
+    heads = ("relat", "hop", "hopp", "fil", "sensib", "happ", "activ", "pon", "control", "controll", "vietnam", "order", "ring", "valen", "form", "a", "tr", "conflat", "probat")
+    ends = ("", "s", "es", "ed", "ing", "ings", "e", "y", "ies", "ational", "ation", "ator", "ility", "ilities", "ibility", "ability", "ization", "izer", "iveness", "ivity", "fulness", "ency", "ancy", "ably", "ally", "ently", "ously", "alism", "icate", "ative", "alize", "ical", "eed", "eedly", "ional", "ment", "ement")
+    for word in (h + e for h in heads for e in ends):
+        assert word.startswith(search._begins(search.stem(word))), word
+
+
+def test_a_table_in_few_row_groups_is_dealt_out(spark, tmp_path):
+    whole = Project(spark, str(tmp_path))
+    texts = spark.range(lineage.MOST_ROWS + 1).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.lit("s").alias("source"))
+    texts.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    texts.limit(10).coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    tasks = lambda name: whole.spread(name).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks("documents") > 1 and tasks("pages") == 1
+    plan = core._documents(whole).counts([("a",)], (False,), 0.6, {}, having=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" in plan.split("RepartitionByExpression")[0]  # what costs much comes after the dealing
+    assert "regexp_replace" not in plan.split("RepartitionByExpression")[1] and "contains" not in plan.split("RepartitionByExpression")[1]
+
+
+def test_aux_tokens_split_parted_words_alone(spark):
+    texts = ["BP_BigGun ABC ABCd aB _x_ __ x1Y 1Éa éÉ plain", "nothing Here TO see", "aB aB b_", "ŒuvreŒ·xY", "", "a" * 199 + "Bc"]
+    rows = spark.createDataFrame([(f"asset:/Game/MyMap/{i}::A_b:c", t) for i, t in enumerate(texts)], "id string, text string")
+    source = F.concat_ws(" ", F.translate("id", "/:", "  "), F.left("text", F.lit(200)))
+    split = F.transform(text.word_tokens(source), lambda w: F.trim(text.split_camel(F.translate(w, "_", " "))))
+    kept = F.filter(F.arrays_zip(text.word_tokens(source).alias("w"), split.alias("s")), lambda p: (p["w"] != p["s"]) & (p["s"] != ""))
+    expected = F.array_join(F.slice(F.array_distinct(F.transform(kept, lambda p: p["s"])), 1, 24), " ")
+    for r in rows.select(text.aux_tokens(F.col("id"), F.col("text")).alias("got"), expected.alias("wanted")).collect():
+        assert r["got"] == r["wanted"]
+    assert rows.select(text.aux_tokens(F.lit("plain/x"), F.lit("No Part")).alias("a")).first()["a"] == ""
