@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import tempfile
 import uuid
 from array import array
@@ -75,6 +76,7 @@ BATCH_BYTES = 2 << 20
 
 def _release() -> None:
     """Gives freed memory back, so that an idle worker doesn't hold what its last task needed."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -89,8 +91,10 @@ def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
         conf.set(name, str(BATCH_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from f(batches)
-        _release()
+        try:
+            yield from f(batches)
+        finally:  # also where a limit ends the task early
+            _release()
 
     return df.mapInArrow(run, schema)
 

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lodestone.llm import fill_middle, sharding, simhash, spelling
+from lodestone.llm import fill_middle, pii, sharding, simhash, spelling
 from lodestone.llm.common import materialize
 
 ODD = ["", None, " \t\n", "a", " A  b", "A b\nC", "ünï 中文 😀 d", "\t x y z w v \r\n", "x" * 9000, "word " * 4000, "same text here", "same text here", "SAME text\there"]
@@ -230,3 +230,14 @@ def test_cuts_are_exact_at_any_size(spark):
         rows += [(total * k // 8 + d, 2) for k in range(8) for d in (-2, -1, 0, 1) if total * k // 8 + d >= 0]
         got = spark.createDataFrame(rows, "start long, size long").select("start", "size", sharding.shard_of(F.col("start"), F.col("size"), total, 8).alias("shard")).collect()
         assert all(r["shard"] == min(7, (2 * r["start"] + r["size"]) * 8 // (2 * total)) for r in got)
+
+
+def test_redaction_sorts_no_texts_and_leaves_plain_ones(spark):
+    texts = ["nothing here", None, "", "to a@b.com and 10.0.0.1, a@b.com", "call +44 20 7946 0958 now", "no 1 or 2"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = pii.redact(docs)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "Union" in plan
+    got = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert [got[i] for i in range(3)] == texts[:3] and got[5] == texts[5] and len(got) == len(texts)
+    assert got[3] == "to [email] and [ip], [email]" and got[4] == "call [phone] now"
