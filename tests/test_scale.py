@@ -122,3 +122,31 @@ def test_aux_tokens_split_parted_words_alone(spark):
     for r in rows.select(text.aux_tokens(F.col("id"), F.col("text")).alias("got"), expected.alias("wanted")).collect():
         assert r["got"] == r["wanted"]
     assert rows.select(text.aux_tokens(F.lit("plain/x"), F.lit("No Part")).alias("a")).first()["a"] == ""
+
+
+@pytest.mark.parametrize("stemmed", [False, True])
+def test_a_single_search_finds_terms_once(spark, monkeypatch, stemmed):
+    made = []
+    of = search.spaced_terms
+    monkeypatch.setattr(search, "spaced_terms", lambda c: made.append(c) or of(c))
+    chunks = _chunks(spark)
+    assert search.rank_chunks(search.Texts(chunks, stemmed), "order rings", "or").count() == 4
+    assert len(made) == 2  # of text and aux, in one pass
+    assert search.rank_chunks(search.Texts(chunks.limit(0), stemmed), "order", "or").count() == 0
+
+
+@pytest.mark.parametrize("most", [1, 3, 8])
+@pytest.mark.parametrize("digits", [None, 1])
+@pytest.mark.parametrize("filters", [{}, {"kind": "asset", "path_prefix": "/Game/1"}])
+def test_a_page_is_that_of_all_hits(spark, monkeypatch, most, digits, filters):
+    kinds, details = ("level-actor", "asset", "blueprint"), ('{"assetClass":"Texture2D"}', None)
+    entities = spark.createDataFrame([(f"asset:/Game/{i}", kinds[i % 3], f"n{i}", f"/Game/{i}", details[i % 5 > 0]) for i in range(40)], "id string, kind string, name string, path string, detail string")
+    rows = [(f"c{i}", f"asset:/Game/{i * 7 % 44}", ("cpp-body", "doc-section")[i % 4 > 0], -round(0.31 * (i * 13 % 11), 2) - 0.01) for i in range(90)]
+    ranked = spark.createDataFrame(rows, "chunk_id string, entity_id string, chunk_kind string, score double")
+    shown = F.col("score") if digits is None else F.round("score", digits)
+    whole = search.best_chunks(search._owned(ranked, entities, ranked, **filters)).orderBy(shown, "id").limit(most)
+    told = lambda df: sorted((r["id"], r["chunk_id"], r["score"]) for r in df.collect())
+    monkeypatch.setattr(search, "_LIKELY_PAGES", 1)
+    for likely in (1, 20, 2000):
+        monkeypatch.setattr(search, "LIKELY", likely)
+        assert told(search.best_page(ranked, entities, ranked, most, digits=digits, **filters)) == told(whole)
