@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import WordMemo, map_arrow, text_chunks, texts_of
 
+#: Bytes of text that are encoded at a time: what a step makes of them (lists of ids, places of pieces) is many times larger.
+STEP_BYTES = 256 << 10
 SPACE = "▁"
 _MARK = SPACE.encode()
 
@@ -198,7 +200,7 @@ def encode_documents(df: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id"
 
         own = codec(path)
         for whole in batches:
-            for batch in text_chunks(whole, "_text"):
+            for batch in text_chunks(whole, "_text", STEP_BYTES):
                 texts = texts_of(batch, "_text")
                 ids, offsets = own.encode(texts)
                 parts = [ids[a:b] for a, b in zip(offsets, offsets[1:])]
