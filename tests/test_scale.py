@@ -150,3 +150,15 @@ def test_a_page_is_that_of_all_hits(spark, monkeypatch, most, digits, filters):
     for likely in (1, 20, 2000):
         monkeypatch.setattr(search, "LIKELY", likely)
         assert told(search.best_page(ranked, entities, ranked, most, digits=digits, **filters)) == told(whole)
+
+
+def test_entities_that_lower_a_score_are_joined_only_where_it_still_counts(spark, monkeypatch):
+    rows = [(f"a{i:03}", "level-actor", None) for i in range(30)] + [("b1", "asset", '{"assetClass":"Texture2D"}')] + [(f"c{i}", "asset", None) for i in range(3)]
+    entities = spark.createDataFrame([(i, kind, i, "", detail) for i, kind, detail in rows], "id string, kind string, name string, path string, detail string")
+    ranked = spark.createDataFrame([("k" + i, i, "doc-section", -1.0) for i, _, _ in rows], "chunk_id string, entity_id string, chunk_kind string, score double")
+    monkeypatch.setattr(search, "LIKELY", 5)
+    monkeypatch.setattr(search, "_LIKELY_PAGES", 1)
+    joined, of = [], search._owned
+    monkeypatch.setattr(search, "_owned", lambda hits, owners, *a, **k: joined.append(sorted(r["id"] for r in owners.select("id").collect())) or of(hits, owners, *a, **k))
+    assert [r["id"] for r in search.best_page(ranked, entities, ranked, 3).collect()] == ["c0", "c1", "c2"]
+    assert joined == [["a000", "a001", "a002", "a003", "a004"], ["c0", "c1", "c2"]]
