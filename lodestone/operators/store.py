@@ -93,7 +93,8 @@ def patch_scoped(state: Snapshot, delta: Snapshot, producer: str, roots: DataFra
     """As patch(), but only the producer's own rows go."""
     own = F.col("producer").eqNullSafe(F.lit(producer))
     gone = subtree(state.entities, default_roots(delta) if roots is None else roots)
-    drop = lambda df, key: df.where(~own).unionByName(df.where(own).join(gone.select(F.col("id").alias(key)), key, "left_anti").select(*df.columns))
+    # One join of all rows, not a union of the producer's rows with the others: upsert() joins on where this leaves them.
+    drop = lambda df, key: df.join(gone.select(F.col("id").alias("_gone")), (F.col(key) == F.col("_gone")) & own, "left_anti")
     kept = Snapshot(drop(state.entities, "id"), drop(state.edges, "src"), drop(state.chunks, "entity_id"))
     return kept.upsert(delta.owned_by(producer))
 

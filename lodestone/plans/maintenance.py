@@ -71,7 +71,7 @@ def _upsert_latest(p: Project) -> DataFrame:
 
 
 def _state(p: Project) -> Snapshot:
-    return Snapshot(p.entities, p.edges, p.chunks)
+    return Snapshot(p.entities, p.edges, p.chunk_rows)
 
 
 def _delta(p: Project) -> Snapshot:
@@ -80,7 +80,7 @@ def _delta(p: Project) -> Snapshot:
     id = F.concat(F.lit("asset:/Game/customer/"), F.col("c_custkey").cast("string"))
     entities = own.select(id.alias("id"), F.lit("asset").alias("kind"), F.concat(F.lit("New "), F.col("c_name")).alias("name"), F.lit("/new").alias("path"), F.lit("asset").alias("source"))
     edges = own.select(id.alias("src"), F.lit("asset:/Game/region/0").alias("dst"), F.lit("references").alias("type"))
-    return Snapshot(validate(entities, "entities"), validate(edges, "edges"), p.chunks.limit(0))
+    return Snapshot(validate(entities, "entities"), validate(edges, "edges"), p.chunk_rows.limit(0))
 
 
 def _shown(state: Snapshot) -> DataFrame:

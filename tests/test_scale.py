@@ -162,3 +162,12 @@ def test_entities_that_lower_a_score_are_joined_only_where_it_still_counts(spark
     monkeypatch.setattr(search, "_owned", lambda hits, owners, *a, **k: joined.append(sorted(r["id"] for r in owners.select("id").collect())) or of(hits, owners, *a, **k))
     assert [r["id"] for r in search.best_page(ranked, entities, ranked, 3).collect()] == ["c0", "c1", "c2"]
     assert joined == [["a000", "a001", "a002", "a003", "a004"], ["c0", "c1", "c2"]]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_a_patch_deals_out_no_texts(spark, monkeypatch):
+    def never(*_):
+        raise AssertionError("a table was dealt out")
+
+    monkeypatch.setattr(Project, "spread", never)
+    assert registry.queries()["producer_delta"](spark, DATA).count() == 5
